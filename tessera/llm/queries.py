@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, html_text, pieces, sharding, tokens
+from . import chat, decontaminate, html_text, neardup, pieces, pii, quality, sharding, tokens
 from .common import staged, table
 
 
@@ -17,6 +17,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(staged(sharding.digests(table(spark, sf_dir, "documents")), "digests"))
 
@@ -29,6 +33,10 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
+
+
 def op8_pieces(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     return pieces.encode_documents(table(spark, sf_dir, "documents"), path or tokenizer("piece_bpe_32k.model"))
 
@@ -37,13 +45,20 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapse_and_render(table(spark, sf_dir, "conversations"))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_sharding": op2_sharding,
     "op4_token_counts": op4_token_counts,
     "op5_html": op5_html,
     "op6_decontamination": decontaminate.query,
+    "op7_near_duplicates": op7_near_duplicates,
     "op8_pieces": op8_pieces,
     "op9_chat": op9_chat,
+    "op10_personal_data": op10_personal_data,
 }
 
 ORACLES: dict[str, str] = {
