@@ -136,7 +136,7 @@ def superminhash(sets: list[np.ndarray], m: int = REGISTERS) -> np.ndarray:
                 perm = np.tile(np.arange(m, dtype=np.uint8 if m <= 256 else np.int32), (len(x), 1))
                 rows = np.arange(len(x))
                 perm[rows, first], perm[:, 0] = 0, first
-        v = mix(x + np.uint64(j + 1) * _STEP)
+        v = mix(x + np.uint64((j + 1) * int(_STEP) & _MASK))
         k = j + ((v >> np.uint64(44)) % np.uint64(m - j)).astype(np.int64)
         if j == 0:
             place = first = k

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, html_text, neardup, pieces, pii, quality, sharding, tokens
+from . import chat, decontaminate, html_text, neardup, pieces, pii, quality, sharding, substrings, tokens
 from .common import staged, table
 
 
@@ -25,6 +25,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(staged(sharding.digests(table(spark, sf_dir, "documents")), "digests"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), length=400)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), path or tokenizer("byte_bpe_50k.json"))
 
@@ -52,6 +56,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_sharding": op2_sharding,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_html": op5_html,
     "op6_decontamination": decontaminate.query,
