@@ -40,6 +40,32 @@ def arrow_map(df: DataFrame, fn: Callable[[dict], dict], schema: str) -> DataFra
     return df.mapInArrow(run, schema)
 
 
+def arrow_filter(df: DataFrame, columns: list[str], verdict: Callable[[dict], list[bool]]) -> DataFrame:
+    """The rows of ``df``, whatever their other columns, for which ``verdict`` over ``columns`` is true."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(verdict({c: batch.column(c).to_pylist() for c in columns}), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def arrow_replace(df: DataFrame, columns: list[str], fn: Callable[[dict], dict]) -> DataFrame:
+    """``df`` with the columns that ``fn`` gives in place of its own; other columns pass as they are."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                new = fn({c: batch.column(c).to_pylist() for c in columns})
+                names = batch.schema.names
+                yield pa.RecordBatch.from_arrays([pa.array(new[n], batch.schema.field(n).type) if n in new else batch.column(n) for n in names], schema=batch.schema)
+
+    return df.mapInArrow(run, df.schema)
+
+
 def _split(schema: str) -> list[str]:
     return [p for p in schema.split(",") if p.strip()]
 

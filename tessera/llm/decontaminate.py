@@ -7,13 +7,11 @@ normalised words maps back to the original. It is scanned once; overlapping hits
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, table
+from .common import arrow_filter, arrow_map, table
 
 #: Normalised bytes of test items in one automaton (it takes some 60 times as much memory); more items go in blocks.
 AUTOMATON_BYTES = 4 << 20
@@ -111,35 +109,36 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW
     once; repeated documents are judged each; extra columns are ignored. With no benchmark every document is clean.
     """
     blocks = benchmark_blocks(benchmark)
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [words_of(t) for t in batch.column(1).to_pylist()]
-            spans: list[list] = [[] for _ in texts]
-            items: list[set] = [set() for _ in texts]
-            for k, block in enumerate(blocks):
-                key = (len(blocks), k, id(block.value))
-                if key not in _machines:
-                    if len(_machines) > 1:
-                        _machines.clear()
-                    _machines[key] = Automaton(block.value, size)
-                for i, words in enumerate(texts):
-                    runs, found = _machines[key].scan(words)
-                    spans[i] += runs
-                    items[i] |= found
-            hit = [_covered(s) for s in spans]
-            n = [len(w) for w in texts]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()),
-                    pa.array([_items_sha(x) for x in items], pa.string()), pa.array([h > 0 and 20 * h >= w for h, w in zip(hit, n)], pa.bool_()),
-                ],
-                names=names,
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+
+    def run(cols: dict) -> dict:
+        return {"doc_id": cols["doc_id"], **scanned(cols["text"], blocks, size)}
+
+    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` that aren't contaminated, with all their columns."""
+    blocks = benchmark_blocks(benchmark)
+    return arrow_filter(docs, ["text"], lambda cols: [not x for x in scanned(cols["text"], blocks, size)["contaminated"]])
+
+
+def scanned(texts: list[str | None], blocks: list, size: int) -> dict:
+    """What the automata of all blocks find in ``texts``; a worker keeps the last few automata."""
+    words = [words_of(t) for t in texts]
+    spans: list[list] = [[] for _ in texts]
+    items: list[set] = [set() for _ in texts]
+    for k, block in enumerate(blocks):
+        key = (len(blocks), k, id(block.value), size)
+        if key not in _machines:
+            if len(_machines) > 1:
+                _machines.clear()
+            _machines[key] = Automaton(block.value, size)
+        for i, ws in enumerate(words):
+            runs, found = _machines[key].scan(ws)
+            spans[i] += runs
+            items[i] |= found
+    hit, n = [_covered(s) for s in spans], [len(w) for w in words]
+    return {"n_words": n, "n_hit": hit, "n_items": [len(x) for x in items], "items_sha256": [_items_sha(x) for x in items], "contaminated": [h > 0 and 20 * h >= w for h, w in zip(hit, n)]}
 
 
 def _covered(spans: list[tuple[int, int]]) -> int:

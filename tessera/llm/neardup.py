@@ -164,18 +164,18 @@ def node_of(s: np.ndarray) -> int | None:
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, node, bands of every row."""
+    """doc_id, text_key (MD5 of the text), n_shingles, node, bands of every row."""
 
     def run(cols: dict) -> dict:
         sets = shingle_sets(cols["text"], size)
         full = [s for s in sets if len(s)]
         bands = iter(band_hashes(superminhash(full)).tolist() if full else [])
         return {
-            "doc_id": cols["doc_id"], "n_shingles": [len(s) for s in sets], "node": [node_of(s) for s in sets],
+            "doc_id": cols["doc_id"], "text_key": [hashlib.md5((t or "").encode()).digest() for t in cols["text"]], "n_shingles": [len(s) for s in sets], "node": [node_of(s) for s in sets],
             "bands": [next(bands) if len(s) else [] for s in sets],
         }
 
-    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, node long, bands array<long>")
+    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, text_key binary, n_shingles long, node long, bands array<long>")
 
 
 class Forest:
@@ -317,13 +317,8 @@ def verified_links(docs: DataFrame, sig: DataFrame, families: DataFrame, size: i
     return dealt.groupBy("family", "i", "j").applyInPandas(verify, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text).
-
-    Null texts and texts without words have no shingles, are linked with nothing and are kept. Rows with equal texts
-    are one component; a repeated doc_id gives a row each time. A component's id is its least doc_id (null only where
-    all are null). Extra columns are ignored; an empty table gives an empty result.
-    """
+def rooted(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Signatures of all rows; and of the rows with words doc_id, text_key, n_shingles and root, their component's name."""
     sig = staged(signatures(docs, size), "signatures")
     nodes = sig.where("node is not null").groupBy("node").agg(F.first("bands").alias("bands"))
     places = nodes.select("node", F.explode("bands").alias("bucket"))
@@ -331,8 +326,33 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
     candidates = places.join(leaders, "bucket").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
     families = components(candidates)
     roots = components(verified_links(docs, sig, families, size, percent))
-    labelled = sig.where("node is not null").join(roots, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("root"))
+    return sig, sig.where("node is not null").join(roots, "node", "left").select("doc_id", "text_key", "n_shingles", F.coalesce("root", "node").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text).
+
+    Null texts and texts without words have no shingles, are linked with nothing and are kept. Rows with equal texts
+    are one component; a repeated doc_id gives a row each time. A component's id is its least doc_id (null only where
+    all are null). Extra columns are ignored; an empty table gives an empty result.
+    """
+    sig, labelled = rooted(docs, size, percent)
     ids = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = labelled.join(ids, "root").select("doc_id", "n_shingles", "component_id")
     bare = sig.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return out.unionByName(bare).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def keep_one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each component, the one of least doc_id; rows without words all stay.
+
+    Columns of ``docs`` stay as they are. A row that is repeated whole stays once.
+    """
+    sig, labelled = rooted(docs, size, percent)
+    least = labelled.groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("row")).select("row.*")
+    bare = sig.where("node is null").select("doc_id", "text_key").distinct()
+    keep = least.unionByName(bare).toDF("keep_id", "keep_key")
+    key = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("keep_id")) & (key == F.col("keep_key")), "left_semi")
+    again = labelled.groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count()
+    return kept.dropDuplicates(["doc_id", "text"]) if again else kept

@@ -148,8 +148,8 @@ def codec_of(model) -> PieceCodec:
     return _codecs[key]
 
 
-def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, spans_whole of every row.
+def encode_documents(docs: DataFrame, model_path: str, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, spans_whole of every row, and the ids themselves if asked for.
 
     spans_whole says that the pieces' byte spans follow each other from the text's first byte to its last. Null and
     empty texts encode to the end id alone; repeated rows are encoded each; extra columns are ignored.
@@ -159,14 +159,16 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
 
     def run(cols: dict) -> dict:
         codec = codec_of(model)
-        n, ids_sha, decoded_sha, whole = [], [], [], []
+        n, ids_sha, decoded_sha, whole, all_ids = [], [], [], [], []
         texts = [t or "" for t in cols["text"]]
         for text, (ids, spans) in zip(texts, codec.encode_batch(texts)):
             n.append(len(ids))
+            if with_ids:
+                all_ids.append(ids)
             ids_sha.append(hashlib.sha256(" ".join(map(codec.digits.__getitem__, ids)).encode()).hexdigest())
             decoded_sha.append(hashlib.sha256(codec.decode(ids).encode()).hexdigest())
             ends = len(text.encode())
             whole.append(bool((spans[0, 0] == 0 and spans[-1, 1] == ends and (spans[1:, 0] <= spans[:-1, 1]).all()) if len(spans) else ends == 0))
-        return {"doc_id": cols["doc_id"], "n_tokens": n, "ids_sha256": ids_sha, "decoded_sha256": decoded_sha, "spans_whole": whole}
+        return {"doc_id": cols["doc_id"], "n_tokens": n, "ids_sha256": ids_sha, "decoded_sha256": decoded_sha, "spans_whole": whole, "ids": all_ids}
 
-    return arrow_map(docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_whole boolean")
+    return arrow_map(docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_whole boolean" + ", ids array<int>" * with_ids)

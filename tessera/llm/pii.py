@@ -18,7 +18,7 @@ from importlib import resources
 
 from pyspark.sql import DataFrame
 
-from .common import arrow_map
+from .common import arrow_map, arrow_replace
 
 #: Order in which kinds are listed.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -322,11 +322,10 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 
 
 def mask_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` with personal data masked in ``text`` and n_chars counted anew; other columns stay."""
-    names = docs.columns
+    """``docs`` with personal data masked in ``text`` and n_chars counted anew; other columns stay, a null text stays null."""
 
     def run(cols: dict) -> dict:
         text = [mask(t) for t in cols["text"]]
-        return {n: cols[n] for n in names} | {"text": text} | ({"n_chars": [None if t is None else len(t) for t in text]} if "n_chars" in names else {})
+        return {"text": text, "n_chars": [None if t is None else len(t) for t in text]}
 
-    return arrow_map(docs, run, ", ".join(f"{n} {t}" for n, t in docs.dtypes))
+    return arrow_replace(docs, ["text"], run)

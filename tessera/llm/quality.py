@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, staged
+from .common import arrow_filter, arrow_map, staged
 
 #: Frequent function words of each language.
 COMMON = {
@@ -118,14 +118,17 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.where((ps[:, 0] > 0) & (qs[:, 0] > 0), d, 0.0)
 
 
+def measured_columns(cols: dict) -> dict:
+    """lang ("" if it has no reference), the base counts and both histograms."""
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars", "words"]
+    return {"lang": [x if x in COMMON else "" for x in cols["lang"]], **dict(zip(names, map(list, zip(*map(measure, cols["text"])))))}
+
+
 def measures(docs: DataFrame) -> DataFrame:
-    """doc_id, lang ("" if it has no reference), the base counts and both histograms of every row."""
-    known = set(COMMON)
+    """doc_id and :func:`measured_columns` of every row."""
 
     def run(cols: dict) -> dict:
-        n = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars", "words"]
-        found = list(zip(*map(measure, cols["text"])))
-        return {"doc_id": cols["doc_id"], "lang": [x if x in known else "" for x in cols["lang"]], **dict(zip(n, map(list, found)))}
+        return {"doc_id": cols["doc_id"], **measured_columns(cols)}
 
     return arrow_map(
         docs.select("doc_id", "lang", "text"), run,
@@ -159,6 +162,18 @@ def references(measured: DataFrame, rules: Rules = Rules()) -> dict[str, tuple[l
     return out
 
 
+def verdicts(cols: dict, refs: dict[str, tuple[list[int], list[int]]], rules: Rules) -> dict:
+    """base_failed, kept, char_js and word_js of measured texts."""
+    blank = ([0] * CLASSES, [0] * (len(WORDS) + 1))
+    ref = [refs.get(x, blank) for x in cols["lang"]]
+    char = js_distance(np.array(cols["chars"], float), np.array([r[0] for r in ref], float))
+    word = js_distance(np.array(cols["words"], float), np.array([r[1] for r in ref], float))
+    n, chars = np.array(cols["n_words"]), np.array(cols["word_chars"])
+    bad = (n < 50) | (100 * np.array(cols["n_repeat_words"]) > 50 * n)
+    far = ((chars >= rules.least_chars) & (char > rules.char_limit)) | ((n >= rules.least_words) & (word > rules.word_limit))
+    return {"base_failed": bad.tolist(), "kept": (~bad & ~far).tolist(), "char_js": char.tolist(), "word_js": word.tolist()}
+
+
 def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """doc_id, the base counts, base_failed, kept, char_js, word_js of every row of ``docs`` (doc_id, lang, text).
 
@@ -169,17 +184,15 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     refs = references(measured, rules)
 
     def run(cols: dict) -> dict:
-        blank = ([0] * CLASSES, [0] * (len(WORDS) + 1))
-        ref = [refs.get(x, blank) for x in cols["lang"]]
-        char = js_distance(np.array(cols["chars"], float), np.array([r[0] for r in ref], float))
-        word = js_distance(np.array(cols["words"], float), np.array([r[1] for r in ref], float))
-        n, chars = np.array(cols["n_words"]), np.array(cols["word_chars"])
-        bad = (n < 50) | (100 * np.array(cols["n_repeat_words"]) > 50 * n)
-        far = ((chars >= rules.least_chars) & (char > rules.char_limit)) | ((n >= rules.least_words) & (word > rules.word_limit))
-        base = {k: cols[k] for k in ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
-        return base | {"base_failed": bad.tolist(), "kept": (~bad & ~far).tolist(), "char_js": char.tolist(), "word_js": word.tolist()}
+        return {k: cols[k] for k in ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")} | verdicts(cols, refs, rules)
 
     return arrow_map(
         measured, run,
         "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_js double, word_js double",
     )
+
+
+def keep_documents(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """The rows of ``docs`` that :func:`judge` keeps, with all their columns; texts are read twice and never shuffled."""
+    refs = references(measures(docs), rules)
+    return arrow_filter(docs, ["lang", "text"], lambda cols: verdicts(measured_columns(cols), refs, rules)["kept"])
