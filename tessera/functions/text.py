@@ -1,0 +1,126 @@
+"""Text functions as Column expressions: all run inside the JVM."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from ..constants import APOSTROPHES, STEM_SUFFIXES, STOP_WORDS, STRIP_SUFFIXES
+
+WORD = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_']*[\p{L}\p{N}_])?"
+STRIP = "^(.{4,})(?:" + "|".join(STRIP_SUFFIXES) + ")$"
+STEM = "^(.{3,}?)(" + "|".join(sorted(STEM_SUFFIXES, key=len, reverse=True)) + ")$"
+#: The stemmer shortens a word in every step, and no word of a vocabulary sheds more suffixes than this.
+STEM_STEPS = 16
+
+
+def normalize(c: Column) -> Column:
+    """Lower case, every apostrophe as the plain one."""
+    return F.regexp_replace(F.lower(c), f"[{APOSTROPHES}]", "'")
+
+
+def strip_suffix(c: Column) -> Column:
+    """One case or plural suffix off, where a root of four signs is left."""
+    return F.regexp_replace(c, STRIP, "$1")
+
+
+def raw_words(c: Column) -> Column:
+    return F.regexp_extract_all(normalize(c), F.lit(WORD), F.lit(0))
+
+
+def tokenize(c: Column) -> Column:
+    """Normalised words, each without its suffix; null gives null."""
+    return F.transform(raw_words(c), strip_suffix)
+
+
+def _stem_step(w: Column) -> Column:
+    root, suffix = F.regexp_extract(w, STEM, 1), F.regexp_extract(w, STEM, 2)
+    n = F.length(w)
+    before = F.substring(F.reverse(w), 2, 1)
+    return (
+        F.when(n <= 3, w)
+        .when(root != "", F.when(suffix.isin("aymiz", "aydi"), F.concat(root, F.lit("a"))).otherwise(root))
+        .when(w.endswith("mi"), F.when(n >= 5, F.left(w, n - 2)).otherwise(w))
+        .when(w.endswith("i") & (n >= 6) & ~F.lower(before).isin("a", "e", "i", "o", "u"), F.left(w, n - 1))
+        .otherwise(w)
+    )
+
+
+def light_stem(c: Column) -> Column:
+    """Suffixes off until none is left. Costly for a word, so run it over a vocabulary and join."""
+    return F.aggregate(F.sequence(F.lit(1), F.lit(STEM_STEPS)), c, lambda w, _: _stem_step(w))
+
+
+def _tokenized(word: str) -> list[str]:
+    import re
+
+    out = []
+    for w in re.findall(r"[^\W](?:[\w']*[^\W])?", word.lower()):
+        for s in STRIP_SUFFIXES:
+            if w.endswith(s) and len(w) - len(s) >= 4:
+                w = w[: -len(s)]
+                break
+        out.append(w)
+    return out
+
+
+def stop_list() -> list[str]:
+    """Functional words as they stand and as the tokenizer gives them."""
+    return sorted({*STOP_WORDS, *(t for w in STOP_WORDS for t in _tokenized(w))})
+
+
+def meaningful(tokens: Column) -> Column:
+    """Tokens that aren't functional words; all of them where none is left."""
+    rest = F.filter(tokens, lambda t: ~t.isin(*stop_list()))
+    return F.when(F.size(rest) > 0, rest).otherwise(tokens)
+
+
+def strict_constraints(c: Column) -> Column:
+    """Years and quoted strings of a question, in lower case: each must stand in the evidence."""
+    years = F.regexp_extract_all(c, F.lit(r"\b(19[0-9][0-9]|20[0-9][0-9])\b"), F.lit(1))
+    return F.transform(F.concat(years, F.regexp_extract_all(c, F.lit('"([^"]+)"'), F.lit(1))), F.lower)
+
+
+def slugify(c: Column, default: str = "untitled") -> Column:
+    """Words, digits, spaces and hyphens in lower case, runs of spaces as one hyphen, 60 signs at most."""
+    kept = F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_ \n\t\r-]", ""))
+    return F.coalesce(F.nullif(F.left(F.regexp_replace(kept, r"[\s_]+", "-"), F.lit(60)), F.lit("")), F.lit(default))
+
+
+def estimated_tokens(c: Column) -> Column:
+    return F.greatest(F.lit(1), F.floor(F.length(c) / 4)).cast("long")
+
+
+def parent_prefix(c: Column) -> Column:
+    """An id without its last number, ending in a colon."""
+    cut = F.regexp_replace(c, r"^(.*):[0-9]+$", "$1")
+    return F.when(cut.endswith(":"), cut).otherwise(F.concat(cut, F.lit(":")))
+
+
+def project_label(folder: Column) -> Column:
+    """A readable project from a session folder's name: its part after the last known root, else the whole."""
+    tail = F.regexp_extract(folder, r"(?i)(?:projects?|desktop|documents|repos?|src)-+(.+)$", 1)
+    return F.coalesce(F.nullif(F.trim(F.regexp_replace(tail, "-+", " ")), F.lit("")), F.nullif(F.trim(F.regexp_replace(folder, "-+", " ")), F.lit("")), F.lit("unknown"))
+
+
+def collapse_newlines(c: Column) -> Column:
+    return F.regexp_replace(c, "\n{4,}", "\n\n\n")
+
+
+def first_line(c: Column, n: int = 60) -> Column:
+    return F.left(F.trim(F.regexp_replace(c, r"\s+", " ")), F.lit(n))
+
+
+def run_length_chain(items: Column) -> Column:
+    """``A -> B x2``: neighbours that are equal are counted."""
+    state = F.aggregate(
+        items,
+        F.struct(F.array().cast("array<struct<v:string,n:int>>").alias("runs")),
+        lambda s, x: F.struct(
+            F.when(
+                (F.size(s["runs"]) > 0) & (F.element_at(s["runs"], -1)["v"] == x),
+                F.concat(F.slice(s["runs"], 1, F.size(s["runs"]) - 1), F.array(F.struct(x.alias("v"), (F.element_at(s["runs"], -1)["n"] + 1).alias("n")))),
+            ).otherwise(F.concat(s["runs"], F.array(F.struct(x.alias("v"), F.lit(1).alias("n"))))).alias("runs")
+        ),
+    )
+    return F.array_join(F.transform(state["runs"], lambda r: F.when(r["n"] > 1, F.concat(r["v"], F.lit(" x"), r["n"].cast("string"))).otherwise(r["v"])), " -> ")
