@@ -287,7 +287,8 @@ def verified_links(docs: DataFrame, sig: DataFrame, families: DataFrame, size: i
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     wanted = staged(member.join(counted, "root").join(reps, "node").select("node", "root", "rep_id", blocks.alias("n_blocks")), "wanted")
     n_shards = max(1, -(-wanted.count() // SHARD_NODES))
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep_id")))
+    # sorted on both sides at every size: what is wanted grows with the input, so it is never sent to every task
+    texts = docs.select("doc_id", "text").join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep_id")))
 
     def sets_of(cols: dict) -> dict:
         sets = shingle_sets(cols["text"], size)
