@@ -10,6 +10,8 @@ from ..constants import APOSTROPHES, STEM_SUFFIXES, STOP_WORDS, STRIP_SUFFIXES
 WORD = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_']*[\p{L}\p{N}_])?"
 STRIP = "^(.{4,})(?:" + "|".join(STRIP_SUFFIXES) + ")$"
 STEM = "^(.{3,}?)(" + "|".join(sorted(STEM_SUFFIXES, key=len, reverse=True)) + ")$"
+#: The same on reversed words, so that a word without suffix fails at once; two suffixes leave their ``a`` on the root.
+STEM_REVERSED = "^(?:" + "|".join(f"{x[:0:-1]}(?=a.{{3}})" if x in ("aymiz", "aydi") else f"{x[::-1]}(?=.{{3}})" for x in sorted(STEM_SUFFIXES, key=len, reverse=True)) + ")"
 #: The stemmer shortens a word in every step, and no word of a vocabulary sheds more suffixes than this.
 STEM_STEPS = 16
 
@@ -33,22 +35,25 @@ def tokenize(c: Column) -> Column:
     return F.transform(raw_words(c), strip_suffix)
 
 
-def _stem_step(w: Column) -> Column:
-    root, suffix = F.regexp_extract(w, STEM, 1), F.regexp_extract(w, STEM, 2)
-    n = F.length(w)
-    before = F.substring(F.reverse(w), 2, 1)
-    return (
-        F.when(n <= 3, w)
-        .when(root != "", F.when(suffix.isin("aymiz", "aydi"), F.concat(root, F.lit("a"))).otherwise(root))
-        .when(w.endswith("mi"), F.when(n >= 5, F.left(w, n - 2)).otherwise(w))
-        .when(w.endswith("i") & (n >= 6) & ~F.lower(before).isin("a", "e", "i", "o", "u"), F.left(w, n - 1))
-        .otherwise(w)
-    )
+def _stem_step(r: Column) -> Column:
+    """One suffix off a reversed word: what a suffix would leave must be a root of three signs at least."""
+    cut = F.regexp_replace(r, STEM_REVERSED, "")
+    n = F.length(r)
+
+    def or_short(x: Column) -> Column:
+        return (
+            F.when(x != r, x)
+            .when(r.startswith("im"), F.when(n >= 5, F.substring(r, 3, 1 << 20)).otherwise(r))
+            .when(r.startswith("i") & (n >= 6) & ~F.lower(F.substring(r, 2, 1)).isin("a", "e", "i", "o", "u"), F.substring(r, 2, 1 << 20))
+            .otherwise(r)
+        )
+
+    return F.when(n <= 3, r).otherwise(F.transform(F.array(cut), or_short)[0])
 
 
 def light_stem(c: Column) -> Column:
     """Suffixes off until none is left. Costly for a word, so run it over a vocabulary and join."""
-    return F.aggregate(F.sequence(F.lit(1), F.lit(STEM_STEPS)), c, lambda w, _: _stem_step(w))
+    return F.reverse(F.aggregate(F.sequence(F.lit(1), F.lit(STEM_STEPS)), F.reverse(c), lambda r, _: _stem_step(r)))
 
 
 def _tokenized(word: str) -> list[str]:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import MIN_SIMILARITY, VECTOR_CANDIDATES
+from ..functions.vectors import cosine
 from .lexical import top
 
 #: Query vectors that one block sends to every task.
@@ -69,3 +70,27 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = VECTOR_CANDIDAT
     for p in parts[1:]:
         out = out.unionByName(p)
     return top(out, [F.col("similarity").desc(), F.col("id")], k)
+
+
+def lsh_topk(queries: DataFrame, vectors: DataFrame, k: int = VECTOR_CANDIDATES, floor: float = MIN_SIMILARITY, bits: int = 4, tables: int = 12, seed: int = 7) -> DataFrame:
+    """Approximate (qid, id, similarity, rank): only rows that share a bucket of random hyperplane signs with a query are compared.
+
+    All rows are indexed; more ``tables`` and fewer ``bits`` raise recall.
+    """
+    dim = len(vectors.first()["vector"])
+    planes = np.random.default_rng(seed).standard_normal((dim, bits * tables))
+
+    def signed(name: str):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = np.array(batch.column(1).to_pylist(), np.float64).reshape(batch.num_rows, -1)
+                codes = ((x @ planes) > 0).reshape(len(x), tables, bits) @ (1 << np.arange(bits)) + np.arange(tables) * (1 << bits)
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.list_(pa.float32())), pa.array(codes.tolist(), pa.list_(pa.int64()))], names=[name, f"{name}_v", "codes"])
+
+        return run
+
+    q = queries.select("qid", "vector").mapInArrow(signed("qid"), "qid long, qid_v array<float>, codes array<long>").withColumn("code", F.explode("codes")).drop("codes")
+    x = vectors.select("id", "vector").mapInArrow(signed("id"), "id long, id_v array<float>, codes array<long>").withColumn("code", F.explode("codes")).drop("codes")
+    met = q.join(x, "code").dropDuplicates(["qid", "id"])
+    s = met.select("qid", "id", F.round(cosine(F.col("qid_v"), F.col("id_v")), 6).alias("similarity")).where(F.col("similarity") >= floor)
+    return top(s, [F.col("similarity").desc(), F.col("id")], k)
