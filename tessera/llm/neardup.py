@@ -354,6 +354,6 @@ def keep_one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
     bare = sig.where("node is null").select("doc_id", "text_key").distinct()
     keep = least.unionByName(bare).toDF("keep_id", "keep_key")
     key = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("keep_id")) & (key == F.col("keep_key")), "left_semi")
+    kept = docs.join(keep.hint("merge"), F.col("doc_id").eqNullSafe(F.col("keep_id")) & (key == F.col("keep_key")), "left_semi")
     again = labelled.groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count()
     return kept.dropDuplicates(["doc_id", "text"]) if again else kept
