@@ -22,9 +22,9 @@ from .common import arrow_map, staged
 #: Registers of a signature, and bands they are cut into: a pair of similarity 0.8 shares no band once in 2e7 times.
 REGISTERS, BANDS = 128, 32
 #: Nodes of a family that one task holds; larger families are verified in blocks of about this size.
-BLOCK = 2048
+BLOCK = 1024
 #: Nodes of small families that share a task.
-SHARD_NODES = 4000
+SHARD_NODES = 1000
 #: Bytes of text hashed at once.
 CHUNK = 1 << 20
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
