@@ -13,9 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 BATCH_ROWS = 512
 
 
+def settled(spark: SparkSession) -> SparkSession:
+    """The session with batches that fit memory, and without the guess that a union is partitioned as its children are
+    (which lets repeated rows pass a later distinct)."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; it is read by Spark alone, so any store that Spark reads will do."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return settled(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def arrow_map(df: DataFrame, fn: Callable[[dict], dict], schema: str) -> DataFrame:
@@ -23,8 +31,7 @@ def arrow_map(df: DataFrame, fn: Callable[[dict], dict], schema: str) -> DataFra
 
     ``fn`` must be picklable; it sees one bounded batch at a time and keeps nothing of it.
     """
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    settled(df.sparkSession)
     names = [part.strip().split()[0] for part in _split(schema)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,7 +49,7 @@ def arrow_map(df: DataFrame, fn: Callable[[dict], dict], schema: str) -> DataFra
 
 def arrow_filter(df: DataFrame, columns: list[str], verdict: Callable[[dict], list[bool]]) -> DataFrame:
     """The rows of ``df``, whatever their other columns, for which ``verdict`` over ``columns`` is true."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    settled(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -54,7 +61,7 @@ def arrow_filter(df: DataFrame, columns: list[str], verdict: Callable[[dict], li
 
 def arrow_replace(df: DataFrame, columns: list[str], fn: Callable[[dict], dict]) -> DataFrame:
     """``df`` with the columns that ``fn`` gives in place of its own; other columns pass as they are."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    settled(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, arrow_map, staged
+from .common import arrow_map, settled, staged
 from .neardup import mix
 from .suffix import permuted_lcp, suffix_array
 
@@ -100,7 +100,7 @@ def pieces_of(raws: list[bytes], length: int) -> Iterator[tuple[int, np.ndarray]
 
 def find_pieces(docs: DataFrame, length: int) -> DataFrame:
     """doc_id, text key, start, size, place, anchor, piece of every piece of ``docs`` (doc_id, text)."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    settled(docs.sparkSession)
     names = ["doc_id", "text_key", "start", "size", "place", "anchor", "piece"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
