@@ -20,6 +20,8 @@ class Data:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        # a union of children that are partitioned alike is taken to be so itself, which let repeated rows pass a distinct()
+        spark.conf.set("spark.sql.unionOutputPartitioning", "false")
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")

@@ -1,0 +1,365 @@
+"""Sources, sinks, scalar functions, predicates, joins and sets over chunks."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..operators import policy, store
+from ..sources import parse
+from .base import SQL_STEM_STEP, Data, query, sql, sql_meaningful, sql_normalize, sql_strip, sql_tokens  # noqa: F401
+
+_PATH = "source || CASE doc_id % 5 WHEN 0 THEN '/.venv/' WHEN 1 THEN '/kg_db/' ELSE '/docs/' END || doc_id || CASE doc_id % 4 WHEN 0 THEN '.md' WHEN 1 THEN '.txt' WHEN 2 THEN '.rst' ELSE '.py' END"
+
+
+def _paths(d: Data) -> DataFrame:
+    """Documents as files: a path made of source and id."""
+    return d.table("documents").select("doc_id", "text", F.expr(_PATH).alias("path"))
+
+
+@query("scan_documents", f"SELECT doc_id, path FROM (SELECT doc_id, {_PATH} AS path FROM documents) WHERE regexp_matches(path, '\\.(md|txt|rst)$') AND NOT regexp_matches(path, '(^|/)(\\.venv|kg_db)/')")
+def _(d: Data) -> DataFrame:
+    return _paths(d).where(parse.scannable(F.col("path"))).select("doc_id", "path")
+
+
+@query("curated_docs", f"""SELECT doc_id, path FROM (SELECT doc_id, text, {_PATH.replace("'/docs/'", "CASE doc_id % 3 WHEN 0 THEN '/docs/' WHEN 1 THEN '/i18n/fr/' ELSE '/node_modules/' END")} AS path FROM documents)
+ WHERE regexp_matches(path, '\\.(md|rst|txt)$') AND NOT regexp_matches(path, '(^|/)(\\.venv|kg_db|node_modules|\\.git|dist|build|vendor|tests?|__pycache__)/') AND NOT regexp_matches(path, '(^|/)(i18n|locales?|translations?|l10n)/') AND octet_length(encode(text)) >= 50""")
+def _(d: Data) -> DataFrame:
+    path = _PATH.replace("'/docs/'", "CASE doc_id % 3 WHEN 0 THEN '/docs/' WHEN 1 THEN '/i18n/fr/' ELSE '/node_modules/' END")
+    return d.table("documents").select("doc_id", "text", F.expr(path).alias("path")).where(parse.curated(F.col("path"), F.octet_length("text"))).select("doc_id", "path")
+
+
+@query("get_all", sql("SELECT id, title, project FROM chunks"))
+def _(d: Data) -> DataFrame:
+    return d.chunks.select("id", "title", "project")
+
+
+@query("get_by_ids", sql("SELECT id, title FROM chunks WHERE id IN ('doc_1', 'doc_7', 'doc_42', 'doc_absent')"))
+def _(d: Data) -> DataFrame:
+    return d.chunks.where(F.col("id").isin("doc_1", "doc_7", "doc_42", "doc_absent")).select("id", "title")
+
+
+@query("get_where", sql("SELECT id, project, kind FROM chunks WHERE project = 'src3' AND kind = 'note'"))
+def _(d: Data) -> DataFrame:
+    return d.chunks.where(policy.where({"project": "src3", "kind": "note"})).select("id", "project", "kind")
+
+
+@query("page", sql("SELECT id, title FROM chunks ORDER BY id LIMIT 20 OFFSET 40"))
+def _(d: Data) -> DataFrame:
+    return d.chunks.select("id", "title").orderBy("id").offset(40).limit(20)
+
+
+@query("eav_pivot", "SELECT doc_id, max(v) FILTER (WHERE k = 'lang') AS lang, max(v) FILTER (WHERE k = 'source') AS source FROM (SELECT doc_id, 'lang' AS k, lang AS v FROM documents UNION ALL SELECT doc_id, 'source', source FROM documents WHERE doc_id % 3 <> 0) GROUP BY doc_id")
+def _(d: Data) -> DataFrame:
+    docs = d.table("documents")
+    eav = docs.select("doc_id", F.lit("lang").alias("k"), F.col("lang").alias("v")).unionByName(docs.where("doc_id % 3 <> 0").select("doc_id", F.lit("source").alias("k"), F.col("source").alias("v")))
+    return store.eav_pivot(eav, "doc_id", "k", "v", ["lang", "source"])
+
+
+_FRONT = "CASE doc_id % 4 WHEN 0 THEN '---' || chr(10) || 'shortcode: A' || doc_id || chr(10) || 'usable: ' || CASE doc_id % 3 WHEN 0 THEN 'false' WHEN 1 THEN '\"yes\"' ELSE 'maybe' END || chr(10) || '---' || chr(10) || text WHEN 1 THEN '---' || chr(10) || 'title: x' || chr(10) || '---' || chr(10) || 'shortcode: no' ELSE text END"
+
+
+@query("frontmatter_flag", f"SELECT doc_id, starts_with(t, '---') AND regexp_matches(string_split(t, chr(10) || '---')[1], '(?m)^shortcode:') AS flag FROM (SELECT doc_id, {_FRONT} AS t FROM documents)")
+def _(d: Data) -> DataFrame:
+    return d.table("documents").select("doc_id", policy.has_front_matter(F.expr(_FRONT)).alias("flag"))
+
+
+@query("frontmatter_usable", f"""SELECT doc_id, CASE WHEN starts_with(t, '---') AND f <> '' THEN f NOT IN ('false', '0', 'no') END AS usable
+ FROM (SELECT doc_id, t, lower(regexp_extract(string_split(left(t, 8192), chr(10) || '---')[1], '(?mi)^usable:\\s*["'']?(false|true|0|1|no|yes)\\b', 1)) AS f FROM (SELECT doc_id, {_FRONT} AS t FROM documents))""")
+def _(d: Data) -> DataFrame:
+    return d.table("documents").select("doc_id", policy.front_matter_usable(F.expr(_FRONT)).alias("usable"))
+
+
+# ---- conversations
+
+
+@query("import_chats", "SELECT conv_id, string_agg('## ' || role || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS body, count(*) AS n FROM conversations WHERE coalesce(text, '') <> '' GROUP BY conv_id")
+def _(d: Data) -> DataFrame:
+    return parse.chats(d.table("conversations"))
+
+
+@query("render_markdown", "SELECT conv_id, '# Chat ' || conv_id || chr(10) || chr(10) || string_agg('**' || role || ':** ' || regexp_replace(text, '\\n{4,}', chr(10) || chr(10) || chr(10), 'g'), chr(10) || chr(10) ORDER BY turn) AS markdown FROM conversations GROUP BY conv_id")
+def _(d: Data) -> DataFrame:
+    return parse.render_markdown(d.table("conversations"))
+
+
+@query("import_sessions", "SELECT conv_id, arg_min(trim(left(trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')), 60)), turn) FILTER (WHERE role = 'user') AS title, count(*) AS n, count(*) FILTER (WHERE role = 'user') AS n_user, count(*) FILTER (WHERE role = 'assistant') AS n_assistant FROM conversations GROUP BY conv_id")
+def _(d: Data) -> DataFrame:
+    return parse.sessions(d.table("conversations"))
+
+
+@query("import_projects")
+def _(d: Data) -> DataFrame:
+    return parse.projects(d.chunks)
+
+
+@query("session_render")
+def _(d: Data) -> DataFrame:
+    return parse.session_render(d.table("events"))
+
+
+@query("last_title", "SELECT user_id, arg_max(event_type, event_id) AS title FROM events WHERE event_type IS NOT NULL AND event_id % 3 = 0 GROUP BY user_id")
+def _(d: Data) -> DataFrame:
+    named = F.when(F.col("event_id") % 3 == 0, F.col("event_type"))
+    return d.table("events").select("user_id", "event_id", named.alias("t")).where("t is not null").groupBy("user_id").agg(F.max_by("t", "event_id").alias("title"))
+
+
+@query("run_length_chain", """SELECT user_id, string_agg(CASE WHEN n > 1 THEN event_type || ' x' || n ELSE event_type END, ' -> ' ORDER BY first) AS chain FROM (
+ SELECT user_id, event_type, run, count(*) AS n, min(event_id) AS first FROM (SELECT *, sum(change) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM (
+ SELECT user_id, event_id, event_type, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) THEN 1 ELSE 0 END AS change FROM events)) GROUP BY ALL) GROUP BY user_id""")
+def _(d: Data) -> DataFrame:
+    return parse.run_lengths(d.table("events"), "user_id", "event_id", "event_type")
+
+
+@query("dedupe_names", "SELECT doc_id, CASE WHEN n = 1 THEN slug ELSE slug || '-' || n END AS name FROM (SELECT doc_id, slug, row_number() OVER (PARTITION BY slug ORDER BY doc_id) AS n FROM (SELECT doc_id, lower(regexp_extract(text, '^[A-Za-z]+')) AS slug FROM documents))")
+def _(d: Data) -> DataFrame:
+    return parse.dedupe_names(d.table("documents").select("doc_id", F.lower(F.regexp_extract("text", "^[A-Za-z]+", 0)).alias("slug")), "slug", "doc_id")
+
+
+@query("post_items")
+def _(d: Data) -> DataFrame:
+    return parse.post_items(d.table("documents").select(F.concat(F.lit("P"), "doc_id").alias("shortcode"), "text"))
+
+
+@query("eval_queries", sql("SELECT qid, lang, kind, expected FROM evalq"))
+def _(d: Data) -> DataFrame:
+    from .evaluation_queries import eval_queries
+
+    return eval_queries(d).select("qid", "lang", "kind", "expected")
+
+
+# ---- text
+
+
+@query("normalize_text", f"SELECT doc_id, {sql_normalize('text')} AS text FROM documents")
+def _(d: Data) -> DataFrame:
+    return d.table("documents").select("doc_id", tx.normalize(F.col("text")).alias("text"))
+
+
+@query("tokenize", f"SELECT doc_id, array_to_string({sql_tokens('text')}, ' ') AS tokens FROM documents")
+def _(d: Data) -> DataFrame:
+    return d.table("documents").select("doc_id", F.array_join(tx.tokenize(F.col("text")), " ").alias("tokens"))
+
+
+@query("suffix_strip", f"SELECT DISTINCT w, {sql_strip('w')} AS root FROM (SELECT unnest(string_split(lower(text), ' ')) AS w FROM documents)")
+def _(d: Data) -> DataFrame:
+    return d.table("documents").select(F.explode(F.split(F.lower("text"), " ")).alias("w")).distinct().select("w", tx.strip_suffix(F.col("w")).alias("root"))
+
+
+@query("light_stem", sql(f"""SELECT term, arg_max(w, i) AS stem FROM (WITH RECURSIVE s(term, w, i) AS (SELECT DISTINCT term, term, 0 FROM posts WHERE length(term) <= 24 UNION ALL SELECT term, {SQL_STEM_STEP}, i + 1 FROM s WHERE {SQL_STEM_STEP} <> w) SELECT * FROM s) GROUP BY term"""))
+def _(d: Data) -> DataFrame:
+    words = d.kw_docs.select(F.explode("tokens").alias("term")).distinct().where("length(term) <= 24")
+    return words.select("term", tx.light_stem(F.col("term")).alias("stem"))
+
+
+@query("strict_constraints", """SELECT doc_id, array_to_string(list_transform(list_concat(regexp_extract_all(t, '\\b(19[0-9][0-9]|20[0-9][0-9])\\b', 1), regexp_extract_all(t, '"([^"]+)"', 1)), lambda c: lower(c)), '|') AS constraints
+ FROM (SELECT doc_id, left(text, 80) || ' in 20' || lpad(CAST(doc_id % 100 AS VARCHAR), 2, '0') || ' "Source ' || source || '"' AS t FROM documents)""")
+def _(d: Data) -> DataFrame:
+    t = F.concat(F.left("text", F.lit(80)), F.lit(" in 20"), F.lpad((F.col("doc_id") % 100).cast("string"), 2, "0"), F.lit(' "Source '), F.col("source"), F.lit('"'))
+    return d.table("documents").select("doc_id", F.array_join(tx.strict_constraints(t), "|").alias("constraints"))
+
+
+@query("slugify", """SELECT doc_id, coalesce(nullif(left(regexp_replace(trim(regexp_replace(lower(left(text, 90)), '[^\\p{L}\\p{N}_ \\n\\t\\r-]', '', 'g')), '[\\s_]+', '-', 'g'), 60), ''), 'untitled') AS slug FROM documents""")
+def _(d: Data) -> DataFrame:
+    return d.table("documents").select("doc_id", tx.slugify(F.left("text", F.lit(90))).alias("slug"))
+
+
+@query("project_label", """SELECT source, coalesce(nullif(trim(regexp_replace(regexp_extract(f, '(?i)(?:projects?|desktop|documents|repos?|src)-+(.+)$', 1), '-+', ' ', 'g')), ''), nullif(trim(regexp_replace(f, '-+', ' ', 'g')), ''), 'unknown') AS label
+ FROM (SELECT DISTINCT source, CASE WHEN source < 'src3' THEN 'C--Users-me-Projects-' || source || '-app' ELSE 'home--' || replace(source, 's', 'x') END AS f FROM documents)""")
+def _(d: Data) -> DataFrame:
+    s = F.col("source")
+    f = F.when(s < "src3", F.concat(F.lit("C--Users-me-Projects-"), s, F.lit("-app"))).otherwise(F.concat(F.lit("home--"), F.replace(s, F.lit("s"), F.lit("x"))))
+    return d.table("documents").select("source").distinct().select("source", tx.project_label(f).alias("label"))
+
+
+@query("est_tokens", "SELECT doc_id, greatest(1, length(text) // 4) AS est_tokens FROM documents")
+def _(d: Data) -> DataFrame:
+    return d.table("documents").select("doc_id", tx.estimated_tokens(F.col("text")).alias("est_tokens"))
+
+
+@query("token_count", f"SELECT doc_id, len({sql_tokens('text')}) AS token_count FROM documents")
+def _(d: Data) -> DataFrame:
+    return d.table("documents").select("doc_id", F.size(tx.tokenize(F.col("text"))).cast("long").alias("token_count"))
+
+
+@query("normalize_source", "SELECT page_id, CASE WHEN regexp_matches(url, '^https?://') OR url = 'save_memory' THEN lower(url) ELSE lower(replace(url, '\\', '/')) END AS source FROM pages")
+def _(d: Data) -> DataFrame:
+    return d.table("pages").select("page_id", parse.normalize_source(F.col("url")).alias("source"))
+
+
+@query("parent_prefix", "SELECT doc_id, CASE WHEN c LIKE '%:' THEN c ELSE c || ':' END AS prefix FROM (SELECT doc_id, regexp_replace('doc:' || source || CASE doc_id % 3 WHEN 0 THEN ':' || doc_id WHEN 1 THEN ':' ELSE '' END, '^(.*):[0-9]+$', '\\1') AS c FROM documents)")
+def _(d: Data) -> DataFrame:
+    c = F.expr("'doc:' || source || CASE doc_id % 3 WHEN 0 THEN ':' || doc_id WHEN 1 THEN ':' ELSE '' END")
+    return d.table("documents").select("doc_id", tx.parent_prefix(c).alias("prefix"))
+
+
+@query("date_prefix", "SELECT event_id, left(strftime(ts, '%Y-%m-%dT%H:%M:%S'), 10) AS day FROM events")
+def _(d: Data) -> DataFrame:
+    return d.table("events").select("event_id", F.left(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit(10)).alias("day"))
+
+
+@query("chunk_id", "SELECT doc_id, 'file_' || left(sha1(source || '#' || doc_id), 16) AS chunk FROM documents")
+def _(d: Data) -> DataFrame:
+    return d.table("documents").select("doc_id", store.chunk_id(F.col("source"), F.col("doc_id")).alias("chunk"))
+
+
+@query("content_hashes", "SELECT doc_id, sha256(text) AS doc_sha256, sha256('{\"lang\": \"' || lang || '\", \"source\": \"' || source || '\"}') AS meta_sha256 FROM documents")
+def _(d: Data) -> DataFrame:
+    return d.table("documents").select("doc_id", *store.content_hashes(F.col("text"), {"lang": F.col("lang"), "source": F.col("source")}))
+
+
+@query("corpus_hash", "SELECT sha256(string_agg(h, '' ORDER BY b)) AS hash FROM (SELECT b, sha256(string_agg(doc_id || ':' || sha256(text) || chr(10), '' ORDER BY doc_id)) AS h FROM (SELECT doc_id, text, doc_id % 64 AS b FROM documents) GROUP BY b)")
+def _(d: Data) -> DataFrame:
+    return store.corpus_hash(d.table("documents").select("doc_id", "text"))
+
+
+# ---- chunking
+
+
+@query("chunk_windows", sql(f"SELECT doc_id, i AS chunk_index, array_to_string(list_slice(w, i * 182 + 1, i * 182 + 222), ' ') AS text, len(list_slice(w, i * 182 + 1, i * 182 + 222)) AS token_count FROM (SELECT doc_id, w, unnest(generate_series(0, greatest(0, CAST(ceil((len(w) - 222) / 182.0) AS BIGINT)))) AS i FROM (SELECT doc_id, {sql_tokens('text')} AS w FROM documents) WHERE len(w) > 0)"))
+def _(d: Data) -> DataFrame:
+    return parse.chunk_windows(d.table("documents"))
+
+
+@query("chunk_budget")
+def _(d: Data) -> DataFrame:
+    return parse.chunk_by_budget(d.table("documents").select(F.col("doc_id").cast("string").alias("parent_id"), "text"))
+
+
+@query("long_chunks", f"SELECT source, count(*) FILTER (WHERE n > 256) AS n_long, count(*) AS n FROM (SELECT source, len({sql_tokens('text')}) AS n FROM documents) GROUP BY source")
+def _(d: Data) -> DataFrame:
+    n = F.size(tx.tokenize(F.col("text")))
+    return d.table("documents").select("source", n.alias("n")).groupBy("source").agg(F.count_if(F.col("n") > 256).alias("n_long"), F.count("*").alias("n"))
+
+
+# ---- projections and predicates
+
+
+@query("memory_cards", sql("SELECT id, coalesce(nullif(title, ''), '(untitled)') AS title, kind, CASE WHEN doc_id % 9 = 0 THEN '?' ELSE date END AS date, project FROM chunks"))
+def _(d: Data) -> DataFrame:
+    return store.memory_cards(d.chunks.withColumn("date", F.when(F.col("doc_id") % 9 != 0, F.col("date"))))
+
+
+@query("list_memories", sql("SELECT id, title, date FROM chunks WHERE doc_id % 6 = 0 ORDER BY date DESC, id LIMIT 20"))
+def _(d: Data) -> DataFrame:
+    return store.newest(d.chunks.where("doc_id % 6 = 0"), 20).select("id", "title", "date")
+
+
+@query("fetch_json")
+def _(d: Data) -> DataFrame:
+    return d.chunks.select("id", F.to_json(F.struct("id", "title", F.col("document").alias("text"), F.struct("project", "kind", "date").alias("metadata"))).alias("record"))
+
+
+@query("filter_eq", sql("SELECT id FROM chunks WHERE project = 'src5' AND kind = 'note'"))
+def _(d: Data) -> DataFrame:
+    return d.chunks.where((F.col("project") == "src5") & (F.col("kind") == "note")).select("id")
+
+
+@query("filter_contains", sql("SELECT id FROM chunks WHERE contains(lower(title), 'tion') OR contains(lower(document), 'stthing')"))
+def _(d: Data) -> DataFrame:
+    return d.chunks.where(F.lower("title").contains("tion") | F.lower("document").contains("stthing")).select("id")
+
+
+@query("where_dsl_and", sql("SELECT id FROM records WHERE shortcode IS NOT DISTINCT FROM 'bad code!' AND source IN ('file0', 'file1', 'save_memory')"))
+def _(d: Data) -> DataFrame:
+    return d.records.where(policy.where({"$and": [{"shortcode": "bad code!"}, {"source": {"$in": ["file0", "file1", "save_memory"]}}]})).select("id")
+
+
+@query("where_dsl_or", sql("SELECT id FROM records WHERE canonical_id IS NOT DISTINCT FROM 'can_1' OR shortcode IS NULL"))
+def _(d: Data) -> DataFrame:
+    return d.records.where(policy.where({"$or": [{"canonical_id": {"$eq": "can_1"}}, {"shortcode": None}]})).select("id")
+
+
+@query("where_dsl_nin", sql("SELECT id FROM records WHERE (canonical_id IS NULL OR canonical_id NOT IN ('can_0', 'can_2')) AND shortcode IS DISTINCT FROM 'bad code!'"))
+def _(d: Data) -> DataFrame:
+    return d.records.where(policy.where({"canonical_id": {"$nin": ["can_0", "can_2"]}, "shortcode": {"$ne": "bad code!"}})).select("id")
+
+
+@query("scope_filter", sql("SELECT id FROM chunks WHERE project IN ('src4', 'shared') AND kind = 'decision'"))
+def _(d: Data) -> DataFrame:
+    return d.chunks.where(policy.where(policy.scope("current", "src4", "decision"))).select("id")
+
+
+@query("usable_filter", sql("SELECT id FROM chunks WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)"))
+def _(d: Data) -> DataFrame:
+    return policy.usable(d.chunks, d.usable_flags, ["doc_id"]).select("id")
+
+
+@query("shortcode", sql("SELECT id, code FROM keyed"))
+def _(d: Data) -> DataFrame:
+    r = d.records
+    return r.select("id", policy.shortcode({c: F.col(c) for c in r.columns if c != "doc_id"}).alias("code"))
+
+
+@query("source_key", sql("SELECT id, source_key FROM keyed"))
+def _(d: Data) -> DataFrame:
+    r = d.records
+    return r.select("id", policy.source_key({c: F.col(c) for c in r.columns if c != "doc_id"}).alias("source_key"))
+
+
+# ---- joins and sets
+
+
+@query("documentless", "SELECT e.vec_id, coalesce(d.text, '') AS document FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id * 3")
+def _(d: Data) -> DataFrame:
+    return d.table("embeddings").join(d.table("documents"), F.col("doc_id") == F.col("vec_id") * 3, "left").select("vec_id", F.coalesce("text", F.lit("")).alias("document"))
+
+
+@query("semi_scope", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey < 5)")
+def _(d: Data) -> DataFrame:
+    return d.table("orders").join(d.table("customer").where("c_nationkey < 5"), F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey")
+
+
+@query("project_lookup", "SELECT page_id, coalesce(n_name, 'shared') AS project FROM pages LEFT JOIN nation ON n_nationkey = page_id % 40")
+def _(d: Data) -> DataFrame:
+    return d.table("pages").join(d.table("nation"), F.col("n_nationkey") == F.col("page_id") % 40, "left").select("page_id", F.coalesce("n_name", F.lit("shared")).alias("project"))
+
+
+@query("id_union", "SELECT doc_id FROM documents WHERE doc_id % 3 = 0 UNION SELECT doc_id FROM labels")
+def _(d: Data) -> DataFrame:
+    return d.table("documents").where("doc_id % 3 = 0").select("doc_id").union(d.table("labels").select("doc_id")).distinct()
+
+
+@query("id_intersect", "SELECT doc_id FROM documents WHERE doc_id % 3 = 0 INTERSECT SELECT doc_id FROM labels")
+def _(d: Data) -> DataFrame:
+    return d.table("documents").where("doc_id % 3 = 0").select("doc_id").intersect(d.table("labels").select("doc_id"))
+
+
+@query("id_except", "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
+def _(d: Data) -> DataFrame:
+    return d.table("documents").select("doc_id").subtract(d.table("labels").select("doc_id"))
+
+
+@query("ordered_dedupe", "SELECT doc_id, array_to_string(list_transform(list_sort(list_transform(list_distinct(w), lambda x: {'p': list_position(w, x), 'x': x})), lambda s: s.x), ' ') AS words FROM (SELECT doc_id, string_split(left(text, 200), ' ') AS w FROM documents)")
+def _(d: Data) -> DataFrame:
+    return d.table("documents").select("doc_id", F.array_join(F.array_distinct(F.split(F.left("text", F.lit(200)), " ")), " ").alias("words"))
+
+
+@query("distinct_projects", "SELECT DISTINCT source AS project FROM documents ORDER BY 1")
+def _(d: Data) -> DataFrame:
+    return d.table("documents").select(F.col("source").alias("project")).distinct().orderBy("project")
+
+
+@query("project_counts", "SELECT source AS project, count(*) AS n FROM documents GROUP BY source")
+def _(d: Data) -> DataFrame:
+    return d.table("documents").groupBy(F.col("source").alias("project")).agg(F.count("*").alias("n"))
+
+
+@query("majority_project", "SELECT lang, source AS project, n, n_projects FROM (SELECT lang, source, count(*) AS n, count(*) OVER (PARTITION BY lang) AS n_projects, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, source) AS k FROM documents GROUP BY lang, source) WHERE k = 1 AND n_projects > 1")
+def _(d: Data) -> DataFrame:
+    counted = d.table("documents").groupBy("lang", "source").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("lang")
+    return counted.withColumn("n_projects", F.count("*").over(w)).withColumn("k", F.row_number().over(w.orderBy(F.col("n").desc(), "source"))).where("k = 1 AND n_projects > 1").select("lang", F.col("source").alias("project"), "n", "n_projects")
+
+
+@query("reduction_stats", "SELECT source, sum(length(text)) AS raw, sum(length(regexp_replace(text, '\\s+', ' ', 'g'))) AS kept, round(1 - sum(length(regexp_replace(text, '\\s+', ' ', 'g'))) / sum(length(text)), 6) AS saved FROM documents GROUP BY source")
+def _(d: Data) -> DataFrame:
+    raw, kept = F.sum(F.length("text")), F.sum(F.length(F.regexp_replace("text", r"\s+", " ")))
+    return d.table("documents").groupBy("source").agg(raw.alias("raw"), kept.alias("kept"), F.round(1 - kept / raw, 6).alias("saved"))
+
+
+@query("token_savings", "SELECT user_id, sum(would) AS would_have_tokens, sum(actual) AS actual_tokens, CAST(round_even(100.0 * (sum(would) - sum(actual)) / sum(would), 0) AS BIGINT) AS percent FROM (SELECT user_id, event_id % 1000 + 500 AS would, event_id % 300 AS actual FROM events) GROUP BY user_id")
+def _(d: Data) -> DataFrame:
+    would, actual = F.sum(F.col("event_id") % 1000 + 500), F.sum(F.col("event_id") % 300)
+    return d.table("events").groupBy("user_id").agg(would.alias("would_have_tokens"), actual.alias("actual_tokens"), F.bround(100.0 * (would - actual) / would, 0).cast("long").alias("percent"))

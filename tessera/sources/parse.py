@@ -1,0 +1,197 @@
+"""Readers and parsers: files, chat exports, session logs, posts, and chunking."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..constants import CHUNK_OVERLAP, CHUNK_TOKENS, PREFIX_TOKENS, SPECIAL_TOKENS
+from ..functions import text as tx
+
+TEXT_FILES = r"\.(md|txt|rst)$"
+SKIPPED = r"(^|/)(\.venv|kg_db)/"
+UNCURATED = r"(^|/)(\.venv|kg_db|node_modules|\.git|dist|build|vendor|tests?|__pycache__)/"
+TRANSLATED = r"(^|/)(i18n|locales?|translations?|l10n)/"
+LEAST_BYTES = 50
+
+
+def scannable(path: Column) -> Column:
+    return path.rlike(TEXT_FILES) & ~path.rlike(SKIPPED)
+
+
+def curated(path: Column, size: Column) -> Column:
+    """Documentation worth indexing: no translations, no vendored or generated files, not empty."""
+    return path.rlike(TEXT_FILES) & ~path.rlike(UNCURATED) & ~path.rlike(TRANSLATED) & (size >= LEAST_BYTES)
+
+
+def read_documents(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path, text of every text file below ``paths``, whole."""
+    files = spark.read.text(paths, wholetext=True, recursiveFileLookup=True)
+    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).where(scannable(F.col("path")))
+
+
+def read_sessions(spark: SparkSession, path: str) -> DataFrame:
+    """Session logs, a JSON object a line; lines that are none are left out. ``content`` may be a string or a list of blocks."""
+    v = F.try_parse_json("value")
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), v.alias("v")).where("v is not null")
+    get = lambda p, t="string": F.try_variant_get("v", p, t)
+    blocks = F.try_variant_get("v", "$.message.content", "array<struct<type:string,text:string,name:string>>")
+    said = F.array_join(F.transform(F.filter(blocks, lambda b: b["type"] == "text"), lambda b: b["text"]), "\n")
+    return lines.select(
+        "path", get("$.type").alias("type"), get("$.timestamp").alias("ts"), get("$.cwd").alias("cwd"),
+        F.when(blocks.isNull(), get("$.message.content")).otherwise(said).alias("text"),
+        F.transform(F.filter(blocks, lambda b: b["type"] == "tool_use"), lambda b: b["name"]).alias("tools"),
+    )
+
+
+def normalize_source(c: Column) -> Column:
+    """Sources compare in lower case; a path also with one kind of slash."""
+    return F.when(c.rlike("^https?://") | (c == "save_memory"), F.lower(c)).otherwise(F.lower(F.replace(c, F.lit("\\"), F.lit("/"))))
+
+
+def _in_order(col: Column, sep: str, *order: str) -> Column:
+    rows = F.sort_array(F.collect_list(F.struct(*order, col.alias("__x"))))
+    return F.array_join(F.transform(rows, lambda r: r["__x"]), sep)
+
+
+def chats(turns: DataFrame) -> DataFrame:
+    """conv_id, body, n: a conversation's turns under headings; empty turns are left out."""
+    kept = turns.where(F.coalesce("text", F.lit("")) != "")
+    body = F.concat(F.lit("## "), F.col("role"), F.lit("\n\n"), F.col("text"))
+    return kept.groupBy("conv_id").agg(_in_order(body, "\n\n", "turn").alias("body"), F.count("*").alias("n"))
+
+
+def render_markdown(turns: DataFrame) -> DataFrame:
+    line = F.concat(F.lit("**"), F.col("role"), F.lit(":** "), tx.collapse_newlines(F.col("text")))
+    return turns.groupBy("conv_id").agg(F.concat(F.lit("# Chat "), F.col("conv_id").cast("string"), F.lit("\n\n"), _in_order(line, "\n\n", "turn")).alias("markdown"))
+
+
+def write_markdown(rendered: DataFrame, path: str) -> None:
+    """One text file for each ``conv_id`` folder."""
+    rendered.select("conv_id", F.col("markdown").alias("value")).write.mode("overwrite").partitionBy("conv_id").text(path)
+
+
+def sessions(turns: DataFrame) -> DataFrame:
+    """conv_id, title (the first user turn's first 60 signs), n, n_user, n_assistant."""
+    head = F.trim(tx.first_line(F.col("text")))
+    user = F.col("role") == "user"
+    return turns.groupBy("conv_id").agg(
+        F.min_by(F.when(user, head), F.when(user, F.col("turn"))).alias("title"), F.count("*").alias("n"), F.count_if(user).alias("n_user"), F.count_if(F.col("role") == "assistant").alias("n_assistant")
+    )
+
+
+def projects(chunks: DataFrame) -> DataFrame:
+    """project, n, markdown: a project's documents under headings; projects without any text are left out."""
+    kept = chunks.where(F.coalesce("document", F.lit("")) != "")
+    part = F.concat(F.lit("## "), F.col("title"), F.lit("\n\n"), F.col("document"))
+    return kept.groupBy("project").agg(F.count("*").alias("n"), F.concat(F.lit("# "), F.first("project"), F.lit("\n\n"), _in_order(part, "\n\n", "doc_id")).alias("markdown"))
+
+
+def run_lengths(rows: DataFrame, group: str, order: str, item: str) -> DataFrame:
+    """(group, chain): runs of equal items in order, as ``A -> B x2``; only the runs are gathered, not the rows."""
+    w = Window.partitionBy(group).orderBy(order)
+    changed = F.coalesce((~F.col(item).eqNullSafe(F.lag(item).over(w))).cast("int"), F.lit(1))
+    first = F.row_number().over(w) == 1
+    runs = rows.select(group, order, item, F.when(first, 1).otherwise(changed).alias("c")).withColumn("run", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    counted = runs.groupBy(group, "run", item).agg(F.count("*").alias("n"))
+    shown = F.when(F.col("n") > 1, F.concat(F.col(item), F.lit(" x"), F.col("n").cast("string"))).otherwise(F.col(item))
+    return counted.groupBy(group).agg(_in_order(shown, " -> ", "run").alias("chain"))
+
+
+def session_render(events: DataFrame) -> DataFrame:
+    """(user_id, step, tools, said): tools used since the last message stand before the message that follows them."""
+    says = F.col("event_type").isin("purchase", "signup", "view")
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    step = F.coalesce(F.sum(says.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tool = F.when(~says, F.col("event_type"))
+    return events.withColumn("step", step).groupBy("user_id", "step").agg(_in_order(tool, " ", "event_id").alias("tools"), F.max(F.when(says, F.col("event_type"))).alias("said"))
+
+
+def dedupe_names(rows: DataFrame, slug: str, order: str) -> DataFrame:
+    """(order, name): the first of equal slugs keeps it, the next are slug-2, slug-3."""
+    n = F.row_number().over(Window.partitionBy(slug).orderBy(order))
+    return rows.withColumn("n", n).select(order, F.when(F.col("n") == 1, F.col(slug)).otherwise(F.concat(slug, F.lit("-"), F.col("n").cast("string"))).alias("name"))
+
+
+def post_items(posts: DataFrame) -> DataFrame:
+    """(id, shortcode, document): a summary and one row for each line of a post."""
+    items = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    rows = posts.select("shortcode", F.posexplode(F.concat(F.array(F.left("text", F.lit(200))), items)).alias("i", "document"))
+    kind = F.when(F.col("i") == 0, F.lit(":summary")).otherwise(F.concat(F.lit(":item:"), F.col("i").cast("string")))
+    return rows.select(F.concat(F.lit("ig:"), F.col("shortcode"), kind).alias("id"), "shortcode", "document")
+
+
+# ---- chunking
+
+BUDGET = CHUNK_TOKENS - PREFIX_TOKENS - SPECIAL_TOKENS
+
+
+def chunk_windows(docs: DataFrame, budget: int = BUDGET, overlap: int = CHUNK_OVERLAP) -> DataFrame:
+    """doc_id, chunk_index, text, token_count: windows of ``budget`` tokens that overlap by ``overlap``, all in the JVM."""
+    stride = budget - overlap
+    words = docs.select("doc_id", tx.tokenize(F.col("text")).alias("w")).where(F.size("w") > 0)
+    last = F.greatest(F.lit(0), F.ceil((F.size("w") - budget) / stride)).cast("long")
+    rows = words.select("doc_id", "w", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("chunk_index"))
+    part = F.slice("w", (F.col("chunk_index") * stride + 1).cast("int"), budget)
+    return rows.select("doc_id", "chunk_index", F.array_join(part, " ").alias("text"), F.size(part).cast("long").alias("token_count"))
+
+
+_SPLIT = re.compile(r"(\n\n|\n|\. |\s+)")
+_COUNT = re.compile(r"\w+|[^\w\s]")
+
+
+def budget_chunks(text: str, budget: int = BUDGET, overlap: int = CHUNK_OVERLAP, count=lambda s: len(_COUNT.findall(s))) -> list[tuple[str, int]]:
+    """(chunk, tokens): parts packed up to a budget, each chunk opening with the words that end the one before.
+
+    Counts add up part by part, so a text is read once. A part over the budget is cut by characters.
+    """
+    text = text.strip()
+    if not text:
+        return []
+    if (n := count(text)) <= budget:
+        return [(text, n)]
+    parts: list[tuple[str, int]] = []
+    for p in _SPLIT.split(text):
+        n = count(p)
+        if n <= budget:
+            parts.append((p, n))
+        else:
+            step = max(1, len(p) * budget // (2 * n))
+            parts += [(q, count(q)) for q in (p[i : i + step] for i in range(0, len(p), step))]
+    out: list[tuple[str, int]] = []
+    held: list[tuple[str, int]] = []
+    used = 0
+    for part in parts:
+        if used + part[1] > budget and held:
+            out.append(("".join(p for p, _ in held).strip(), used))
+            tail, n = [], 0
+            for p in reversed(held):
+                if n + p[1] > overlap or n + p[1] + part[1] > budget:
+                    break
+                tail.append(p)
+                n += p[1]
+            held, used = tail[::-1], n
+        held.append(part)
+        used += part[1]
+    last = "".join(p for p, _ in held).strip()
+    return [c for c in (*out, (last, used)) if c[0]]
+
+
+def chunk_by_budget(docs: DataFrame, budget: int = BUDGET, overlap: int = CHUNK_OVERLAP) -> DataFrame:
+    """parent_id, chunk_index, chunk_total, text, token_count; packing depends on what came before, so this runs in Python batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for parent, text in zip(*(c.to_pylist() for c in batch.columns)):
+                chunks = budget_chunks(text or "", budget, overlap)
+                rows += [(parent, i, len(chunks), t, n) for i, (t, n) in enumerate(chunks)]
+            cols = list(zip(*rows)) if rows else [()] * 5
+            types = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["parent_id", "chunk_index", "chunk_total", "text", "token_count"])
+
+    return docs.select("parent_id", "text").mapInArrow(run, "parent_id string, chunk_index int, chunk_total int, text string, token_count long")
