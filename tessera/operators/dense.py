@@ -23,7 +23,8 @@ def _blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
     for k in range(blocks):
         part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == k)
         rows = part.select("qid", "vector").collect()
-        yield [r.qid for r in rows], np.array([r.vector for r in rows], np.float64).reshape(len(rows), -1)
+        if rows:
+            yield [r.qid for r in rows], np.array([r.vector for r in rows], np.float64).reshape(len(rows), -1)
 
 
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = VECTOR_CANDIDATES, floor: float | None = MIN_SIMILARITY, skip_self: bool = False, qid_type: str = "long", id_type: str = "long") -> DataFrame:
@@ -33,18 +34,16 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = VECTOR_CANDIDAT
     """
     parts = []
     for qids, q in _blocks(queries):
-        if not qids:
-            continue
         q = q / np.where((n := np.linalg.norm(q, axis=1, keepdims=True)) == 0, 1, n)
 
         def run(batches: Iterator[pa.RecordBatch], qids=qids, q=q) -> Iterator[pa.RecordBatch]:
             held_s = np.zeros((len(qids), 0))
             held_i = np.zeros((len(qids), 0), object)
             for batch in batches:
+                if not batch.num_rows:
+                    continue
                 ids = np.array(batch.column(0).to_pylist(), object)
                 x = np.array(batch.column(1).to_pylist(), np.float64).reshape(len(ids), -1)
-                if not len(ids):
-                    continue
                 x = x / np.where((m := np.linalg.norm(x, axis=1, keepdims=True)) == 0, 1, m)
                 s = np.round(q @ x.T, 6)
                 if skip_self:
@@ -83,6 +82,8 @@ def lsh_topk(queries: DataFrame, vectors: DataFrame, k: int = VECTOR_CANDIDATES,
     def signed(name: str):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
+                if not batch.num_rows:
+                    continue
                 x = np.array(batch.column(1).to_pylist(), np.float64).reshape(batch.num_rows, -1)
                 codes = ((x @ planes) > 0).reshape(len(x), tables, bits) @ (1 << np.arange(bits)) + np.arange(tables) * (1 << bits)
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.list_(pa.float32())), pa.array(codes.tolist(), pa.list_(pa.int64()))], names=[name, f"{name}_v", "codes"])

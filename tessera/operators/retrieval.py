@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..constants import DENSE_WEIGHT, IDF_FLOOR, LEXICAL_WEIGHT, MIN_COVERAGE, RERANK_ALPHA, RERANK_TOP, RRF_K
 from ..functions import text as tx
+from ..session import prepare
 from .lexical import top
 
 
@@ -23,6 +24,7 @@ def rrf(dense: DataFrame, lexical: DataFrame, dense_weight: float = DENSE_WEIGHT
 
     dense: (qid, id, source_key, similarity); lexical: (qid, id, source_key, score).
     """
+    prepare(dense.sparkSession)
     legs = []
     for hits, by, weight in ((dense, F.col("similarity").desc(), dense_weight), (lexical, F.col("score"), lexical_weight)):
         best = best_per_source(hits, [by])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..constants import BM25_B, BM25_K1
 from ..functions import text as tx
 from ..operators import lexical
+from ..session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -20,8 +21,7 @@ class Data:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
-        # a union of children that are partitioned alike is taken to be so itself, which let repeated rows pass a distinct()
-        spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+        prepare(spark)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
