@@ -196,11 +196,12 @@ def hot_runs(pieces: DataFrame, length: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     """text_key (MD5 of the UTF-8 text), start, size: spans that cover every byte of each repeated window."""
     pieces = staged(find_pieces(docs, length), "pieces")
-    anchors = pieces.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
+    # written tables, so that joins with them deal out both sides anew and an anchor of very many pieces is split
+    anchors = staged(pieces.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor"), "anchors")
     met = staged(pieces.join(anchors, "anchor"), "met")
     strings = staged(met.groupBy("anchor", "piece").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "start", "size", "place")).alias("at")), "strings")
     whole = met.join(strings.where("n > 1").select("anchor", "piece"), ["anchor", "piece"]).select("text_key", "start", "size")
-    crowd = strings.groupBy("anchor").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 AND least = 1").select("anchor", (F.col("k") > MOST_PIECES).alias("hot"))
+    crowd = staged(strings.groupBy("anchor").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 AND least = 1").select("anchor", (F.col("k") > MOST_PIECES).alias("hot")), "crowd")
     want = staged(strings.join(crowd, "anchor").select("anchor", "piece", "n", "hot", "at.*"), "want")
     n_hot, n_bytes = want.agg(F.count_if("hot"), F.coalesce(F.sum(F.when(~F.col("hot"), F.col("size"))), F.lit(0))).first()
 
