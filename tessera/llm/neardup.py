@@ -338,7 +338,8 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
     all are null). Extra columns are ignored; an empty table gives an empty result.
     """
     sig, labelled = rooted(docs, size, percent)
-    ids = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    # a written table, so that the join deals out both sides anew and a component of very many rows is split
+    ids = staged(labelled.groupBy("root").agg(F.min("doc_id").alias("component_id")), "ids")
     out = labelled.join(ids, "root").select("doc_id", "n_shingles", "component_id")
     bare = sig.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return out.unionByName(bare).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
