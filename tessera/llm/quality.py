@@ -171,7 +171,7 @@ def verdicts(cols: dict, refs: dict[str, tuple[list[int], list[int]]], rules: Ru
     n, chars = np.array(cols["n_words"]), np.array(cols["word_chars"])
     bad = (n < 50) | (100 * np.array(cols["n_repeat_words"]) > 50 * n)
     far = ((chars >= rules.least_chars) & (char > rules.char_limit)) | ((n >= rules.least_words) & (word > rules.word_limit))
-    return {"base_failed": bad.tolist(), "kept": (~bad & ~far).tolist(), "char_js": char.tolist(), "word_js": word.tolist()}
+    return {"base_failed": bad.tolist(), "kept": (~bad & ~far).tolist(), "char_js": char.round(6).tolist(), "word_js": word.round(6).tolist()}
 
 
 def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:

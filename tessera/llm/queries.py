@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, html_text, neardup, pieces, pii, quality, sharding, substrings, tokens
+from . import chat, decontaminate, html_text, neardup, oracles, pieces, pii, quality, sharding, substrings, tokens
 from .common import staged, table
 
 
@@ -67,6 +67,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_quality": oracles.QUALITY,
+    "op3_suffix_dedup": oracles.REPEATS,
     "op6_decontamination": decontaminate.ORACLE,
+    "op7_near_duplicates": oracles.NEAR_DUPLICATES,
     "op9_chat": chat.ORACLE,
 }
