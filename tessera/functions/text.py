@@ -86,9 +86,9 @@ def strict_constraints(c: Column) -> Column:
     return F.transform(F.concat(years, F.regexp_extract_all(c, F.lit('"([^"]+)"'), F.lit(1))), F.lower)
 
 
-def slugify(c: Column, default: str = "untitled") -> Column:
+def slugify(c: Column, default: str = "chat") -> Column:
     """Words, digits, spaces and hyphens in lower case, runs of spaces as one hyphen, 60 signs at most."""
-    kept = F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_ \n\t\r-]", ""))
+    kept = F.lower(F.trim(F.regexp_replace(c, r"[^\p{L}\p{N}_\s-]", "")))
     return F.coalesce(F.nullif(F.left(F.regexp_replace(kept, r"[\s_]+", "-"), F.lit(60)), F.lit("")), F.lit(default))
 
 
@@ -97,15 +97,24 @@ def estimated_tokens(c: Column) -> Column:
 
 
 def parent_prefix(c: Column) -> Column:
-    """An id without its last number, ending in a colon."""
-    cut = F.regexp_replace(c, r"^(.*):[0-9]+$", "$1")
-    return F.when(cut.endswith(":"), cut).otherwise(F.concat(cut, F.lit(":")))
+    """An id without its last number, ending in a colon; nothing for an empty id."""
+    cut = F.regexp_replace(F.trim(c), r"^(.*):[0-9]+$", "$1:")
+    return F.when(F.trim(c) == "", F.lit("")).when(cut.endswith(":"), cut).otherwise(F.concat(cut, F.lit(":")))
+
+
+#: Fixed value: the folder of all projects, as a drive path is written in a session folder's name.
+PROJECTS_FOLDER = "claude-projects"
 
 
 def project_label(folder: Column) -> Column:
-    """A readable project from a session folder's name: its part after the last known root, else the whole."""
-    tail = F.regexp_extract(folder, r"(?i)(?:projects?|desktop|documents|repos?|src)-+(.+)$", 1)
-    return F.coalesce(F.nullif(F.trim(F.regexp_replace(tail, "-+", " ")), F.lit("")), F.nullif(F.trim(F.regexp_replace(folder, "-+", " ")), F.lit("")), F.lit("unknown"))
+    """A label for a session folder: what follows the folder of all projects, or that folder itself, else what follows the
+    desktop, else all of it but the drive."""
+    f = F.trim(folder)
+    below = F.regexp_extract(f, rf"(?i)^[A-Za-z]--{PROJECTS_FOLDER}-(.+)$", 1)
+    bare = F.regexp_replace(f, "^[A-Za-z]--", "")
+    desk = F.regexp_extract(bare, "(?i)desktop-(.+)$", 1)
+    base = F.when(below != "", below).when(f.rlike(rf"(?i)^[A-Za-z]--{PROJECTS_FOLDER}$"), F.lit(PROJECTS_FOLDER)).when(desk != "", desk).otherwise(bare)
+    return F.concat(F.lit("cc-"), slugify(base))
 
 
 def collapse_newlines(c: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import THRESHOLD_TOLERANCE
+from ..functions.text import parent_prefix
 
 
 def first_hits(results: DataFrame, expected: DataFrame) -> DataFrame:
@@ -13,9 +14,24 @@ def first_hits(results: DataFrame, expected: DataFrame) -> DataFrame:
     return results.join(expected, "qid").where(F.col("parent") == F.col("expected")).groupBy("qid").agg(F.min("rank").alias("first"))
 
 
-def is_hit(result: Column, parent: Column, expected: Column) -> Column:
-    """An exact id, the expected parent, or an id below it."""
-    return (result == expected) | (parent == expected) | result.startswith(F.concat(expected, F.lit(":"))) | expected.startswith(F.concat(result, F.lit(":")))
+def is_hit(ids: Column, expected: Column) -> Column:
+    """Whether any of a result's ids (arrays of strings) is an expected one, lies below it or above it, or shares its parent."""
+
+    def meets(c: Column, e: Column) -> Column:
+        pc, pe = parent_prefix(c), parent_prefix(e)
+        return (c == e) | c.startswith(F.concat(e, F.lit(":"))) | e.startswith(F.concat(c, F.lit(":"))) | pc.startswith(pe) | pe.startswith(pc)
+
+    given = F.filter(expected, lambda e: F.coalesce(F.trim(e), F.lit("")) != "")
+    return F.coalesce(F.exists(F.filter(ids, lambda c: F.coalesce(c, F.lit("")) != ""), lambda c: F.exists(given, lambda e: meets(c, F.trim(e)))), F.lit(False))
+
+
+def candidates(top: DataFrame) -> DataFrame:
+    """theta: steps of 0.05, every score seen, and a fine grid where all scores are under 0.1."""
+    steps = top.sparkSession.range(20).select(F.round(F.col("id") * 0.05, 4).alias("theta"))
+    seen = top.select(F.round("score", 4).alias("theta"))
+    most = top.agg(F.max(F.round("score", 4)).alias("m")).where("m < 0.1")
+    fine = most.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(50)), lambda i: F.round(i * F.col("m") / 50, 5))).alias("theta"))
+    return steps.unionByName(seen).unionByName(fine).distinct()
 
 
 def recall_at(k: int, first: str = "first", kind: str = "kind") -> Column:

@@ -170,7 +170,8 @@ CTES = {
  CASE WHEN n_planted > 0 THEN 'p_' || (expected // 4) END AS expected, CAST((qid * 7) % 50 AS DOUBLE) + 0.5 AS latency_ms FROM planted""",
     "top10": "SELECT qid, id, rank, round(-score / (10 - score), 6) AS score FROM kwtop WHERE rank <= 10",
     "hits": "SELECT t.qid, t.rank, t.score, t.id FROM top10 t JOIN evalq e USING (qid) JOIN chunks c ON c.id = t.id WHERE c.parent_id = e.expected",
-    "thresholds": "SELECT DISTINCT theta FROM (SELECT round(CAST(unnest(generate_series(0, 20)) AS DOUBLE) / 20, 6) AS theta UNION ALL SELECT DISTINCT score FROM top10 WHERE rank = 1)",
+    "thresholds": """SELECT DISTINCT theta FROM (SELECT round(unnest(range(0, 20)) * 0.05::DOUBLE, 4) AS theta UNION ALL SELECT round(score, 4) FROM top10
+ UNION ALL SELECT round(unnest(range(1, 51)) * m / 50, 5) FROM (SELECT max(round(score, 4)) AS m FROM top10) WHERE m < 0.1)""",
     "firsthit": "SELECT theta, qid, min(rank) AS first FROM thresholds JOIN hits ON score >= theta GROUP BY ALL",
     "sweep": """SELECT theta, round(avg(CASE WHEN kind = 'answerable' THEN CASE WHEN first <= 10 THEN 1.0 ELSE 0.0 END END), 4) AS r10,
  round(avg(CASE WHEN kind = 'answerable' THEN coalesce(1.0 / first, 0.0) END), 4) AS mrr, round(avg(CASE WHEN kind <> 'answerable' THEN CASE WHEN top >= theta THEN 1.0 ELSE 0.0 END END), 4) AS far

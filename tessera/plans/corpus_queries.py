@@ -23,11 +23,17 @@ def _(d: Data) -> DataFrame:
     return _paths(d).where(parse.scannable(F.col("path"))).select("doc_id", "path")
 
 
-@query("curated_docs", f"""SELECT doc_id, path FROM (SELECT doc_id, text, {_PATH.replace("'/docs/'", "CASE doc_id % 3 WHEN 0 THEN '/docs/' WHEN 1 THEN '/i18n/fr/' ELSE '/node_modules/' END")} AS path FROM documents)
- WHERE regexp_matches(path, '\\.(md|rst|txt)$') AND NOT regexp_matches(path, '(^|/)(\\.venv|kg_db|node_modules|\\.git|dist|build|vendor|tests?|__pycache__)/') AND NOT regexp_matches(path, '(^|/)(i18n|locales?|translations?|l10n)/') AND octet_length(encode(text)) >= 50""")
+_REPO = "CASE doc_id % 7 WHEN 0 THEN 'dify' WHEN 1 THEN 'open-design' WHEN 2 THEN 'system_prompts_leaks' WHEN 3 THEN 'learn-claude-code' WHEN 4 THEN 'claude-code-best-practice' WHEN 5 THEN 'gstack' ELSE 'any' END"
+_REL = """CASE doc_id % 11 WHEN 0 THEN 'README.md' WHEN 1 THEN 'docs/guide.md' WHEN 2 THEN 's01_intro/README.md' WHEN 3 THEN 'skills/x/SKILL.md' WHEN 4 THEN 'OpenAI/gpt.md' WHEN 5 THEN 'best-practice/a.md'
+ WHEN 6 THEN '.claude/rules.md' WHEN 7 THEN 'docs/fr/guide.md' WHEN 8 THEN 'tests/README.md' WHEN 9 THEN 'README-zh.md' ELSE 'CHANGELOG.md' END"""
+
+
+@query("curated_docs", f"""SELECT doc_id, repo, rel AS path FROM (SELECT doc_id, {_REPO} AS repo, {_REL} AS rel, octet_length(encode(text)) AS n FROM documents) WHERE n >= 50 AND repo <> 'dify' AND (
+ rel = 'README.md' OR (rel = 'skills/x/SKILL.md' AND repo <> 'open-design') OR rel = '.claude/rules.md' OR (repo = 'open-design' AND rel = 'docs/guide.md') OR (repo = 'system_prompts_leaks' AND rel IN ('docs/guide.md', 'OpenAI/gpt.md', 'best-practice/a.md'))
+ OR (repo = 'learn-claude-code' AND rel = 's01_intro/README.md') OR (repo = 'claude-code-best-practice' AND rel = 'best-practice/a.md'))""")
 def _(d: Data) -> DataFrame:
-    path = _PATH.replace("'/docs/'", "CASE doc_id % 3 WHEN 0 THEN '/docs/' WHEN 1 THEN '/i18n/fr/' ELSE '/node_modules/' END")
-    return d.table("documents").select("doc_id", "text", F.expr(path).alias("path")).where(parse.curated(F.col("path"), F.octet_length("text"))).select("doc_id", "path")
+    files = d.table("documents").select("doc_id", F.expr(_REPO).alias("repo"), F.expr(_REL).alias("path"), F.octet_length("text").alias("n"))
+    return files.where(parse.curated(F.col("repo"), F.col("path"), F.col("n"))).select("doc_id", "repo", "path")
 
 
 @query("get_all", sql("SELECT id, title, project FROM chunks"))
@@ -160,17 +166,23 @@ def _(d: Data) -> DataFrame:
     return d.table("documents").select("doc_id", F.array_join(tx.strict_constraints(t), "|").alias("constraints"))
 
 
-@query("slugify", """SELECT doc_id, coalesce(nullif(left(regexp_replace(trim(regexp_replace(lower(left(text, 90)), '[^\\p{L}\\p{N}_ \\n\\t\\r-]', '', 'g')), '[\\s_]+', '-', 'g'), 60), ''), 'untitled') AS slug FROM documents""")
+def _sql_slug(c: str) -> str:
+    kept = f"lower(trim(regexp_replace({c}, '[^\\p{{L}}\\p{{N}}_\\s-]', '', 'g')))"
+    return f"coalesce(nullif(left(regexp_replace({kept}, '[\\s_]+', '-', 'g'), 60), ''), 'chat')"
+
+
+@query("slugify", f"SELECT doc_id, {_sql_slug('left(text, 90)')} AS slug FROM documents")
 def _(d: Data) -> DataFrame:
     return d.table("documents").select("doc_id", tx.slugify(F.left("text", F.lit(90))).alias("slug"))
 
 
-@query("project_label", """SELECT source, coalesce(nullif(trim(regexp_replace(regexp_extract(f, '(?i)(?:projects?|desktop|documents|repos?|src)-+(.+)$', 1), '-+', ' ', 'g')), ''), nullif(trim(regexp_replace(f, '-+', ' ', 'g')), ''), 'unknown') AS label
- FROM (SELECT DISTINCT source, CASE WHEN source < 'src3' THEN 'C--Users-me-Projects-' || source || '-app' ELSE 'home--' || replace(source, 's', 'x') END AS f FROM documents)""")
+_FOLDER = "CASE doc_id % 4 WHEN 0 THEN 'D--claude-projects-' || source || '-App' WHEN 1 THEN 'D--claude-projects' WHEN 2 THEN 'C--Users-me-Desktop-' || source ELSE 'C--Users-' || source END"
+
+
+@query("project_label", f"""SELECT doc_id, 'cc-' || {_sql_slug('base')} AS label FROM (SELECT doc_id, CASE WHEN below <> '' THEN below WHEN f = 'D--claude-projects' THEN 'claude-projects' WHEN desk <> '' THEN desk ELSE bare END AS base
+ FROM (SELECT doc_id, f, regexp_extract(f, '(?i)^[A-Za-z]--claude-projects-(.+)$', 1) AS below, regexp_extract(f, '(?i)desktop-(.+)$', 1) AS desk, regexp_replace(f, '^[A-Za-z]--', '') AS bare FROM (SELECT doc_id, {_FOLDER} AS f FROM documents)))""")
 def _(d: Data) -> DataFrame:
-    s = F.col("source")
-    f = F.when(s < "src3", F.concat(F.lit("C--Users-me-Projects-"), s, F.lit("-app"))).otherwise(F.concat(F.lit("home--"), F.replace(s, F.lit("s"), F.lit("x"))))
-    return d.table("documents").select("source").distinct().select("source", tx.project_label(f).alias("label"))
+    return d.table("documents").select("doc_id", tx.project_label(F.expr(_FOLDER)).alias("label"))
 
 
 @query("est_tokens", "SELECT doc_id, greatest(1, length(text) // 4) AS est_tokens FROM documents")

@@ -42,7 +42,7 @@ _MRR = "round(avg(CASE WHEN kind = 'answerable' THEN coalesce(1.0 / first, 0.0)
 
 @query("is_hit", sql("SELECT qid, id, rank FROM hits"))
 def _(d: Data) -> DataFrame:
-    return top10(d).join(eval_queries(d).select("qid", "expected"), "qid").where(evaluate.is_hit(F.col("id"), F.col("parent"), F.col("expected"))).select("qid", "id", "rank")
+    return top10(d).join(eval_queries(d).select("qid", "expected"), "qid").where(evaluate.is_hit(F.array("id", "parent"), F.array("expected"))).select("qid", "id", "rank")
 
 
 @query("first_hit_rank", sql("SELECT qid, min(rank) AS first FROM hits GROUP BY qid"))
@@ -74,8 +74,7 @@ def _(d: Data) -> DataFrame:
 
 def _sweep(d: Data) -> DataFrame:
     top = top10(d)
-    steps = d.spark.range(21).select(F.round(F.col("id") / 20, 6).alias("theta"))
-    thetas = steps.unionByName(top.where("rank = 1").select(F.col("score").alias("theta"))).distinct()
+    thetas = evaluate.candidates(top)
     q = eval_queries(d)
     hits = top.join(q.select("qid", "expected"), "qid").where("parent = expected").select("qid", "rank", "score")
     return evaluate.sweep(q, top.where("rank = 1"), hits, thetas)

@@ -14,8 +14,19 @@ from ..functions import text as tx
 
 TEXT_FILES = r"\.(md|txt|rst)$"
 SKIPPED = r"(^|/)(\.venv|kg_db)/"
-UNCURATED = r"(^|/)(\.venv|kg_db|node_modules|\.git|dist|build|vendor|tests?|__pycache__)/"
-TRANSLATED = r"(^|/)(i18n|locales?|translations?|l10n)/"
+# Folders without documentation, codes of translations, files about a project rather than its subject.
+NO_DOCS = (
+    "node_modules .git dist build vendor __pycache__ .venv .changeset .github target out coverage tmp temp tests test testing spec specs e2e mocks test-fixtures "
+    "composio-skills evals benchmarks benchmark benchmark-models de-de es ja-jp ko-kr pt-br ru th tr ur vi-vn zh-cn zh-tw zh ja ko fr de pt it ar id pl nl uk "
+    "readmes i18n changelog .kiro .opencode .cursor .codex .codex-plugin .codebuddy .gemini .hermes .kimi .openclaw .qwen .trae flatpak "
+    "legacy-command-shims site design-systems design-templates plugins packages apps clipper craft figma-plugin tools story old raw bundled-skills "
+    "injected-reminders slash-commands mcp-servers .agents assets charts e2e-coverage .plan plans drafts videos rfc-drafts deployment handoffs adr superpowers tips"
+).split()
+LANGUAGES = "zh zh-cn zh-tw zh_cn zh_tw ja ja-jp ko ko-kr ru es de de-de fr pt pt-br it th tr ur ar pl nl uk vi vi-vn".split()
+ABOUT = r"(?i)^(changelog|changes|history|release|whatsnew|license|licence|copying|unlicense|contributing|code_of_conduct|security|governance|maintainers|authors|contributors)"
+ABOUT_ANYWHERE = "(?i)(pull_request_template|issue_template)"
+NOT_DOCS = ("requirements.txt", "requirements-dev.txt", "roadmap.md", "references.md")
+GUIDES = ("claude.md", "agents.md", "architecture.md", "context.md", "guide.md")
 LEAST_BYTES = 50
 
 
@@ -23,9 +34,29 @@ def scannable(path: Column) -> Column:
     return path.rlike(TEXT_FILES) & ~path.rlike(SKIPPED)
 
 
-def curated(path: Column, size: Column) -> Column:
-    """Documentation worth indexing: no translations, no vendored or generated files, not empty."""
-    return path.rlike(TEXT_FILES) & ~path.rlike(UNCURATED) & ~path.rlike(TRANSLATED) & (size >= LEAST_BYTES)
+def curated(repo: Column, path: Column, size: Column) -> Column:
+    """Whether a file (its path within a repository) is documentation worth indexing: a root guide, a skill's definition,
+    an assistant's rules, or what a repository of prompts or lessons is kept for."""
+    parts = F.split(F.lower(path), "/")
+    name, depth = F.element_at(parts, -1), F.size(parts)
+    stem = F.regexp_replace(name, r"\.[^.]*$", "")
+    suffix = F.regexp_extract(stem, r"[-_.]([a-z]{2}|[a-z]{2}[-_][a-z]{2})$", 1)
+    among = lambda *folders: F.arrays_overlap(parts, F.array(*map(F.lit, folders)))
+    translated = among(*LANGUAGES) | stem.rlike("^readme[_-]") | suffix.isin(*LANGUAGES)
+    about = stem.rlike(ABOUT) | stem.rlike(ABOUT_ANYWHERE) | name.isin(*NOT_DOCS)
+    parent = F.when(depth > 1, F.element_at(parts, -2)).otherwise(F.lit(""))
+    skill = (name == "skill.md") & (repo != "open-design") & ~((repo == "gstack") & (parent.startswith("ios-") | among("openclaw")))
+    by_repo = {
+        "open-design": among("docs") & ~name.rlike("announcement|whats-new|blog-|theater|pets|troubleshooting|setup"),
+        "system-prompts-and-models-of-ai-tools": F.lit(True),
+        "system_prompts_leaks": (depth == 2) & ~parts[0].isin("misc", "assets") & ~name.startswith("readme") & ~stem.rlike("personality|voice-mode"),
+        "learn-claude-code": F.exists(parts, lambda p: p.startswith("s") & F.contains(p, F.lit("_"))) & (name == "readme.md"),
+        "claude-code-best-practice": among("best-practice", "tutorial") & ~among("agent-teams"),
+    }
+    kept = ((depth == 1) & (name.startswith("readme") | name.isin(*GUIDES))) | skill | (among(".claude") & name.endswith(".md") & ~among("agent-teams"))
+    for r, rule in by_repo.items():
+        kept = kept | ((repo == r) & (name != "skill.md") & rule)
+    return ~F.lower(repo).isin("dify", "freellmapi") & F.lower(path).rlike(TEXT_FILES) & (size >= LEAST_BYTES) & ~among(*NO_DOCS) & ~translated & ~about & kept
 
 
 def read_documents(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -144,6 +175,19 @@ _SPLIT = re.compile(r"(\n\n|\n|\. |\s+)")
 _COUNT = re.compile(r"\w+|[^\w\s]")
 
 
+def _sliced(part: str, budget: int, count) -> list[tuple[str, int]]:
+    """A part over the budget as the longest pieces within it."""
+    out, at = [], 0
+    while at < len(part):
+        low, high = 1, len(part) - at
+        while low < high:
+            mid = (low + high + 1) // 2
+            low, high = (mid, high) if count(part[at : at + mid]) <= budget else (low, mid - 1)
+        out.append((part[at : at + low], count(part[at : at + low])))
+        at += low
+    return out
+
+
 def budget_chunks(text: str, budget: int = BUDGET, overlap: int = CHUNK_OVERLAP, count=lambda s: len(_COUNT.findall(s))) -> list[tuple[str, int]]:
     """(chunk, tokens): parts packed up to a budget, each chunk opening with the words that end the one before.
 
@@ -160,8 +204,7 @@ def budget_chunks(text: str, budget: int = BUDGET, overlap: int = CHUNK_OVERLAP,
         if n <= budget:
             parts.append((p, n))
         else:
-            step = max(1, len(p) * budget // (2 * n))
-            parts += [(q, count(q)) for q in (p[i : i + step] for i in range(0, len(p), step))]
+            parts += _sliced(p, budget, count)
     out: list[tuple[str, int]] = []
     held: list[tuple[str, int]] = []
     used = 0

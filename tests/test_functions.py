@@ -51,8 +51,9 @@ def test_light_stem(spark):
 
 def test_constraints_slug_prefix(spark):
     assert values(spark, ['in 2026 "Big Deal" 1899 20261'], tx.strict_constraints) == [["2026", "big deal"]]
-    assert values(spark, ["Hello,  World!", "", "___"], tx.slugify) == ["hello-world", "untitled", "-"]
+    assert values(spark, ["Hello,  World!", "", "___"], tx.slugify) == ["hello-world", "chat", "-"]
     assert values(spark, ["ig:a:item:3", "ig:a:", "x"], tx.parent_prefix) == ["ig:a:item:", "ig:a:", "x:"]
+    assert values(spark, ["D--claude-projects-AI-academiya", "D--claude-projects", "C--Users-user-Desktop-Uzbekonacisco-uz"], tx.project_label) == ["cc-ai-academiya", "cc-claude-projects", "cc-uzbekonacisco-uz"]
     assert values(spark, [["A", "B", "B", "A"], [], ["C"]], tx.run_length_chain, "array<string>") == ["A -> B x2 -> A", "", "C"]
 
 
