@@ -26,7 +26,9 @@ BLOCK = 1024
 #: Nodes of small families that share a task.
 SHARD_NODES = 1000
 #: Bytes of text hashed at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
+#: Sets whose signatures are made together.
+TOGETHER = 128
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x100000001B3
 _MASK = (1 << 64) - 1
@@ -169,7 +171,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     def run(cols: dict) -> dict:
         sets = shingle_sets(cols["text"], size)
         full = [s for s in sets if len(s)]
-        bands = iter(band_hashes(superminhash(full)).tolist() if full else [])
+        bands = iter([b for i in range(0, len(full), TOGETHER) for b in band_hashes(superminhash(full[i : i + TOGETHER])).tolist()])
         return {
             "doc_id": cols["doc_id"], "text_key": [hashlib.md5((t or "").encode()).digest() for t in cols["text"]], "n_shingles": [len(s) for s in sets], "node": [node_of(s) for s in sets],
             "bands": [next(bands) if len(s) else [] for s in sets],
