@@ -71,3 +71,11 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 QUALITY = _quality()
+
+#: Holds for pages whose article is marked as such and has no boilerplate inside, as all pages of the tables.
+PAGES = """
+WITH article AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS t FROM pages
+), plain AS (SELECT page_id, url, regexp_replace(regexp_replace(t, '</?(?:p|br|h1|ul|li)\\b[^>]*>', ' ', 'g'), '<[^>]+>', '', 'g') AS t FROM article
+), decoded AS (SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&'), '\\s+', ' ', 'g')) AS text FROM plain)
+SELECT page_id, url, text, length(text) AS n_chars FROM decoded
+"""

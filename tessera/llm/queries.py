@@ -69,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_quality": oracles.QUALITY,
     "op3_suffix_dedup": oracles.REPEATS,
+    "op5_html": oracles.PAGES,
     "op6_decontamination": decontaminate.ORACLE,
     "op7_near_duplicates": oracles.NEAR_DUPLICATES,
     "op9_chat": chat.ORACLE,
