@@ -95,12 +95,14 @@ def _(d: Data) -> DataFrame:
     return parse.sessions(d.table("conversations"))
 
 
-@query("import_projects")
+@query("import_projects", sql("SELECT project, count(*) AS n, '# ' || project || chr(10) || chr(10) || string_agg('## ' || title || chr(10) || chr(10) || document, chr(10) || chr(10) ORDER BY doc_id) AS markdown FROM chunks WHERE document <> '' GROUP BY project"))
 def _(d: Data) -> DataFrame:
     return parse.projects(d.chunks)
 
 
-@query("session_render")
+@query("session_render", """SELECT user_id, step, coalesce(string_agg(event_type, ' ' ORDER BY event_id) FILTER (WHERE NOT says), '') AS tools, max(event_type) FILTER (WHERE says) AS said FROM (
+ SELECT *, CAST(coalesce(sum(CAST(says AS INT)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS step
+ FROM (SELECT *, event_type IN ('purchase', 'signup', 'view') AS says FROM events)) GROUP BY ALL""")
 def _(d: Data) -> DataFrame:
     return parse.session_render(d.table("events"))
 
@@ -123,7 +125,8 @@ def _(d: Data) -> DataFrame:
     return parse.dedupe_names(d.table("documents").select("doc_id", F.lower(F.regexp_extract("text", "^[A-Za-z]+", 0)).alias("slug")), "slug", "doc_id")
 
 
-@query("post_items")
+@query("post_items", """WITH items AS (SELECT doc_id, list_prepend(left(text, 200), list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS parts FROM documents)
+ SELECT 'ig:P' || doc_id || CASE WHEN i = 1 THEN ':summary' ELSE ':item:' || (i - 1) END AS id, 'P' || doc_id AS shortcode, parts[i] AS document FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM items)""")
 def _(d: Data) -> DataFrame:
     return parse.post_items(d.table("documents").select(F.concat(F.lit("P"), "doc_id").alias("shortcode"), "text"))
 
