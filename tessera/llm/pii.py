@@ -13,8 +13,10 @@ import json
 import math
 import random
 import re
+from collections.abc import Iterator
 from functools import cache
 from importlib import resources
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
@@ -88,6 +90,8 @@ PLACE = re.compile(
     r"|(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]{0,40}[0-9])[A-Za-z0-9_+/=-]{20,256}(?![A-Za-z0-9_+/=-])"
 )
 TOKEN = re.compile(r"[A-Za-z0-9_=]+|[^\sA-Za-z0-9_=]")
+#: What is looked at of a place beside base spans.
+PART = re.compile(r"[A-Za-z0-9_+(\[{](?:.*[A-Za-z0-9_=)\]}])?", re.S)
 CUE = re.compile(r"([A-Za-z_]+)[\s:=\"'(#]*$")
 #: Longest segment, in tokens.
 LONGEST = 14
@@ -101,6 +105,31 @@ _CUE_OF = {w: k for k, ws in CUES.items() for w in ws}
 AT = re.compile(r"\((?:at)\)|\[(?:at)\]|\{(?:at)\}")
 
 
+def free_parts(text: str, start: int, end: int, taken: list[Span]) -> list[Span]:
+    """What base spans (by start) leave of a place, without the separators at its ends."""
+    out = []
+    for a, b in [*taken, (end, end)]:
+        if start < a and (m := PART.search(text, start, min(a, end))):
+            out.append(m.span())
+        start = max(start, b)
+    return out
+
+
+def places_of(text: str, base: dict[str, list[Span]]) -> Iterator[Span]:
+    """The places of a text, each split at the base spans in it."""
+    taken = sorted(s for spans in base.values() for s in spans)
+    ends = list(accumulate((b for _, b in taken), max))
+    first = 0
+    for m in PLACE.finditer(text):
+        start, end = m.span()
+        while first < len(taken) and ends[first] <= start:
+            first += 1
+        last = first
+        while last < len(taken) and taken[last][0] < end:
+            last += 1
+        yield from free_parts(text, start, end, taken[first:last]) if last > first else [(start, end)]
+
+
 def segment_features(seg: str, before: str, whole: bool) -> list[str]:
     """Features of a whole segment; ``whole`` says that it fills its place."""
     d = digits_in(seg)
@@ -188,6 +217,17 @@ def examples(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, str]]]]:
     digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
     word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9)))
 
+    ip = lambda: ".".join(str(rng.randint(1, 255)) for _ in range(4))
+    filled = lambda shape: re.sub(r"\{(\d)\}", lambda m: digits(int(m[1])), shape)
+    north = lambda: filled(rng.choice(["({3}) {3}-{4}", "{3}-{3}-{4}", "{3} {3} {4}"]))
+
+    def neighbours() -> list[tuple[str, str | None]]:
+        """A local number in one place with what the patterns find; texts by turns with their kinds."""
+        first = rng.choice(["", "", "phone ", "call ", "tel: "])
+        other = rng.choice([ip(), filled("+1 {3} {3} {4}"), filled("+44 {2} {4} {4}")])
+        sep = "/" if other[0] == "+" else rng.choice([" ", " ", "/"])
+        return [(first, None), (north(), "phone"), (sep + other + " ", None)] if rng.random() < 0.4 else [(first + other + sep, None), (north(), "phone"), (" ", None)]
+
     def entity() -> tuple[str, str | None, str]:
         """What stands before it, its kind, its text."""
         form = rng.randrange(14)
@@ -199,7 +239,7 @@ def examples(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, str]]]]:
         if form in (1, 2, 3):
             shape = rng.choice(["({3}) {3}-{4}", "{3}-{3}-{4}", "{4} {6}", "{3} {3} {4}", "{2} {2} {2} {2} {2}", "{3}/{7}".replace("{7}", "{6}"), "{5} {6}"])
             cue = rng.choice(["phone ", "tel: ", "call ", "fax ", "mobile: "])
-            return cue, "phone", re.sub(r"\{(\d)\}", lambda m: digits(int(m[1])), shape)
+            return cue, "phone", filled(shape)
         if form in (4, 5, 6):
             size = rng.choice([20, 24, 32, 40, 40, 64])
             alphabet = rng.choice(["0123456789abcdef", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"])
@@ -223,11 +263,15 @@ def examples(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, str]]]]:
     for _ in range(n):
         text, gold = " ".join(word() for _ in range(rng.randint(2, 6))) + " ", []
         for _ in range(rng.randint(1, 2)):
-            lead, kind, body = entity()
-            text += lead
-            if kind:
-                gold.append((len(text), len(text) + len(body), kind))
-            text += body + ('" ' if lead.endswith('"') else "' " if lead.endswith("'") else " ")
+            if rng.random() < 0.15:
+                parts = neighbours()
+            else:
+                lead, kind, body = entity()
+                parts = [(lead, None), (body, kind), ('" ' if lead.endswith('"') else "' " if lead.endswith("'") else " ", None)]
+            for body, kind in parts:
+                if kind:
+                    gold.append((len(text), len(text) + len(body), kind))
+                text += body
             text += " ".join(word() for _ in range(rng.randint(1, 4))) + " "
         out.append((text, gold))
     return out
@@ -237,8 +281,8 @@ def train(n: int = 1500, seed: int = 5, rounds: int = 6) -> dict[str, float]:
     """Weights by stochastic gradient ascent on the conditional log-likelihood, with a small ridge."""
     places = []
     for text, gold in examples(n, seed):
-        for m in PLACE.finditer(text):
-            tokens, segs = lattice(text, *m.span())
+        for start, end in places_of(text, base_spans(text)):
+            tokens, segs = lattice(text, start, end)
             at = {(tokens[i][0], tokens[j - 1][1]): (i, j) for i, j, _ in segs}
             places.append((len(tokens), segs, {(*at[a, b], KINDS.index(k)) for a, b, k in gold if (a, b) in at}))
     weights: dict[str, float] = {}
@@ -260,14 +304,8 @@ def weights() -> dict[str, float]:
 def added_spans(text: str, base: dict[str, list[Span]], model: dict[str, float] | None = None) -> list[tuple[str, int, int]]:
     """Entities of the field that meet no base span."""
     model = weights() if model is None else model
-    taken = sorted(s for spans in base.values() for s in spans)
-    out, at = [], 0
-    for m in PLACE.finditer(text):
-        start, end = m.span()
-        while at < len(taken) and taken[at][1] <= start:
-            at += 1
-        if at < len(taken) and taken[at][0] < end:
-            continue
+    out = []
+    for start, end in places_of(text, base):
         tokens, segs = lattice(text, start, end)
         out += [(KINDS[k], tokens[i][0], tokens[j - 1][1]) for i, j, k in decode(len(tokens), _scores(segs, model))]
     return out

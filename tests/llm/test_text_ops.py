@@ -213,6 +213,18 @@ def test_field_is_accurate_on_held_out():
     assert tp / (tp + fp) >= 0.95 and tp / (tp + fn) >= 0.9
 
 
+def found_by_field(text):
+    return [(k, text[a:b]) for k, a, b in pii.added_spans(text, pii.base_spans(text))]
+
+
+def test_field_looks_beside_base_spans():
+    phone = [("phone", "555-123-4567")]
+    for text in ("call 555-123-4567 10.0.0.1", "call 555-123-4567 10.0.0.1 now", "10.0.0.1 555-123-4567", "10.0.0.1/555-123-4567 10.0.0.2", "+1 555 987 6543/555-123-4567", "phone +1 555 987 6543/555-123-4567 ok"):
+        assert found_by_field(text) == phone, text
+        assert "555-123-4567" not in pii.mask(text)
+    assert pii.mask("call 555-123-4567 10.0.0.1") == "call [PHONE] [IP]"
+
+
 def test_decode_is_the_best_segmentation():
     import itertools
     import random
