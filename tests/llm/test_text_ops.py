@@ -225,6 +225,28 @@ def test_field_looks_beside_base_spans():
     assert pii.mask("call 555-123-4567 10.0.0.1") == "call [PHONE] [IP]"
 
 
+def test_field_finds_each_form():
+    seen, hit = collections.Counter(), collections.Counter()
+    for text, gold in pii.examples(900, seed=78):
+        base = pii.base_spans(text)
+        taken = [s for v in base.values() for s in v]
+        got = set(pii.added_spans(text, base))
+        for a, b, k in gold:
+            if not any(a < y and x < b for x, y in taken):
+                form = k, text[a - 1 : a].strip() if k == "secret" else "", any(abs(a - y) == 1 or abs(x - b) == 1 for x, y in taken)
+                seen[form] += 1
+                hit[form] += (k, a, b) in got
+    assert {("secret", c, False) for c in ("", "=", '"', "'")} | {("phone", "", True), ("phone", "", False), ("email", "", False)} <= set(seen)
+    assert all(hit[f] >= 0.9 * n for f, n in seen.items()), (seen, hit)
+
+
+def test_field_parts_name_and_value():
+    value = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    for text in (f"token={value}", f"export api_key={value} now", f"PASSWORD={value}", f"u?token={value}&x=1", f"key={value}=="):
+        assert [k for k, _ in found_by_field(text)] == ["secret"] and found_by_field(text)[0][1].rstrip("=") == value, text
+        assert value not in pii.mask(text)
+
+
 def test_decode_is_the_best_segmentation():
     import itertools
     import random
