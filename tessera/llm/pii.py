@@ -1,9 +1,9 @@
 """Personal data: fixed patterns, and a semi-Markov conditional random field for what they miss.
 
 The patterns of the contract give the base spans, each found in linear time whatever the text. The field then looks at
-the places around digits, "at" signs and long opaque strings: there it scores every candidate segment by features of the
-whole segment, and bounded dynamic programming chooses boundaries and kinds together. Everything outside those places is
-no entity, so the segmentation of a text is the best one of each place.
+the places around digits, "at" signs and long opaque strings, however long they are: there it scores candidate segments of
+bounded length, and the whole place, by features of the whole segment, and dynamic programming chooses boundaries and kinds
+together. Everything outside those places is no entity, so the segmentation of a text is the best one of each place.
 """
 
 from __future__ import annotations
@@ -83,18 +83,20 @@ def base_spans(text: str) -> dict[str, list[Span]]:
 
 # ---- the field
 
-#: Places that are looked at; each pattern is bounded, so a place is found in linear time.
+#: Places that are looked at, of any length; no character is read more often than a fixed number of times.
+_RUN = r"[A-Za-z0-9_+/-]{20,}+(?:={1,2}(?![A-Za-z0-9_+/=-]))?"
 PLACE = re.compile(
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|\(dot\)|\[dot\]|\{dot\}) ?[A-Za-z0-9-]{1,63}){1,5}"
-    r"|(?<![A-Za-z0-9])\(?[0-9]{2,6}\)?(?:[ .()/-]{1,2}[0-9]{1,6}){1,7}(?![A-Za-z0-9])"
-    r"|(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]{0,40}[0-9])[A-Za-z0-9_+/-]{20,256}(?![A-Za-z0-9_+/-])(?:={1,2}(?![A-Za-z0-9_+/=-]))?"
+    rf"|(?<![A-Za-z0-9_+/-])(?=[0-9_+/-]*+[A-Za-z]){_RUN}"
+    r"|(?<![A-Za-z0-9])\(?[0-9]{2,}+\)?(?:[ .()/-]{1,2}[0-9]++)+(?![A-Za-z0-9])"
+    rf"|(?<![A-Za-z0-9_+/-])(?=[_+/-]*+[0-9]){_RUN}"
 )
 #: An equals sign parts a name from its value; only at the end it is padding.
 TOKEN = re.compile(r"[A-Za-z0-9_]+(?:={1,2}(?![A-Za-z0-9_+/=-]))?|[^\sA-Za-z0-9_]")
 #: What is looked at of a place beside base spans.
 PART = re.compile(r"[A-Za-z0-9_+(\[{](?:.*[A-Za-z0-9_=)\]}])?", re.S)
 CUE = re.compile(r"([A-Za-z_]+)[\s:=\"'(#]*$")
-#: Longest segment, in tokens.
+#: Longest segment, in tokens, besides a whole place.
 LONGEST = 14
 #: Words before a span that tell its kind.
 CUES = {
@@ -103,6 +105,8 @@ CUES = {
     "not": "version v order invoice page isbn no id year section figure table release".split(),
 }
 _CUE_OF = {w: k for k, ws in CUES.items() for w in ws}
+#: Where small letters turn to capitals.
+TURN = re.compile("[a-z][A-Z]")
 AT = re.compile(r"\((?:at)\)|\[(?:at)\]|\{(?:at)\}")
 
 
@@ -131,55 +135,79 @@ def places_of(text: str, base: dict[str, list[Span]]) -> Iterator[Span]:
         yield from free_parts(text, start, end, taken[first:last]) if last > first else [(start, end)]
 
 
-def segment_features(seg: str, before: str, whole: bool) -> list[str]:
-    """Features of a whole segment; ``whole`` says that it fills its place."""
+def cue_of(before: str) -> str:
+    """The kind of the word that a text ends with."""
+    return _CUE_OF.get(m[1].lower(), "") if (m := CUE.search(before)) else ""
+
+
+def segment_features(seg: str, before: str, whole: bool, lead: str) -> list[str]:
+    """Features of a whole segment; ``whole`` says that it fills its place, ``lead`` is the cue before the place."""
     d = digits_in(seg)
     shape = re.sub(r"[0-9]+", "9", re.sub(r"[A-Za-z]+", "a", seg))
-    cue = m[1].lower() if (m := CUE.search(before)) else ""
-    out = [f"len{min(len(seg) // 6, 8)}", f"dig{min(len(d), 20)}", "whole" if whole else "part", f"cue-{_CUE_OF.get(cue, '')}", f"at{bool(AT.search(seg))}"]
+    cue = cue_of(before)
+    out = [f"len{min(len(seg) // 6, 8)}", f"dig{min(len(d), 20)}", "whole" if whole else "part", f"cue-{cue}", f"lead-{lead}", f"at{bool(AT.search(seg))}"]
     if len(shape) <= 12:
         out.append(f"shape-{shape}")
+        if "a" not in shape:
+            out.append("groups" + ".".join(str(len(g)) for g in re.findall("[0-9]+", seg)))
     if 13 <= len(d) <= 19:
         out.append(f"luhn{luhn(d)}")
     if re.fullmatch(r"[A-Za-z0-9_+/=-]{20,}", seg):
         kinds = (any(c.islower() for c in seg)) + (any(c.isupper() for c in seg)) + bool(d)
-        out += [f"opaque{kinds}", f"mix{min(4, 8 * len(d) // len(seg))}", f"runs{min(6, len(re.findall('[0-9]+', seg)))}", f"opaquecue-{_CUE_OF.get(cue, '')}"]
+        out += [f"opaque{kinds}", f"mix{min(4, 8 * len(d) // len(seg))}", f"runs{min(6, len(re.findall('[0-9]+', seg)))}", f"opaquecue-{cue}"]
+        if not d:
+            out += [f"digitlesscue-{cue}", f"turns{min(4, 10 * len(TURN.findall(seg)) // len(seg))}"]
     if seg[0] in "(" and ")" in seg:
         out.append("paren")
     return out
 
 
-def lattice(text: str, start: int, end: int) -> tuple[list[Span], list[tuple[int, int, list[str]]]]:
-    """Tokens of a place, and its candidate segments (first token, end token, features)."""
-    tokens = [(start + m.start(), start + m.end()) for m in TOKEN.finditer(text[start:end])]
-    segs = []
-    for i in range(len(tokens)):
-        for j in range(i + 1, min(len(tokens), i + LONGEST) + 1):
+def tokens_of(text: str, start: int, end: int) -> list[Span]:
+    return [m.span() for m in TOKEN.finditer(text, start, end)]
+
+
+def segments(text: str, start: int, end: int, tokens: list[Span]) -> Iterator[tuple[int, int, list[str]]]:
+    """Candidate segments of a place (first token, end token, features), by end and first: up to ``LONGEST`` tokens, or all of it."""
+    lead, n = cue_of(text[max(0, start - 24) : start]), len(tokens)
+    for j in range(1, n + 1):
+        for i in ([0] if j == n > LONGEST else []) + list(range(max(0, j - LONGEST), j)):
             a, b = tokens[i][0], tokens[j - 1][1]
-            segs.append((i, j, segment_features(text[a:b], text[max(0, a - 24) : a], (a, b) == (start, end))))
-    return tokens, segs
+            yield i, j, segment_features(text[a:b], text[max(0, a - 24) : a], (a, b) == (start, end), lead)
 
 
-def _scores(segs, weights: dict[str, float]) -> list[tuple[int, int, int, float]]:
+def lattice(text: str, start: int, end: int) -> tuple[list[Span], list[tuple[int, int, list[str]]]]:
+    """Tokens of a place, and its candidate segments."""
+    tokens = tokens_of(text, start, end)
+    return tokens, list(segments(text, start, end, tokens))
+
+
+def _scored(segs, weights: dict[str, float]) -> Iterator[tuple[int, int, int, float]]:
     """(first, end, kind, score): kind -1 is no entity, one token long."""
-    out = []
     for i, j, feats in segs:
         if j == i + 1:
-            out.append((i, j, -1, 0.0))
+            yield i, j, -1, 0.0
         for k, kind in enumerate(KINDS):
-            out.append((i, j, k, weights.get(f"{kind}|bias", 0.0) + sum(weights.get(f"{kind}|{f}", 0.0) for f in feats)))
-    return out
+            yield i, j, k, weights.get(f"{kind}|bias", 0.0) + sum(weights.get(f"{kind}|{f}", 0.0) for f in feats)
+
+
+def _scores(segs, weights: dict[str, float]) -> list[tuple[int, int, int, float]]:
+    return list(_scored(segs, weights))
 
 
 def decode(n: int, scored) -> list[tuple[int, int, int]]:
     """The best segmentation of ``n`` tokens: its entities."""
-    best: list[tuple[float, tuple | None]] = [(0.0, None)] + [(-math.inf, None)] * n
-    for i, j, k, s in sorted(scored, key=lambda x: (x[1], x[0], x[2])):
-        if best[i][0] + s > best[j][0]:
-            best[j] = (best[i][0] + s, (i, j, k))
+    return _best(n, sorted(scored, key=lambda x: (x[1], x[0], x[2])))
+
+
+def _best(n: int, scored) -> list[tuple[int, int, int]]:
+    """:func:`decode` of scores that come by end, first and kind; they are read once, so a long place needs little memory."""
+    score, last = [0.0] + [-math.inf] * n, [None] * (n + 1)
+    for i, j, k, s in scored:
+        if score[i] + s > score[j]:
+            score[j], last[j] = score[i] + s, (i, j, k)
     out, at = [], n
     while at:
-        step = best[at][1]
+        step = last[at]
         if step[2] >= 0:
             out.append(step)
         at = step[0]
@@ -229,6 +257,31 @@ def examples(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, str]]]]:
         sep = "/" if other[0] == "+" else rng.choice([" ", " ", "/"])
         return [(first, None), (north(), "phone"), (sep + other + " ", None)] if rng.random() < 0.4 else [(first + other + sep, None), (north(), "phone"), (" ", None)]
 
+    def numbers() -> list[tuple[str, str | None]]:
+        """A list of phone numbers in one place."""
+        shape, sep = rng.choice(["({3}) {3}-{4}", "{3}-{3}-{4}", "{3} {3} {4}"]), rng.choice([" ", " ", "/"])
+        out = [(rng.choice(["phone ", "tel: ", "call ", "fax ", "mobile: ", "", "+1 "]), None)]
+        for _ in range(rng.randint(2, 8)):
+            out += [(filled(shape), "phone"), (sep, None)]
+        return [*out[:-1], (" ", None)]
+
+    def opaque() -> list[tuple[str, str | None]]:
+        """Secrets that are long or without a digit, and long names and rows of numbers that are none."""
+        name = rng.choice(["token", "key", "secret", "password", "api_key"]) + rng.choice([" = ", ": ", "="])
+        letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+        run = lambda signs, k: rng.choice(letters) + "".join(rng.choice(signs) for _ in range(k - 1))
+        form = rng.randrange(7)
+        if form == 0:
+            return [(name, None), (run(letters + "0123456789" + rng.choice(["", "+/", "_-"]), rng.choice([128, 200, 257, 300, 500])), "secret"), (" ", None)]
+        if form in (1, 2):
+            return [(name, None), (run(letters, rng.choice([20, 24, 32, 40, 64])), "secret"), (" ", None)]
+        if form == 3:
+            return [(run(letters, rng.choice([43, 50])) + digits(4) + run(letters, 9), "secret") if x else (name, None) for x in (0, 1)] + [(" ", None)]
+        if form == 4:
+            words = [word() for _ in range(rng.randint(5, 9))]
+            return [(rng.choice(["", "see ", "page "]) + rng.choice(["-", "_", "/", ""]).join(words if rng.random() < 0.7 else [w.title() for w in words]) + " ", None)]
+        return [(rng.choice(["", "table ", "no "]) + " ".join(digits(rng.choice([1, 2, 2, 3, 4, 4, 5])) for _ in range(rng.randint(3, 16))) + " ", None)]
+
     def entity() -> tuple[str, str | None, str]:
         """What stands before it, its kind, its text."""
         form = rng.randrange(14)
@@ -265,8 +318,8 @@ def examples(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, str]]]]:
     for _ in range(n):
         text, gold = " ".join(word() for _ in range(rng.randint(2, 6))) + " ", []
         for _ in range(rng.randint(1, 2)):
-            if rng.random() < 0.15:
-                parts = neighbours()
+            if (form := rng.random()) < 0.3:
+                parts = neighbours() if form < 0.12 else numbers() if form < 0.17 else opaque()
             else:
                 lead, kind, body = entity()
                 parts = [(lead, None), (body, kind), ('" ' if lead.endswith('"') else "' " if lead.endswith("'") else " ", None)]
@@ -311,8 +364,8 @@ def added_spans(text: str, base: dict[str, list[Span]], model: dict[str, float]
     model = weights() if model is None else model
     out = []
     for start, end in places_of(text, base):
-        tokens, segs = lattice(text, start, end)
-        out += [(KINDS[k], tokens[i][0], tokens[j - 1][1]) for i, j, k in decode(len(tokens), _scores(segs, model))]
+        tokens = tokens_of(text, start, end)
+        out += [(KINDS[k], tokens[i][0], tokens[j - 1][1]) for i, j, k in _best(len(tokens), _scored(segments(text, start, end, tokens), model))]
     return out
 
 

@@ -247,6 +247,24 @@ def test_field_parts_name_and_value():
         assert value not in pii.mask(text)
 
 
+def test_field_reads_runs_and_lists_of_any_length():
+    import random
+
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for n in (256, 257, 1000, 20000):
+        for signs in (letters + "0123456789", letters + "0123456789+/"):
+            key = "k" + "".join(rng.choice(signs) for _ in range(n - 1))
+            assert found_by_field(f"token: {key} end") == [("secret", key)], (n, signs)
+    late = "".join(rng.choice(letters) for _ in range(60)) + "7"
+    assert found_by_field(f"secret = {late}") == [("secret", late)] and found_by_field(f"key={late[:-1]}") == [("secret", late[:-1])]
+    for n in (2, 3, 40, 1000):
+        numbers = [f"555-{rng.randint(100, 999)}-{rng.randint(1000, 9999)}" for _ in range(n)]
+        assert found_by_field("tel: " + " ".join(numbers)) == [("phone", x) for x in numbers], n
+    assert found_by_field("see src/main/java/com/example/foo_bar, well-known-state-of-the-art and internationalization") == []
+    assert found_by_field("-" * 80 + "\n" + "=" * 80 + "\nrows 12 345 67 8901 22 34 555 1 2 3 44 55 666 7777 88") == []
+
+
 def test_decode_is_the_best_segmentation():
     import itertools
     import random
