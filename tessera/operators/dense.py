@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import MIN_SIMILARITY, VECTOR_CANDIDATES
-from ..functions.vectors import cosine
 from .lexical import top
 
 #: Query vectors that one block sends to every task.
@@ -32,11 +31,17 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = VECTOR_CANDIDAT
 
     Each task keeps the best ``k`` of its own rows, so no more than queries x k x tasks rows are shuffled.
     """
+    return _topk(queries, vectors, k, floor, skip_self, qid_type, id_type)
+
+
+def _topk(queries: DataFrame, vectors: DataFrame, k: int, floor: float | None, skip_self: bool, qid_type: str, id_type: str, meets=None) -> DataFrame:
+    """:func:`vector_topk` of the pairs for which ``meets(question vectors)(vectors)`` is true; the others aren't compared."""
     parts = []
     for qids, q in _blocks(queries):
         q = q / np.where((n := np.linalg.norm(q, axis=1, keepdims=True)) == 0, 1, n)
+        met_by = meets and meets(q)
 
-        def run(batches: Iterator[pa.RecordBatch], qids=qids, q=q) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], qids=qids, q=q, met_by=met_by) -> Iterator[pa.RecordBatch]:
             held_s = np.zeros((len(qids), 0))
             held_i = np.zeros((len(qids), 0), object)
             for batch in batches:
@@ -45,14 +50,19 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = VECTOR_CANDIDAT
                 ids = np.array(batch.column(0).to_pylist(), object)
                 x = np.array(batch.column(1).to_pylist(), np.float64).reshape(len(ids), -1)
                 x = x / np.where((m := np.linalg.norm(x, axis=1, keepdims=True)) == 0, 1, m)
-                s = np.round(q @ x.T, 6)
+                if met_by is None:
+                    s = np.round(q @ x.T, 6)
+                else:
+                    s = np.full((len(qids), len(ids)), -np.inf)
+                    for a, met in enumerate(met_by(x)):
+                        s[a, met] = np.round(x[met] @ q[a], 6)
                 if skip_self:
                     s[np.array(qids, object)[:, None] == ids[None, :]] = -np.inf
                 held_s = np.concatenate([held_s, s], 1)
                 held_i = np.concatenate([held_i, np.broadcast_to(ids, s.shape)], 1)
                 if held_s.shape[1] > k:  # ties at the edge stay, so that ids can decide
                     edge = -np.partition(-held_s, k - 1, axis=1)[:, k - 1 : k]
-                    width = int((held_s >= edge).sum(1).max())
+                    width = int(((held_s >= edge) & np.isfinite(held_s)).sum(1).max())
                     order = np.argsort(-held_s, axis=1, kind="stable")[:, :width]
                     held_s, held_i = np.take_along_axis(held_s, order, 1), np.take_along_axis(held_i, order, 1)
             for a in range(len(qids)):
@@ -71,27 +81,32 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = VECTOR_CANDIDAT
     return top(out, [F.col("similarity").desc(), F.col("id")], k)
 
 
-def lsh_topk(queries: DataFrame, vectors: DataFrame, k: int = VECTOR_CANDIDATES, floor: float = MIN_SIMILARITY, bits: int = 4, tables: int = 12, seed: int = 7) -> DataFrame:
-    """Approximate (qid, id, similarity, rank): only rows that share a bucket of random hyperplane signs with a query are compared.
+def lsh_topk(queries: DataFrame, vectors: DataFrame, k: int = VECTOR_CANDIDATES, floor: float = MIN_SIMILARITY, bits: int = 4, tables: int = 12, seed: int = 7, probes: int = 2) -> DataFrame:
+    """Approximate (qid, id, similarity, rank): only rows in buckets of random hyperplane signs that a query probes are compared.
 
-    All rows are indexed; more ``tables`` and fewer ``bits`` raise recall.
+    In each table a query probes its own bucket and those across the ``probes`` planes nearest to it, one at a time; more
+    ``tables`` or ``probes`` and fewer ``bits`` raise recall. The questions' buckets go to the tasks as in
+    :func:`vector_topk`, so neither rows nor pairs are shuffled.
     """
-    dim = len(vectors.first()["vector"])
-    planes = np.random.default_rng(seed).standard_normal((dim, bits * tables))
 
-    def signed(name: str):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x = np.array(batch.column(1).to_pylist(), np.float64).reshape(batch.num_rows, -1)
-                codes = ((x @ planes) > 0).reshape(len(x), tables, bits) @ (1 << np.arange(bits)) + np.arange(tables) * (1 << bits)
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.list_(pa.float32())), pa.array(codes.tolist(), pa.list_(pa.int64()))], names=[name, f"{name}_v", "codes"])
+    def meets(q: np.ndarray):
+        planes = np.random.default_rng(seed).standard_normal((q.shape[1], bits * tables))
+
+        def sides(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            side = (x @ planes).reshape(len(x), tables, bits)
+            return side, (side > 0) @ (1 << np.arange(bits))
+
+        side, own = sides(q)
+        near = np.argsort(np.abs(side), axis=2, kind="stable")[:, :, :probes]
+        probed = np.zeros((len(q), tables, 1 << bits), bool)
+        for codes in (own, *(own ^ (1 << near[:, :, p]) for p in range(near.shape[2]))):
+            np.put_along_axis(probed, codes[:, :, None], True, 2)
+
+        def met_by(x: np.ndarray) -> Iterator[np.ndarray]:
+            codes = sides(x)[1]
+            for p in probed:
+                yield np.flatnonzero(p[np.arange(tables), codes].any(1))
 
-        return run
+        return met_by
 
-    q = queries.select("qid", "vector").mapInArrow(signed("qid"), "qid long, qid_v array<float>, codes array<long>").withColumn("code", F.explode("codes")).drop("codes")
-    x = vectors.select("id", "vector").mapInArrow(signed("id"), "id long, id_v array<float>, codes array<long>").withColumn("code", F.explode("codes")).drop("codes")
-    met = q.join(x, "code").dropDuplicates(["qid", "id"])
-    s = met.select("qid", "id", F.round(cosine(F.col("qid_v"), F.col("id_v")), 6).alias("similarity")).where(F.col("similarity") >= floor)
-    return top(s, [F.col("similarity").desc(), F.col("id")], k)
+    return _topk(queries, vectors, k, floor, False, "long", "long", meets)

@@ -1,5 +1,7 @@
 """Operators on small corpora with known answers."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +76,16 @@ def test_lsh_recall(spark):
     assert len(exact & near) >= 0.9 * len(exact)
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables")
+def test_lsh_recall_as_registered(spark):
+    from tessera.plans import base, catalog  # noqa: F401
+
+    d = base.Data(spark, "/root/testdata/sf0.01")
+    exact = {(r.qid, r.id) for r in dense.vector_topk(d.query_vectors, d.vectors).collect()}
+    near = {(r.qid, r.id) for r in base.QUERIES["vector_lsh"](spark, d.dir).collect()}
+    assert len(exact & near) >= 0.9 * len(exact)
+
+
 def test_store(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "id long, x string")
     new = spark.createDataFrame([(2, "c"), (3, "d")], "id long, x string")
