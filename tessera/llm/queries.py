@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chat, decontaminate, html_text, neardup, oracles, pieces, pii, quality, sharding, substrings, tokens
-from .common import staged, table
+from .common import table
 
 
 def tokenizer(name: str) -> str:
@@ -22,7 +22,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.assign_shards(staged(sharding.digests(table(spark, sf_dir, "documents")), "digests"))
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+
+from .common import drop_at_exit, shared_path
 
 #: A bucket's records are held in memory together.
 BUCKET_BYTES = 64 << 20
@@ -34,7 +37,7 @@ def scatter_and_shuffle(rows: DataFrame, hash_cols: list[Column], n_rows: int, n
     sizes = keyed.groupBy("__bucket").agg(F.count("*").alias("__n"))
     before = F.sum("__n").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.select("__bucket", F.coalesce(before, F.lit(0)).alias("__offset"))
-    buckets = keyed.groupBy("__bucket").agg(F.sort_array(F.collect_list(F.struct("__h", "__rec"))).alias("__recs"))
+    buckets = keyed.repartition(F.col("__bucket")).groupBy("__bucket").agg(F.sort_array(F.collect_list(F.struct("__h", "__rec"))).alias("__recs"))
     mixed = buckets.join(offsets, "__bucket").select("__offset", F.posexplode(F.shuffle("__recs", seed)).alias("__pos", "__x"))
     rank = (F.col("__offset") + F.col("__pos")).cast("long")
     shard = F.expr(f"cast((__rank * {n_shards}L) div {max(n_rows, 1)}L as int)")
@@ -42,8 +45,8 @@ def scatter_and_shuffle(rows: DataFrame, hash_cols: list[Column], n_rows: int, n
     return mixed.select(rank.alias("__rank"), F.col("__x.__rec").alias("__rec")).withColumn("shard", shard).select("__rec.*", "shard", (F.col("__rank") - first).alias("slot"))
 
 
-def numbered_copies(rows: DataFrame, cols: list[str]) -> DataFrame:
-    """The distinct rows over ``cols``, each as often as it came, with the copy's number in ``copy``.
+def numbered_copies(rows: DataFrame, cols: list[str], name: str = "copy") -> DataFrame:
+    """The distinct rows over ``cols``, each as often as it came, with the copy's number in the column ``name``.
 
     Counting combines on the map side and large counts are dealt out in chunks, so one row that makes up a third of
     the table doesn't gather in one task.
@@ -51,13 +54,13 @@ def numbered_copies(rows: DataFrame, cols: list[str]) -> DataFrame:
     counted = rows.groupBy(*cols).agg(F.count("*").alias("__c"))
     chunks = counted.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(__c - 1) div {COPY_CHUNK}"))).alias("__chunk")).repartition(*cols, "__chunk")
     end = F.least(F.col("__c"), (F.col("__chunk") + 1) * COPY_CHUNK) - 1
-    return chunks.select(*cols, F.explode(F.sequence(F.col("__chunk") * COPY_CHUNK, end)).alias("copy"))
+    return chunks.select(*cols, F.explode(F.sequence(F.col("__chunk") * COPY_CHUNK, end)).alias(name))
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, size (UTF-8 bytes + 8) and CRC-32 of each row; a null text counts as empty."""
+def digests(docs: DataFrame, *more: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, size (UTF-8 bytes + 8) and CRC-32 of each row, and the columns ``more``; a null text counts as empty."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    return docs.select(*more, F.col(id_col).alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
 
 
 def assign_shards(digest_rows: DataFrame, n_shards: int = 24, seed: int = 17) -> DataFrame:
@@ -76,12 +79,29 @@ def assign_shards(digest_rows: DataFrame, n_shards: int = 24, seed: int = 17) ->
 def write_shards(df: DataFrame, path: str, n_shards: int, key_cols: list[str], size_col: Column, seed: int = 17) -> None:
     """Write whole records, shuffled, as ``path/shard=N/part-*.parquet``; ``slot`` orders a shard's rows.
 
-    ``key_cols`` should tell rows apart; rows that agree in them are salted with their place in the scan. Records keep
-    their own columns; ones called ``shard`` or ``slot`` must be renamed first.
+    ``key_cols`` should tell rows apart; if some rows agree in them, all columns do, and the numbers of equal rows' copies.
+    The files depend on the rows and the seed, not on how the rows are partitioned. Records keep their own columns; ones
+    called ``shard`` or ``slot`` must be renamed first.
     """
     n_rows, total = df.agg(F.count("*"), F.coalesce(F.sum(size_col), F.lit(0))).first()
-    salted = df.withColumn("__salt", F.monotonically_increasing_id())
-    repeated = df.groupBy(*key_cols).count().where("count > 1").limit(1).count() > 0
-    cols = [F.col(c) for c in key_cols] + ([F.col("__salt")] if repeated else [])
-    out = scatter_and_shuffle(salted, cols, n_rows, bucket_count(total), n_shards, seed).drop("__salt")
+    cols = [F.col(c) for c in key_cols]
+    if df.groupBy(*key_cols).count().where("count > 1").limit(1).count():
+        df = numbered_copies(df, df.columns, "__copy")
+        cols = [F.col(c) for c in df.columns]
+    out = scatter_and_shuffle(df, cols, n_rows, bucket_count(total), n_shards, seed).drop("__copy")
     out.sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+
+
+def shard_documents(docs: DataFrame, n_shards: int = 24, seed: int = 17) -> DataFrame:
+    """Write the records of ``docs`` (doc_id, text, more) into the shared folder by :func:`write_shards`; give the digests,
+    shard and slot of every row of those files, under the law ``rows``.
+
+    Null ids, repeated rows and empty texts are rows like others; an empty table gives an empty result. A record's own
+    ``shard`` and ``slot`` are written as ``own_shard`` and ``own_slot``.
+    """
+    docs = docs.withColumnsRenamed({c: f"own_{c}" for c in ("shard", "slot") if c in docs.columns})
+    path = shared_path(docs.sparkSession, "shards")
+    write_shards(docs, path, n_shards, ["doc_id"], F.octet_length(F.coalesce("text", F.lit(""))) + 8, seed)
+    drop_at_exit(docs.sparkSession, path)
+    files = docs.sparkSession.read.schema(StructType([*docs.schema, StructField("slot", LongType()), StructField("shard", IntegerType())])).parquet(path)
+    return digests(files, "shard", "slot").select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

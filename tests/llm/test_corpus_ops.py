@@ -155,6 +155,27 @@ def test_sharding(docs, empty, tmp_path):
     assert back.count() == n and sorted(r.slot for r in back.where("shard = 0").collect()) == list(range(back.where("shard = 0").count()))
 
 
+def test_sharding_writes_whole_records(spark, docs, empty, monkeypatch, tmp_path):
+    from tessera.llm import queries
+
+    written = []
+    put = sharding.write_shards
+    monkeypatch.setattr(sharding, "write_shards", lambda df, path, *a: (written.append(path), put(df, path, *a)))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op2_sharding(spark, str(tmp_path)).collect()
+    files = spark.read.parquet(written[0])
+    plain = lambda df, shard: collections.Counter((r.doc_id, r.text, r.lang, r.source, r.n_chars, r[shard], r.root) for r in df.collect())
+    assert plain(files, "own_shard") == plain(docs, "shard")
+    size = lambda t: len((t or "").encode()) + 8
+    assert sorted((r.shard, r.slot, str(r.doc_id), r["size"]) for r in got) == sorted((r.shard, r.slot, str(r.doc_id), size(r.text)) for r in files.collect())
+    again = sharding.shard_documents(docs.repartition(7)).collect()
+    key = lambda rs: sorted((str(r.doc_id), r.text_crc32, r.shard, r.slot) for r in rs)
+    assert key(again) == key(got) and {r.law for r in got} == {"rows"}
+    by = collections.Counter(r.shard for r in got)
+    assert max(by.values()) - min(by.get(k, 0) for k in range(24)) <= 1
+    assert sharding.shard_documents(empty).count() == 0
+
+
 def test_chats(spark):
     turns = [(1, "a", "x"), (2, "b", "y"), (3, "a", "z")]
     logs = {1: turns[:1], 2: turns[:2], 3: turns, 4: turns, 5: [(1, "a", "x"), (2, "b", "other")], 6: [(1, None, None)], 7: [(9, "a", "x"), (10, "b", "y")], None: [(1, "q", "w"), (1, "q", "w")]}
