@@ -12,8 +12,6 @@ STRIP = "^(.{4,})(?:" + "|".join(STRIP_SUFFIXES) + ")$"
 STEM = "^(.{3,}?)(" + "|".join(sorted(STEM_SUFFIXES, key=len, reverse=True)) + ")$"
 #: The same on reversed words, so that a word without suffix fails at once; two suffixes leave their ``a`` on the root.
 STEM_REVERSED = "^(?:" + "|".join(f"{x[:0:-1]}(?=a.{{3}})" if x in ("aymiz", "aydi") else f"{x[::-1]}(?=.{{3}})" for x in sorted(STEM_SUFFIXES, key=len, reverse=True)) + ")"
-#: The stemmer shortens a word in every step, and no word of a vocabulary sheds more suffixes than this.
-STEM_STEPS = 16
 
 
 def normalize(c: Column) -> Column:
@@ -52,8 +50,18 @@ def _stem_step(r: Column) -> Column:
 
 
 def light_stem(c: Column) -> Column:
-    """Suffixes off until none is left. Costly for a word, so run it over a vocabulary and join."""
-    return F.reverse(F.aggregate(F.sequence(F.lit(1), F.lit(STEM_STEPS)), F.reverse(c), lambda r, _: _stem_step(r)))
+    """Suffixes off until none is left. Costly for a word, so run it over a vocabulary and join.
+
+    Each step but the last shortens a word, and one of three signs stays: so its length bounds the steps.
+    """
+    steps = F.sequence(F.lit(1), F.greatest(F.length(c) - 3, F.lit(1)))
+    start = F.struct(F.reverse(c).alias("r"), F.lit(False).alias("done"))
+
+    def step(s: Column, _: Column) -> Column:
+        cut = F.transform(F.array(_stem_step(s["r"])), lambda x: F.struct(x.alias("r"), (x == s["r"]).alias("done")))[0]
+        return F.when(s["done"], s).otherwise(cut)
+
+    return F.aggregate(steps, start, step, lambda s: F.reverse(s["r"]))
 
 
 def _tokenized(word: str) -> list[str]:

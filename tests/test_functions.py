@@ -49,6 +49,12 @@ def test_light_stem(spark):
     assert values(spark, ["api", "mini", "ai"], tx.light_stem) == ["api", "mini", "ai"]
 
 
+def test_light_stem_ends_at_a_fixpoint(spark):
+    words = ["kitob" + "lar" * n for n in (15, 16, 17, 18, 60)] + ["kitob" + "larning" * 20, "", "a" * 3000, None]
+    assert values(spark, words, tx.light_stem) == [w and python_stem(w) for w in words]
+    assert values(spark, words[:5], tx.light_stem) == ["kitob"] * 5
+
+
 def test_constraints_slug_prefix(spark):
     assert values(spark, ['in 2026 "Big Deal" 1899 20261'], tx.strict_constraints) == [["2026", "big deal"]]
     assert values(spark, ["Hello,  World!", "", "___"], tx.slugify) == ["hello-world", "chat", "-"]
