@@ -2,10 +2,13 @@
 
 Two equal strings of ``length`` bytes choose the same anchor in themselves: the ``ANCHOR``-byte string whose hash is
 least. Neighbouring windows with one anchor make a piece, so equal windows lie in pieces with equal anchors, and only
-those need to meet. Pieces whose bytes occur twice are repeated as a whole. The distinct pieces left beside others with
-their anchor go, with their bytes, into shards; a shard's suffix array (induced sorting) and permuted common prefixes
-say which windows occur twice. An anchor with too many distinct pieces for a shard (a passage that very many texts
-share) is worked out exactly by counting window hashes, blocks of windows first.
+those need to meet. A piece that occurs twice is repeated as a whole; pieces are told apart by a 128-bit BLAKE2b digest
+of their bytes. The distinct pieces left beside others with their anchor go, with their bytes, into shards; a shard's
+suffix array (induced sorting) and permuted common prefixes say which windows occur twice.
+
+A shard must fit one task. Where a passage that very many texts share leaves more distinct pieces with one anchor than
+that, the work is split: the pieces are cut into narrower ones, down to single windows, and the same rule (what occurs
+twice by its digest is repeated) holds for those.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from .suffix import permuted_lcp, suffix_array
 ANCHOR = 40
 #: Bytes of text hashed at once, and of pieces in a shard. Places within a chunk must fit 21 bits.
 CHUNK, SHARD = 1 << 20, 1 << 21
-#: Distinct pieces of one anchor that a shard may hold.
+#: Distinct pieces of one anchor that a shard may hold; the work of an anchor with more is split.
 MOST_PIECES = 2000
 #: Neighbouring windows that are looked at together where an anchor has more.
 STRIDE = 16
@@ -36,6 +39,11 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _powers: list[np.ndarray] = []
 
 
+def digest(data: bytes) -> bytes:
+    """What tells strings apart."""
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
 def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
         up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
@@ -69,16 +77,16 @@ def sliding_least(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
 
 
-def pieces_of(raws: list[bytes], length: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Of each text with windows: its index, and rows (start, size, anchor's place in the piece, anchor hash, piece hash) as int64."""
+def pieces_of(raws: list[bytes], length: int, chunk: int = CHUNK) -> Iterator[tuple[int, np.ndarray]]:
+    """Of each text with windows: its index, and rows (start, size, anchor's place in the piece, anchor hash) as int64."""
     todo: list[tuple[int, int, bytes]] = []
     for k, raw in enumerate(raws):
-        for at in range(0, max(0, len(raw) - length + 1), CHUNK):  # parts overlap by all but one byte of a window
-            todo.append((k, at, raw[at : at + CHUNK + length - 1]))
+        for at in range(0, max(0, len(raw) - length + 1), chunk):  # parts overlap by all but one byte of a window
+            todo.append((k, at, raw[at : at + chunk + length - 1]))
     i = 0
     while i < len(todo):
         j, total = i, 0
-        while j < len(todo) and (j == i or total + len(todo[j][2]) <= CHUNK):
+        while j < len(todo) and (j == i or total + len(todo[j][2]) <= chunk):
             total += len(todo[j][2])
             j += 1
         group = todo[i:j]
@@ -95,10 +103,10 @@ def pieces_of(raws: list[bytes], length: int) -> Iterator[tuple[int, np.ndarray]
             first = np.flatnonzero(np.diff(c, prepend=-1))
             last = np.append(first[1:], len(c)) - 1
             a, b = lo + first, lo + last + length
-            yield k, np.stack([first + shift, b - a, c[first] - a, anchors[c[first]].view(np.int64), roll.of(a, b).view(np.int64)], 1)
+            yield k, np.stack([first + shift, b - a, c[first] - a, anchors[c[first]].view(np.int64)], 1)
 
 
-def find_pieces(docs: DataFrame, length: int) -> DataFrame:
+def find_pieces(docs: DataFrame, length: int, chunk: int = CHUNK) -> DataFrame:
     """doc_id, text key, start, size, place, anchor, piece of every piece of ``docs`` (doc_id, text)."""
     settled(docs.sparkSession)
     names = ["doc_id", "text_key", "start", "size", "place", "anchor", "piece"]
@@ -106,19 +114,20 @@ def find_pieces(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raws = [(t or "").encode() for t in batch.column(1).to_pylist()]
-            which, rows = [], []
-            for k, r in pieces_of(raws, length):
+            which, rows, digests = [], [], []
+            for k, r in pieces_of(raws, length, chunk):
                 which.append(np.full(len(r), k))
                 rows.append(r)
+                digests += [digest(raws[k][a : a + n]) for a, n in r[:, :2].tolist()]
             if not rows:
                 continue
             at, r = np.concatenate(which), np.concatenate(rows)
             keys = pa.array([hashlib.md5(x).digest() for x in raws], pa.binary())
             columns = [batch.column(0).cast(pa.int64()).take(pa.array(at)), keys.take(pa.array(at))]
-            columns += [pa.array(r[:, c].astype(np.int32)) for c in range(3)] + [pa.array(r[:, c]) for c in (3, 4)]
+            columns += [pa.array(r[:, c].astype(np.int32)) for c in range(3)] + [pa.array(r[:, 3]), pa.array(digests, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text_key binary, start int, size int, place int, anchor long, piece long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text_key binary, start int, size int, place int, anchor long, piece binary")
 
 
 def runs_of(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -148,9 +157,11 @@ def repeated_runs(contents: list[bytes], wanted: list[bool], length: int) -> lis
 def hot_runs(pieces: DataFrame, length: int) -> DataFrame:
     """text_key, start, size of repeated runs of pieces (anchor, piece, n, text_key, start, place, content) with hot anchors.
 
-    A block of up to 16 neighbouring windows is looked at as what all its windows share; only where two pieces share
-    that are its windows counted one by one. Every window of a block holds the bytes that the block's windows share, so a
-    piece with any of them has those bytes.
+    Equal windows have their anchor in the same place, so a window's distance to it splits the work further. A block of
+    up to 16 neighbouring windows is looked at as what all its windows share; only where two pieces share that are its
+    windows counted one by one. Every window of a block holds the bytes that the block's windows share, so a piece with
+    any of them has those bytes. Counting combines before it shuffles, and the joins are of written tables, so that a
+    window of very many texts is no hot task.
     """
 
     def block_rows(cols: dict) -> dict:
@@ -158,15 +169,15 @@ def hot_runs(pieces: DataFrame, length: int) -> DataFrame:
         for a, p, place, c in zip(cols["anchor"], cols["piece"], cols["place"], cols["content"]):
             far = np.unique(np.arange(place - (len(c) - length), place + 1) // STRIDE)
             start = place - far * STRIDE
-            core = Rolling(np.frombuffer(c, np.uint8)).of(start, start - STRIDE + 1 + length)
             out["anchor"] += [a] * len(far)
             out["block"] += far.tolist()
-            out["core"] += core.view(np.int64).tolist()
+            out["core"] += [digest(c[max(0, b) : b - STRIDE + 1 + length]) for b in start.tolist()]
             out["piece"] += [p] * len(far)
         return out
 
-    cores = arrow_map(pieces.select("anchor", "piece", "place", "content"), block_rows, "anchor long, block int, core long, piece long")
-    shared = cores.groupBy("anchor", "block", "core").agg(F.count("*").alias("k")).where("k > 1").select("anchor", "block", "core")
+    cores = arrow_map(pieces.select("anchor", "piece", "place", "content"), block_rows, "anchor long, block int, core binary, piece binary")
+    cores = staged(cores, "cores")
+    shared = staged(cores.groupBy("anchor", "block", "core").agg(F.count("*").alias("k")).where("k > 1").select("anchor", "block", "core"), "shared")
     look = cores.join(shared, ["anchor", "block", "core"], "left_semi")
     blocks = look.groupBy("anchor", "piece").agg(F.collect_set("block").alias("blocks"))
 
@@ -175,9 +186,8 @@ def hot_runs(pieces: DataFrame, length: int) -> DataFrame:
         for a, n, key, begin, place, c, bs in zip(*(cols[k] for k in ("anchor", "n", "text_key", "start", "place", "content", "blocks"))):
             starts = np.arange(len(c) - length + 1)
             starts = starts[np.isin((place - starts) // STRIDE, bs)]
-            h = Rolling(np.frombuffer(c, np.uint8)).of(starts, starts + length).view(np.int64)
             out["anchor"] += [a] * len(starts)
-            out["window"] += h.tolist()
+            out["window"] += [digest(c[x : x + length]) for x in starts.tolist()]
             out["far"] += (place - starts).tolist()
             out["n"] += [n] * len(starts)
             out["text_key"] += [key] * len(starts)
@@ -186,16 +196,16 @@ def hot_runs(pieces: DataFrame, length: int) -> DataFrame:
 
     rows = arrow_map(
         pieces.join(blocks, ["anchor", "piece"]).select("anchor", "n", "text_key", "start", "place", "content", "blocks"), window_rows,
-        "anchor long, window long, far int, n long, text_key binary, at int",
+        "anchor long, window binary, far int, n long, text_key binary, at int",
     )
     rows = staged(rows, "windows")
-    twice = rows.groupBy("anchor", "far", "window").agg(F.sum("n").alias("total")).where("total > 1").select("anchor", "far", "window")
+    twice = staged(rows.groupBy("anchor", "far", "window").agg(F.sum("n").alias("total")).where("total > 1").select("anchor", "far", "window"), "twice")
     return rows.where("n = 1").join(twice, ["anchor", "far", "window"], "left_semi").select("text_key", F.col("at").alias("start"), F.lit(length).alias("size"))
 
 
-def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 400, chunk: int = CHUNK) -> DataFrame:
     """text_key (MD5 of the UTF-8 text), start, size: spans that cover every byte of each repeated window."""
-    pieces = staged(find_pieces(docs, length), "pieces")
+    pieces = staged(find_pieces(docs, length, chunk), "pieces")
     # written tables, so that joins with them deal out both sides anew and an anchor of very many pieces is split
     anchors = staged(pieces.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor"), "anchors")
     met = staged(pieces.join(anchors, "anchor"), "met")
@@ -222,7 +232,7 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
                 out["content"].append(raw[p["start"] : p["start"] + p["size"]])
         return out
 
-    held = staged(arrow_map(found, cut, "anchor long, piece long, n long, hot boolean, start int, place int, text_key binary, content binary"), "contents")
+    held = staged(arrow_map(found, cut, "anchor long, piece binary, n long, hot boolean, start int, place int, text_key binary, content binary"), "contents")
     n_shards = max(1, -(-int(n_bytes) // SHARD))
 
     def sort_shard(group: pd.DataFrame) -> pd.DataFrame:
@@ -252,19 +262,21 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of ``docs`` (doc_id, text).
+def remove_repeats(docs: DataFrame, length: int = 400, chunk: int = CHUNK) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeats of every row of ``docs`` (doc_id, text).
 
     Removed is each byte of a string of ``length`` bytes that also starts elsewhere in the table, in the same text or
     another; repeated rows are texts of their own, so both lose what they share. Null and empty texts, and texts
-    shorter than ``length``, lose nothing. Extra columns are ignored; an empty table gives an empty result.
+    shorter than ``length``, lose nothing. ``repeats`` says that a row loses something. Extra columns are ignored; an
+    empty table gives an empty result.
     """
-    spans = repeated_spans(docs, length).groupBy(F.col("text_key").alias("span_key")).agg(F.collect_list(F.struct("start", "size")).alias("spans"))
+    spans = repeated_spans(docs, length, chunk).groupBy(F.col("text_key").alias("span_key")).agg(F.collect_list(F.struct("start", "size")).alias("spans"))
+    spans = staged(spans, "spans")  # a written table, so that the join deals out both sides anew and a text of very many rows is split
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select("doc_id", text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("text_key"))
 
     def cut(cols: dict) -> dict:
-        out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []}
+        out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "repeats": []}
         for text, found in zip(cols["text"], cols["spans"]):
             raw = text.encode()
             runs = merged([(s["start"], s["size"]) for s in found or []])
@@ -277,7 +289,8 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
             out["n_removed"].append(sum(b - a for a, b in runs))
             out["n_spans"].append(len(runs))
             out["kept_sha256"].append(kept.hexdigest())
+            out["repeats"].append(bool(runs))
         return {"doc_id": cols["doc_id"], **out}
 
     both = keyed.join(spans, F.col("text_key") == F.col("span_key"), "left").select("doc_id", "text", "spans")
-    return arrow_map(both, cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return arrow_map(both, cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, repeats boolean")

@@ -1,29 +1,63 @@
-"""Suffix arrays by induced sorting, and permuted longest common prefixes, in whole-array steps.
+"""Suffix arrays by induced sorting, and permuted longest common prefixes.
 
 Suffixes are classified as S or L, the leftmost-smaller substrings are sorted by induction and named, the string of names
-is sorted, and the whole array is induced from it. Induction visits the buckets in order; all entries of a bucket that
-are known induce their predecessors together, which is the linear scan in strides.
+is sorted in the same way, level by level, and the whole array is induced from it. An induction is one linear scan of the
+array, carried out in strides: what stands before the first place that a stride itself fills is final, and induces its
+predecessors together; where strides get short, places are scanned one by one.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Strings of names over more signs than this have too many buckets to visit one by one; their ranks are doubled instead.
-MOST_BUCKETS = 2048
-
-
-def _place(sa: np.ndarray, at: np.ndarray, j: np.ndarray, signs: np.ndarray, step: int) -> None:
-    """Put suffixes ``j`` into their buckets in this order; ``at`` holds each bucket's next place, ``step`` the direction."""
-    if not len(j):
-        return
-    order = np.argsort(signs, kind="stable")
-    j, signs = j[order], signs[order]
-    first = np.flatnonzero(np.diff(signs, prepend=-1))
-    size = np.diff(np.append(first, len(signs)))
-    rank = np.arange(len(signs)) - np.repeat(first, size)
-    sa[at[signs] + step * rank] = j
-    at[signs[first]] += step * size
+#: Widest stride of a scan, the stride under which places are scanned singly, and how many then are.
+WIDEST, SHORT, SINGLY = 1 << 18, 24, 512
+
+
+def _scan(v: np.ndarray, t: np.ndarray, wanted: np.ndarray, at: np.ndarray) -> None:
+    """Induce along ``v``: each suffix put there puts its predecessor, if ``wanted``, at its bucket's next place ``at``."""
+    i, width, n = 0, 1024, len(v)
+    if len(at) < 1 << 16:
+        t = t.astype(np.uint16)  # sorts by digits
+    while i < n:
+        e = min(n, i + width)
+        seg = v[i:e]
+        source = np.flatnonzero(seg > 0)
+        j = seg[source] - 1
+        ok = wanted[j]
+        if not ok.any():
+            i, width = e, min(2 * width, WIDEST)
+            continue
+        source, j = source[ok] + i, j[ok]
+        signs = t[j]
+        order = np.argsort(signs, kind="stable")
+        source, j, signs = source[order], j[order], signs[order]
+        begins = np.ones(len(signs), bool)
+        np.not_equal(signs[1:], signs[:-1], out=begins[1:])
+        first = np.flatnonzero(begins)
+        size = np.append(first[1:], len(signs)) - first
+        target = np.arange(len(signs)) + np.repeat(at[signs[first]] - first, size)
+        stop = int(target.min())
+        if stop >= e:
+            v[target] = j
+            at[signs[first]] += size
+            i, width = e, min(2 * width, WIDEST)
+            continue
+        final = source < stop  # in each bucket a prefix, since sources ascend there
+        v[target[final]] = j[final]
+        at[signs[first]] += np.add.reduceat(final, first, dtype=np.int64)
+        width = max(64, 2 * (stop - i))
+        if stop - i >= SHORT:
+            i = stop
+            continue
+        i, end = stop, min(n, stop + SINGLY)
+        while i < end:
+            s = v[i]
+            if s > 0 and wanted[s - 1]:
+                c = t[s - 1]
+                v[at[c]] = s - 1
+                at[c] += 1
+            i += 1
 
 
 def _induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, signs: int) -> np.ndarray:
@@ -31,52 +65,22 @@ def _induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, signs: int) -> np
     n = len(t)
     count = np.bincount(t, minlength=signs)
     end = np.cumsum(count)
-    start = end - count
-    sa = np.full(n, -1, np.int64)
-    n_lms = np.bincount(t[lms], minlength=signs)
-    at = end - n_lms
-    _place(sa, at, lms, t[lms].astype(np.int64), 1)
-    head = start.copy()
-    used = np.flatnonzero(count)
-
-    def step(seg: np.ndarray, kind: bool, places: np.ndarray, way: int) -> None:
-        j = seg[seg > 0] - 1
-        j = j[small[j] == kind]
-        _place(sa, places, j, t[j].astype(np.int64), way)
-
-    for c in used:
-        done = start[c]
-        while done < head[c]:
-            now = head[c]
-            step(sa[done:now], False, head, 1)
-            done = now
-        step(sa[end[c] - n_lms[c] : end[c]], False, head, 1)
-    tail = end - 1
-    for c in used[::-1]:
-        done = end[c]
-        while done > tail[c] + 1:
-            now = tail[c] + 1
-            step(sa[now:done][::-1], True, tail, -1)
-            done = now
-        step(sa[start[c] : head[c]][::-1], True, tail, -1)
+    sa = np.full(n, -1, np.int32)
+    # the given suffixes go, in order, to the ends of their buckets
+    begins = t[lms]
+    order = np.argsort(begins, kind="stable")
+    held = np.bincount(begins, minlength=signs)
+    sorted_begins = begins[order]
+    rank = np.arange(len(lms)) - (np.cumsum(held) - held)[sorted_begins]
+    places = (end - held)[sorted_begins] + rank
+    sa[places] = lms[order]
+    _scan(sa, t, ~small, end - count)
+    sa[places] = -1  # they, too, are induced by the way back
     sa[0] = n - 1
+    _scan(sa[::-1], t, small, n - end)
     return sa
 
 
-def _doubled(t: np.ndarray) -> np.ndarray:
-    """Suffix array by doubling of ranks."""
-    n, rank, k = len(t), t.astype(np.int64), 1
-    while True:
-        key = rank * (n + 1)
-        key[: n - k] += rank[k:] + 1 if k < n else 0
-        order = np.argsort(key, kind="stable")
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.diff(key[order], prepend=key[order[0]]) > 0)
-        if new[order[-1]] == n - 1:
-            return order
-        rank, k = new, 2 * k
-
-
 def _sorted(t: np.ndarray, signs: int) -> np.ndarray:
     """Suffix array of ``t``, whose last sign is 0 and occurs nowhere else."""
     n = len(t)
@@ -105,10 +109,9 @@ def _sorted(t: np.ndarray, signs: int) -> np.ndarray:
         differ[like] = ~np.logical_and.reduceat(equal, np.cumsum(each) - each)
     names = np.cumsum(differ) - 1
     if names[-1] + 1 < len(order):
-        by_place = np.empty(n, np.int64)
+        by_place = np.empty(n, np.int32)
         by_place[order] = names
-        reduced = by_place[lms]
-        order = lms[_sorted(reduced, int(names[-1]) + 1) if names[-1] < MOST_BUCKETS else _doubled(reduced)]
+        order = lms[_sorted(by_place[lms], int(names[-1]) + 1)]
     return _induce(t, small, order, signs)
 
 
@@ -116,7 +119,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     """Start of each suffix of ``data`` (uint8) in sorted order."""
     if not len(data):
         return np.zeros(0, np.int64)
-    t = np.zeros(len(data) + 1, np.int16)
+    t = np.zeros(len(data) + 1, np.int32)  # a shard is far smaller than 2**31
     t[:-1] = data
     t[:-1] += 1
     return _sorted(t, 257)[1:]

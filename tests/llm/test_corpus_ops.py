@@ -112,15 +112,51 @@ def test_suffix_arrays():
             while max(x, y) + want[y] < n and d[x + want[y]] == d[y + want[y]]:
                 want[y] += 1
         assert suffix.permuted_lcp(a, sa).tolist() == want
-    long = np.frombuffer(b"abcab" * 900 + b"q" * 700, np.uint8)
-    assert suffix.suffix_array(long).tolist() == suffix._doubled(np.append(long.astype(np.int64) + 1, 0))[1:].tolist()
+
+
+def doubled(t):
+    """Suffix array by doubling of ranks."""
+    n, rank, k = len(t), np.asarray(t).astype(np.int64), 1
+    while True:
+        key = rank * (n + 2)
+        key[: n - k] += rank[k:] + 1
+        order = np.argsort(key, kind="stable")
+        new = np.empty(n, np.int64)
+        new[order] = np.cumsum(np.diff(key[order], prepend=key[order[0]]) > 0)
+        if new[order[-1]] == n - 1:
+            return order
+        rank, k = new, 2 * k
+
+
+def thue_morse(n):
+    bits = np.zeros(1, np.uint8)
+    while len(bits) < n:
+        bits = np.concatenate([bits, 1 - bits])
+    return (bits[:n] + ord("a")).tobytes()
+
+
+def test_suffix_arrays_of_structured_and_long_strings():
+    rng = np.random.default_rng(4)
+    words = [bytes(rng.integers(97, 123, rng.integers(2, 9)).astype(np.uint8)) for _ in range(3000)]
+    prose = b" ".join(words[i] for i in rng.integers(0, 3000, 30_000))
+    for d in (b"a" * 50_000, thue_morse(1 << 16), b"abcab" * 900 + b"q" * 700, b"ab" * 40_000 + b"b", prose, prose + prose[:70_000], bytes(rng.integers(0, 256, 100_000).astype(np.uint8))):
+        a = np.frombuffer(d, np.uint8)
+        assert (suffix.suffix_array(a) == doubled(np.append(a.astype(np.int64) + 1, 0))[1:]).all(), d[:20]
 
 
 @pytest.mark.parametrize("most", [2000, 2])
-def test_repeats(docs, empty, monkeypatch, most):
+def test_repeats(spark, docs, empty, monkeypatch, most):
     monkeypatch.setattr(substrings, "MOST_PIECES", most)
-    length = 90
-    rows = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
+    same_as_brute_force(docs, 90)
+    assert substrings.remove_repeats(empty, 90).count() == 0
+    t, shared = thue_morse(9000).decode(), "".join(map(chr, range(200, 400)))
+    odd = [t, t[4096:] + t[:4096], "a" * 3000, "a" * 95, "ab" * 700, t[:4096] + "x" + t[4096:], *(f"{i:04d}" * 20 + shared + f"{i * 7:05d}" * 9 for i in range(12))]
+    df = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    same_as_brute_force(df, 90, chunk=1000)  # texts are cut at several seams
+
+
+def same_as_brute_force(docs, length, **how):
+    rows = [(r.doc_id, (r.text or "").encode()) for r in docs.select("doc_id", "text").collect()]
     starts = collections.Counter(b[i : i + length] for _, b in rows for i in range(len(b) - length + 1))
     want = collections.Counter()
     for d, b in rows:
@@ -129,10 +165,9 @@ def test_repeats(docs, empty, monkeypatch, most):
             if starts[b[i : i + length]] > 1:
                 gone[i : i + length] = True
         kept = bytes(c for c, g in zip(b, gone) if not g)
-        want[d, len(b), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()] += 1
-    got = collections.Counter(tuple(r) for r in substrings.remove_repeats(docs, length).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())
+        want[d, len(b), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest(), bool(gone.any())] += 1
+    got = collections.Counter(tuple(r) for r in substrings.remove_repeats(docs, length, **how).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "repeats").collect())
     assert got == want and sum(k[2] for k in want) > 0
-    assert substrings.remove_repeats(empty, length).count() == 0
 
 
 def test_sharding(docs, empty, tmp_path):
@@ -155,6 +190,64 @@ def test_sharding(docs, empty, tmp_path):
     assert back.count() == n and sorted(r.slot for r in back.where("shard = 0").collect()) == list(range(back.where("shard = 0").count()))
 
 
+def shuffled_by_hand(ids, sizes, n_shards, seed=17):
+    """Shard and slot of records with distinct ids, from the rules alone."""
+    import struct
+
+    import xxhash
+
+    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+    of_int = lambda x, s: xxhash.xxh64_intdigest(struct.pack("<i", x), s)
+    of_long = lambda x, s: xxhash.xxh64_intdigest(struct.pack("<q", x), s)
+    n = len(ids)
+    n_buckets = max(1, -(-sum(sizes) // sharding.BUCKET_BYTES), -(-n // sharding.BUCKET_ROWS))
+    buckets = collections.defaultdict(list)
+    for d in ids:
+        h = signed(of_int(seed, 42) if d is None else of_long(d, of_int(seed, 42)))
+        buckets[signed(of_long(h, of_int(seed + 1, 42))) % n_buckets].append((h, d))
+    out, rank = {}, 0
+    for b in sorted(buckets):
+        order = []
+        for i in range(len(buckets[b])):
+            j = signed(of_int(i, of_int(b, of_int(seed + 2, 42)))) % (i + 1)
+            order.append(i)
+            order[j], order[i] = order[i], order[j]
+        records = sorted(buckets[b])
+        for i in order:
+            shard = rank * n_shards // n
+            out[records[i][1]] = shard, rank - -(-shard * n // n_shards)
+            rank += 1
+    return out
+
+
+@pytest.mark.parametrize("partitions,adaptive", [(4, "true"), (7, "false"), (200, "true"), (1, "false")])
+def test_shuffle_is_the_one_of_the_rules(spark, partitions, adaptive):
+    import zlib
+
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    texts = {i: f"text {i % 97} é" * (i % 13) for i in range(3000)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        got = sharding.shard_documents(docs).collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    want = shuffled_by_hand(list(texts), [len(t.encode()) + 8 for t in texts.values()], 24)
+    assert {(r.doc_id, r["size"], r.text_crc32, r.shard, r.slot) for r in got} == {(d, len(t.encode()) + 8, zlib.crc32(t.encode()), *want[d]) for d, t in texts.items()}
+    assert len(got) == 3000
+
+
+def test_fisher_yates_is_uniform(spark):
+    """Each of the 24 orders of four comes up about as often."""
+    from pyspark.sql import functions as F
+
+    draw = lambda i: F.pmod(F.xxhash64(F.col("id"), i), (i + 1).cast("long")).cast("int")
+    seen = {tuple(r.a): r["count"] for r in spark.range(24_000).select(sharding.fisher_yates(F.lit(4), draw).alias("a")).groupBy("a").count().collect()}
+    assert len(seen) == 24 and sum((n - 1000) ** 2 / 1000 for n in seen.values()) < 60
+
+
 def test_sharding_writes_whole_records(spark, docs, empty, monkeypatch, tmp_path):
     from tessera.llm import queries
 
