@@ -1,14 +1,15 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags. Pass one labels a block by the container it stands in, its link density,
-its length and its density of stop words; pass two gives ambiguous (short or sparse) blocks the label of their nearest
-decided neighbours in the same container.
+A page is cut into blocks at block-level tags. Pass one weighs a block's density of stop words, its length and its link
+density, with the container it stands in as a prior, and decides where that is enough; pass two gives ambiguous (short or
+sparse) blocks the label of their nearest decided neighbours.
 """
 
 from __future__ import annotations
 
 import html as htmllib
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -38,134 +39,274 @@ CHROME_NAME = re.compile(
     r"header|masthead|footer|comments?|comment-\w+|respond|disqus\w*|replies|related|share|sharing|social|login|search|pagination|pager|tags?|toolbar)(?:$|[\s_-])",
     re.I,
 )
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: What may end a tag, or begin a quoted value in which it can't end; the name of a tag.
+TAG_STOP = re.compile(r"=\s*([\"'])|>")
+TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 NAME_ATTR = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 WORD = re.compile(r"[^\W\d_]+")
 
 
+#: A start tag that ends an open one on top of the stack, though no end tag is written.
+ENDS_ALSO = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset("tr td th".split()), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"])}
+#: Blocks that may stand inside a paragraph.
+IN_PARAGRAPH = frozenset("br button caption legend meta link tbody td tfoot th thead tr".split())
+RIGHTS = re.compile(r"©|\bcopyright\b|\ball rights reserved\b", re.I)
+
+
 @dataclass
 class Rules:
-    """Thresholds: a block over ``short`` characters is decided by its words, links over ``links`` of its text make a menu."""
+    """Weights of the evidence. A block is decided where they add up to ``sure`` or more, either way."""
 
+    sure: float = 1.5
+    #: A block of so many characters is judged by its density of stop words; under it, words say nothing.
     short: int = 70
-    links: float = 0.5
     stop_high: float = 0.25
     stop_low: float = 0.08
+    dense: float = 2.0
+    sparse: float = -2.0
+    #: Of a density between the two, in a block of twice ``short`` or more.
+    middling: float = 1.5
+    #: Of a block that is link text only; others in proportion. Three or more such blocks in a row are a menu.
+    linked: float = -3.0
+    menu: float = -2.0
+    rights: float = -3.0
+    #: Priors of containers: boilerplate (a form, too, where there is an article), short blocks of another form, article,
+    #: and what stands outside the article.
+    chrome: float = -4.0
+    form: float = -1.5
+    article: float = 2.0
+    outside: float = -4.0
+    #: Under this density of stop words the page is in a language without a list, so that a long block counts as ``unknown``.
+    known: float = 0.04
+    unknown: float = 1.5
 
 
 @dataclass
 class Block:
     text: str
     linked: int
-    chrome: bool
-    main: bool
+    #: "chrome", "form", "main" or "", by the containers around it, and a number for the container.
+    place: str
     region: int
+    heading: bool
+
+
+class Outline:
+    """The open block-level elements of a page."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, str]] = []  # tag, place
+        self.open: Counter[str] = Counter()
+        self.fixed = self.region = 0  # open containers that hold boilerplate whatever stands in them; containers seen
+        self.named: list[str] = []  # places of the other open containers; the innermost counts
+        self.linked_at = -1  # depth at which a link was opened
+
+    @property
+    def place(self) -> str:
+        return "chrome" if self.fixed else self.named[-1] if self.named else ""
+
+    def push(self, tag: str, place: str) -> None:
+        self.stack.append((tag, place))
+        self.open[tag] += 1
+        self._count(place, 1)
+
+    def pop(self) -> str:
+        tag, place = self.stack.pop()
+        self.open[tag] -= 1
+        self._count(place, -1)
+        if len(self.stack) < self.linked_at:
+            self.linked_at = -1
+        return tag
+
+    def _count(self, place: str, n: int) -> None:
+        if not place:
+            return
+        self.region += 1
+        if place == "fixed":
+            self.fixed += n
+        elif n > 0:
+            self.named.append(place)
+        else:
+            self.named.pop()
+
+    def start(self, tag: str, attrs: str) -> None:
+        if tag not in IN_PARAGRAPH and self.stack and self.stack[-1][0] == "p":
+            self.pop()
+        also = ENDS_ALSO.get(tag, ())
+        while self.stack and self.stack[-1][0] in also:
+            self.pop()
+        names = " ".join(filter(None, (x for y in NAME_ATTR.findall(attrs) for x in y))) if "=" in attrs else ""
+        place = ""
+        if tag in CHROME:
+            place = "form" if tag == "form" else "fixed"
+        elif tag in ("article", "main") or names == "main":
+            place = "main"
+        elif names and tag not in ("html", "body") and CHROME_NAME.search(names):
+            place = "chrome"
+        self.push(tag, place)
+
+    def end(self, tag: str) -> None:
+        if self.open[tag]:
+            while self.pop() != tag:
+                pass
 
 
 def blocks_of(page: str) -> list[Block]:
-    """Blocks in page order, references decoded and white space folded; blocks without text are left out."""
+    """Blocks in page order, references decoded and white space folded; blocks without text are left out.
+
+    Each character is read a fixed number of times, however a page is broken: a tag that never ends takes the rest of
+    the page, as in a browser, and so does a comment, script or style.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, opens boilerplate, opens the article
+    outline = Outline()
     parts: list[str] = []
-    linked, region, chrome, main, in_link = 0, 0, 0, 0, 0
-    pos, raw_end = 0, {}
+    linked, heading, pos, size = 0, False, 0, len(page)
+    unclosed: set[str] = set()
+    last_quote = {q: page.rfind(q) for q in "\"'"}
+    raw_end: dict[str, re.Pattern] = {}
 
-    def close() -> None:
+    def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join(htmllib.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, linked, chrome > 0, main > 0, region))
+                out.append(Block(text, linked, outline.place, outline.region, heading))
             parts.clear()
         linked = 0
 
-    while True:
-        m = TAG.search(page, pos)
-        chunk = page[pos : m.start() if m else len(page)]
-        if chunk:
-            parts.append(chunk)
-            if in_link:
-                linked += len("".join(htmllib.unescape(chunk).split()))
-        if not m:
+    def add(chunk: str) -> None:
+        nonlocal linked
+        parts.append(chunk)
+        if outline.linked_at >= 0:
+            linked += len("".join(htmllib.unescape(chunk).split()))
+
+    def tag_end(at: int) -> int:
+        while m := TAG_STOP.search(page, at):
+            if not m[1]:
+                return m.start()
+            at = page.index(m[1], m.end()) + 1 if m.end() <= last_quote[m[1]] else m.end()
+        return -1
+
+    while pos < size:
+        at = page.find("<", pos)
+        if at < 0:
+            add(page[pos:])
             break
-        pos = m.end()
-        if not m[2]:
+        if at > pos:
+            add(page[pos:at])
+        if page.startswith("<!--", at):
+            stop = page.find("-->", at + 4)
+            pos = stop + 3 if stop >= 0 else size
             continue
-        ends, tag = bool(m[1]), m[2].lower()
-        if tag in BLOCK:
-            close()
-        if not ends and tag in RAW:
-            if m[3].endswith("/"):
-                continue
-            stop = raw_end.setdefault(tag, re.compile(rf"</{tag}\s*>", re.I)).search(page, pos)
-            pos = stop.end() if stop else len(page) if tag not in ("head", "title") else pos
-            continue
-        if tag in VOID or (not ends and m[3].endswith("/")):
-            continue
-        if tag == "a":
-            in_link = 0 if ends else 1
-            continue
-        if tag not in BLOCK:
+        ends = page.startswith("/", at + 1)
+        name = TAG_NAME.match(page, at + 1 + ends)
+        if not name:
+            if ends or page[at + 1 : at + 2] in ("!", "?"):
+                stop = page.find(">", at)
+                pos = stop + 1 if stop >= 0 else size
+            else:
+                add("<")
+                pos = at + 1
             continue
-        if not ends:
-            names = " ".join(filter(None, (x for y in NAME_ATTR.findall(m[3]) for x in y))) if "=" in m[3] else ""
-            is_chrome = tag in CHROME or bool(names and tag not in ("html", "body", "article", "main") and CHROME_NAME.search(names))
-            is_main = tag in ("article", "main") or names == "main"
-            stack.append((tag, is_chrome, is_main))
-            chrome += is_chrome
-            main += is_main
-            region += is_chrome or is_main
-        elif any(t == tag for t, _, _ in stack):
-            while True:
-                t, was_chrome, was_main = stack.pop()
-                chrome -= was_chrome
-                main -= was_main
-                region += was_chrome or was_main
-                if was_chrome or was_main:
-                    in_link = 0
-                if t == tag:
-                    break
-    close()
+        stop = tag_end(name.end())
+        if stop < 0:
+            break
+        tag, attrs, pos = name[0].lower(), page[name.end() : stop], stop + 1
+        if tag in BLOCK:
+            flush()
+        if tag in RAW and not ends:
+            if not attrs.endswith("/") and tag not in unclosed:
+                found = raw_end.setdefault(tag, re.compile(rf"</{re.escape(tag)}\s*>", re.I)).search(page, pos)
+                if found:
+                    pos = found.end()
+                elif tag in ("script", "style"):
+                    pos = size
+                else:
+                    unclosed.add(tag)
+        elif tag == "a":
+            outline.linked_at = -1 if ends else len(outline.stack)
+        elif tag in BLOCK and tag not in VOID and (ends or not attrs.endswith("/")):
+            if ends:
+                outline.end(tag)
+            else:
+                outline.start(tag, attrs)
+            heading = not ends and len(tag) == 2 and tag[0] == "h"
+    flush()
+    return out
+
+
+def link_share(b: Block) -> float:
+    return b.linked / max(1, len("".join(b.text.split())))
+
+
+def stop_density(text: str) -> float:
+    words = WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
+
+def evidence(blocks: list[Block], rules: Rules) -> list[float]:
+    """What words, length and links of each block say: over zero for an article's text, under zero for boilerplate."""
+    links, density = [link_share(b) for b in blocks], [stop_density(b.text) for b in blocks]
+    judged = [(d, len(b.text)) for b, d, x in zip(blocks, density, links) if len(b.text) >= rules.short and x < 0.5]
+    known = sum(d * n for d, n in judged) >= rules.known * sum(n for _, n in judged)
+    out, run = [], 0
+    for i, (b, d, x) in enumerate(zip(blocks, density, links)):
+        score = rules.linked * x
+        if RIGHTS.search(b.text) and len(b.text) < 3 * rules.short:
+            score += rules.rights
+        if len(b.text) >= rules.short:
+            middling = rules.middling if len(b.text) >= 2 * rules.short else 0.0
+            score += rules.unknown if not known else rules.dense if d >= rules.stop_high else rules.sparse if d < rules.stop_low else middling
+        out.append(score)
+        run = run + 1 if x > 0.9 else 0
+        if run == 3:
+            out[-3:] = [s + rules.menu for s in out[-3:]]
+        elif run > 3:
+            out[-1] += rules.menu
     return out
 
 
 def decide(blocks: list[Block], rules: Rules = Rules()) -> list[bool]:
-    """Whether each block is main text."""
-    has_main = any(b.main for b in blocks)
-    labels: list[bool | None] = []
-    for b in blocks:
-        words = WORD.findall(b.text.lower())
-        density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-        links = b.linked / max(1, len("".join(b.text.split())))
-        if b.chrome or (has_main and not b.main):
-            labels.append(False)
-        elif links > rules.links:
-            labels.append(None if b.main and links < 1 else False)
-        elif len(b.text) >= rules.short and density >= rules.stop_high:
-            labels.append(True)
-        elif len(b.text) >= rules.short and density < rules.stop_low and not b.main:
-            labels.append(False)
-        else:
-            labels.append(None)
+    """Whether each block is main text.
+
+    Pass one adds to a block's evidence the prior of its container. An article element is believed where it holds most
+    of the text that the evidence is for; then what stands outside has a prior, too. Pass two gives a block that is not
+    decided the label of its nearest decided neighbour, a heading that of the next one; inside an article, neighbours are
+    those of the same container, and without any the prior holds.
+    """
+    found = evidence(blocks, rules)
+    mass = Counter()
+    for b, s in zip(blocks, found):
+        if s > 0 and b.place in ("main", ""):
+            mass[b.place] += len(b.text)
+    mains = any(b.place == "main" for b in blocks)
+    believed = mains and mass["main"] >= mass[""] / 2
+    priors = {"chrome": rules.chrome, "form": rules.chrome if believed else 0.0, "main": rules.article if believed else 0.0, "": rules.outside if believed else 0.0}
+    prior = [priors[b.place] or (rules.form if b.place == "form" and len(b.text) < rules.short else 0.0) for b in blocks]
+    scores = [s + x for s, x in zip(found, prior)]
+    labels: list[bool | None] = [s > 0 if abs(s) >= rules.sure else None for s in scores]
 
-    def nearest(order: range) -> list[tuple[int, bool] | None]:
-        found: list[tuple[int, bool] | None] = [None] * len(blocks)
+    def nearest(order: range, inside: bool) -> list[tuple[int, bool] | None]:
+        """Distance and label of the decided block that comes last before each one, of the same container if ``inside``."""
+        out: list[tuple[int, bool] | None] = [None] * len(blocks)
         last, at, region = None, 0, -1
         for i in order:
-            if blocks[i].region != region:
+            if inside and blocks[i].region != region:
                 last, region = None, blocks[i].region
             if labels[i] is not None:
                 last, at = labels[i], i
             elif last is not None:
-                found[i] = (abs(i - at), last)
-        return found
+                out[i] = (abs(i - at), last)
+        return out
 
-    before, after = nearest(range(len(blocks))), nearest(range(len(blocks) - 1, -1, -1))
+    ahead, back = range(len(blocks)), range(len(blocks) - 1, -1, -1)
+    near = {inside: (nearest(ahead, inside), nearest(back, inside)) for inside in (False, True)}
     out = []
-    for b, label, x, y in zip(blocks, labels, before, after):
+    for i, (b, label) in enumerate(zip(blocks, labels)):
         if label is None:
-            near = [n for n in (x, y) if n]
-            label = min(near, key=lambda n: (n[0], not n[1]))[1] if near else b.main or not has_main and len(b.text) >= rules.short
+            before, after = (x[i] for x in near[believed and b.place == "main"])
+            known = [n for n in ((after,) if b.heading and after else (before, after)) if n]
+            label = min(known, key=lambda n: (n[0], not n[1]))[1] if known else prior[i] > 0
         out.append(label)
     return out
 
