@@ -86,7 +86,9 @@ def base_spans(text: str) -> dict[str, list[Span]]:
 #: Places that are looked at, of any length; no character is read more often than a fixed number of times.
 _RUN = r"[A-Za-z0-9_+/-]{20,}+(?:={1,2}(?![A-Za-z0-9_+/=-]))?"
 PLACE = re.compile(
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|\(dot\)|\[dot\]|\{dot\}) ?[A-Za-z0-9-]{1,63}){1,5}"
+    r"(?<![A-Za-z0-9_+/.-])/*+eyJ[A-Za-z0-9_-]{8,}+(?:\.[A-Za-z0-9_-]{4,}+){1,4}"
+    r"|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} (?:at|AT) [A-Za-z0-9-]{1,63}(?: (?:dot|DOT) [A-Za-z0-9-]{1,63}){1,5}"
+    r"|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\((?:at|AT)\)|\[(?:at|AT)\]|\{(?:at|AT)\}) ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|\((?:dot|DOT)\)|\[(?:dot|DOT)\]|\{(?:dot|DOT)\}) ?[A-Za-z0-9-]{1,63}){1,5}"
     rf"|(?<![A-Za-z0-9_+/-])(?=[0-9_+/-]*+[A-Za-z]){_RUN}"
     r"|(?<![A-Za-z0-9])\(?[0-9]{2,}+\)?(?:[ .()/-]{1,2}[0-9]++)+(?![A-Za-z0-9])"
     rf"|(?<![A-Za-z0-9_+/-])(?=[_+/-]*+[0-9]){_RUN}"
@@ -101,13 +103,19 @@ LONGEST = 14
 #: Words before a span that tell its kind.
 CUES = {
     "email": "mail email e-mail contact write".split(), "ip": "ip host server address addr".split(), "card": "card visa mastercard amex credit".split(),
-    "phone": "phone tel telephone call fax mobile cell whatsapp".split(), "secret": "token key secret password passwd pwd apikey api_key access_key bearer".split(),
+    "phone": "phone tel telephone call fax mobile cell whatsapp".split(), "secret": "token key secret password passwd pwd apikey api_key access_key bearer credential credentials".split(),
     "not": "version v order invoice page isbn no id year section figure table release".split(),
 }
 _CUE_OF = {w: k for k, ws in CUES.items() for w in ws}
-#: Where small letters turn to capitals.
+#: What published kinds of keys and tokens begin with.
+KEY_PREFIXES = "AKIA ASIA ghp_ gho_ ghu_ ghs_ ghr_ github_pat_ glpat- sk_live_ sk_test_ rk_live_ sk- xoxb- xoxp- xoxa- AIza npm_ hf_ eyJ".split()
+PREFIX = re.compile("|".join(map(re.escape, KEY_PREFIXES)))
+#: Where small letters turn to capitals; runs of one class of sign.
 TURN = re.compile("[a-z][A-Z]")
-AT = re.compile(r"\((?:at)\)|\[(?:at)\]|\{(?:at)\}")
+CLASS_RUN = re.compile("[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+")
+AT = re.compile(r"[(\[{](?:at|AT)[)\]}]| (?:at|AT) ")
+HEX = re.compile("[0-9a-f-]+")
+DOT = re.compile(r"\b(?:dot|DOT)\b")
 
 
 def free_parts(text: str, start: int, end: int, taken: list[Span]) -> list[Span]:
@@ -127,6 +135,8 @@ def places_of(text: str, base: dict[str, list[Span]]) -> Iterator[Span]:
     first = 0
     for m in PLACE.finditer(text):
         start, end = m.span()
+        while text[start] == "/" and start < end - 1:  # of an address
+            start += 1
         while first < len(taken) and ends[first] <= start:
             first += 1
         last = first
@@ -137,7 +147,10 @@ def places_of(text: str, base: dict[str, list[Span]]) -> Iterator[Span]:
 
 def cue_of(before: str) -> str:
     """The kind of the word that a text ends with."""
-    return _CUE_OF.get(m[1].lower(), "") if (m := CUE.search(before)) else ""
+    if not (m := CUE.search(before)):
+        return ""
+    word = m[1].lower()
+    return _CUE_OF.get(word) or next((_CUE_OF[p] for p in reversed(word.split("_")) if p in _CUE_OF), "")
 
 
 def segment_features(seg: str, before: str, whole: bool, lead: str) -> list[str]:
@@ -145,16 +158,19 @@ def segment_features(seg: str, before: str, whole: bool, lead: str) -> list[str]
     d = digits_in(seg)
     shape = re.sub(r"[0-9]+", "9", re.sub(r"[A-Za-z]+", "a", seg))
     cue = cue_of(before)
-    out = [f"len{min(len(seg) // 6, 8)}", f"dig{min(len(d), 20)}", "whole" if whole else "part", f"cue-{cue}", f"lead-{lead}", f"at{bool(AT.search(seg))}"]
+    out = [f"len{min(len(seg) // 6, 8)}", f"dig{min(len(d), 20)}", "whole" if whole else "part", f"cue-{cue}", f"lead-{lead}", f"at{bool(AT.search(seg))}", f"dot{bool(DOT.search(seg))}"]
     if len(shape) <= 12:
         out.append(f"shape-{shape}")
         if "a" not in shape:
             out.append("groups" + ".".join(str(len(g)) for g in re.findall("[0-9]+", seg)))
     if 13 <= len(d) <= 19:
         out.append(f"luhn{luhn(d)}")
+    if len(seg) >= 20 and (m := PREFIX.match(seg)):
+        out += [f"prefix-{m[0]}", f"prefix{whole}"]
     if re.fullmatch(r"[A-Za-z0-9_+/=-]{20,}", seg):
         kinds = (any(c.islower() for c in seg)) + (any(c.isupper() for c in seg)) + bool(d)
         out += [f"opaque{kinds}", f"mix{min(4, 8 * len(d) // len(seg))}", f"runs{min(6, len(re.findall('[0-9]+', seg)))}", f"opaquecue-{cue}"]
+        out += [f"chaos{kinds}.{10 * len(CLASS_RUN.findall(seg)) // len(seg)}", f"hex{bool(HEX.fullmatch(seg))}"]
         if not d:
             out += [f"digitlesscue-{cue}", f"turns{min(4, 10 * len(TURN.findall(seg)) // len(seg))}"]
     if seg[0] in "(" and ")" in seg:
@@ -240,6 +256,10 @@ def gradient(n: int, segs, gold: set[tuple[int, int, int]], weights: dict[str, f
     return out
 
 
+#: How local numbers are written in some countries.
+LOCAL_PHONES = ["0{2} {7}", "0{2}-{7}", "0{2}/{8}", "0{3}/{7}", "0{3}-{7}", "(0{2}) {7}", "(0{3}) {6}", "0{3} {3} {4}", "0{2} {4} {4}", "0{1}.{2}.{2}.{2}.{2}", "0{1}-{2}-{2}-{2}-{2}", "{3} {2} {2} {2}", "{2} {3} {2} {2}", "{3}.{3}.{4}", "0{4} {3}{3}"]
+
+
 def examples(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """Made-up labelled sentences: entities in the forms that the patterns miss, and look-alikes that are none."""
     rng = random.Random(seed)
@@ -282,6 +302,33 @@ def examples(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, str]]]]:
             return [(rng.choice(["", "see ", "page "]) + rng.choice(["-", "_", "/", ""]).join(words if rng.random() < 0.7 else [w.title() for w in words]) + " ", None)]
         return [(rng.choice(["", "table ", "no "]) + " ".join(digits(rng.choice([1, 2, 2, 3, 4, 4, 5])) for _ in range(rng.randint(3, 16))) + " ", None)]
 
+    def published() -> list[tuple[str, str | None]]:
+        """Keys and tokens of published kinds, with a name before them or not, and long names that look like them."""
+        letters, lower, figures = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+        run = lambda signs, k: "".join(rng.choice(signs) for _ in range(k))
+        lead = rng.choice(["", "", "use ", "key ", "token: ", "secret = ", "export API_KEY=", "Authorization: Bearer ", "credentials: ", "was ", "AWS_ACCESS_KEY_ID=", "id: ", "https://", "//"])
+        form = rng.randrange(8)
+        if form == 0:
+            body = rng.choice(["AKIA", "ASIA"]) + run(lower.upper() + figures, 16)
+        elif form == 1:
+            body = rng.choice([x for x in KEY_PREFIXES if x not in ("AKIA", "ASIA", "eyJ")]) + run(letters + figures, rng.choice([24, 32, 36, 36, 40, 59]))
+        elif form == 2:
+            body = ".".join(["eyJ" + run(letters + figures, rng.randint(15, 40)), "eyJ" + run(letters + figures + "_-", rng.randint(30, 120)), run(letters + figures + "_-", rng.choice([22, 43, 86]))])
+        elif form == 3:
+            body = run(letters, 1) + run(letters + figures + "/+", 38) + run(letters, 1)
+            lead = rng.choice(["", "aws_secret_access_key = ", "secret_access_key: ", "SecretAccessKey=", "AWS_SECRET_KEY=", "client_secret: "])
+        elif form == 4:
+            body = run(letters, 1) + run(letters + figures, rng.choice([31, 39, 63]))
+            lead = lead.rstrip("/") if lead.endswith("//") else lead
+        elif form == 5:
+            return [(rng.choice(["", "id ", "see ", "request "]) + "-".join(run("0123456789abcdef", k) for k in (8, 4, 4, 4, 12)) + " ", None)]
+        elif form == 6:
+            parts = [word().title() + rng.choice(["", "", digits(1)]) for _ in range(rng.randint(4, 8))]
+            return [(rng.choice(["", "class ", "in "]) + rng.choice(["", "", "/", "_"]).join(parts) + " ", None)]
+        else:
+            return [(rng.choice(["", "sha256 ", "commit ", "md5 "]) + run("0123456789abcdef", rng.choice([32, 40, 64])) + " ", None)]
+        return [(lead, None), (body, "secret"), ("@host " if lead.endswith("//") else " ", None)]
+
     def entity() -> tuple[str, str | None, str]:
         """What stands before it, its kind, its text."""
         form = rng.randrange(14)
@@ -289,9 +336,13 @@ def examples(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, str]]]]:
             br = rng.choice(["()", "[]", "{}"])
             gap = rng.choice(["", " "])
             dot = rng.choice([".", f"{br[0]}dot{br[1]}"])
-            return rng.choice(["", "mail ", "contact: "]), "email", f"{word()}{gap}{br[0]}at{br[1]}{gap}{word()}{gap if dot != '.' else ''}{dot}{gap if dot != '.' else ''}{rng.choice(['com', 'org', 'net', 'de'])}"
+            name, end = rng.choice([word(), f"{word()}.{word()}", f"{word()}{digits(2)}"]), rng.choice(["com", "org", "net", "de", "fr", "es", "co.uk"])
+            if rng.random() < 0.3:
+                return rng.choice(["", "mail ", "contact: ", "write to "]), "email", f"{name} at {word()} dot {end.replace('.', ' dot ')}"
+            body = f"{name}{gap}{br[0]}at{br[1]}{gap}{word()}{gap if dot != '.' else ''}{dot}{gap if dot != '.' else ''}{end}"
+            return rng.choice(["", "mail ", "contact: "]), "email", body.replace("at" + br[1], "AT" + br[1]).replace("dot" + br[1], "DOT" + br[1]) if rng.random() < 0.2 else body
         if form in (1, 2, 3):
-            shape = rng.choice(["({3}) {3}-{4}", "{3}-{3}-{4}", "{4} {6}", "{3} {3} {4}", "{2} {2} {2} {2} {2}", "{3}/{7}".replace("{7}", "{6}"), "{5} {6}"])
+            shape = rng.choice(["({3}) {3}-{4}", "{3}-{3}-{4}", "{4} {6}", "{3} {3} {4}", "{2} {2} {2} {2} {2}", "{3}/{7}".replace("{7}", "{6}"), "{5} {6}", *LOCAL_PHONES])
             cue = rng.choice(["phone ", "tel: ", "call ", "fax ", "mobile: "])
             return cue, "phone", filled(shape)
         if form in (4, 5, 6):
@@ -318,8 +369,8 @@ def examples(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, str]]]]:
     for _ in range(n):
         text, gold = " ".join(word() for _ in range(rng.randint(2, 6))) + " ", []
         for _ in range(rng.randint(1, 2)):
-            if (form := rng.random()) < 0.3:
-                parts = neighbours() if form < 0.12 else numbers() if form < 0.17 else opaque()
+            if (form := rng.random()) < 0.35:
+                parts = neighbours() if form < 0.08 else numbers() if form < 0.12 else published() if form < 0.25 else opaque()
             else:
                 lead, kind, body = entity()
                 parts = [(lead, None), (body, kind), ('" ' if lead.endswith('"') else "' " if lead.endswith("'") else " ", None)]
@@ -332,7 +383,7 @@ def examples(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, str]]]]:
     return out
 
 
-def train(n: int = 1500, seed: int = 5, rounds: int = 6) -> dict[str, float]:
+def train(n: int = 5000, seed: int = 5, rounds: int = 8) -> dict[str, float]:
     """Weights by stochastic gradient ascent on the conditional log-likelihood, with a small ridge."""
     places = []
     for text, gold in examples(n, seed):
