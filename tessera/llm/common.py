@@ -88,11 +88,14 @@ def _arrow_type(name: str) -> pa.DataType:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or, only where that is unset, one of our own."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a local session may leave it unset, and gets
+    a folder of its own; on a cluster that would be another disk for each machine, so there it is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(path)
     return path
@@ -118,4 +121,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(spark, name)
     df.write.parquet(path)
     drop_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a :func:`staged` table that nothing reads any more."""
+    spark = df.sparkSession
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)

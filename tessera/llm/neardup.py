@@ -1,9 +1,11 @@
 """Near-duplicates by SuperMinHash: signatures, banding, verification on full sets and union-find grouping.
 
 A text's set holds 64-bit hashes of its distinct word shingles. Texts with one set are one node. Nodes that share a
-band of their signatures are linked to the band's least node; the components of these links are families, which hold
-every candidate pair. Within a family all pairs are verified on the full sets and joined by union-find; families beyond
-a block's size are verified block against block, so none is collected whole.
+band of their signatures are linked to the band's least node, its leader; the components of these links are families,
+which hold every candidate pair. Within a family that fits a task all pairs are verified on the full sets and joined by
+union-find. In a larger one each node is first verified against its leaders, and most are joined by that; what is left
+are pairs between different components: nodes outside the family's largest component, its strays, are verified block by
+block against each other and against that component. So work grows with nodes times strays, not with their square.
 """
 
 from __future__ import annotations
@@ -17,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, staged
+from .common import arrow_map, discard, staged
 
 #: Registers of a signature, and bands they are cut into: a pair of similarity 0.8 shares no band once in 2e7 times.
 REGISTERS, BANDS = 128, 32
-#: Nodes of a family that one task holds; larger families are verified in blocks of about this size.
+#: Nodes of a family that one task holds; of larger families, nodes of a block.
 BLOCK = 1024
 #: Nodes of small families that share a task.
 SHARD_NODES = 1000
@@ -220,7 +222,8 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node of ``links`` (a, b: long) but the roots; a root is its component's least node.
 
     Union-find within partitions, then alternating large and small stars over what is left, each round written to the
-    shared folder, until a round changes nothing. No task holds more than its partition of links.
+    shared folder (and removed once the next one is), until a round changes nothing. No task holds more than its partition
+    of links: the joins are of written tables, so that the links of a hub are split.
     """
 
     def stars(edges: DataFrame) -> DataFrame:
@@ -233,11 +236,13 @@ def components(links: DataFrame) -> DataFrame:
     cur, state = seal(stars(links.select("a", "b")))
     while True:
         both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m"))
-        large = both.join(least.select("a", F.least("a", "m").alias("m")), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        small_least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = staged(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")), "least")
+        large = staged(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        small_least = staged(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(small_least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         nxt, new_state = seal(small.unionByName(small_least.select("a", F.col("m").alias("b"))).distinct())
+        for done in (cur, least, large, small_least):
+            discard(done)
         if new_state == state:
             return nxt.toDF("node", "root")
         cur, state = nxt, new_state
@@ -250,13 +255,7 @@ def linked_pairs(names: list[int], sets: list[np.ndarray], left: int | None, per
     n = len(sets)
     if n <= 6:
         pairs = ((i, j) for i in range(n) for j in range(i + 1, n) if left is None or i < left <= j)
-        for i, j in pairs:
-            small, big = sorted((len(sets[i]), len(sets[j])))
-            if 100 * small >= percent * big:
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if 100 * both >= percent * (small + big - both) and forest.join(names[i], names[j]):
-                    out.append((names[i], names[j]))
-        return out
+        return [(names[i], names[j]) for i, j in pairs if similar(sets[i], sets[j], percent) and forest.join(names[i], names[j])]
     values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(n), sizes.astype(np.int64))
     shared = counts > 1
@@ -281,43 +280,98 @@ def linked_pairs(names: list[int], sets: list[np.ndarray], left: int | None, per
     return out
 
 
-def verified_links(docs: DataFrame, sig: DataFrame, families: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b): links that hold the nodes of each component together, found on full sets; ``families``: (node, root)."""
-    member = families.unionByName(families.select(F.col("root").alias("node"), "root").distinct())
-    counted = member.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
-    reps = sig.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep_id"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    wanted = staged(member.join(counted, "root").join(reps, "node").select("node", "root", "rep_id", blocks.alias("n_blocks")), "wanted")
-    n_shards = max(1, -(-wanted.count() // SHARD_NODES))
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    small, big = sorted((len(a), len(b)))
+    if 100 * small < percent * big:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (small + big - both)
+
+
+def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """``wanted`` (node, rep_id and more) with each node's full set as bytes, read from the text of its representative."""
+    columns = [f for f in wanted.schema.fields if f.name != "rep_id"]
     # sorted on both sides at every size: what is wanted grows with the input, so it is never sent to every task
-    texts = docs.select("doc_id", "text").join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep_id")))
+    texts = docs.select("doc_id", "text").join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("text", *(f.name for f in columns))
 
-    def sets_of(cols: dict) -> dict:
+    def run(cols: dict) -> dict:
         sets = shingle_sets(cols["text"], size)
         keep = [i for i, s in enumerate(sets) if node_of(s) == cols["node"][i]]
-        return {k: [cols[k][i] for i in keep] for k in ("node", "root", "n_blocks")} | {"shingles": [sets[i].tobytes() for i in keep]}
-
-    full = arrow_map(texts.select("text", "node", "root", "n_blocks"), sets_of, "node long, root long, n_blocks int, shingles binary")
-    own = F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
-    dealt = full.withColumn("own", own).withColumn("other", other).select(
-        "node", "root", "n_blocks", "own", "shingles",
-        F.when(F.col("n_blocks") == 1, F.lit(None)).otherwise(F.col("root")).alias("family"),
-        F.when(F.col("n_blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(n_shards)).cast("int")).otherwise(F.least("own", "other")).alias("i"),
-        F.when(F.col("n_blocks") == 1, F.lit(0)).otherwise(F.greatest("own", "other")).alias("j"),
-    )
+        return {f.name: [cols[f.name][i] for i in keep] for f in columns} | {"shingles": [sets[i].tobytes() for i in keep]}
+
+    return arrow_map(texts, run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in columns) + ", shingles binary")
+
+
+def links_in_blocks(dealt: DataFrame, percent: int) -> DataFrame:
+    """(a, b): a spanning forest of the links in each group of ``dealt`` (task columns family, kind, i, j; node, root, side,
+    shingles). In a group of kind "s" links run between all nodes of a root, in any other from side 0 to side 1."""
 
     def verify(group: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[int, int]] = []
         group = group.drop_duplicates("node")
         for _, g in group.groupby("root", sort=False):
-            g = g.sort_values(["own", "node"])
+            g = g.sort_values(["side", "node"])
             sets = [np.frombuffer(s, np.uint64) for s in g["shingles"]]
-            crossing = g["n_blocks"].iat[0] > 1 and g["i"].iat[0] != g["j"].iat[0]
-            found += linked_pairs(g["node"].tolist(), sets, int((g["own"] == g["i"]).sum()) if crossing else None, percent)
+            found += linked_pairs(g["node"].tolist(), sets, None if g["kind"].iat[0] == "s" else int((g["side"] == 0).sum()), percent)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return dealt.groupBy("family", "i", "j").applyInPandas(verify, "a long, b long")
+    return dealt.groupBy("family", "kind", "i", "j").applyInPandas(verify, "a long, b long")
+
+
+def links_of_small(docs: DataFrame, wanted: DataFrame, size: int, percent: int) -> DataFrame:
+    """All links of families (root) that fit a task; many such families share one."""
+    n_shards = max(1, -(-wanted.count() // SHARD_NODES))
+    full = full_sets(docs, wanted.select("node", "root", "rep_id"), size)
+    shard = F.pmod(F.xxhash64("root"), F.lit(n_shards)).cast("int").alias("i")
+    return links_in_blocks(full.select(F.lit(0).cast("long").alias("family"), F.lit("s").alias("kind"), shard, F.lit(0).alias("j"), "node", "root", F.lit(0).alias("side"), "shingles"), percent)
+
+
+def links_of_large(docs: DataFrame, wanted: DataFrame, candidates: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links that hold the components of large families together: those with leaders, and those of strays."""
+    full = staged(full_sets(docs, wanted.select("node", "root", "rep_id"), size), "sets")
+    sets = lambda end: full.select(F.col("node").alias(end), F.col("shingles").alias(f"set_{end}")).dropDuplicates([end])
+
+    def check(cols: dict) -> dict:
+        keep = [i for i, (x, y) in enumerate(zip(cols["set_a"], cols["set_b"])) if similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)]
+        return {k: [cols[k][i] for i in keep] for k in ("a", "b")}
+
+    pairs = candidates.join(sets("a").hint("merge"), "a").join(sets("b").hint("merge"), "b")
+    led = staged(arrow_map(pairs.select("a", "b", "set_a", "set_b"), check, "a long, b long"), "led")
+    parts = wanted.select("node", "root").join(components(led).withColumnRenamed("root", "part"), "node", "left").select("node", "root", F.coalesce("part", "node").alias("part"))
+    parts = staged(parts, "parts")
+    sizes = parts.groupBy("root", "part").agg(F.count("*").alias("n"))
+    core = sizes.groupBy("root").agg(F.max(F.struct("n", "part")).alias("most"), F.sum("n").alias("n")).where("n > most.n")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    core = staged(core.select("root", F.col("most.part").alias("core"), blocks(F.col("most.n")).alias("n_core"), blocks(F.col("n") - F.col("most.n")).alias("n_stray")), "core")
+    left = full.select("node", "shingles").dropDuplicates(["node"]).join(parts.hint("merge"), "node").join(core, "root").withColumn("stray", F.col("part") != F.col("core"))
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    def dealt(rows: DataFrame, kind, own_blocks: str, other_blocks: str, i, j, side) -> DataFrame:
+        rows = rows.withColumn("own", own(own_blocks)).withColumn("other", each(other_blocks))
+        return rows.select(F.col("root").alias("family"), kind.alias("kind"), i.alias("i"), j.alias("j"), "node", "root", side.cast("int").alias("side"), "shingles")
+
+    mine, other = F.col("own"), F.col("other")
+    strays, rest = left.where("stray"), left.where("NOT stray")
+    pair = F.when(mine == other, F.lit("s")).otherwise(F.lit("strays"))
+    within = dealt(strays, pair, "n_stray", "n_stray", F.least(mine, other), F.greatest(mine, other), mine > other)
+    core_pair = F.lit("core")
+    across = dealt(strays, core_pair, "n_stray", "n_core", other, mine, F.lit(1)).unionByName(dealt(rest, core_pair, "n_core", "n_stray", mine, other, F.lit(0)))
+    return led.unionByName(links_in_blocks(within.unionByName(across), percent))
+
+
+def verified_links(docs: DataFrame, sig: DataFrame, families: DataFrame, candidates: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b): links that hold the nodes of each component together, found on full sets; ``families``: (node, root)."""
+    member = families.unionByName(families.select(F.col("root").alias("node"), "root").distinct())
+    counted = member.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
+    reps = sig.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep_id"))
+    wanted = staged(member.join(counted, "root").join(reps, "node").select("node", "root", "rep_id", "n"), "wanted")
+    found = links_of_small(docs, wanted.where(F.col("n") <= BLOCK), size, percent)
+    large = wanted.where(F.col("n") > BLOCK)
+    if large.limit(1).count():
+        of_large = candidates.join(large.select(F.col("node").alias("a")), "a", "left_semi")
+        found = found.unionByName(links_of_large(docs, large, of_large, size, percent))
+    return found
 
 
 def rooted(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -327,8 +381,9 @@ def rooted(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFra
     places = nodes.select("node", F.explode("bands").alias("bucket"))
     leaders = places.groupBy("bucket").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("bucket", "b")
     candidates = places.join(leaders, "bucket").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    candidates = staged(candidates, "candidates")
     families = components(candidates)
-    roots = components(verified_links(docs, sig, families, size, percent))
+    roots = components(verified_links(docs, sig, families, candidates, size, percent))
     return sig, sig.where("node is not null").join(roots, "node", "left").select("doc_id", "text_key", "n_shingles", F.coalesce("root", "node").alias("root"))
 
 

@@ -46,6 +46,34 @@ def test_near_duplicates(docs, empty, monkeypatch, block):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def test_large_families_lose_no_link(spark, monkeypatch):
+    """A chain and strays around a template, in families cut into blocks of a few nodes."""
+    import random
+
+    monkeypatch.setattr(neardup, "BLOCK", 5)
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base = [word() for _ in range(160)]
+    rows = []
+    for i in range(40):  # near the template
+        w = list(base)
+        w[rng.randrange(160)] = word()
+        rows.append(" ".join(w))
+    w = list(base)
+    for i in range(25):  # each near the one before it
+        for _ in range(3):
+            w[rng.randrange(160)] = word()
+        rows.append(" ".join(w))
+    for i in range(25):  # strays: half of the template
+        rows.append(" ".join(base[:80] + [word() for _ in range(60 + i)]))
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    comp, sets = components(rows, 4)
+    least = {c: min(d for (d, _), x in zip(rows, comp) if x == c) for c in comp}
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: least[c] for (d, _), c in zip(rows, comp)} and len(set(got.values())) > 10
+
+
 def test_one_of_each_stays(docs):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     comp, sets = components(rows, 5)
