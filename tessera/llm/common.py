@@ -9,14 +9,16 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of one Arrow batch. A batch of whole texts is held in memory at once, so the default of 10,000 is too many.
-BATCH_ROWS = 512
+#: Rows and bytes of one Arrow batch. A batch of whole texts is held in memory at once, so the defaults are too many; a
+#: single longer text is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
 
 def settled(spark: SparkSession) -> SparkSession:
-    """The session with batches that fit memory, and without the guess that a union is partitioned as its children are
+    """The session, changed for good: with batches that fit memory, and without the guess that a union is partitioned as its children are
     (which lets repeated rows pass a later distinct)."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     return spark
 

@@ -7,13 +7,14 @@ normalised words maps back to the original. It is scanned once; overlapping hits
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_filter, arrow_map, table
+from .common import arrow_filter, arrow_map, staged, table
 
-#: Normalised bytes of test items in one automaton (it takes some 60 times as much memory); more items go in blocks.
+#: Bytes of test items in one automaton (it takes some 60 times as much memory); more items go in blocks, a scan each.
 AUTOMATON_BYTES = 4 << 20
 WINDOW = 13
 #: Fixed by the contract: words are of 0-9, a-z and anything beyond ASCII.
@@ -89,64 +90,120 @@ _machines: dict[tuple, Automaton] = {}
 
 
 def _items_sha(items: set) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
+    return hashlib.sha256(",".join(sorted(str(x) for x in items if x is not None)).encode()).hexdigest()
 
 
-def benchmark_blocks(benchmark: DataFrame, limit: int = AUTOMATON_BYTES) -> list:
-    """The items as broadcasts of at most about ``limit`` bytes each; the driver never holds more than one block."""
-    spark = benchmark.sparkSession
+class Block:
+    """Some items as a broadcast, with a digest of them by which workers keep the automaton made of them."""
+
+    def __init__(self, spark, items: list[tuple]):
+        self.digest = hashlib.blake2b(repr(items).encode(), digest_size=16).hexdigest()
+        self.items = spark.sparkContext.broadcast(items)
+
+    def automaton(self, size: int) -> Automaton:
+        key = (self.digest, size)
+        if key not in _machines:
+            _machines.clear()  # one automaton a worker
+            _machines[key] = Automaton(self.items.value, size)
+        return _machines[key]
+
+
+def benchmark_blocks(benchmark: DataFrame, limit: int = AUTOMATON_BYTES) -> list[Block]:
+    """The items in blocks of about ``limit`` bytes, or of one longer item; the driver never holds more than one block."""
     rows = benchmark.select("item_id", "text").where("text is not null")
-    total, longest = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.max(F.octet_length("text")), F.lit(0))).first()
+    (total,) = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     n = max(1, -(-int(total) // max(1, limit)))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [spark.sparkContext.broadcast([(r.item_id, r.text) for r in (rows if n == 1 else rows.where(block == k)).collect()]) for k in range(n)]
+    return [Block(benchmark.sparkSession, sorted(((r.item_id, r.text) for r in (rows if n == 1 else rows.where(block == k)).collect()), key=repr)) for k in range(n)]
+
+
+def judged(texts: list[str | None], found: list[tuple[list, set, int]]) -> dict:
+    """The columns of :func:`find_contamination` from the runs of hit words and the items found in each text."""
+    hit, items, n = [_covered(runs) for runs, _, _ in found], [x for _, x, _ in found], [x for _, _, x in found]
+    spans = [",".join(f"{a}:{b}" for a, b in original_spans(t, _united(runs))) if runs else "" for t, (runs, _, _) in zip(texts, found)]
+    return {
+        "n_words": n, "n_hit": hit, "n_items": [len(x) for x in items], "items_sha256": [_items_sha(x) for x in items],
+        "contaminated": [h > 0 and 20 * h >= w for h, w in zip(hit, n)], "spans": spans,
+    }
+
+
+def found_in_blocks(docs: DataFrame, blocks: list[Block], size: int) -> DataFrame:
+    """``docs`` with the columns __runs and __items, from one scan of the texts for each block, so a task holds one automaton."""
+    key = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    texts = docs.select(key.alias("__key"), "text")
+
+    def scan(block: Block) -> DataFrame:
+        def run(cols: dict) -> dict:
+            out: dict[str, list] = {"__key": [], "__runs": [], "__items": []}
+            for k, t in zip(cols["__key"], cols["text"]):
+                runs, items = block.automaton(size).scan(words_of(t))
+                if runs:
+                    out["__key"].append(k)
+                    out["__runs"].append([x for r in runs for x in r])
+                    out["__items"].append(sorted((None if x is None else str(x) for x in items), key=repr))
+            return out
 
+        return arrow_map(texts, run, "__key string, __runs array<int>, __items array<string>")
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row of ``docs``.
+    hits = reduce(DataFrame.unionByName, map(scan, blocks)).dropDuplicates(["__key", "__runs", "__items"])
+    merged = hits.groupBy("__key").agg(F.flatten(F.collect_list("__runs")).alias("__runs"), F.flatten(F.collect_list("__items")).alias("__items"))
+    merged = staged(merged, "hits")  # a written table, so that a text of very many rows is split
+    return docs.withColumn("__doc_key", key).join(merged, F.col("__doc_key") == F.col("__key"), "left").drop("__doc_key", "__key")
+
+
+def _pairs(runs: list[int] | None) -> list[tuple[int, int]]:
+    return list(zip((runs or [])[::2], (runs or [])[1::2]))
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, with_spans: bool = False) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row of ``docs``, and spans if asked for: the hit
+    runs as start:end in code points of the original text, comma-joined.
 
     Null and empty texts have no words and are clean; an item without words has no window; items with one id count
-    once; repeated documents are judged each; extra columns are ignored. With no benchmark every document is clean.
+    once; items without id count once, too, and aren't in items_sha256; repeated documents are judged each; extra
+    columns are ignored. With no benchmark every document is clean.
     """
     blocks = benchmark_blocks(benchmark)
+    rows = docs.select("doc_id", "text")
+    if len(blocks) > 1:
+        rows = found_in_blocks(rows, blocks, size)
 
     def run(cols: dict) -> dict:
-        return {"doc_id": cols["doc_id"], **scanned(cols["text"], blocks, size)}
+        return {"doc_id": cols["doc_id"], **judged(cols["text"], _found(cols, blocks, size))}
 
-    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return arrow_map(rows, run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean" + ", spans string" * with_spans)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` that aren't contaminated, with all their columns."""
+    """The rows of ``docs`` that aren't contaminated, with all their columns; rules for odd rows as in :func:`find_contamination`."""
     blocks = benchmark_blocks(benchmark)
-    return arrow_filter(docs, ["text"], lambda cols: [not x for x in scanned(cols["text"], blocks, size)["contaminated"]])
+    rows, columns = docs, ["text"]
+    if len(blocks) > 1:
+        rows, columns = found_in_blocks(docs, blocks, size), ["text", "__runs", "__items"]
+    kept = arrow_filter(rows, columns, lambda cols: [not x for x in judged(cols["text"], _found(cols, blocks, size))["contaminated"]])
+    return kept.select(*docs.columns)
 
 
-def scanned(texts: list[str | None], blocks: list, size: int) -> dict:
-    """What the automata of all blocks find in ``texts``; a worker keeps the last few automata."""
-    words = [words_of(t) for t in texts]
-    spans: list[list] = [[] for _ in texts]
-    items: list[set] = [set() for _ in texts]
-    for k, block in enumerate(blocks):
-        key = (len(blocks), k, id(block.value), size)
-        if key not in _machines:
-            if len(_machines) > 1:
-                _machines.clear()
-            _machines[key] = Automaton(block.value, size)
-        for i, ws in enumerate(words):
-            runs, found = _machines[key].scan(ws)
-            spans[i] += runs
-            items[i] |= found
-    hit, n = [_covered(s) for s in spans], [len(w) for w in words]
-    return {"n_words": n, "n_hit": hit, "n_items": [len(x) for x in items], "items_sha256": [_items_sha(x) for x in items], "contaminated": [h > 0 and 20 * h >= w for h, w in zip(hit, n)]}
+def _found(cols: dict, blocks: list[Block], size: int) -> list[tuple[list, set, int]]:
+    """Runs, items and number of words of each text: of the scans by block if there were any, else by the one automaton."""
+    if "__runs" in cols:
+        return [(_pairs(r), set(i or []), len(words_of(t))) for r, i, t in zip(cols["__runs"], cols["__items"], cols["text"])]
+    machine = blocks[0].automaton(size)
+    return [(*machine.scan(words), len(words)) for words in map(words_of, cols["text"])]
 
 
-def _covered(spans: list[tuple[int, int]]) -> int:
-    total, end = 0, 0
+def _united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
-        total += max(0, b - max(a, end))
-        end = max(end, b)
-    return total
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _covered(spans: list[tuple[int, int]]) -> int:
+    return sum(b - a for a, b in _united(spans))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -61,7 +61,7 @@ class PieceCodec:
         proto = pb.ModelProto()
         proto.ParseFromString(model)
         self.sp = sp.SentencePieceProcessor(model_proto=model)
-        self.eos = self.sp.eos_id()
+        self.eos, self.unknown = self.sp.eos_id(), self.sp.unk_id()
         spec = proto.normalizer_spec
         self.map = CharMap(spec.precompiled_charsmap)
         self.spec = spec
@@ -120,11 +120,15 @@ class PieceCodec:
         flat = [self.normalise(t) for t in texts]
         skip = 1 if self.spec.add_dummy_prefix else 0
         out = []
-        for ids, (_, places) in zip(self.sp.encode([f[skip:] for f, _ in flat], num_threads=1), flat):
-            ends = np.cumsum(self._bytes[np.array(ids, np.int32)], dtype=np.int32)
+        for ids, (flat_text, places) in zip(self.sp.encode([f[skip:] for f, _ in flat], num_threads=1), flat):
+            sizes = self._bytes[np.array(ids, np.int32)]
+            if self.unknown in ids:  # such a piece is as long as what it stands for
+                sizes = np.array([len(p.surface.encode()) for p in self.sp.encode(flat_text[skip:], return_type="proto").pieces])
+                sizes[0] += len(flat_text.encode()) - int(sizes.sum())
+            ends = np.cumsum(sizes, dtype=np.int32)
             spans = np.empty((len(ids), 2), np.int32)
             if ids:
-                spans[:, 1] = places[np.minimum(ends, len(places) - 1, out=ends)]
+                spans[:, 1] = places[ends]
                 spans[0, 0], spans[1:, 0] = places[0], spans[:-1, 1]
             ids.append(self.eos)
             out.append((ids, spans))
@@ -137,29 +141,30 @@ class PieceCodec:
         return self.sp.decode(ids)
 
 
-_codecs: dict[int, PieceCodec] = {}
+_codecs: dict[str, PieceCodec] = {}
 
 
-def codec_of(model) -> PieceCodec:
-    """One codec a worker; ``model`` is a broadcast of the serialised model."""
-    if (key := id(model.value)) not in _codecs:
+def codec_of(model, key: str) -> PieceCodec:
+    """One codec a worker; ``model`` is a broadcast of the serialised model, ``key`` a digest of it."""
+    if key not in _codecs:
         _codecs.clear()
         _codecs[key] = PieceCodec(model.value)
     return _codecs[key]
 
 
 def encode_documents(docs: DataFrame, model_path: str, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, spans_whole of every row, and the ids themselves if asked for.
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, spans_whole, spans_sha256 of every row, and the ids if asked for.
 
-    spans_whole says that the pieces' byte spans follow each other from the text's first byte to its last. Null and
-    empty texts encode to the end id alone; repeated rows are encoded each; extra columns are ignored.
+    spans_whole says that the pieces' byte spans follow each other from the text's first byte to its last, spans_sha256
+    digests them (start and end of each piece as little-endian 32-bit numbers). Null and empty texts encode to the end id alone; repeated rows are encoded each; extra columns are ignored.
     """
     with open(model_path, "rb") as f:
-        model = docs.sparkSession.sparkContext.broadcast(f.read())
+        raw = f.read()
+    model, key = docs.sparkSession.sparkContext.broadcast(raw), hashlib.sha256(raw).hexdigest()
 
     def run(cols: dict) -> dict:
-        codec = codec_of(model)
-        n, ids_sha, decoded_sha, whole, all_ids = [], [], [], [], []
+        codec = codec_of(model, key)
+        n, ids_sha, decoded_sha, whole, spans_sha, all_ids = [], [], [], [], [], []
         texts = [t or "" for t in cols["text"]]
         for text, (ids, spans) in zip(texts, codec.encode_batch(texts)):
             n.append(len(ids))
@@ -167,8 +172,9 @@ def encode_documents(docs: DataFrame, model_path: str, with_ids: bool = False, i
                 all_ids.append(ids)
             ids_sha.append(hashlib.sha256(" ".join(map(codec.digits.__getitem__, ids)).encode()).hexdigest())
             decoded_sha.append(hashlib.sha256(codec.decode(ids).encode()).hexdigest())
+            spans_sha.append(hashlib.sha256(spans.astype("<i4").tobytes()).hexdigest())
             ends = len(text.encode())
             whole.append(bool((spans[0, 0] == 0 and spans[-1, 1] == ends and (spans[1:, 0] <= spans[:-1, 1]).all()) if len(spans) else ends == 0))
-        return {"doc_id": cols["doc_id"], "n_tokens": n, "ids_sha256": ids_sha, "decoded_sha256": decoded_sha, "spans_whole": whole, "ids": all_ids}
+        return {"doc_id": cols["doc_id"], "n_tokens": n, "ids_sha256": ids_sha, "decoded_sha256": decoded_sha, "spans_whole": whole, "spans_sha256": spans_sha, "ids": all_ids}
 
-    return arrow_map(docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_whole boolean" + ", ids array<int>" * with_ids)
+    return arrow_map(docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_whole boolean, spans_sha256 string" + ", ids array<int>" * with_ids)

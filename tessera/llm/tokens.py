@@ -7,6 +7,7 @@ counts remembered, up to a bound).
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 import regex
@@ -70,33 +71,38 @@ class ShortcutCounter:
                 found[text] = 1
         return found
 
-    def count(self, text: str) -> int:
-        """Tokens of ``text``; a special string inside it is one token, as is the library's default."""
-        if self._special is None:
-            return sum(map(self._memo.__getitem__, self._find(text)))
-        parts = self._special.split(text)
-        return len(parts) - 1 + sum(sum(map(self._memo.__getitem__, self._find(p))) for p in parts)
+    def count(self, text: str) -> tuple[int, int]:
+        """Tokens of ``text``, and how many of them are proven whole; a special string inside it is one token, as is the
+        library's default."""
+        parts = self._special.split(text) if self._special else [text]
+        n, whole = len(parts) - 1, 0
+        for p in parts:
+            pieces = self._find(p)
+            n += sum(map(self._memo.__getitem__, pieces))
+            whole += sum(map(self.proven.__contains__, pieces))
+        return n, whole
 
 
-_counters: dict[int, ShortcutCounter] = {}
+_counters: dict[str, ShortcutCounter] = {}
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit, n_shortcut of every row.
+    """doc_id, n_bytes, n_tokens, over_limit, n_shortcut (tokens counted without merging) of every row.
 
     Null texts count as empty (no bytes, no tokens). Repeated rows are counted each; extra columns are ignored. The
     tokenizer's file is read on the driver and sent along (a vocabulary, so bounded).
     """
     with open(tokenizer_path, encoding="utf-8") as f:
-        spec = docs.sparkSession.sparkContext.broadcast(f.read())
+        raw = f.read()
+    spec, key = docs.sparkSession.sparkContext.broadcast(raw), hashlib.sha256(raw.encode()).hexdigest()
 
     def run(cols: dict) -> dict:
-        if (key := id(spec.value)) not in _counters:
+        if key not in _counters:
             _counters.clear()
             _counters[key] = ShortcutCounter(spec.value)
         counter = _counters[key]
         texts = [t or "" for t in cols["text"]]
-        n = [counter.count(t) for t in texts]
-        return {"doc_id": cols["doc_id"], "n_bytes": [len(t.encode()) for t in texts], "n_tokens": n, "over_limit": [x > limit for x in n]}
+        n, whole = zip(*map(counter.count, texts))
+        return {"doc_id": cols["doc_id"], "n_bytes": [len(t.encode()) for t in texts], "n_tokens": n, "over_limit": [x > limit for x in n], "n_shortcut": whole}
 
-    return arrow_map(docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text"), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return arrow_map(docs.selectExpr(f"`{id_col}` AS doc_id", f"`{text_col}` AS text"), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, n_shortcut long")

@@ -75,6 +75,28 @@ def test_token_counts(docs, empty):
     one = lambda x: (len(x.encode()), n := len(t.encode(x, add_special_tokens=False).ids), n > 512)
     assert pairs(tokens.count_tokens(docs, tokenizer("byte_bpe_50k.json")), "n_bytes", "n_tokens", "over_limit") == expected(docs, one)
     assert tokens.count_tokens(empty, tokenizer("byte_bpe_50k.json")).count() == 0
+    clashing = docs.selectExpr("doc_id", "text", "1 AS n_tokens", "text AS n_bytes", "2 AS n_shortcut")
+    import regex
+
+    whole = lambda x: (sum(len(t.encode(p, add_special_tokens=False).ids) == 1 for part in x.split("<|endoftext|>") for p in regex.findall(tokens.PRETOKEN, part)),)
+    assert pairs(tokens.count_tokens(clashing, tokenizer("byte_bpe_50k.json")), "n_shortcut") == expected(docs, whole)
+
+
+def test_extra_white_space_is_removed():
+    """The normaliser's rules for white space, by plain replacement."""
+    from types import SimpleNamespace
+
+    codec = pieces.PieceCodec(open(tokenizer("piece_bpe_32k.model"), "rb").read())
+    codec.spec = SimpleNamespace(escape_whitespaces=True, remove_extra_whitespaces=True, add_dummy_prefix=True)
+    for t in ("", " ", "a", "  a  b ", "é   中 x  ", "a b"):
+        flat, places = codec.normalise(t)
+        want = " ".join(x for x in t.split(" ") if x)
+        assert flat == ("▁" + want.replace(" ", "▁") if want else "")
+        raw = t.encode()
+        assert len(places) == len(flat.encode()) + 1 and places[-1] == len(raw)
+        for i in range(1, len(flat)):
+            at = places[len(flat[:i].encode())]
+            assert raw[at:].startswith(flat[i].replace("▁", " ").encode())
 
 
 def test_pieces(docs, empty):
@@ -83,11 +105,21 @@ def test_pieces(docs, empty):
     path = tokenizer("piece_bpe_32k.model")
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
 
+    def spans(x):
+        """The library's own offsets; it gives a character's bytes to the last of its byte pieces."""
+        out, at = [], 0
+        for p in sp.encode(x, return_type="proto").pieces:
+            out.append((at, at + 1) if re.fullmatch("<0x..>", p.piece) else (p.begin, p.end))
+            at = out[-1][1]
+        return b"".join(n.to_bytes(4, "little") for s in out for n in s)
+
     def one(x):
         ids = sp.encode(x, add_eos=True)
-        return len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(sp.decode(ids).encode()).hexdigest(), True
+        return len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(sp.decode(ids).encode()).hexdigest(), True, hashlib.sha256(spans(x)).hexdigest()
 
-    assert pairs(pieces.encode_documents(docs, path), "n_tokens", "ids_sha256", "decoded_sha256", "spans_whole") == expected(docs, one)
+    assert pairs(pieces.encode_documents(docs, path), "n_tokens", "ids_sha256", "decoded_sha256", "spans_whole", "spans_sha256") == expected(docs, one)
+    clashing = docs.selectExpr("doc_id", "text", "1 AS n_tokens", "text AS ids", "2 AS spans_whole")
+    assert pieces.encode_documents(clashing, path, with_ids=True).count() == docs.count()
     assert pieces.encode_documents(empty, path, with_ids=True).count() == 0
 
 
@@ -210,15 +242,42 @@ def contaminated(t, items):
                 if tuple(w[i : i + len(win)]) == win:
                     hit |= set(range(i, i + len(win)))
                     found.add(item)
-    return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(w)
+    return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(str(x) for x in found if x is not None)).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(w)
+
+
+def hit_spans(t, items):
+    """Runs of hit words in code points, by the words' places."""
+    fold = lambda s: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s or "")
+    at = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", fold(t))]
+    w = [fold(t)[a:b] for a, b in at]
+    hit = set()
+    for _, text in items:
+        b = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", fold(text))
+        for win in {tuple(b[i : i + 13]) for i in range(max(1, len(b) - 12))} if b else ():
+            hit |= {j for i in range(len(w) - len(win) + 1) if tuple(w[i : i + len(win)]) == win for j in range(i, i + len(win))}
+    runs = []
+    for i in sorted(hit):
+        if runs and runs[-1][1] == i - 1:
+            runs[-1][1] = i
+        else:
+            runs.append([i, i])
+    return ",".join(f"{at[a][0]}:{at[b][1]}" for a, b in runs)
 
 
 def test_contamination(spark, docs, empty, texts, monkeypatch):
-    items = [(1, " ".join(texts[0].split(" ")[5:30])), (2, texts[2].upper()), (3, "a b"), (4, ""), (5, None), (3, "x y zz")]
+    items = [(1, " ".join(texts[0].split(" ")[5:30])), (2, texts[2].upper()), (3, "a b"), (4, ""), (5, None), (3, "x y zz"), (None, texts[1]), (None, " ".join(texts[0].split(" ")[40:60]))]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = pairs(decontaminate.find_contamination(docs, bench), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     assert got == expected(docs, lambda t: contaminated(t, items))
+    spans = pairs(decontaminate.find_contamination(docs, bench, with_spans=True), "spans")
+    assert spans == expected(docs, lambda t: (hit_spans(t, items),))
+    kept = decontaminate.drop_contaminated(docs, bench)
+    assert kept.columns == docs.columns
+    kept = sorted(map(str, kept.collect()))
     monkeypatch.setattr(decontaminate.benchmark_blocks, "__defaults__", (300,))
+    assert len(decontaminate.benchmark_blocks(bench)) > 3
+    assert pairs(decontaminate.find_contamination(docs, bench, with_spans=True), "spans") == spans
+    assert sorted(map(str, decontaminate.drop_contaminated(docs, bench).collect())) == kept
     assert pairs(decontaminate.find_contamination(docs, bench), "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == got
     assert decontaminate.find_contamination(empty, bench).count() == 0
     assert not decontaminate.find_contamination(docs, bench.where("false")).where("contaminated").count()
