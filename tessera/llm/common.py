@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Rows and bytes of one Arrow batch. A batch of whole texts is held in memory at once, so the defaults are too many; a
 #: single longer text is a batch of its own.
@@ -75,6 +76,21 @@ def arrow_replace(df: DataFrame, columns: list[str], fn: Callable[[dict], dict])
     return df.mapInArrow(run, df.schema)
 
 
+def arrow_add(df: DataFrame, columns: list[str], fn: Callable[[dict], dict], schema: str) -> DataFrame:
+    """``df`` with the columns of ``schema`` that ``fn`` makes of ``columns``; their names must be new."""
+    settled(df.sparkSession)
+    names = [part.strip().split()[0] for part in _split(schema)]
+    types = [part.strip().split(None, 1)[1] for part in _split(schema)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                new = fn({c: batch.column(c).to_pylist() for c in columns})
+                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(new[n], type=_arrow_type(t)) for n, t in zip(names, types))], names=[*batch.schema.names, *names])
+
+    return df.mapInArrow(run, StructType([*df.schema, *StructType.fromDDL(schema)]))
+
+
 def _split(schema: str) -> list[str]:
     return [p for p in schema.split(",") if p.strip()]
 

@@ -55,7 +55,8 @@ WITH base AS (
 ), common AS (SELECT word, bin, f || e AS form FROM (SELECT word, bin, unnest(list_distinct([word, upper(left(word, 1)) || substring(word, 2)])) AS f FROM (SELECT unnest([{quoted(quality.WORDS)}]) AS word, unnest(range(8, {8 + len(quality.WORDS)})) AS bin)), (SELECT unnest(['', '.', ',', ';', ':', '!', '?']) AS e)
 ), wordbins AS (SELECT doc_id, lang, n_words, coalesce(bin, {8 + len(quality.WORDS)}) AS bin, count(*) AS c FROM (SELECT doc_id, lang, n_words, unnest(w) AS form FROM counts) LEFT JOIN common USING (form) GROUP BY ALL
 ), bins AS (SELECT doc_id, lang, n_words, bin, bin >= 8 AS kind, c FROM (SELECT * FROM classes WHERE c > 0 UNION ALL SELECT * FROM wordbins)
-), refs AS (SELECT l AS lang, bin, kind, sum(c) AS q FROM (SELECT unnest(list_distinct([lang, ''])) AS l, bin, kind, c FROM bins WHERE n_words >= {r.least_words}) GROUP BY ALL
+), refs AS (SELECT l AS lang, bin, kind, sum(c) AS q FROM (SELECT unnest(list_distinct([lang, ''])) AS l, bin, kind, c FROM bins LEFT JOIN repeats USING (doc_id)
+    WHERE n_words >= {r.least_words} AND n_words >= 50 AND 100 * coalesce(n_repeat_words, 0) <= 50 * n_words) GROUP BY ALL
 ), shares AS (SELECT lang, bin, kind, q / sum(q) OVER (PARTITION BY lang, kind) AS q FROM refs
 ), own AS (SELECT doc_id, lang, bin, kind, c / sum(c) OVER (PARTITION BY doc_id, kind) AS p FROM bins
 ), parts AS (

@@ -11,11 +11,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_filter, arrow_map, staged
+from .common import arrow_add, arrow_map, staged
 
 #: Frequent function words of each language.
 COMMON = {
@@ -118,6 +119,10 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.where((ps[:, 0] > 0) & (qs[:, 0] > 0), d, 0.0)
 
 
+#: What :func:`measured_columns` gives.
+MEASURED = "lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, chars array<long>, words array<long>"
+
+
 def measured_columns(cols: dict) -> dict:
     """lang ("" if it has no reference), the base counts and both histograms."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars", "words"]
@@ -130,14 +135,17 @@ def measures(docs: DataFrame) -> DataFrame:
     def run(cols: dict) -> dict:
         return {"doc_id": cols["doc_id"], **measured_columns(cols)}
 
-    return arrow_map(
-        docs.select("doc_id", "lang", "text"), run,
-        "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, chars array<long>, words array<long>",
-    )
+    return arrow_map(docs.select("doc_id", "lang", "text"), run, f"doc_id long, {MEASURED}")
+
+
+def base_failed(n_words, n_repeat_words):
+    """The contract's base rules, for numbers or arrays."""
+    return (n_words < 50) | (100 * n_repeat_words > 50 * n_words)
 
 
 def references(measured: DataFrame, rules: Rules = Rules()) -> dict[str, tuple[list[int], list[int]]]:
-    """The summed histograms of each language, and of all texts under "", over every text that is long enough.
+    """The summed histograms of each language, and of all texts under "", over every text that is long enough and doesn't
+    fail the base rules.
 
     Each task sends one row a language, so the driver gets a number of rows that follows the tasks, already added up.
     """
@@ -146,15 +154,15 @@ def references(measured: DataFrame, rules: Rules = Rules()) -> dict[str, tuple[l
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
-            for lang, n, chars, words in zip(*(c.to_pylist() for c in batch.columns)):
-                if n >= least:
+            for lang, n, repeated, chars, words in zip(*(c.to_pylist() for c in batch.columns)):
+                if n >= least and not base_failed(n, repeated):
                     both = np.array(chars + words, np.int64)
                     for k in {lang, ""}:
                         total[k] = total[k] + both if k in total else both
         for k, v in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(v)), pa.array(range(len(v)), pa.int32()), pa.array(v, pa.int64())], names=["lang", "k", "n"])
 
-    rows = measured.select("lang", "n_words", "chars", "words").mapInArrow(add, "lang string, k int, n long").groupBy("lang", "k").agg(F.sum("n").alias("n")).collect()
+    rows = measured.select("lang", "n_words", "n_repeat_words", "chars", "words").mapInArrow(add, "lang string, k int, n long").groupBy("lang", "k").agg(F.sum("n").alias("n")).collect()
     out = {}
     for lang in {r.lang for r in rows}:
         v = [r.n for r in sorted((r for r in rows if r.lang == lang), key=lambda r: r.k)]
@@ -169,19 +177,20 @@ def verdicts(cols: dict, refs: dict[str, tuple[list[int], list[int]]], rules: Ru
     char = js_distance(np.array(cols["chars"], float), np.array([r[0] for r in ref], float))
     word = js_distance(np.array(cols["words"], float), np.array([r[1] for r in ref], float))
     n, chars = np.array(cols["n_words"]), np.array(cols["word_chars"])
-    bad = (n < 50) | (100 * np.array(cols["n_repeat_words"]) > 50 * n)
+    bad = base_failed(n, np.array(cols["n_repeat_words"]))
     far = ((chars >= rules.least_chars) & (char > rules.char_limit)) | ((n >= rules.least_words) & (word > rules.word_limit))
     return {"base_failed": bad.tolist(), "kept": (~bad & ~far).tolist(), "char_js": char.round(6).tolist(), "word_js": word.round(6).tolist()}
 
 
-def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+def judge(docs: DataFrame, rules: Rules = Rules(), trusted: DataFrame | None = None) -> DataFrame:
     """doc_id, the base counts, base_failed, kept, char_js, word_js of every row of ``docs`` (doc_id, lang, text).
 
-    A null text has no words and fails; a null or unknown language is held against all texts together. Repeated rows
-    are judged each, extra columns are ignored, and an empty table gives an empty result.
+    The references come from ``docs`` itself, or from ``trusted`` documents where most of ``docs`` may be junk. A null
+    text has no words and fails; a null or unknown language is held against all texts together. Repeated rows are judged
+    each, extra columns are ignored, and an empty table gives an empty result.
     """
     measured = staged(measures(docs), "measures")
-    refs = references(measured, rules)
+    refs = references(measured if trusted is None else measures(trusted), rules)
 
     def run(cols: dict) -> dict:
         return {k: cols[k] for k in ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")} | verdicts(cols, refs, rules)
@@ -192,7 +201,21 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     )
 
 
-def keep_documents(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """The rows of ``docs`` that :func:`judge` keeps, with all their columns; texts are read twice and never shuffled."""
-    refs = references(measures(docs), rules)
-    return arrow_filter(docs, ["lang", "text"], lambda cols: verdicts(measured_columns(cols), refs, rules)["kept"])
+def keep_documents(docs: DataFrame, rules: Rules = Rules(), trusted: DataFrame | None = None) -> DataFrame:
+    """The rows of ``docs`` that :func:`judge` keeps, with all their columns.
+
+    The rows are written with their histograms beside them, so each text is measured once and never shuffled.
+    """
+    names = [part.split()[0] for part in MEASURED.split(", ")]
+    schema = ", ".join("__" + part for part in MEASURED.split(", "))
+    wide = staged(arrow_add(docs, ["lang", "text"], lambda cols: {"__" + k: v for k, v in measured_columns(cols).items()}, schema), "measured")
+    inner = wide.select(*(F.col("__" + k).alias(k) for k in names))
+    refs = references(inner if trusted is None else measures(trusted), rules)
+    judged = ["lang", "n_words", "word_chars", "n_repeat_words", "chars", "words"]
+
+    @F.pandas_udf("boolean")
+    def kept(*columns: pd.Series) -> pd.Series:
+        cols = {k: c.tolist() for k, c in zip(judged, columns)}
+        return pd.Series(verdicts(cols, refs, rules)["kept"] if len(columns[0]) else [], dtype=bool)
+
+    return wide.where(kept(*("__" + k for k in judged))).select(*docs.columns)
