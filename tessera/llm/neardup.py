@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, discard, staged
@@ -25,6 +25,8 @@ from .common import arrow_map, discard, staged
 REGISTERS, BANDS = 128, 32
 #: Nodes of a family that one task holds; of larger families, nodes of a block.
 BLOCK = 1024
+#: Leaders that a node of a larger family is verified against first.
+LEADERS = 3
 #: Nodes of small families that share a task.
 SHARD_NODES = 1000
 #: Bytes of text hashed at once.
@@ -223,26 +225,26 @@ def components(links: DataFrame) -> DataFrame:
 
     Union-find within partitions, then alternating large and small stars over what is left, each round written to the
     shared folder (and removed once the next one is), until a round changes nothing. No task holds more than its partition
-    of links: the joins are of written tables, so that the links of a hub are split.
+    of links.
     """
 
     def stars(edges: DataFrame) -> DataFrame:
         return edges.where("a <> b").mapInArrow(_local_forest, "a long, b long")
 
     def seal(edges: DataFrame) -> tuple[DataFrame, tuple]:
-        edges = staged(edges, "links")
-        return edges, tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+        seen = Observation()
+        edges = staged(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")), "links")
+        return edges, tuple(sorted(seen.get.items()))
 
     cur, state = seal(stars(links.select("a", "b")))
     while True:
         both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = staged(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")), "least")
-        large = staged(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
-        small_least = staged(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        least = both.groupBy("a").agg(F.min("b").alias("m"))
+        large = both.join(least.select("a", F.least("a", "m").alias("m")), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        small_least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(small_least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         nxt, new_state = seal(small.unionByName(small_least.select("a", F.col("m").alias("b"))).distinct())
-        for done in (cur, least, large, small_least):
-            discard(done)
+        discard(cur)
         if new_state == state:
             return nxt.toDF("node", "root")
         cur, state = nxt, new_state
@@ -327,7 +329,11 @@ def links_of_small(docs: DataFrame, wanted: DataFrame, size: int, percent: int)
 
 
 def links_of_large(docs: DataFrame, wanted: DataFrame, candidates: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links that hold the components of large families together: those with leaders, and those of strays."""
+    """Links that hold the components of large families together: those with leaders, and those of strays.
+
+    A node is verified against the ``LEADERS`` leaders with which it shares most bands. That decides only how many strays
+    are left, not what is found: all pairs of different components are verified after it.
+    """
     full = staged(full_sets(docs, wanted.select("node", "root", "rep_id"), size), "sets")
     sets = lambda end: full.select(F.col("node").alias(end), F.col("shingles").alias(f"set_{end}")).dropDuplicates([end])
 
@@ -335,7 +341,9 @@ def links_of_large(docs: DataFrame, wanted: DataFrame, candidates: DataFrame, si
         keep = [i for i, (x, y) in enumerate(zip(cols["set_a"], cols["set_b"])) if similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)]
         return {k: [cols[k][i] for i in keep] for k in ("a", "b")}
 
-    pairs = candidates.join(sets("a").hint("merge"), "a").join(sets("b").hint("merge"), "b")
+    order = Window.partitionBy("a").orderBy(F.col("shared").desc(), "b")
+    nearest = candidates.withColumn("k", F.row_number().over(order)).where(F.col("k") <= LEADERS).select("a", "b")
+    pairs = nearest.join(sets("a").hint("merge"), "a").join(sets("b").hint("merge"), "b")
     led = staged(arrow_map(pairs.select("a", "b", "set_a", "set_b"), check, "a long, b long"), "led")
     parts = wanted.select("node", "root").join(components(led).withColumnRenamed("root", "part"), "node", "left").select("node", "root", F.coalesce("part", "node").alias("part"))
     parts = staged(parts, "parts")
@@ -380,7 +388,7 @@ def rooted(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFra
     nodes = sig.where("node is not null").groupBy("node").agg(F.first("bands").alias("bands"))
     places = nodes.select("node", F.explode("bands").alias("bucket"))
     leaders = places.groupBy("bucket").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("bucket", "b")
-    candidates = places.join(leaders, "bucket").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+    candidates = places.join(leaders, "bucket").where("node <> b").groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("shared"))
     candidates = staged(candidates, "candidates")
     families = components(candidates)
     roots = components(verified_links(docs, sig, families, candidates, size, percent))

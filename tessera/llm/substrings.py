@@ -29,7 +29,7 @@ from .suffix import permuted_lcp, suffix_array
 #: Bytes of an anchor.
 ANCHOR = 40
 #: Bytes of text hashed at once, and of pieces in a shard. Places within a chunk must fit 21 bits.
-CHUNK, SHARD = 1 << 20, 1 << 21
+CHUNK, SHARD = 1 << 19, 1 << 20
 #: Distinct pieces of one anchor that a shard may hold; the work of an anchor with more is split.
 MOST_PIECES = 2000
 #: Neighbouring windows that are looked at together where an anchor has more.
