@@ -2,20 +2,45 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+import threading
 import time
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame
 
+from .. import identity as ids
+from ..staging import staged
+
 #: name -> factory of a function from texts to an array (texts x dimension). A factory runs once a worker.
 EMBEDDERS: dict[str, Callable[..., Callable[[list[str]], np.ndarray]]] = {}
 #: name -> factory of a function from (question, text) pairs to scores.
 RERANKERS: dict[str, Callable[..., Callable[[list[tuple[str, str]]], np.ndarray]]] = {}
 
 
+#: What a configuration says where it says nothing.
+DEFAULTS: dict[str, Any] = {"embedder": "hashed", "dimension": 256, "distance": "cosine", "normalization": True, "reranker": None, "rerank_budget": 3.0}
+
+
+def configured(config: dict[str, Any] | None = None) -> dict[str, Any]:
+    """The defaults with what ``config`` says over them; a null says nothing, an unknown name is an error."""
+    given = {k: v for k, v in (config or {}).items() if v is not None}
+    if unknown := sorted(given.keys() - DEFAULTS.keys()):
+        raise ValueError(f"unknown settings: {', '.join(unknown)}")
+    out = DEFAULTS | given
+    for kind, known in (("embedder", EMBEDDERS), ("reranker", RERANKERS)):
+        if out[kind] is not None and out[kind] not in known:
+            raise ValueError(f"no {kind} is called {out[kind]!r}")
+    return out
+
+
 def embedder(name: str):
     return lambda factory: EMBEDDERS.setdefault(name, factory)
 
@@ -68,6 +93,108 @@ def with_retry(encode, tries: int = 5, pause: float = 1.0):
     return run
 
 
+#: What services say of a text that is too long; the number of its tokens where they say it.
+TOO_LONG = re.compile(r"input \((\d+) tokens\) is too large|exceeds the context length", re.I)
+CONTEXT_TOKENS, SHRINKS = 8000, 4
+
+
+def with_shrinking(encode: Callable[[str], Any], shrinks: int = SHRINKS) -> Callable[[list[str]], list]:
+    """Embed texts one by one; a text that is too long is cut and tried again, ``shrinks`` times at most: to what its stated
+    tokens allow, less a tenth, or to half. Other errors pass."""
+
+    def one(text: str):
+        for left in range(shrinks, -1, -1):
+            try:
+                return encode(text)
+            except Exception as e:
+                found = TOO_LONG.search(str(e))
+                if not found or not left:
+                    raise
+                size = int(len(text) * CONTEXT_TOKENS / int(found[1]) * 0.9) if found[1] else len(text)
+                size = size if size < len(text) else len(text) // 2
+                if size < 1:
+                    raise
+                text = text[:size]
+        raise AssertionError
+
+    return lambda texts: [one(t) for t in texts]
+
+
+class Adapter:
+    """An embedder by the names that vector stores call: as a function, for questions, for documents."""
+
+    def __init__(self, name: str = "hashed", **options):
+        self.name, self.options = name, options
+        self._encode = EMBEDDERS[name](**options)
+
+    def __call__(self, input: list[str]) -> list[list[float]]:
+        return np.asarray(self._encode(list(input)), np.float32).tolist()
+
+    def embed_documents(self, texts: list[str]) -> list[list[float]]:
+        return self(texts)
+
+    def embed_query(self, text: str) -> list[float]:
+        return self([text])[0]
+
+    def supported_spaces(self) -> list[str]:
+        return list(ids.DISTANCES)
+
+    def default_space(self) -> str:
+        return DEFAULTS["distance"]
+
+
+def identity_of(name: str, **options) -> ids.Identity:
+    """The identity of an embedder: its vector of a probe tells its dimension, whether it is of unit length, and a digest."""
+    vector = np.asarray(EMBEDDERS[name](**options)(["probe"]), np.float32).reshape(-1)
+    if not len(vector) or not np.isfinite(vector).all():
+        raise ids.IdentityError(f"embedder {name!r} gives no vector")
+    unit = bool(abs(float(np.linalg.norm(vector)) - 1) < 1e-3)
+    return ids.Identity(1, "tessera", name, hashlib.sha256(vector.round(4).tobytes()).hexdigest(), len(vector), "cosine", unit)
+
+
+def first_working(names: list[str]) -> tuple[str | None, str | None]:
+    """The first reranker that can be made and scores a probe; or None and why each couldn't."""
+    reasons = []
+    for name in names:
+        try:
+            if np.isfinite(np.asarray(RERANKERS[name]()([("a", "a")]), float)).all():
+                return name, "; ".join(reasons) or None
+            reasons.append(f"{name}: no finite score")
+        except Exception as e:
+            reasons.append(f"{name}: {e}")
+    return None, "; ".join(reasons)
+
+
+_in_flight = threading.Lock()
+
+
+def score_within(pairs: DataFrame, name: str, budget: float = 3.0, **options) -> tuple[DataFrame | None, str | None]:
+    """(qid, id, rerank_score) of ``pairs``, worked out now; or None and why not: no such reranker, an error, more than
+    ``budget`` seconds (its jobs are cancelled), or another one that is still running."""
+    if name not in RERANKERS:
+        return None, f"no reranker is called {name!r}"
+    if not _in_flight.acquire(blocking=False):
+        return None, "another reranking is running"
+    sc, tag, out = pairs.sparkSession.sparkContext, f"rerank-{uuid.uuid4().hex}", {}
+
+    def work() -> None:
+        try:
+            sc.addJobTag(tag)
+            out["scores"] = staged(score_pairs(pairs, name, **options), "scores")
+        except Exception as e:
+            out["error"] = str(e).splitlines()[0][:300] if str(e) else type(e).__name__
+        finally:
+            _in_flight.release()
+
+    thread = InheritableThread(target=work)
+    thread.start()
+    thread.join(budget)
+    if thread.is_alive():
+        sc.cancelJobsWithTag(tag)
+        return None, f"more than {budget:g} s"
+    return out.get("scores"), out.get("error")
+
+
 def checked(name: str, expected: int, **options) -> None:
     """Raise unless the embedder gives finite vectors of this dimension; runs on the driver before a job starts."""
     got = np.asarray(EMBEDDERS[name](**options)(["probe"]))

@@ -146,3 +146,21 @@ def run_length_chain(items: Column) -> Column:
         ),
     )
     return F.array_join(F.transform(state["runs"], lambda r: F.when(r["n"] > 1, F.concat(r["v"], F.lit(" x"), r["n"].cast("string"))).otherwise(r["v"])), " -> ")
+
+
+def html_escape(c: Column) -> Column:
+    """The five signs that mean something in HTML as references; null as empty."""
+    out = F.coalesce(c, F.lit(""))
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        out = F.replace(out, F.lit(sign), F.lit(name))
+    return out
+
+
+def thousands(c: Column) -> Column:
+    return F.format_number(c.cast("long"), 0)
+
+
+def percent(part: Column, whole: Column, digits: int = 1) -> Column:
+    """``12.3%`` of the whole; of nothing, 0."""
+    share = F.when(whole == 0, F.lit(0.0)).otherwise(100.0 * part / whole)
+    return F.format_string(f"%.{digits}f%%", share)

@@ -12,8 +12,24 @@ from pyspark.sql import functions as F
 from ..constants import MIN_SIMILARITY, VECTOR_CANDIDATES
 from .lexical import top
 
-#: Query vectors that one block sends to every task.
-BLOCK = 4096
+#: Query vectors that one block sends to every task, and rows that are compared with them at once.
+BLOCK, STRIDE = 4096, 1024
+
+
+def best(s: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` best columns of each row by score, then id: never more, however many rows are tied."""
+    if s.shape[1] <= k:
+        return s, ids
+    edge = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
+    order = np.argsort(-s, axis=1, kind="stable")[:, :k]
+    out_s, out_i = np.take_along_axis(s, order, 1), np.take_along_axis(ids, order, 1)
+    for a in np.flatnonzero((s >= edge).sum(1) > k):
+        if not np.isfinite(edge[a, 0]):
+            continue
+        above, tied = np.flatnonzero(s[a] > edge[a]), np.flatnonzero(s[a] == edge[a])
+        chosen = np.concatenate([above, sorted(tied.tolist(), key=lambda c: ids[a, c])[: k - len(above)]]).astype(int)
+        out_s[a], out_i[a] = s[a, chosen], ids[a, chosen]
+    return out_s, out_i
 
 
 def _blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
@@ -42,11 +58,9 @@ def _topk(queries: DataFrame, vectors: DataFrame, k: int, floor: float | None, s
         met_by = meets and meets(q)
 
         def run(batches: Iterator[pa.RecordBatch], qids=qids, q=q, met_by=met_by) -> Iterator[pa.RecordBatch]:
-            held_s = np.zeros((len(qids), 0))
-            held_i = np.zeros((len(qids), 0), object)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
+            held_s, held_i = np.zeros((len(qids), 0)), np.zeros((len(qids), 0), object)
+            names = np.array(qids, object)[:, None]
+            for batch in (whole.slice(at, STRIDE) for whole in batches for at in range(0, whole.num_rows, STRIDE)):
                 ids = np.array(batch.column(0).to_pylist(), object)
                 x = np.array(batch.column(1).to_pylist(), np.float64).reshape(len(ids), -1)
                 x = x / np.where((m := np.linalg.norm(x, axis=1, keepdims=True)) == 0, 1, m)
@@ -57,14 +71,8 @@ def _topk(queries: DataFrame, vectors: DataFrame, k: int, floor: float | None, s
                     for a, met in enumerate(met_by(x)):
                         s[a, met] = np.round(x[met] @ q[a], 6)
                 if skip_self:
-                    s[np.array(qids, object)[:, None] == ids[None, :]] = -np.inf
-                held_s = np.concatenate([held_s, s], 1)
-                held_i = np.concatenate([held_i, np.broadcast_to(ids, s.shape)], 1)
-                if held_s.shape[1] > k:  # ties at the edge stay, so that ids can decide
-                    edge = -np.partition(-held_s, k - 1, axis=1)[:, k - 1 : k]
-                    width = int(((held_s >= edge) & np.isfinite(held_s)).sum(1).max())
-                    order = np.argsort(-held_s, axis=1, kind="stable")[:, :width]
-                    held_s, held_i = np.take_along_axis(held_s, order, 1), np.take_along_axis(held_i, order, 1)
+                    s[names == ids[None, :]] = -np.inf
+                held_s, held_i = best(np.concatenate([held_s, s], 1), np.concatenate([held_i, np.broadcast_to(ids, s.shape)], 1), k)
             for a in range(len(qids)):
                 keep = np.isfinite(held_s[a]) & ((held_s[a] >= floor) if floor is not None else True)
                 if keep.any():

@@ -9,6 +9,10 @@ from ..constants import THRESHOLD_TOLERANCE
 from ..functions.text import parent_prefix
 
 
+#: Characters of questions that are sent to every task.
+SENT = 8 << 20
+
+
 def first_hits(results: DataFrame, expected: DataFrame) -> DataFrame:
     """(qid, first): the rank of each query's first hit. results: (qid, rank, parent); expected: (qid, expected)."""
     return results.join(expected, "qid").where(F.col("parent") == F.col("expected")).groupBy("qid").agg(F.min("rank").alias("first"))
@@ -56,11 +60,58 @@ def by_language(rows: DataFrame, *measures: Column, languages: tuple[str, ...] =
 def sweep(queries: DataFrame, top: DataFrame, hits: DataFrame, thresholds: DataFrame) -> DataFrame:
     """(theta, r10, mrr, far) of each threshold; hits below it don't count, and it answers whatever scores at least it.
 
-    Thresholds and query results are both small and stated, so their product is formed; nothing else is.
+    As the threshold falls, measures change only where some hit or answer comes in; these changes are added up along the
+    scores once, so work follows hits and thresholds, not their product. hits: (qid, rank, score); top: (qid, score).
+    """
+    kinds = queries.select("qid", (F.col("kind") == "answerable").alias("answerable"))
+    n = kinds.agg(F.count_if("answerable").alias("n_yes"), F.count_if(~F.col("answerable")).alias("n_no"))
+    along = Window.partitionBy("qid").orderBy(F.col("score").desc())
+    # of each query: the least rank seen down to each score, and what it adds to the measures
+    least = hits.groupBy("qid", "score").agg(F.min("rank").alias("rank")).withColumn("least", F.min("rank").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    before = F.lag("least").over(along)
+    exact = lambda c: c.cast("decimal(20,12)")
+    recall = lambda c: F.when(c <= 10, 1).otherwise(0)
+    steps = least.withColumn("before", before).join(kinds.where("answerable"), "qid").select(
+        "score", (recall(F.col("least")) - F.when(F.col("before").isNull(), 0).otherwise(recall(F.col("before")))).alias("d_recall"),
+        (exact(1 / F.col("least")) - F.coalesce(exact(1 / F.col("before")), exact(F.lit(0)))).alias("d_rank"), F.lit(0).alias("d_answered"),
+    )
+    answered = top.join(kinds.where("NOT answerable"), "qid").select("score", F.lit(0).alias("d_recall"), exact(F.lit(0)).alias("d_rank"), F.lit(1).alias("d_answered"))
+    names = ("d_recall", "d_rank", "d_answered")
+    changes = steps.unionByName(answered).groupBy("score").agg(*(F.sum(c).alias(c) for c in names)).withColumn("theta", F.lit(None).cast("double"))
+    asked = thresholds.select(F.col("theta").alias("score"), F.lit(0).alias("d_recall"), exact(F.lit(0)).alias("d_rank"), F.lit(0).alias("d_answered"), "theta")
+    down = Window.orderBy(F.col("score").desc()).rangeBetween(Window.unboundedPreceding, 0)
+    total = changes.unionByName(asked).select("theta", *(F.sum(c).over(down).alias(c) for c in names)).where("theta IS NOT NULL")
+    share = lambda c, of: F.round(F.col(c).cast("double") / F.nullif(F.col(of), F.lit(0)), 4)
+    return total.crossJoin(F.broadcast(n)).select("theta", share("d_recall", "n_yes").alias("r10"), share("d_rank", "n_yes").alias("mrr"), share("d_answered", "n_no").alias("far"))
+
+
+def containing(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(qid, doc_id): which documents (doc_id, text) hold which items (qid, q) as they stand.
+
+    A text that holds an item has each of its inner words between spaces, so texts and items meet by the item's longest
+    inner word before they are compared. Items of two words or less have none and go to every text, in a batch whose size
+    is checked.
     """
-    first = thresholds.join(hits, F.col("score") >= F.col("theta")).groupBy("theta", "qid").agg(F.min("rank").alias("first"))
-    rows = thresholds.crossJoin(queries.select("qid", "kind")).join(top.select("qid", F.col("score").alias("top")), "qid", "left").join(first, ["theta", "qid"], "left")
-    return rows.groupBy("theta").agg(recall_at(10).alias("r10"), mrr().alias("mrr"), false_answers(F.col("kind") != "answerable", F.coalesce(F.col("top") >= F.col("theta"), F.lit(False))).alias("far"))
+    words = F.split("q", " ")
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    keyed = items.where("q IS NOT NULL").select("qid", "q", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"].alias("word"))
+    long, short = keyed.where("coalesce(word, '') <> ''"), keyed.where("coalesce(word, '') = ''")
+    met = docs.select("doc_id", "text", F.explode(F.array_distinct(F.split("text", " "))).alias("word")).join(_sent(long), "word").where(F.contains("text", "q")).select("qid", "doc_id")
+    size = short.agg(F.coalesce(F.sum(F.length("q")), F.lit(0))).first()[0]
+    if size > SENT:
+        raise ValueError(f"{size} characters of items of two words or less are too many to compare with every text")
+    return met if not short.limit(1).count() else met.unionByName(docs.join(F.broadcast(short), F.contains("text", "q")).select("qid", "doc_id"))
+
+
+def _sent(items: DataFrame) -> DataFrame:
+    """``items``, to be sent to every task where they are small."""
+    (size,) = items.agg(F.coalesce(F.sum(F.length("q")), F.lit(0))).first()
+    return F.broadcast(items) if size <= SENT else items.hint("merge")
+
+
+def verdict(with_: Column, without: Column, margin: float = 0.0) -> Column:
+    """ON where a configuration with a step beats the one without by more than ``margin``, OFF where it loses by as much, else EQUAL."""
+    return F.when(with_ - without > margin, "ON").when(without - with_ > margin, "OFF").otherwise("EQUAL")
 
 
 def optimal(swept: DataFrame, tolerance: float = THRESHOLD_TOLERANCE) -> DataFrame:

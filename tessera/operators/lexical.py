@@ -35,27 +35,31 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("qid", F.explode(F.array_distinct(tx.tokenize(F.col("text")))).alias("term"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+def bm25(queries: DataFrame, docs, allowed: DataFrame | None = None) -> DataFrame:
     """(qid, id, score): any query term may match, smaller is better; ``allowed`` (id) restricts rows, never statistics.
 
-    Only the postings of terms that some query asks for are scored: the query terms join before anything is counted.
+    ``docs`` is a stored index, or :func:`kw_docs`, of which one is worked out. Only the postings of terms that some query
+    asks for are read. The sum is rounded, so that its order doesn't matter.
     """
+    from .index import Index, of_docs
+
+    index = docs if isinstance(docs, Index) else of_docs(docs)
     terms = query_terms(queries)
-    wanted = docs.select("id", "token_count", F.explode("tokens").alias("term")).join(F.broadcast(terms.select("term").distinct()) if _small(queries) else terms.select("term").distinct(), "term")
-    posts = wanted.groupBy("id", "token_count", "term").agg(F.count("*").alias("tf"))
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
-    stats = corpus_stats(docs)
+    asked = terms.join(index.terms, "term")
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = idf * (F.col("tf") * (BM25_K1 + 1)) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * (F.col("token_count") / F.col("avgdl"))))
-    weighed = posts.join(df, "term").crossJoin(F.broadcast(stats)).select("id", "term", part.alias("part"))
+    weighed = asked.crossJoin(F.broadcast(index.stats)).select("qid", "term", "avgdl", idf.alias("idf"))
+    posts = index.postings.select("term", "id", "tf", "token_count")
     if allowed is not None:
-        weighed = weighed.join(allowed.select("id"), "id", "left_semi")
-    return terms.join(weighed, "term").groupBy("qid", "id").agg(F.round(-F.sum("part"), 6).alias("score"))
+        posts = posts.join(allowed.select("id"), "id", "left_semi")
+    part = F.col("idf") * (F.col("tf") * (BM25_K1 + 1)) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * (F.col("token_count") / F.col("avgdl"))))
+    met = posts.join(F.broadcast(weighed) if _small(queries) else weighed, "term")
+    return met.groupBy("qid", "id").agg(F.round(-F.sum(part), 6).alias("score"))
 
 
-def _small(queries: DataFrame, most: int = 20_000) -> bool:
-    """Whether the batch is small enough for its terms to be sent to every task."""
-    return queries.limit(most + 1).count() <= most
+def _small(queries: DataFrame, most: int = 2_000_000) -> bool:
+    """Whether a batch has few enough characters for its terms to be sent to every task."""
+    (size,) = queries.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    return size <= most
 
 
 def top(scored: DataFrame, by: list, k: int, group: str = "qid") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..constants import DENSE_WEIGHT, IDF_FLOOR, LEXICAL_WEIGHT, MIN_COVERAGE, RERANK_ALPHA, RERANK_TOP, RRF_K
 from ..functions import text as tx
 from ..session import prepare
+from ..staging import staged
 from .lexical import top
 
 
@@ -33,16 +34,16 @@ def rrf(dense: DataFrame, lexical: DataFrame, dense_weight: float = DENSE_WEIGHT
     return legs[0].unionByName(legs[1]).groupBy("qid", "source_key").agg(F.round(F.sum("part"), 6).alias("rrf"))
 
 
-def term_weights(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """(qid, term, weight): inverse frequency of each meaningful term over distinct parents, floored."""
+def term_weights(queries: DataFrame, docs) -> DataFrame:
+    """(qid, term, weight): inverse frequency of each meaningful term over distinct parents, floored; ``docs`` as for
+    :func:`lexical.bm25`."""
+    from .index import Index, of_docs
+
+    index = docs if isinstance(docs, Index) else of_docs(docs)
     terms = queries.select("qid", F.explode(F.array_distinct(tx.meaningful(tx.tokenize(F.col("text"))))).alias("term"))
-    wanted = terms.select("term").distinct()
-    seen = docs.select("parent_id", F.explode(F.array_distinct("tokens")).alias("term")).join(wanted, "term", "left_semi")
-    df = seen.distinct().groupBy("term").agg(F.count("*").alias("df"))
-    n = docs.agg(F.count_distinct("parent_id").alias("n"))
-    found = F.coalesce("df", F.lit(0))
-    idf = F.log((F.col("n") - found + 0.5) / (found + 0.5) + 1)
-    return terms.join(df, "term", "left").crossJoin(F.broadcast(n)).select("qid", "term", F.round(F.greatest(F.lit(IDF_FLOOR), idf), 6).alias("weight"))
+    found = F.coalesce("parents", F.lit(0))
+    idf = F.log((F.col("n_parents") - found + 0.5) / (found + 0.5) + 1)
+    return terms.join(index.terms, "term", "left").crossJoin(F.broadcast(index.stats)).select("qid", "term", F.round(F.greatest(F.lit(IDF_FLOOR), idf), 6).alias("weight"))
 
 
 def stems(terms: DataFrame) -> DataFrame:
@@ -68,7 +69,7 @@ def evidence_text(document: Column, title: Column, date: Column) -> Column:
     return F.concat(named, F.when(date.rlike(r"^\d{4}-\d{2}-\d{2}(T.*)?$"), F.concat(F.lit(" "), date)).otherwise(F.lit("")))
 
 
-def evidence_gate(queries: DataFrame, pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def evidence_gate(queries: DataFrame, pairs: DataFrame, docs) -> DataFrame:
     """(qid, id, coverage, matched, passes) of each pair (qid, id, evidence: string).
 
     One raw token: it must stand in the text as it is. Else every year and quoted string must, and the text must cover
@@ -126,3 +127,73 @@ def packed(sizes: Column, budget: int) -> Column:
         ),
     )
     return state["kept"]
+
+
+#: What a failed vector search is called in a result, and failures that are the store's and so never hidden.
+DEGRADED = "vector_search_failed"
+# Fixed values.
+STORE_ERRORS = ("stale", "does not exist", "not found", "error finding id")
+
+
+def vector_leg(search: Callable[[], DataFrame], lexical: DataFrame) -> tuple[DataFrame, str | None, str | None]:
+    """The vector hits, worked out now; where that fails no hits, the word for it and the error: the words alone answer then.
+
+    A failure that says that the store itself is stale or gone isn't hidden.
+    """
+    try:
+        return staged(search(), "dense"), None, None
+    except Exception as e:
+        if any(x in str(e).lower() for x in STORE_ERRORS):
+            raise
+        none = lexical.where(F.lit(False)).select("qid", "id", "source_key", F.lit(0.0).alias("similarity"))
+        return none, DEGRADED, str(e).splitlines()[0] if str(e) else type(e).__name__
+
+
+def envelope(queries: DataFrame, hits: DataFrame) -> DataFrame:
+    """(qid, text, status, n_results, answer, returned_tokens) of each question: results with their texts, then candidates by title.
+
+    hits: (qid, bucket, position, id, kind, title, project, date, document).
+    """
+    name = lambda c, default: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(default))
+    title = name("title", "(untitled)")
+    full = F.concat(F.lit("["), name("kind", "doc"), F.lit("] "), title, F.lit(" | project: "), name("project", "?"), F.lit(" | date: "), name("date", "?"), F.lit(" | id: "), F.col("id"), F.lit("\n"), F.coalesce("document", F.lit("")))
+    is_result = F.col("bucket") == "result"
+    line = F.when(is_result, full).otherwise(F.concat(F.lit("- "), title, F.lit(" ("), F.col("id"), F.lit(")")))
+    shown = hits.withColumn("line", line).groupBy("qid").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct((~is_result).alias("later"), "position", "line"))), lambda x: x["line"]), "\n").alias("answer"),
+        F.count_if(is_result).alias("n_results"), F.sum(F.when(is_result, tx.estimated_tokens(F.col("document"))).otherwise(0)).alias("returned_tokens"),
+    )
+    none = F.coalesce("n_results", F.lit(0))
+    return queries.join(shown, "qid", "left").select(
+        "qid", "text", F.when(none > 0, "ok").otherwise("insufficient_evidence").alias("status"), none.alias("n_results"), F.coalesce("answer", F.lit("")).alias("answer"), F.coalesce("returned_tokens", F.lit(0)).cast("long").alias("returned_tokens")
+    )
+
+
+def lines_with_siblings(hits: DataFrame, by: list[Column], similarity: Column, shown: int = 3) -> DataFrame:
+    """(qid, source_key, id, line): each source's best hit in words, with the openings of its next ``shown`` hits and how many more
+    there are. hits: (qid, source_key, id, kind, title, project, document, ...)."""
+    w = Window.partitionBy("qid", "source_key")
+    placed = hits.withColumn("__pos", F.row_number().over(w.orderBy(*by, "id"))).withColumn("__n", F.count("*").over(w))
+    sibling = F.concat(F.lit("  - "), F.col("id"), F.lit(": "), F.left("document", F.lit(60)), F.lit("..."))
+    near = placed.where(F.col("__pos") <= shown + 1).groupBy("qid", "source_key").agg(
+        F.min_by(F.struct("id", F.concat(F.lit("["), F.col("kind"), F.lit("] "), F.col("title"), F.lit(" | project: "), F.col("project"), F.lit(" | similarity: "), F.format_string("%.2f", similarity), F.lit(" | id: "), F.col("id")).alias("head")), "__pos").alias("best"),
+        F.sort_array(F.collect_list(F.when(F.col("__pos") > 1, F.struct("__pos", sibling.alias("line"))))).alias("rest"), F.max("__n").alias("n"),
+    )
+    rest = F.transform("rest", lambda x: x["line"])
+    more = F.when(F.col("n") - 1 > shown, F.array(F.concat(F.lit("  - (... +"), (F.col("n") - 1 - shown).cast("string"), F.lit(")")))).otherwise(F.array().cast("array<string>"))
+    return near.select("qid", "source_key", "best.id", F.array_join(F.concat(F.array("best.head"), rest, more), "\n").alias("line"))
+
+
+def pack_context(hits: DataFrame, candidates: DataFrame, namespaces: tuple[str, ...], max_chars: int, most: int) -> DataFrame:
+    """(qid, project, role, position, record): hits in order and then up to ``most`` candidates, as JSON records under a budget
+    of ``max_chars``; one that would overflow is left out (``truncated``), later ones may still fit.
+
+    Both: (qid, position, project, record: string). A row of another project than ``namespaces`` is an error.
+    """
+    both = hits.withColumn("role", F.lit("hit")).unionByName(candidates.where(F.col("position") <= most).withColumn("role", F.lit("candidate")))
+    outside = F.when(~F.coalesce(F.col("project").isin(*namespaces), F.lit(False)), F.raise_error("a result is of another project")).otherwise(F.col("project"))
+    rows = both.select("qid", outside.alias("project"), "role", "position", "record")
+    packs = rows.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct((F.col("role") == "candidate").alias("later"), "position", "project", "role", "record"))).alias("h"))
+    sizes = F.transform("h", lambda x: (F.length(x["record"]) + 2).cast("long"))
+    kept = packs.select("qid", F.explode(F.arrays_zip("h", packed(sizes, max_chars).alias("k"))).alias("z"))
+    return kept.select("qid", "z.h.project", "z.h.role", "z.h.position", "z.h.record", (~F.col("z.k")).alias("truncated"))

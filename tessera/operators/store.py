@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .snapshots import commit_snapshot, current_snapshot  # noqa: F401
+
 
 def eav_pivot(eav: DataFrame, entity: str, key: str, value: str, keys: list[str]) -> DataFrame:
     """One row an entity, one column a key. The keys are given, so no job looks for them."""
@@ -16,19 +18,23 @@ def chunk_id(source: Column, index: Column) -> Column:
 
 
 def content_hashes(document: Column, meta: dict[str, Column]) -> list[Column]:
-    """SHA-256 of the text and of the metadata as JSON with sorted keys."""
-    parts: list[Column] = []
-    for i, k in enumerate(sorted(meta)):
-        parts += [F.lit(("{" if not i else ", ") + f'"{k}": "'), meta[k], F.lit('"')]
-    return [F.sha2(document, 256).alias("doc_sha256"), F.sha2(F.concat(*parts, F.lit("}")), 256).alias("meta_sha256")]
+    """SHA-256 of the text and of the metadata as JSON with sorted keys; a null field is a JSON null, a null text is empty."""
+    fields = F.to_json(F.struct(*(meta[k].alias(k) for k in sorted(meta))), {"ignoreNullFields": "false"})
+    return [F.sha2(F.coalesce(document, F.lit("")), 256).alias("doc_sha256"), F.sha2(fields, 256).alias("meta_sha256")]
+
 
+def corpus_hash(docs: DataFrame, key: str = "id") -> DataFrame:
+    """One row, hash: of a corpus (key, doc_sha256, meta_sha256).
 
-def corpus_hash(docs: DataFrame, buckets: int = 64) -> DataFrame:
-    """One hash of a corpus (doc_id, text): hashes of fixed buckets, hashed in order, so no task sees all rows' texts."""
-    line = F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.sha2("text", 256), F.lit("\n"))
-    each = docs.select("doc_id", (F.col("doc_id") % buckets).alias("b"), line.alias("line")).groupBy("b").agg(F.sort_array(F.collect_list(F.struct("doc_id", "line"))).alias("rows"))
-    part = each.select("b", F.sha2(F.array_join(F.transform("rows", lambda r: r["line"]), ""), 256).alias("h"))
-    return part.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "h"))), lambda r: r["h"]), ""), 256).alias("hash"))
+    Each row's line ``key:doc:meta`` is hashed; lines are grouped by the first digits of their hash, a group's sorted
+    hashes are hashed, and so are the groups' hashes, level by level. A group has about 256 members at every level, so no
+    task sees all rows, and the order of rows doesn't matter.
+    """
+    line = F.concat_ws(":", F.col(key).cast("string"), "doc_sha256", "meta_sha256")
+    level = docs.select(F.sha2(line, 256).alias("h"), F.sha2(line, 256).alias("place"))
+    for digits in (6, 4, 2, 0):
+        level = level.groupBy(F.left("place", F.lit(digits)).alias("place")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("h"))
+    return level.select(F.col("h").alias("hash"))
 
 
 def memory_cards(chunks: DataFrame) -> DataFrame:
@@ -39,9 +45,21 @@ def newest(chunks: DataFrame, n: int) -> DataFrame:
     return chunks.orderBy(F.coalesce("date", F.lit("")).desc(), "id").limit(max(1, n))
 
 
-def upsert(target: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
-    """``target`` with the rows of ``new`` in place of those of equal key."""
-    return target.join(new.select(key), key, "left_anti").unionByName(new)
+def last_of_each(rows: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
+    """One row of each key: the last by ``order``; without an order, and among equal ones, the greatest row."""
+    if not rows.columns:
+        return rows
+    sortable = [F.to_json(F.col(c)) if "map<" in t or "variant" in t else F.col(c) for c, t in rows.dtypes]
+    by = F.struct(*([F.col(order).alias("__order")] if order else []), *(x.alias(f"__{i}") for i, x in enumerate(sortable)))
+    row = F.max_by(F.struct(*rows.columns), by)
+    return rows.groupBy(F.col(key).alias("__key")).agg(row.alias("__row")).select("__row.*")
+
+
+def upsert(target: DataFrame, new: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
+    """``target`` with the rows of ``new`` in place of those of equal key; of rows of ``new`` with one key the last by
+    ``order`` counts (:func:`last_of_each`)."""
+    last = last_of_each(new, key, order)
+    return target.join(last.select(key), key, "left_anti").unionByName(last)
 
 
 def delete(target: DataFrame, ids: DataFrame | None = None, condition: Column | None = None, key: str = "id") -> DataFrame:
@@ -50,9 +68,13 @@ def delete(target: DataFrame, ids: DataFrame | None = None, condition: Column |
     return out if ids is None else out.join(ids.select(key), key, "left_anti")
 
 
-def replace_source(target: DataFrame, new: DataFrame, key: str = "id", source: str = "source") -> DataFrame:
-    """``new`` holds all rows of its sources now: rows of those sources that it lacks go, its rows come in."""
-    return target.join(new.select(source).distinct(), source, "left_anti").unionByName(new)
+def replace_source(target: DataFrame, new: DataFrame, key: str = "id", source: str = "source", sources: DataFrame | None = None) -> DataFrame:
+    """``new`` holds all rows that its sources have now: rows of those sources that it lacks go, its rows come in.
+
+    ``sources`` (source) names what was read; one that ``new`` has no row of became empty, and all its rows go.
+    """
+    read = new.select(source) if sources is None else new.select(source).unionByName(sources.select(source))
+    return target.join(read.distinct(), source, "left_anti").unionByName(last_of_each(new, key))
 
 
 def prune(target: DataFrame, live: DataFrame, source: str = "source") -> DataFrame:
@@ -100,28 +122,58 @@ def verify(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return out
 
 
-def commit_snapshot(spark: SparkSession, df: DataFrame, root: str, name: str) -> str:
-    """Write a snapshot below ``root`` and point ``CURRENT`` at it last, by a rename: readers see the old one or the new one."""
-    df.write.mode("errorifexists").parquet(f"{root}/{name}")
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path
-    fs = path(root).getFileSystem(conf)
-    staged, final = path(f"{root}/.CURRENT-{name}"), path(f"{root}/CURRENT")
-    stream = fs.create(staged, True)
-    stream.write(bytearray(name.encode()))
-    stream.close()
-    if fs.exists(final):
-        fs.delete(final, False)
-    if not fs.rename(staged, final):
-        raise OSError(f"could not publish snapshot {name}")
-    return name
-
-
-def current_snapshot(spark: SparkSession, root: str) -> DataFrame | None:
-    """The published snapshot, or None."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    pointer = jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT")
-    if not pointer.getFileSystem(conf).exists(pointer):
-        return None
-    name = spark.read.text(f"{root}/CURRENT").first()[0]
-    return spark.read.parquet(f"{root}/{name}")
+def repair(target: DataFrame, plan: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
+    """``target`` after a plan (key, action) of :func:`sync_plan` or :func:`reconcile`: keys to add, upsert or rewrite come
+    from ``rows``, keys to delete or drop go, and nothing else is touched."""
+    bring = rows.join(plan.where(F.col("action").isin("add", "upsert", "rewrite")).select(key), key, "left_semi")
+    gone = plan.where(F.col("action").isin("delete", "drop")).select(key)
+    return upsert(delete(target, gone, key=key), bring, key)
+
+
+def retry_pending(index: DataFrame, pending: DataFrame, rows: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """The index with the pending keys written that live in ``rows``, and what stays pending: nothing, unless a key came up
+    that ``rows`` lacks; such keys are dropped from the index, too."""
+    live = pending.select(key).distinct().join(rows.select(key), key, "left_semi")
+    dead = pending.select(key).distinct().join(rows.select(key), key, "left_anti")
+    return upsert(delete(index, dead, key=key), rows.join(live, key, "left_semi").select(*index.columns), key), pending.where(F.lit(False))
+
+
+def health(spark, root: str, needed: tuple[str, ...] = ("id", "document")) -> DataFrame:
+    """(step, ok, detail): whether a store opens, has its columns, counts and answers a query. A step after a failed one
+    isn't tried."""
+    from .snapshots import current_snapshot, version
+
+    out: list[tuple[str, bool, str]] = []
+    rows: list = []
+
+    def opened() -> str:
+        found = current_snapshot(spark, root)
+        if found is None:
+            raise ValueError("nothing is published")
+        rows.append(found)
+        return f"version {version(spark, root)}"
+
+    def columns() -> str:
+        lacking = [c for c in needed if c not in rows[0].columns]
+        if lacking:
+            raise ValueError(f"columns are missing: {', '.join(lacking)}")
+        return f"{len(rows[0].columns)} columns"
+
+    def counted() -> str:
+        return f"{rows[0].count()} rows"
+
+    def queried() -> str:
+        return f"{rows[0].where(F.col(needed[0]).isNull()).count()} rows without {needed[0]}"
+
+    for step in (opened, columns, counted, queried):
+        try:
+            out.append((step.__name__, True, step()))
+        except Exception as e:
+            out.append((step.__name__, False, str(e).splitlines()[0][:200]))
+            break
+    return spark.createDataFrame(out, "step string, ok boolean, detail string")
+
+
+def stale(processes: DataFrame, now: Column, seconds: int = 3600) -> DataFrame:
+    """Rows of ``processes`` (started: timestamp) that are older than ``seconds`` at ``now``."""
+    return processes.where(F.unix_timestamp(now) - F.unix_timestamp("started") > seconds)

@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import staging
 from ..constants import BM25_B, BM25_K1
 from ..functions import text as tx
-from ..operators import lexical
+from ..operators import index, lexical
 from ..session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: (application, directory) -> where its index is.
+_INDEXES: dict[tuple[str, str], str] = {}
 
 
 class Data:
@@ -40,13 +43,22 @@ class Data:
 
     @property
     def queries(self) -> DataFrame:
-        """qid, text: the first six words of each benchmark item."""
-        return self.table("benchmark").select(F.col("item_id").alias("qid"), F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("text"))
+        """qid, text: the benchmark's items, whole."""
+        return self.table("benchmark").select(F.col("item_id").alias("qid"), F.coalesce("text", F.lit("")).alias("text"))
 
     @property
     def kw_docs(self) -> DataFrame:
         return lexical.kw_docs(self.chunks)
 
+    @property
+    def index(self) -> index.Index:
+        """The stored index of the chunks. It is written at the first use in a session and then read, as an index is."""
+        key = (self.spark.sparkContext.applicationId, self.dir)
+        if key not in _INDEXES:
+            _INDEXES[key] = staging.scratch(self.spark, "index")
+            index.build(self.chunks, _INDEXES[key])
+        return index.read(self.spark, _INDEXES[key])
+
     @property
     def vectors(self) -> DataFrame:
         return self.table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
@@ -121,7 +133,7 @@ CTES = {
  CASE lang WHEN 'en' THEN 'note' WHEN 'fr' THEN 'summary' WHEN 'de' THEN 'decision' ELSE 'doc' END AS kind,
  left(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g'), 40) AS title, 'p_' || (doc_id // 4) AS parent_id,
  '2026-' || lpad(CAST(doc_id % 12 + 1 AS VARCHAR), 2, '0') || '-' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') AS date FROM documents""",
-    "queries": "SELECT item_id AS qid, array_to_string(list_slice(string_split(text, ' '), 1, 6), ' ') AS text FROM benchmark",
+    "queries": "SELECT item_id AS qid, coalesce(text, '') AS text FROM benchmark",
     "kwdocs": f"SELECT *, len(tokens) AS token_count FROM (SELECT id, doc_id, project, kind, parent_id, {sql_tokens('title || chr(10) || document')} AS tokens FROM chunks)",
     "posts": "SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(tokens) AS term FROM kwdocs) GROUP BY ALL",
     "stats": "SELECT count(*) AS n_docs, avg(token_count) AS avgdl FROM kwdocs",
@@ -153,7 +165,7 @@ CTES = {
     "weights": f"""SELECT qid, term, round(greatest(0.01, ln((n - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5) + 1)), 6) AS weight
  FROM (SELECT DISTINCT qid, unnest({sql_meaningful('tokens')}) AS term FROM (SELECT qid, {sql_tokens('text')} AS tokens FROM queries))
  LEFT JOIN (SELECT term, count(DISTINCT parent_id) AS df FROM (SELECT parent_id, unnest(tokens) AS term FROM kwdocs) GROUP BY term) USING (term) CROSS JOIN (SELECT count(DISTINCT parent_id) AS n FROM kwdocs)""",
-    "pairs": "SELECT DISTINCT qid, k.id, c.parent_id, c.document || ' ' || c.title || ' ' || c.date AS evidence FROM (SELECT qid, id FROM kwtop WHERE rank <= 10 UNION SELECT qid, id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, id) AS r FROM dense) WHERE r <= 10) k JOIN chunks c USING (id)",
+    "pairs": "SELECT DISTINCT qid, k.id, c.parent_id, c.document || ' ' || c.title || ' ' || c.date AS evidence FROM (SELECT qid, id FROM kwtop UNION SELECT qid, id FROM dense) k JOIN chunks c USING (id)",
     "pairtokens": f"SELECT qid, id, parent_id, evidence, {sql_tokens('evidence')} AS tokens FROM pairs",
     "stemmed": f"SELECT term, w AS stem FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY i DESC) AS last FROM (WITH RECURSIVE s(term, w, i) AS (SELECT DISTINCT term, term, 0 FROM (SELECT unnest(tokens) AS term FROM pairtokens UNION ALL SELECT term FROM weights) UNION ALL SELECT term, {SQL_STEM_STEP}, i + 1 FROM s WHERE {SQL_STEM_STEP} <> w) SELECT * FROM s)) WHERE last = 1",
     "have": "SELECT DISTINCT qid, id, stem FROM (SELECT qid, id, unnest(tokens) AS term FROM pairtokens) JOIN stemmed USING (term)",

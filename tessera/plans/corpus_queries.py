@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import policy, store
-from ..sources import parse
+from ..sources import exports, parse
+from ..staging import scratch
 from .base import SQL_STEM_STEP, Data, query, sql, sql_meaningful, sql_normalize, sql_strip, sql_tokens  # noqa: F401
 
 _PATH = "source || CASE doc_id % 5 WHEN 0 THEN '/.venv/' WHEN 1 THEN '/kg_db/' ELSE '/docs/' END || doc_id || CASE doc_id % 4 WHEN 0 THEN '.md' WHEN 1 THEN '.txt' WHEN 2 THEN '.rst' ELSE '.py' END"
@@ -80,9 +81,25 @@ def _(d: Data) -> DataFrame:
 # ---- conversations
 
 
-@query("import_chats", "SELECT conv_id, string_agg('## ' || role || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS body, count(*) AS n FROM conversations WHERE coalesce(text, '') <> '' GROUP BY conv_id")
+def _as_files(d: Data, objects: DataFrame, name: str) -> str:
+    """A folder of JSON arrays of the column ``object``, some in each file."""
+    path = scratch(d.spark, name)
+    rows = objects.groupBy(F.pmod(F.xxhash64("object"), F.lit(8)).alias("part")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("object"), ","), F.lit("]")).alias("value"))
+    rows.write.partitionBy("part").text(path)
+    return f"{path}/*"
+
+
+_SPOKEN = "CASE WHEN role = 'user' THEN '**Human:**' ELSE '**Assistant:**' END || chr(10) || chr(10) || trim(text, E' \\n\\t\\r')"
+
+
+@query("import_chats", f"SELECT 'c' || conv_id AS uuid, '2026-01-02' AS date, count(*) AS n, '# Chat ' || conv_id || chr(10) || chr(10) || 'Sana: 2026-01-02  ' || chr(10) || 'UUID: c' || conv_id || chr(10) || chr(10) || string_agg({_SPOKEN}, chr(10) || chr(10) ORDER BY turn) || chr(10) AS markdown FROM conversations WHERE trim(coalesce(text, ''), E' \n\t\r') <> '' GROUP BY conv_id")
 def _(d: Data) -> DataFrame:
-    return parse.chats(d.table("conversations"))
+    """The conversations go through the files of an export."""
+    sender = F.when(F.col("role") == "user", "human").otherwise("assistant")
+    content = F.when(F.col("turn") % 2 == 1, F.array(F.struct(F.lit("text").alias("type"), F.concat(F.lit(" "), "text").alias("text"))))
+    turns = d.table("conversations").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", sender.alias("sender"), "text", content.alias("content")))), lambda m: F.struct(m["sender"].alias("sender"), m["text"].alias("text"), m["content"].alias("content"))).alias("chat_messages"))
+    objects = turns.select(F.to_json(F.struct(F.concat(F.lit("c"), "conv_id").alias("uuid"), F.concat(F.lit("Chat "), "conv_id").alias("name"), F.lit("2026-01-02T03:04:05Z").alias("created_at"), "chat_messages")).alias("object"))
+    return exports.read_chats(d.spark, _as_files(d, objects, "chats")).select("uuid", "date", "n", "markdown")
 
 
 @query("render_markdown", "SELECT conv_id, '# Chat ' || conv_id || chr(10) || chr(10) || string_agg('**' || role || ':** ' || regexp_replace(text, '\\n{4,}', chr(10) || chr(10) || chr(10), 'g'), chr(10) || chr(10) ORDER BY turn) AS markdown FROM conversations GROUP BY conv_id")
@@ -90,14 +107,44 @@ def _(d: Data) -> DataFrame:
     return parse.render_markdown(d.table("conversations"))
 
 
-@query("import_sessions", "SELECT conv_id, arg_min(trim(left(trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')), 60)), turn) FILTER (WHERE role = 'user') AS title, count(*) AS n, count(*) FILTER (WHERE role = 'user') AS n_user, count(*) FILTER (WHERE role = 'assistant') AS n_assistant FROM conversations GROUP BY conv_id")
+_TITLE = "left(trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')), 60)"
+
+
+@query("import_sessions", f"""SELECT 's' || conv_id AS session_id, CASE WHEN conv_id % 3 = 0 THEN 'Custom ' || conv_id WHEN conv_id % 3 = 1 THEN 'Made ' || conv_id ELSE coalesce(arg_min({_TITLE}, turn) FILTER (WHERE role = 'user'), 'chat') END AS title,
+ '/work/' || (conv_id % 4) || ', /home' AS cwd, count(*) AS n_messages, count(*) FILTER (WHERE role <> 'user' AND turn % 2 = 0) AS n_tools FROM conversations WHERE trim(coalesce(text, ''), E' \\n\\t\\r') <> '' GROUP BY conv_id""")
 def _(d: Data) -> DataFrame:
-    return parse.sessions(d.table("conversations"))
+    """The conversations go through session logs, a file each, with titles, folders, tools and a broken line."""
+    c, user = F.col("conv_id"), F.col("role") == "user"
+    blocks = F.concat(F.array(F.struct(F.lit("text").alias("type"), "text", F.lit(None).cast("string").alias("name"))), F.when(~user & (F.col("turn") % 2 == 0), F.array(F.struct(F.lit("tool_use").alias("type"), F.lit(None).cast("string").alias("text"), F.lit("Bash").alias("name")))).otherwise(F.array()))
+    said = F.to_json(F.struct(F.when(user, "user").otherwise("assistant").alias("type"), F.lit("2026-03-04T05:06:07Z").alias("timestamp"), F.concat(F.lit("s"), c).alias("sessionId"), F.when(F.col("turn") > 1, "/home").otherwise(F.concat(F.lit("/work/"), (c % 4).cast("string"))).alias("cwd"), F.struct(blocks.alias("content")).alias("message")))
+    turns = d.table("conversations").select("conv_id", F.col("turn").alias("n"), said.alias("value"))
+    ids = d.table("conversations").select("conv_id").distinct()
+    line = lambda n, o: ids.select("conv_id", F.lit(n).cast("long").alias("n"), o.alias("value"))
+    first = line(-2, F.to_json(F.struct(F.lit("note").alias("type"), F.concat(F.lit("/work/"), (c % 4).cast("string")).alias("cwd")))).unionByName(line(-1, F.to_json(F.struct(F.lit("note").alias("type"), F.lit("/home").alias("cwd")))))
+    made = line(10_000, F.when(c % 3 != 2, F.to_json(F.struct(F.lit("ai-title").alias("type"), F.concat(F.lit("Made "), c).alias("aiTitle")))).otherwise("{broken"))
+    custom = line(10_001, F.when(c % 3 == 0, F.to_json(F.struct(F.lit("custom-title").alias("type"), F.concat(F.lit("Custom "), c).alias("customTitle")))).otherwise("{broken"))
+    path = scratch(d.spark, "sessions")
+    lines = turns.unionByName(first).unionByName(made).unionByName(custom)
+    lines.repartition("conv_id").sortWithinPartitions("conv_id", "n").select("conv_id", "value").write.partitionBy("conv_id").text(path)
+    return exports.read_sessions(d.spark, f"{path}/*").select("session_id", "title", "cwd", "n_messages", "n_tools")
 
 
-@query("import_projects", sql("SELECT project, count(*) AS n, '# ' || project || chr(10) || chr(10) || string_agg('## ' || title || chr(10) || chr(10) || document, chr(10) || chr(10) ORDER BY doc_id) AS markdown FROM chunks WHERE document <> '' GROUP BY project"))
+@query("import_projects", sql("""SELECT 'u' || project AS uuid, project AS name, count(*) AS n_docs, '# ' || project || chr(10) || chr(10) || 'UUID: u' || project || '  ' || chr(10) || 'All of ' || project || chr(10) || chr(10) || '## Project instructions' || chr(10) || chr(10) || 'Keep it.' || chr(10) || chr(10)
+ || string_agg('## Hujjat: ' || id || chr(10) || chr(10) || trim(document, E' \\n\\t\\r'), chr(10) || chr(10) ORDER BY doc_id) || chr(10) AS markdown FROM chunks WHERE trim(document, E' \\n\\t\\r') <> '' GROUP BY project"""))
 def _(d: Data) -> DataFrame:
-    return parse.projects(d.chunks)
+    """Documents go through project files; a project is one page, so its documents are one row."""
+    docs = d.chunks.groupBy("project").agg(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", F.col("id").alias("name"), F.col("document").alias("content")))), lambda x: F.struct(x["name"].alias("name"), x["content"].alias("content"))).alias("docs"))
+    objects = docs.select(F.to_json(F.struct(F.concat(F.lit("u"), "project").alias("uuid"), F.col("project").alias("name"), F.concat(F.lit("All of "), "project").alias("description"), F.lit(" Keep it. ").alias("instructions"), "docs")).alias("object"))
+    return exports.read_projects(d.spark, _as_files(d, objects, "projects")).select("uuid", "name", "n_docs", "markdown")
+
+
+@query("read_questions", sql("SELECT 'q' || qid AS id, text AS query, CASE qid % 3 WHEN 0 THEN 'uz' WHEN 1 THEN 'en' ELSE 'ru' END AS lang FROM queries WHERE trim(text) <> ''"))
+def _(d: Data) -> DataFrame:
+    q = F.col("qid")
+    lang = F.when(q % 3 == 0, "uz").when(q % 3 == 1, "en").otherwise("ru")
+    path = scratch(d.spark, "questions") + ".jsonl"
+    d.queries.select(F.concat(F.lit("q"), "qid").alias("id"), F.col("text").alias("query"), lang.alias("lang")).write.json(path)
+    return exports.read_questions(d.spark, path).select("id", "query", "lang")
 
 
 @query("session_render", """SELECT user_id, step, coalesce(string_agg(event_type, ' ' ORDER BY event_id) FILTER (WHERE NOT says), '') AS tools, max(event_type) FILTER (WHERE says) AS said FROM (
@@ -107,10 +154,9 @@ def _(d: Data) -> DataFrame:
     return parse.session_render(d.table("events"))
 
 
-@query("last_title", "SELECT user_id, arg_max(event_type, event_id) AS title FROM events WHERE event_type IS NOT NULL AND event_id % 3 = 0 GROUP BY user_id")
+@query("last_title", "SELECT user_id, arg_max(event_type, event_id) AS title FROM events WHERE coalesce(event_type, '') <> '' GROUP BY user_id")
 def _(d: Data) -> DataFrame:
-    named = F.when(F.col("event_id") % 3 == 0, F.col("event_type"))
-    return d.table("events").select("user_id", "event_id", named.alias("t")).where("t is not null").groupBy("user_id").agg(F.max_by("t", "event_id").alias("title"))
+    return d.table("events").where(F.coalesce("event_type", F.lit("")) != "").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("title"))
 
 
 @query("run_length_chain", """SELECT user_id, string_agg(CASE WHEN n > 1 THEN event_type || ' x' || n ELSE event_type END, ' -> ' ORDER BY first) AS chain FROM (
@@ -122,6 +168,7 @@ def _(d: Data) -> DataFrame:
 
 @query("dedupe_names", "SELECT doc_id, CASE WHEN n = 1 THEN slug ELSE slug || '-' || n END AS name FROM (SELECT doc_id, slug, row_number() OVER (PARTITION BY slug ORDER BY doc_id) AS n FROM (SELECT doc_id, lower(regexp_extract(text, '^[A-Za-z]+')) AS slug FROM documents))")
 def _(d: Data) -> DataFrame:
+    """Names are the first words, which many documents share."""
     return parse.dedupe_names(d.table("documents").select("doc_id", F.lower(F.regexp_extract("text", "^[A-Za-z]+", 0)).alias("slug")), "slug", "doc_id")
 
 
@@ -156,16 +203,16 @@ def _(d: Data) -> DataFrame:
     return d.table("documents").select(F.explode(F.split(F.lower("text"), " ")).alias("w")).distinct().select("w", tx.strip_suffix(F.col("w")).alias("root"))
 
 
-@query("light_stem", sql(f"""SELECT term, arg_max(w, i) AS stem FROM (WITH RECURSIVE s(term, w, i) AS (SELECT DISTINCT term, term, 0 FROM posts WHERE length(term) <= 24 UNION ALL SELECT term, {SQL_STEM_STEP}, i + 1 FROM s WHERE {SQL_STEM_STEP} <> w) SELECT * FROM s) GROUP BY term"""))
+@query("light_stem", sql(f"""SELECT term, arg_max(w, i) AS stem FROM (WITH RECURSIVE s(term, w, i) AS (SELECT DISTINCT term, term, 0 FROM posts UNION ALL SELECT term, {SQL_STEM_STEP}, i + 1 FROM s WHERE {SQL_STEM_STEP} <> w) SELECT * FROM s) GROUP BY term"""))
 def _(d: Data) -> DataFrame:
-    words = d.kw_docs.select(F.explode("tokens").alias("term")).distinct().where("length(term) <= 24")
+    words = d.kw_docs.select(F.explode("tokens").alias("term")).distinct()
     return words.select("term", tx.light_stem(F.col("term")).alias("stem"))
 
 
 @query("strict_constraints", """SELECT doc_id, array_to_string(list_transform(list_concat(regexp_extract_all(t, '\\b(19[0-9][0-9]|20[0-9][0-9])\\b', 1), regexp_extract_all(t, '"([^"]+)"', 1)), lambda c: lower(c)), '|') AS constraints
- FROM (SELECT doc_id, left(text, 80) || ' in 20' || lpad(CAST(doc_id % 100 AS VARCHAR), 2, '0') || ' "Source ' || source || '"' AS t FROM documents)""")
+ FROM (SELECT doc_id, text || ' in 20' || lpad(CAST(doc_id % 100 AS VARCHAR), 2, '0') || ' "Source ' || source || '"' AS t FROM documents)""")
 def _(d: Data) -> DataFrame:
-    t = F.concat(F.left("text", F.lit(80)), F.lit(" in 20"), F.lpad((F.col("doc_id") % 100).cast("string"), 2, "0"), F.lit(' "Source '), F.col("source"), F.lit('"'))
+    t = F.concat(F.col("text"), F.lit(" in 20"), F.lpad((F.col("doc_id") % 100).cast("string"), 2, "0"), F.lit(' "Source '), F.col("source"), F.lit('"'))
     return d.table("documents").select("doc_id", F.array_join(tx.strict_constraints(t), "|").alias("constraints"))
 
 
@@ -174,9 +221,9 @@ def _sql_slug(c: str) -> str:
     return f"coalesce(nullif(left(regexp_replace({kept}, '[\\s_]+', '-', 'g'), 60), ''), 'chat')"
 
 
-@query("slugify", f"SELECT doc_id, {_sql_slug('left(text, 90)')} AS slug FROM documents")
+@query("slugify", f"SELECT doc_id, {_sql_slug('text')} AS slug FROM documents")
 def _(d: Data) -> DataFrame:
-    return d.table("documents").select("doc_id", tx.slugify(F.left("text", F.lit(90))).alias("slug"))
+    return d.table("documents").select("doc_id", tx.slugify(F.col("text")).alias("slug"))
 
 
 _FOLDER = "CASE doc_id % 4 WHEN 0 THEN 'D--claude-projects-' || source || '-App' WHEN 1 THEN 'D--claude-projects' WHEN 2 THEN 'C--Users-me-Desktop-' || source ELSE 'C--Users-' || source END"
@@ -219,14 +266,29 @@ def _(d: Data) -> DataFrame:
     return d.table("documents").select("doc_id", store.chunk_id(F.col("source"), F.col("doc_id")).alias("chunk"))
 
 
-@query("content_hashes", "SELECT doc_id, sha256(text) AS doc_sha256, sha256('{\"lang\": \"' || lang || '\", \"source\": \"' || source || '\"}') AS meta_sha256 FROM documents")
+_META = "CASE WHEN doc_id % 7 = 0 THEN NULL ELSE lang END AS lang, CASE WHEN doc_id % 5 = 0 THEN source || ' \"x\"' ELSE source END AS source"
+_HASHED = f"SELECT doc_id, sha256(text) AS doc_sha256, sha256(CAST(to_json({{'lang': lang, 'source': source}}) AS VARCHAR)) AS meta_sha256 FROM (SELECT doc_id, text, {_META} FROM documents)"
+
+
+def _hashed(d: Data) -> DataFrame:
+    """Some languages are null, some sources hold quotes."""
+    lang, source = F.expr(_META.split(", CASE")[0].removesuffix(" AS lang")), F.expr("CASE" + _META.split(", CASE")[1].removesuffix(" AS source"))
+    return d.table("documents").select("doc_id", *store.content_hashes(F.col("text"), {"lang": lang, "source": source}))
+
+
+@query("content_hashes", _HASHED)
 def _(d: Data) -> DataFrame:
-    return d.table("documents").select("doc_id", *store.content_hashes(F.col("text"), {"lang": F.col("lang"), "source": F.col("source")}))
+    return _hashed(d)
+
+
+_LEVELS = f"SELECT h, h AS p FROM (SELECT sha256(doc_id || ':' || doc_sha256 || ':' || meta_sha256) AS h FROM ({_HASHED}))"
+for _n in (6, 4, 2, 0):
+    _LEVELS = f"SELECT sha256(string_agg(h, '' ORDER BY h)) AS h, left(p, {_n}) AS p FROM ({_LEVELS}) GROUP BY left(p, {_n})"
 
 
-@query("corpus_hash", "SELECT sha256(string_agg(h, '' ORDER BY b)) AS hash FROM (SELECT b, sha256(string_agg(doc_id || ':' || sha256(text) || chr(10), '' ORDER BY doc_id)) AS h FROM (SELECT doc_id, text, doc_id % 64 AS b FROM documents) GROUP BY b)")
+@query("corpus_hash", f"SELECT h AS hash FROM ({_LEVELS})")
 def _(d: Data) -> DataFrame:
-    return store.corpus_hash(d.table("documents").select("doc_id", "text"))
+    return store.corpus_hash(_hashed(d), "doc_id")
 
 
 # ---- chunking
@@ -261,7 +323,7 @@ def _(d: Data) -> DataFrame:
     return store.newest(d.chunks.where("doc_id % 6 = 0"), 20).select("id", "title", "date")
 
 
-@query("fetch_json")
+@query("fetch_json", sql("SELECT id, CAST(to_json({'id': id, 'title': title, 'text': document, 'metadata': {'project': project, 'kind': kind, 'date': date}}) AS VARCHAR) AS record FROM chunks"))
 def _(d: Data) -> DataFrame:
     return d.chunks.select("id", F.to_json(F.struct("id", "title", F.col("document").alias("text"), F.struct("project", "kind", "date").alias("metadata"))).alias("record"))
 
@@ -346,9 +408,9 @@ def _(d: Data) -> DataFrame:
     return d.table("documents").select("doc_id").subtract(d.table("labels").select("doc_id"))
 
 
-@query("ordered_dedupe", "SELECT doc_id, array_to_string(list_transform(list_sort(list_transform(list_distinct(w), lambda x: {'p': list_position(w, x), 'x': x})), lambda s: s.x), ' ') AS words FROM (SELECT doc_id, string_split(left(text, 200), ' ') AS w FROM documents)")
+@query("ordered_dedupe", "SELECT doc_id, string_agg(w, ' ' ORDER BY p) AS words FROM (SELECT doc_id, w, min(p) AS p FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS p FROM documents) GROUP BY doc_id, w) GROUP BY doc_id")
 def _(d: Data) -> DataFrame:
-    return d.table("documents").select("doc_id", F.array_join(F.array_distinct(F.split(F.left("text", F.lit(200)), " ")), " ").alias("words"))
+    return d.table("documents").select("doc_id", F.array_join(F.array_distinct(F.split("text", " ")), " ").alias("words"))
 
 
 @query("distinct_projects", "SELECT DISTINCT source AS project FROM documents ORDER BY 1")

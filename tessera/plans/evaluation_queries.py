@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import evaluate, lexical
+from ..staging import staged
 from .base import Data, query, sql
 
 
@@ -13,7 +14,7 @@ def eval_queries(d: Data) -> DataFrame:
     """qid, lang, kind, expected, latency_ms: a question is answerable if its item stands in some document."""
     items = d.table("benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("q"))
     docs = d.table("documents").select("doc_id", "text")
-    found = docs.join(F.broadcast(items), F.contains(F.col("text"), F.col("q"))).groupBy("qid").agg(F.min("doc_id").alias("doc"))
+    found = evaluate.containing(docs, items).groupBy("qid").agg(F.min("doc_id").alias("doc"))
     q = F.col("qid")
     kind = F.when(F.col("doc").isNotNull(), "answerable").when(q % 2 == 0, "near_miss").otherwise("unanswerable")
     lang = F.when(q % 3 == 0, "uz").when(q % 3 == 1, "en").otherwise("ru")
@@ -22,10 +23,10 @@ def eval_queries(d: Data) -> DataFrame:
 
 
 def top10(d: Data) -> DataFrame:
-    """qid, id, rank, score in [0, 1), parent."""
-    hits = lexical.keyword_topk(d.queries, d.kw_docs, 10)
+    """qid, id, rank, score in [0, 1), parent; worked out once."""
+    hits = lexical.keyword_topk(d.queries, d.index, 10)
     score = F.round(-F.col("score") / (10 - F.col("score")), 6)
-    return hits.select("qid", "id", "rank", score.alias("score")).join(d.chunks.select("id", F.col("parent_id").alias("parent")), "id")
+    return staged(hits.select("qid", "id", "rank", score.alias("score")).join(d.chunks.select("id", F.col("parent_id").alias("parent")), "id"), "top10")
 
 
 def _judged(d: Data) -> DataFrame:
@@ -75,7 +76,7 @@ def _(d: Data) -> DataFrame:
 def _sweep(d: Data) -> DataFrame:
     top = top10(d)
     thetas = evaluate.candidates(top)
-    q = eval_queries(d)
+    q = staged(eval_queries(d), "questions")
     hits = top.join(q.select("qid", "expected"), "qid").where("parent = expected").select("qid", "rank", "score")
     return evaluate.sweep(q, top.where("rank = 1"), hits, thetas)
 
@@ -100,13 +101,37 @@ def _(d: Data) -> DataFrame:
     return _sweep(d).crossJoin(F.broadcast(steps)).withColumn("k", F.row_number().over(w)).where("k = 1").select("step", "theta", "r10", "far")
 
 
-@query("config_ranking", "SELECT source AS config, r, m, f, row_number() OVER (ORDER BY r DESC, m DESC, f, source) AS position FROM (SELECT source, round(avg(n_chars % 7), 2) AS r, round(avg(n_chars % 5), 2) AS m, round(avg(n_chars % 3), 2) AS f FROM documents GROUP BY source)")
+def _configs(d: Data) -> DataFrame:
+    """config, lang, r10, mrr, far, p50 of two configurations over the questions: the words alone, and the words with answers
+    under 0.5 held back."""
+    judged = staged(_judged(d), "judged")
+    held = F.when(F.col("top") >= 0.5, F.col("first"))
+    both = judged.withColumn("config", F.lit("plain")).unionByName(judged.withColumn("first", held).withColumn("top", F.when(F.col("top") >= 0.5, F.col("top"))).withColumn("config", F.lit("held")))
+    said = F.col("top").isNotNull()
+    return both.groupBy("config", "lang").agg(evaluate.recall_at(10).alias("r10"), evaluate.mrr().alias("mrr"), evaluate.false_answers(F.col("kind") != "answerable", said).alias("far"), F.round(F.percentile("latency_ms", 0.5), 4).alias("p50"))
+
+
+_CONFIGS = f"""SELECT config, lang, {_RECALL.format(k=10)}, {_MRR}, round(avg(CASE WHEN kind <> 'answerable' THEN CASE WHEN top IS NOT NULL THEN 1.0 ELSE 0.0 END END), 4) AS far, round(quantile_cont(latency_ms, 0.5), 4) AS p50
+ FROM (SELECT 'plain' AS config, lang, kind, first, top, latency_ms FROM ({_JUDGED}) UNION ALL SELECT 'held', lang, kind, CASE WHEN top >= 0.5 THEN first END, CASE WHEN top >= 0.5 THEN top END, latency_ms FROM ({_JUDGED})) GROUP BY config, lang"""
+
+
+@query("config_ranking", sql(f"SELECT *, row_number() OVER (ORDER BY coalesce(r10, 0) DESC, coalesce(mrr, 0) DESC, coalesce(far, 0), p50, config, lang) AS position FROM ({_CONFIGS})"))
 def _(d: Data) -> DataFrame:
-    each = d.table("documents").groupBy(F.col("source").alias("config")).agg(*(F.round(F.avg(F.col("n_chars") % k), 2).alias(n) for k, n in ((7, "r"), (5, "m"), (3, "f"))))
-    return evaluate.ranked(each, F.col("r").desc(), F.col("m").desc(), F.col("f"), F.col("config"))
+    none = lambda c: F.coalesce(c, F.lit(0.0))
+    return evaluate.ranked(_configs(d), none("r10").desc(), none("mrr").desc(), none("far"), F.col("p50"), F.col("config"), F.col("lang"))
+
+
+@query("config_verdict", sql(f"SELECT lang, CASE WHEN coalesce(h.mrr, 0) - coalesce(p.mrr, 0) > 0.01 THEN 'ON' WHEN coalesce(p.mrr, 0) - coalesce(h.mrr, 0) > 0.01 THEN 'OFF' ELSE 'EQUAL' END AS verdict FROM (SELECT * FROM ({_CONFIGS}) WHERE config = 'held') h JOIN (SELECT * FROM ({_CONFIGS}) WHERE config = 'plain') p USING (lang)"))
+def _(d: Data) -> DataFrame:
+    of = lambda c: F.coalesce(F.max(F.when(F.col("config") == c, F.col("mrr"))), F.lit(0.0))
+    return _configs(d).groupBy("lang").agg(evaluate.verdict(of("held"), of("plain"), 0.01).alias("verdict"))
+
+
+_TYPES = "CASE WHEN n_words < 20 THEN 'short' WHEN n_words < 35 THEN 'middling' WHEN n_words < 50 THEN 'long' ELSE 'longest' END"
 
 
-@query("pairwise_eval", "SELECT q_type, round(avg(v), 4) AS mean FROM (SELECT unnest(['title', 'need', 'name', 'other']) AS q_type, unnest([doc_id % 2, doc_id % 3, doc_id % 5, doc_id % 7]) AS v FROM documents) GROUP BY q_type")
+@query("pairwise_eval", sql(f"SELECT q_type, count(*) AS n, round(avg(coalesce(1.0 / first, 0)), 4) AS mrr, round(avg(CASE WHEN lang = 'uz' THEN coalesce(1.0 / first, 0) END), 4) AS mrr_uz FROM ({_JUDGED}) JOIN (SELECT qid, {_TYPES} AS q_type FROM (SELECT qid, len(string_split(text, ' ')) AS n_words FROM queries)) USING (qid) GROUP BY q_type"))
 def _(d: Data) -> DataFrame:
-    wide = d.table("documents").select(*((F.col("doc_id") % k).alias(n) for n, k in (("title", 2), ("need", 3), ("name", 5), ("other", 7))))
-    return wide.unpivot([], ["title", "need", "name", "other"], "q_type", "v").groupBy("q_type").agg(F.round(F.avg("v"), 4).alias("mean"))
+    types = d.queries.select("qid", F.size(F.split("text", " ")).alias("n_words")).select("qid", F.expr(_TYPES).alias("q_type"))
+    found = F.coalesce(1.0 / F.col("first"), F.lit(0.0))
+    return _judged(d).join(types, "qid").groupBy("q_type").agg(F.count("*").alias("n"), F.round(F.avg(found), 4).alias("mrr"), F.round(F.avg(F.when(F.col("lang") == "uz", found)), 4).alias("mrr_uz"))

@@ -5,25 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import models
 from ..functions import text as tx
 from ..functions import vectors as vx
 from ..operators import dense, graph, lexical, policy, retrieval
+from ..staging import staged
 from .base import Data, query, sql, sql_meaningful, sql_tokens
 
 
 @query("postings", sql("SELECT id, term, tf FROM posts"))
 def _(d: Data) -> DataFrame:
-    return lexical.postings(d.kw_docs)
+    return d.index.postings.select("id", "term", "tf")
 
 
 @query("doc_freq", sql("SELECT term, df FROM df"))
 def _(d: Data) -> DataFrame:
-    return lexical.doc_freq(lexical.postings(d.kw_docs))
+    return d.index.terms.select("term", "df")
 
 
 @query("corpus_stats", sql("SELECT n_docs, round(avgdl, 6) AS avgdl FROM stats"))
 def _(d: Data) -> DataFrame:
-    return lexical.corpus_stats(d.kw_docs).select("n_docs", F.round("avgdl", 6).alias("avgdl"))
+    return d.index.stats.select("n_docs", F.round("avgdl", 6).alias("avgdl"))
 
 
 @query("kw_docs", sql("SELECT id, project, kind, parent_id, token_count, array_to_string(tokens, ' ') AS terms FROM kwdocs"))
@@ -33,35 +35,33 @@ def _(d: Data) -> DataFrame:
 
 @query("term_idf", sql("SELECT term, round(ln((n_docs - df + 0.5) / (df + 0.5) + 1), 6) AS idf FROM df CROSS JOIN stats"))
 def _(d: Data) -> DataFrame:
-    docs = d.kw_docs
     idf = F.round(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1), 6)
-    return lexical.doc_freq(lexical.postings(docs)).crossJoin(F.broadcast(lexical.corpus_stats(docs))).select("term", idf.alias("idf"))
+    return d.index.terms.crossJoin(F.broadcast(d.index.stats)).select("term", idf.alias("idf"))
 
 
 @query("evidence_df", sql("SELECT term, count(DISTINCT parent_id) AS df FROM (SELECT parent_id, unnest(tokens) AS term FROM kwdocs) GROUP BY term"))
 def _(d: Data) -> DataFrame:
-    return d.kw_docs.select("parent_id", F.explode(F.array_distinct("tokens")).alias("term")).distinct().groupBy("term").agg(F.count("*").alias("df"))
+    return d.index.terms.select("term", F.col("parents").alias("df"))
 
 
 @query("bm25", sql("SELECT qid, id, score FROM bm25"))
 def _(d: Data) -> DataFrame:
-    return lexical.bm25(d.queries, d.kw_docs)
+    return lexical.bm25(d.queries, d.index)
 
 
 @query("keyword_match", sql("SELECT DISTINCT qid, id FROM qterms JOIN posts USING (term)"))
 def _(d: Data) -> DataFrame:
-    terms = lexical.query_terms(d.queries)
-    return d.kw_docs.select("id", F.explode("tokens").alias("term")).join(terms, "term").select("qid", "id").distinct()
+    return d.index.postings.select("term", "id").join(lexical.query_terms(d.queries), "term").select("qid", "id").distinct()
 
 
 @query("bm25_filtered", sql("SELECT qid, id, score FROM bm25 JOIN chunks USING (id) WHERE project IN ('src1', 'src2') AND kind = 'note'"))
 def _(d: Data) -> DataFrame:
-    return lexical.bm25(d.queries, d.kw_docs, d.chunks.where(policy.where({"project": {"$in": ["src1", "src2"]}, "kind": "note"})))
+    return lexical.bm25(d.queries, d.index, d.chunks.where(policy.where({"project": {"$in": ["src1", "src2"]}, "kind": "note"})))
 
 
 @query("keyword_topk", sql("SELECT qid, id, score, rank FROM kwtop"))
 def _(d: Data) -> DataFrame:
-    return lexical.keyword_topk(d.queries, d.kw_docs)
+    return lexical.keyword_topk(d.queries, d.index)
 
 
 @query("vector_topk", sql("SELECT qid, id, similarity, rank FROM vectop"))
@@ -154,11 +154,12 @@ def _(d: Data) -> DataFrame:
 
 
 def _legs(d: Data) -> tuple[DataFrame, DataFrame]:
+    """The hits of both legs, worked out once: at most 50 a question each."""
     chunks = d.chunks
     vec = dense.vector_topk(d.query_vectors, d.vectors)
     dn = vec.join(chunks.select("doc_id", F.col("parent_id").alias("source_key")), vec["id"] == F.col("doc_id")).select("qid", F.concat(F.lit("doc_"), vec["id"].cast("string")).alias("id"), "source_key", "similarity")
-    lx = lexical.keyword_topk(d.queries, d.kw_docs).join(chunks.select("id", F.col("parent_id").alias("source_key")), "id").select("qid", "id", "source_key", "score")
-    return dn, lx
+    lx = lexical.keyword_topk(d.queries, d.index).join(chunks.select("id", F.col("parent_id").alias("source_key")), "id").select("qid", "id", "source_key", "score")
+    return staged(dn, "dense"), staged(lx, "lexical")
 
 
 @query("best_per_source", sql("SELECT qid, source_key, id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid, source_key ORDER BY score, id) AS n FROM lexical) WHERE n = 1"))
@@ -178,7 +179,7 @@ def _(d: Data) -> DataFrame:
 
 @query("term_weights", sql("SELECT qid, term, weight FROM weights"))
 def _(d: Data) -> DataFrame:
-    return retrieval.term_weights(d.queries, d.kw_docs)
+    return retrieval.term_weights(d.queries, d.index)
 
 
 @query("meaningful_terms", sql(f"SELECT qid, array_to_string({sql_meaningful('tokens')}, ' ') AS terms FROM (SELECT qid, {sql_tokens('text')} AS tokens FROM queries)"))
@@ -187,40 +188,39 @@ def _(d: Data) -> DataFrame:
 
 
 def _pairs(d: Data, legs: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    """The ten best hits of each leg, with what is looked at as evidence."""
+    """All hits of both legs, with what is looked at as evidence."""
     dn, lx = legs or _legs(d)
-    both = lexical.top(dn, [F.col("similarity").desc(), F.col("id")], 10).select("qid", "id").unionByName(lexical.top(lx, [F.col("score"), F.col("id")], 10).select("qid", "id")).distinct()
+    both = dn.select("qid", "id").unionByName(lx.select("qid", "id")).distinct()
     chunks = d.chunks.select("id", "parent_id", retrieval.evidence_text(F.col("document"), F.col("title"), F.col("date")).alias("evidence"))
-    return both.join(chunks, "id").select("qid", "id", "parent_id", "evidence")
+    return chunks.join(both, "id").select("qid", "id", "parent_id", "evidence")
 
 
 @query("coverage", sql("SELECT qid, id, coverage, matched FROM covered"))
 def _(d: Data) -> DataFrame:
     pairs = _pairs(d).withColumn("tokens", tx.tokenize(F.col("evidence")))
-    return retrieval.coverage(retrieval.term_weights(d.queries, d.kw_docs), pairs).select("qid", "id", "coverage", "matched")
+    return retrieval.coverage(retrieval.term_weights(d.queries, d.index), pairs).select("qid", "id", "coverage", "matched")
 
 
 @query("evidence_gate", sql("SELECT qid, id, coverage, matched, passes FROM gated"))
 def _(d: Data) -> DataFrame:
-    return retrieval.evidence_gate(d.queries, _pairs(d), d.kw_docs)
+    return retrieval.evidence_gate(d.queries, _pairs(d), d.index)
 
 
 def hybrid(d: Data) -> DataFrame:
-    """(qid, source_key, id, passes, n_siblings, rrf): every fused source of the ten best hits of each leg, with its representative."""
+    """(qid, source_key, id, passes, n_siblings, rrf): every fused source of both legs' hits, with its representative."""
     legs = _legs(d)
-    pairs = _pairs(d, legs)
-    gate = retrieval.evidence_gate(d.queries, pairs, d.kw_docs).select("qid", "id", "passes")
-    dn = lexical.top(legs[0], [F.col("similarity").desc(), F.col("id")], 10).select("qid", "id", "source_key", F.lit(0).alias("leg"), F.col("rank").alias("pos"))
-    lx = lexical.top(legs[1], [F.col("score"), F.col("id")], 10).select("qid", "id", "source_key", F.lit(1).alias("leg"), F.col("rank").alias("pos"))
+    gate = retrieval.evidence_gate(d.queries, _pairs(d, legs), d.index).select("qid", "id", "passes")
+    dn = lexical.top(legs[0], [F.col("similarity").desc(), F.col("id")], 50).select("qid", "id", "source_key", F.lit(0).alias("leg"), F.col("rank").alias("pos"))
+    lx = lexical.top(legs[1], [F.col("score"), F.col("id")], 50).select("qid", "id", "source_key", F.lit(1).alias("leg"), F.col("rank").alias("pos"))
     found = dn.unionByName(lx).join(gate, ["qid", "id"])
-    return retrieval.representatives(found).join(retrieval.rrf(*legs), ["qid", "source_key"])
+    return staged(retrieval.representatives(found).join(retrieval.rrf(*legs), ["qid", "source_key"]), "hybrid")
 
 
 _FOUND = """SELECT qid, d.id, source_key, 0 AS leg, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, id) AS pos FROM dense d
  UNION ALL SELECT qid, id, source_key, 1, row_number() OVER (PARTITION BY qid ORDER BY score, id) FROM lexical"""
 _REP = f"""SELECT qid, source_key, id, passes, n - 1 AS n_siblings, rrf FROM (SELECT *, row_number() OVER (PARTITION BY qid, source_key ORDER BY passes AND lead DESC, passes DESC, lead DESC, leg, pos, id) AS k FROM (
  SELECT *, row_number() OVER (PARTITION BY qid, source_key ORDER BY leg, pos, id) = 1 AS lead, count(*) OVER (PARTITION BY qid, source_key) AS n FROM (
- SELECT f.qid, f.source_key, f.id, min(leg) AS leg, arg_min(pos, leg) AS pos, bool_or(passes) AS passes FROM ({_FOUND}) f JOIN gated g ON g.qid = f.qid AND g.id = f.id WHERE pos <= 10 GROUP BY ALL))) JOIN fused USING (qid, source_key) WHERE k = 1"""
+ SELECT f.qid, f.source_key, f.id, min(leg) AS leg, arg_min(pos, leg) AS pos, bool_or(passes) AS passes FROM ({_FOUND}) f JOIN gated g ON g.qid = f.qid AND g.id = f.id GROUP BY ALL))) JOIN fused USING (qid, source_key) WHERE k = 1"""
 _REP = _REP.replace("ORDER BY passes AND lead DESC", "ORDER BY (passes AND lead) DESC")
 _RANKED = f"SELECT *, row_number() OVER (PARTITION BY qid, passes ORDER BY rrf DESC, source_key) AS n FROM ({_REP})"
 
@@ -255,20 +255,43 @@ def _(d: Data) -> DataFrame:
     )
 
 
-@query("search_knowledge")
+_LINES = f"""SELECT qid, string_agg(line, chr(10) ORDER BY bucket DESC, position) AS answer, count(*) FILTER (WHERE bucket = 'result') AS n_results, sum(CASE WHEN bucket = 'result' THEN tokens ELSE 0 END) AS returned_tokens
+ FROM (SELECT qid, bucket, position, greatest(1, length(document) // 4) AS tokens, CASE WHEN bucket = 'result' THEN '[' || kind || '] ' || title || ' | project: ' || project || ' | date: ' || date || ' | id: ' || id || chr(10) || document ELSE '- ' || title || ' (' || id || ')' END AS line
+ FROM ({_RESULTS}) r JOIN chunks USING (id) WHERE bucket = 'result' OR position <= 5) GROUP BY qid"""
+
+
+@query("search_knowledge", sql(f"SELECT qid, CASE WHEN coalesce(n_results, 0) > 0 THEN 'ok' ELSE 'insufficient_evidence' END AS status, coalesce(answer, '') AS answer, CAST(coalesce(returned_tokens, 0) AS BIGINT) AS returned_tokens FROM queries LEFT JOIN ({_LINES}) USING (qid)"))
 def _(d: Data) -> DataFrame:
-    hits = results(d).where("bucket = 'result' OR position <= 5")
-    lines = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "position", "id", "rrf"))), lambda x: F.format_string("%s %d %s (%.4f)", x["bucket"], x["position"], x["id"], x["rrf"])), "\n")
-    return d.queries.join(hits, "qid", "left").groupBy("qid", "text").agg(F.when(F.coalesce(F.bool_or(F.col("bucket") == "result"), F.lit(False)), "ok").otherwise("insufficient_evidence").alias("status"), lines.alias("answer"))
+    hits = results(d).where("bucket = 'result' OR position <= 5").join(d.chunks.select("id", "kind", "title", "project", "date", "document"), "id")
+    return retrieval.envelope(d.queries, hits).select("qid", "status", "answer", "returned_tokens")
+
+
+_OVERLAP = "len(list_intersect(list_distinct(string_split_regex(lower(q.text), '\\s+')), list_distinct(string_split_regex(lower(c.document), '\\s+')))) / greatest(1, len(list_distinct(string_split_regex(lower(q.text), '\\s+'))))::DOUBLE"
+_SCORED = f"""SELECT f.*, round(CASE WHEN fr <= 20 THEN {_OVERLAP} END, 6) AS rerank_score FROM (SELECT *, max(rrf) OVER (PARTITION BY qid) AS m, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, source_key) AS fr FROM ({_REP})) f JOIN queries q USING (qid) JOIN chunks c USING (id)"""
 
 
-@query("rerank_blend", sql("""SELECT qid, source_key, rrf, round(CASE WHEN fr <= 20 THEN (length(source_key) % 5) / 5.0 END, 6) AS rerank_score,
- row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN fr <= 20 THEN 0 ELSE 1 END, round(0.5 * ((length(source_key) % 5) / 5.0) + 0.5 * CASE WHEN m > 0 THEN rrf / m ELSE 1 END, 6) DESC, fr) AS final_rank
- FROM (SELECT *, max(rrf) OVER (PARTITION BY qid) AS m, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, source_key) AS fr FROM fused)""".replace(
-    "CASE WHEN fr <= 20 THEN 0 ELSE 1 END, round(", "CASE WHEN fr <= 20 THEN 0 ELSE 1 END, CASE WHEN fr <= 20 THEN round(").replace("ELSE 1 END, 6) DESC, fr) AS final_rank", "ELSE 1 END, 6) END DESC, fr) AS final_rank")))
+@query("rerank_blend", sql(f"""SELECT qid, source_key, rrf, rerank_score, row_number() OVER (PARTITION BY qid ORDER BY CASE WHEN fr <= 20 THEN 0 ELSE 1 END, CASE WHEN fr <= 20 THEN round(0.5 * rerank_score + 0.5 * CASE WHEN m > 0 THEN rrf / m ELSE 1 END, 6) END DESC, fr) AS final_rank FROM ({_SCORED})"""))
 def _(d: Data) -> DataFrame:
-    scorer = lambda rows: rows.withColumn("rerank_score", F.round((F.length("source_key") % 5) / 5.0, 6))
-    return retrieval.rerank(retrieval.rrf(*_legs(d)), scorer).select("qid", "source_key", "rrf", "rerank_score", "final_rank")
+    """The representatives' texts are scored against the question by the default text scorer."""
+
+    def score(rows: DataFrame) -> DataFrame:
+        pairs = rows.join(d.queries.select("qid", F.col("text").alias("question")), "qid").join(d.chunks.select("id", F.col("document").alias("text")), "id")
+        scores = models.score_pairs(pairs.select("qid", "id", "question", "text"), "overlap")
+        return rows.join(scores.select("qid", "id", F.round("rerank_score", 6).alias("rerank_score")), ["qid", "id"])
+
+    return retrieval.rerank(hybrid(d), score).select("qid", "source_key", "rrf", "rerank_score", "final_rank")
+
+
+@query("search_degraded", sql("SELECT qid, source_key, round(part, 6) AS rrf, 'vector_search_failed' AS degraded FROM (SELECT qid, source_key, 0.2 / (60 + row_number() OVER (PARTITION BY qid ORDER BY score, id)) AS part FROM (SELECT *, row_number() OVER (PARTITION BY qid, source_key ORDER BY score, id) AS n FROM lexical) WHERE n = 1)"))
+def _(d: Data) -> DataFrame:
+    """The vector leg fails; the words alone answer, and say so."""
+
+    def broken() -> DataFrame:
+        raise ConnectionError("no embedder answers")
+
+    lx = _legs(d)[1]
+    dn, reason, _ = retrieval.vector_leg(broken, lx)
+    return retrieval.rrf(dn, lx).withColumn("degraded", F.lit(reason))
 
 
 _VARIANTS = """SELECT qid, 0 AS variant, source_key, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, source_key) AS rank FROM fused
@@ -299,7 +322,7 @@ def _(d: Data) -> DataFrame:
  FROM (SELECT *, list(n_chars) OVER (PARTITION BY qid ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS sizes
  FROM (SELECT qid, id AS source_key, rank, length(document) AS n_chars FROM kwtop JOIN chunks USING (id) WHERE rank <= 10)))"""))
 def _(d: Data) -> DataFrame:
-    hits = lexical.keyword_topk(d.queries, d.kw_docs, 10).join(d.chunks.select("id", F.length("document").cast("long").alias("n_chars")), "id")
+    hits = lexical.keyword_topk(d.queries, d.index, 10).join(d.chunks.select("id", F.length("document").cast("long").alias("n_chars")), "id")
     packs = hits.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", F.col("id").alias("source_key"), "n_chars"))).alias("h"))
     kept = packs.select("qid", F.explode(F.arrays_zip("h", retrieval.packed(F.transform("h", lambda x: x["n_chars"]), 10_000).alias("k"))).alias("z"))
     return kept.select("qid", "z.h.source_key", "z.h.rank", "z.h.n_chars", F.col("z.k").alias("packed"))
@@ -307,7 +330,7 @@ def _(d: Data) -> DataFrame:
 
 @query("context_budget_prefix", sql("SELECT * FROM (SELECT qid, id, rank, sum(length(document)) OVER (PARTITION BY qid ORDER BY rank ROWS UNBOUNDED PRECEDING) AS used FROM kwtop JOIN chunks USING (id)) WHERE used <= 10000"))
 def _(d: Data) -> DataFrame:
-    hits = lexical.keyword_topk(d.queries, d.kw_docs).join(d.chunks.select("id", "document"), "id")
+    hits = lexical.keyword_topk(d.queries, d.index).join(d.chunks.select("id", "document"), "id")
     run = Window.partitionBy("qid").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     return hits.select("qid", "id", "rank", F.sum(F.length("document")).over(run).alias("used")).where("used <= 10000")
 
@@ -315,13 +338,18 @@ def _(d: Data) -> DataFrame:
 @query("stale_guard", sql("SELECT qid, id, score FROM kwtop JOIN chunks USING (id) WHERE doc_id % 10 <> 3 AND (doc_id % 7 = 0 OR project IN ('src0', 'src1', 'src2', 'src3'))"))
 def _(d: Data) -> DataFrame:
     live = d.chunks.where("doc_id % 10 <> 3").withColumn("project", F.when(F.col("doc_id") % 7 == 0, "src0").otherwise(F.col("project")))
-    return lexical.keyword_topk(d.queries, d.kw_docs).join(live.where(policy.where({"project": {"$in": ["src0", "src1", "src2", "src3"]}})), "id").select("qid", "id", "score")
+    return lexical.keyword_topk(d.queries, d.index).join(live.where(policy.where({"project": {"$in": ["src0", "src1", "src2", "src3"]}})), "id").select("qid", "id", "score")
+
+
+_SIBLINGS = """SELECT qid, source_key, string_agg('  - ' || id || ': ' || left(document, 60) || '...', chr(10) ORDER BY pos) FILTER (WHERE pos <= 4) || CASE WHEN count(*) > 3 THEN chr(10) || '  - (... +' || (count(*) - 3) || ')' ELSE '' END AS more FROM (
+ SELECT l.qid, l.source_key, l.id, c.document, row_number() OVER (PARTITION BY l.qid, l.source_key ORDER BY score, l.id) AS pos FROM lexical l JOIN chunks c USING (id)) WHERE pos > 1 GROUP BY ALL"""
 
 
-@query("result_lines")
+@query("result_lines", sql(f"""SELECT qid, source_key, '[' || kind || '] ' || title || ' | project: ' || project || ' | similarity: ' || format('{{:.2f}}', round(-score / (10 - score), 6)) || ' | id: ' || id || coalesce(chr(10) || more, '') AS line FROM (
+ SELECT l.*, row_number() OVER (PARTITION BY qid, source_key ORDER BY score, id) AS n FROM lexical l) JOIN chunks USING (id) LEFT JOIN ({_SIBLINGS}) USING (qid, source_key) WHERE n = 1""").replace("pos <= 4", "pos <= 4"))
 def _(d: Data) -> DataFrame:
-    hits = lexical.keyword_topk(d.queries, d.kw_docs, 3).join(d.chunks.select("id", "title", "project"), "id")
-    return hits.select("qid", "rank", F.format_string("[%s] %s (%s, score: %.2f)", F.col("id"), F.left("title", F.lit(60)), F.col("project"), -F.col("score")).alias("line"))
+    hits = _legs(d)[1].join(d.chunks.select("id", "kind", "title", "project", "document"), "id")
+    return retrieval.lines_with_siblings(hits, [F.col("score")], F.round(-F.col("score") / (10 - F.col("score")), 6)).select("qid", "source_key", "line")
 
 
 @query("query_variants")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import audit, store
+from ..operators import audit, snapshots, store
+from ..staging import scratch
 from .base import Data, query
 
 
@@ -21,12 +22,14 @@ _OLD = "SELECT doc_id AS id, sha256(text) AS h FROM documents WHERE doc_id % 10
 _NEW = "SELECT doc_id AS id, sha256(CASE WHEN doc_id % 10 = 3 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 10 <> 2"
 
 
-@query("upsert_merge", "SELECT doc_id AS id, CASE WHEN doc_id % 10 = 3 THEN 'new' ELSE 'old' END AS state FROM documents WHERE doc_id % 10 <> 4 UNION ALL SELECT doc_id + 1000000, 'new' FROM documents WHERE doc_id % 50 = 0")
+@query("upsert_merge", "SELECT doc_id AS id, CASE WHEN doc_id % 10 = 3 THEN 'new2' ELSE 'old' END AS state, CASE WHEN doc_id % 10 = 3 THEN 2 ELSE 0 END AS at FROM documents WHERE doc_id % 10 <> 4 UNION ALL SELECT doc_id + 1000000, 'new2', 2 FROM documents WHERE doc_id % 50 = 0")
 def _(d: Data) -> DataFrame:
+    """Every new row comes twice; the later one counts."""
     ids = d.table("documents").select(F.col("doc_id").alias("id"))
-    target = ids.where("id % 10 <> 4").withColumn("state", F.lit("old"))
-    new = ids.where("id % 10 = 3").unionByName(ids.where("id % 50 = 0").select((F.col("id") + 1_000_000).alias("id"))).withColumn("state", F.lit("new"))
-    return store.upsert(target, new)
+    target = ids.where("id % 10 <> 4").select("id", F.lit("old").alias("state"), F.lit(0).alias("at"))
+    new = ids.where("id % 10 = 3").unionByName(ids.where("id % 50 = 0").select((F.col("id") + 1_000_000).alias("id")))
+    twice = new.select("id", F.lit("new2").alias("state"), F.lit(2).alias("at")).unionByName(new.select("id", F.lit("new1").alias("state"), F.lit(1).alias("at")))
+    return store.upsert(target, twice, order="at")
 
 
 @query("delete_where", "SELECT doc_id AS id FROM documents WHERE source <> 'src3' AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
@@ -35,12 +38,13 @@ def _(d: Data) -> DataFrame:
     return store.delete(docs, d.table("labels").where("quality = 0").select(F.col("doc_id").alias("id")), F.col("source") == "src3").select("id")
 
 
-@query("replace_source", "SELECT doc_id AS id, source, 'old' AS state FROM documents WHERE source NOT IN ('src1', 'src2') UNION ALL SELECT doc_id, source, 'new' FROM documents WHERE source IN ('src1', 'src2') AND doc_id % 2 = 0")
+@query("replace_source", "SELECT doc_id AS id, source, 'old' AS state FROM documents WHERE source NOT IN ('src1', 'src2', 'src3') UNION ALL SELECT doc_id, source, 'new' FROM documents WHERE source IN ('src1', 'src2') AND doc_id % 2 = 0")
 def _(d: Data) -> DataFrame:
+    """Three sources were read again: two have half of their rows left, one became empty."""
     docs = d.table("documents").select(F.col("doc_id").alias("id"), "source")
     new = docs.where("source IN ('src1', 'src2') AND id % 2 = 0").withColumn("state", F.lit("new"))
-    gone = d.table("documents").where("source IN ('src1', 'src2')").select("source").distinct()
-    return store.replace_source(store.prune(docs, docs.select("source")).withColumn("state", F.lit("old")).join(gone, "source", "left_anti").select("id", "source", "state"), new.select("id", "source", "state"))
+    read = d.spark.createDataFrame([("src1",), ("src2",), ("src3",)], "source string")
+    return store.replace_source(docs.withColumn("state", F.lit("old")), new, sources=read)
 
 
 @query("prune_missing", "SELECT doc_id AS id FROM documents WHERE source IN (SELECT source FROM documents WHERE doc_id < 20)")
@@ -49,11 +53,12 @@ def _(d: Data) -> DataFrame:
     return store.prune(docs, docs.where("id < 20")).select("id")
 
 
-@query("delete_by_shortcode", "SELECT count(*) FILTER (WHERE doc_id % 7 = 2) AS n_deleted, count(*) FILTER (WHERE doc_id % 7 <> 2) AS n_left FROM documents")
+@query("delete_by_shortcode", "SELECT doc_id AS id FROM documents WHERE doc_id % 7 <> 2")
 def _(d: Data) -> DataFrame:
-    docs = d.table("documents").select(F.concat(F.lit("S"), (F.col("doc_id") % 7).cast("string")).alias("shortcode"))
-    hit = F.col("shortcode") == "S2"
-    return docs.agg(F.count_if(hit).alias("n_deleted"), F.count_if(~hit).alias("n_left"))
+    """All chunks of a code go; chunks without one stay."""
+    code = F.when(F.col("doc_id") % 5 > 0, F.concat(F.lit("S"), (F.col("doc_id") % 7).cast("string"))).otherwise(F.when(F.col("doc_id") % 7 == 2, "S2"))
+    docs = d.table("documents").select(F.col("doc_id").alias("id"), code.alias("shortcode"))
+    return store.delete(docs, condition=F.col("shortcode") == "S2").select("id")
 
 
 @query("sync_diff", f"SELECT coalesce(o.id, n.id) AS id, CASE WHEN n.id IS NULL THEN 'delete' WHEN o.id IS NULL OR o.h <> n.h THEN 'upsert' ELSE 'unchanged' END AS action FROM ({_OLD}) o FULL JOIN ({_NEW}) n ON o.id = n.id")
@@ -101,10 +106,51 @@ def _(d: Data) -> DataFrame:
     return audit.completeness(ids.where("id % 10 <> 2"), ids)
 
 
-@query("sample_check")
+@query("sample_check", "SELECT doc_id, sha256(text) AS hash FROM documents ORDER BY sha256(CAST(doc_id AS VARCHAR)), doc_id LIMIT 50")
 def _(d: Data) -> DataFrame:
     """A sample is what this operator is for: the same fifty rows every time, by hash."""
-    return d.table("documents").select("doc_id", F.sha2("text", 256).alias("hash")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(50)
+    return d.table("documents").select("doc_id", F.sha2("text", 256).alias("hash")).orderBy(F.sha2(F.col("doc_id").cast("string"), 256), "doc_id").limit(50)
+
+
+def _built(d: Data) -> tuple[str, DataFrame]:
+    """An index of the documents, built with manifest and marker; where it is, and its rows."""
+    rows = d.table("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("document"), "source")
+    manifest = rows.select("id", *store.content_hashes(F.col("document"), {"source": F.col("source")}))
+    root = scratch(d.spark, "store")
+    snapshots.build(d.spark, rows, manifest, root, "first", {"model": "hashed", "dimension": 256}, store.corpus_hash(manifest).first()[0])
+    return root, rows
+
+
+@query("index_build", """SELECT 'complete' AS "check", true AS ok UNION ALL SELECT 'counts_agree', true UNION ALL SELECT 'identity_agrees', true UNION ALL SELECT 'other_identity_agrees', false UNION ALL SELECT 'published', true UNION ALL SELECT 'unchanged', true""")
+def _(d: Data) -> DataFrame:
+    root, rows = _built(d)
+    found = snapshots.check(d.spark, root, {"model": "hashed", "dimension": 256})
+    found["other_identity_agrees"] = snapshots.check(d.spark, root, {"model": "other"})["identity_agrees"]
+    manifest = rows.select("id", *store.content_hashes(F.col("document"), {"source": F.col("source")}))
+    found["unchanged"] = snapshots.unchanged(d.spark, root, {"model": "hashed", "dimension": 256}, store.corpus_hash(manifest).first()[0])
+    return d.spark.createDataFrame(sorted(found.items()), 'check string, ok boolean')
+
+
+@query("rollback", "SELECT doc_id AS id, source FROM documents")
+def _(d: Data) -> DataFrame:
+    """A second snapshot lacks a source; after the rollback all rows are there again."""
+    root, rows = _built(d)
+    snapshots.commit_snapshot(d.spark, rows.where("source <> 'src1'"), root, "second")
+    snapshots.rollback(d.spark, root)
+    return snapshots.current_snapshot(d.spark, root).select("id", "source")
+
+
+@query("repair", "SELECT doc_id AS id, CASE WHEN doc_id % 10 = 3 THEN text || '!' ELSE text END AS text FROM documents WHERE doc_id % 10 <> 2")
+def _(d: Data) -> DataFrame:
+    """An index of an old state is brought to the new one by its plan alone."""
+    docs = d.table("documents").select(F.col("doc_id").alias("id"), "text")
+    new = docs.where("id % 10 <> 2").withColumn("text", F.when(F.col("id") % 10 == 3, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return store.repair(docs.where("id % 10 <> 1"), store.sync_plan(_manifest(d, True), _manifest(d, False)), new)
+
+
+@query("store_health", "SELECT step, ok FROM (VALUES ('opened', true), ('columns', true), ('counted', true), ('queried', true)) AS t(step, ok)")
+def _(d: Data) -> DataFrame:
+    return store.health(d.spark, _built(d)[0]).select("step", "ok")
 
 
 def _audited(d: Data) -> dict[str, DataFrame]:

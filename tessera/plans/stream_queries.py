@@ -6,17 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import store
+from ..staging import scratch
 from ..streaming import ingest
 from .base import Data, query
 
 
 @query("stream_ingest", "SELECT event_id, user_id, event_type FROM events")
 def _(d: Data) -> DataFrame:
-    import tempfile
-
     spark = d.spark
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tessera-")
-    root = f"{base}/ingest-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
+    root = scratch(spark, "ingest")
     rows = d.table("events").select(F.col("event_id").alias("id"), "ts", "user_id", "event_type")
     rows.write.parquet(f"{root}/in")
     q = ingest.ingest(spark, f"{root}/in", "id long, ts timestamp, user_id long, event_type string", f"{root}/store", f"{root}/checkpoint")
@@ -27,3 +25,9 @@ def _(d: Data) -> DataFrame:
 @query("tumbling_counts", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def _(d: Data) -> DataFrame:
     return ingest.windowed_counts(d.table("events")).withColumn("total", F.round("total", 4))
+
+
+@query("session_windows", """SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM (
+ SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new FROM events)) GROUP BY user_id, k""")
+def _(d: Data) -> DataFrame:
+    return ingest.sessions(d.table("events"))

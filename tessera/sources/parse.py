@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -60,25 +61,11 @@ def curated(repo: Column, path: Column, size: Column) -> Column:
 
 
 def read_documents(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """path, text of every text file below ``paths``, whole."""
-    files = spark.read.text(paths, wholetext=True, recursiveFileLookup=True)
+    """path, text of every text file below ``paths``, whole; files of other names are never opened."""
+    files = spark.read.text(paths, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{md,txt,rst}")
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).where(scannable(F.col("path")))
 
 
-def read_sessions(spark: SparkSession, path: str) -> DataFrame:
-    """Session logs, a JSON object a line; lines that are none are left out. ``content`` may be a string or a list of blocks."""
-    v = F.try_parse_json("value")
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), v.alias("v")).where("v is not null")
-    get = lambda p, t="string": F.try_variant_get("v", p, t)
-    blocks = F.try_variant_get("v", "$.message.content", "array<struct<type:string,text:string,name:string>>")
-    said = F.array_join(F.transform(F.filter(blocks, lambda b: b["type"] == "text"), lambda b: b["text"]), "\n")
-    return lines.select(
-        "path", get("$.type").alias("type"), get("$.timestamp").alias("ts"), get("$.cwd").alias("cwd"),
-        F.when(blocks.isNull(), get("$.message.content")).otherwise(said).alias("text"),
-        F.transform(F.filter(blocks, lambda b: b["type"] == "tool_use"), lambda b: b["name"]).alias("tools"),
-    )
-
-
 def normalize_source(c: Column) -> Column:
     """Sources compare in lower case; a path also with one kind of slash."""
     return F.when(c.rlike("^https?://") | (c == "save_memory"), F.lower(c)).otherwise(F.lower(F.replace(c, F.lit("\\"), F.lit("/"))))
@@ -89,13 +76,6 @@ def _in_order(col: Column, sep: str, *order: str) -> Column:
     return F.array_join(F.transform(rows, lambda r: r["__x"]), sep)
 
 
-def chats(turns: DataFrame) -> DataFrame:
-    """conv_id, body, n: a conversation's turns under headings; empty turns are left out."""
-    kept = turns.where(F.coalesce("text", F.lit("")) != "")
-    body = F.concat(F.lit("## "), F.col("role"), F.lit("\n\n"), F.col("text"))
-    return kept.groupBy("conv_id").agg(_in_order(body, "\n\n", "turn").alias("body"), F.count("*").alias("n"))
-
-
 def render_markdown(turns: DataFrame) -> DataFrame:
     line = F.concat(F.lit("**"), F.col("role"), F.lit(":** "), tx.collapse_newlines(F.col("text")))
     return turns.groupBy("conv_id").agg(F.concat(F.lit("# Chat "), F.col("conv_id").cast("string"), F.lit("\n\n"), _in_order(line, "\n\n", "turn")).alias("markdown"))
@@ -106,22 +86,6 @@ def write_markdown(rendered: DataFrame, path: str) -> None:
     rendered.select("conv_id", F.col("markdown").alias("value")).write.mode("overwrite").partitionBy("conv_id").text(path)
 
 
-def sessions(turns: DataFrame) -> DataFrame:
-    """conv_id, title (the first user turn's first 60 signs), n, n_user, n_assistant."""
-    head = F.trim(tx.first_line(F.col("text")))
-    user = F.col("role") == "user"
-    return turns.groupBy("conv_id").agg(
-        F.min_by(F.when(user, head), F.when(user, F.col("turn"))).alias("title"), F.count("*").alias("n"), F.count_if(user).alias("n_user"), F.count_if(F.col("role") == "assistant").alias("n_assistant")
-    )
-
-
-def projects(chunks: DataFrame) -> DataFrame:
-    """project, n, markdown: a project's documents under headings; projects without any text are left out."""
-    kept = chunks.where(F.coalesce("document", F.lit("")) != "")
-    part = F.concat(F.lit("## "), F.col("title"), F.lit("\n\n"), F.col("document"))
-    return kept.groupBy("project").agg(F.count("*").alias("n"), F.concat(F.lit("# "), F.first("project"), F.lit("\n\n"), _in_order(part, "\n\n", "doc_id")).alias("markdown"))
-
-
 def run_lengths(rows: DataFrame, group: str, order: str, item: str) -> DataFrame:
     """(group, chain): runs of equal items in order, as ``A -> B x2``; only the runs are gathered, not the rows."""
     w = Window.partitionBy(group).orderBy(order)
@@ -143,9 +107,34 @@ def session_render(events: DataFrame) -> DataFrame:
 
 
 def dedupe_names(rows: DataFrame, slug: str, order: str) -> DataFrame:
-    """(order, name): the first of equal slugs keeps it, the next are slug-2, slug-3."""
-    n = F.row_number().over(Window.partitionBy(slug).orderBy(order))
-    return rows.withColumn("n", n).select(order, F.when(F.col("n") == 1, F.col(slug)).otherwise(F.concat(slug, F.lit("-"), F.col("n").cast("string"))).alias("name"))
+    """(order, name): the first of equal slugs keeps it, the next get -2, -3 and so on, past names that are taken.
+
+    A name can only be taken from elsewhere by a slug that ends in a number itself, so slugs that differ by such endings
+    make a family. A family of one slug is numbered by a window; only of one with several are the rows gone through in turn.
+    """
+    family = F.regexp_replace(slug, r"(-[0-9]+)+$", "")
+    named = rows.select(F.col(order).alias("__order"), F.col(slug).alias("__slug"), family.alias("__family"))
+    mixed = named.groupBy("__family").agg((F.min("__slug") != F.max("__slug")).alias("m")).where("m").select("__family")
+    n = F.row_number().over(Window.partitionBy("__slug").orderBy("__order"))
+    plain = named.join(mixed, "__family", "left_anti").select("__order", F.when(n == 1, F.col("__slug")).otherwise(F.concat("__slug", F.lit("-"), n.cast("string"))).alias("name"))
+    kind = rows.schema[order].dataType.simpleString()
+
+    def number(group: pd.DataFrame) -> pd.DataFrame:
+        used: set[str] = set()
+        following: dict[str, int] = {}
+        names = []
+        group = group.sort_values("__order")
+        for x in group["__slug"]:
+            name = x
+            while name in used:
+                following[x] = following.get(x, 1) + 1
+                name = f"{x}-{following[x]}"
+            used.add(name)
+            names.append(name)
+        return pd.DataFrame({"__order": group["__order"], "name": names})
+
+    others = named.join(mixed, "__family", "left_semi").groupBy("__family").applyInPandas(number, f"__order {kind}, name string")
+    return plain.unionByName(others).withColumnRenamed("__order", order)
 
 
 def post_items(posts: DataFrame) -> DataFrame:

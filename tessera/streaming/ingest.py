@@ -6,26 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import store
+from ..operators import snapshots, store
 
 
-def merge_batch(root: str, key: str = "id"):
-    """A ``foreachBatch`` function: the last row of each key wins, and a batch that comes again changes nothing."""
+def merge_batch(root: str, key: str = "id", keep: int = 3):
+    """A ``foreachBatch`` function: the last row of each key (by ``ts`` if there is one) wins, a batch that comes again
+    changes nothing, and snapshots that none of the last ``keep`` versions names are removed."""
 
     def run(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        last = batch.withColumn("__r", F.struct(*dict.fromkeys(c for c in ("ts", *batch.columns) if c in batch.columns))).groupBy(key).agg(F.max("__r").alias("__r")).select("__r.*").select(*batch.columns)
-        current = store.current_snapshot(spark, root)
-        merged = last if current is None else store.upsert(current, last, key)
         name = f"batch-{epoch:09d}"
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
-        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if fs.exists(path):
-            published = spark.read.text(f"{root}/CURRENT").first()[0] if current is not None else ""
-            if published == name:
-                return
-            fs.delete(path, True)
-        store.commit_snapshot(spark, merged, root, name)
+        if snapshots.current_name(spark, root) == name:
+            return
+        snapshots.Folder(spark, root).remove(name)  # of a try that broke off
+        at = snapshots.version(spark, root)
+        order = "ts" if "ts" in batch.columns else None
+        current = snapshots.current_snapshot(spark, root)
+        merged = store.last_of_each(batch, key, order) if current is None else store.upsert(current, batch, key, order)
+        snapshots.commit_snapshot(spark, merged, root, name, at)
+        snapshots.retain(spark, root, keep)
 
     return run
 

@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import audit, dense, evaluate, graph, lexical, retrieval, store
+from tessera.operators import audit, dense, evaluate, graph, index, lexical, retrieval, snapshots, store
 from tessera.sources import parse
 from tessera.streaming import ingest
 
@@ -97,6 +97,127 @@ def test_store(spark):
     assert {r.check: r.n for r in store.verify(old, new).collect()} == {"expected": 2, "actual": 2, "missing": 2, "excess": 2}
 
 
+def test_last_row_of_a_key_counts(spark):
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "id long, x string")
+    new = spark.createDataFrame([(2, "z"), (2, "c"), (3, None), (3, "d"), (3, "d")], "id long, x string")
+    assert sorted(tuple(r) for r in store.upsert(old, new).collect()) == [(1, "a"), (2, "z"), (3, "d")]
+    late = new.withColumn("at", F.when(F.col("x") == "c", 9).otherwise(1))
+    got = store.upsert(old.withColumn("at", F.lit(0)), late, order="at").select("id", "x").collect()
+    assert sorted(tuple(r) for r in got) == [(1, "a"), (2, "c"), (3, "d")]
+
+
+def test_hashes_tell_rows_apart(spark):
+    rows = [("t", None, "b"), ("t", "a", None), ("t", 'a", "y": "b', ""), ("t", "a", "b"), (None, "a", "b")]
+    df = spark.createDataFrame(rows, "d string, x string, y string")
+    got = df.select(*store.content_hashes(F.col("d"), {"y": F.col("y"), "x": F.col("x")})).collect()
+    assert len({r.meta_sha256 for r in got}) == 4 and None not in {v for r in got for v in r}
+    hashed = df.select(F.monotonically_increasing_id().alias("id"), *store.content_hashes(F.col("d"), {"x": F.col("x")}))
+    from tessera.staging import staged
+
+    hashed = staged(hashed, "hashed")
+    assert store.corpus_hash(hashed).first()[0] == store.corpus_hash(hashed.repartition(3)).first()[0] != store.corpus_hash(hashed.where("id > 0")).first()[0]
+
+
+def test_snapshots_survive_crashes_and_rivals(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "kb")
+    one, two = spark.createDataFrame([(1,)], "id long"), spark.createDataFrame([(1,), (2,)], "id long")
+    assert snapshots.current_snapshot(spark, root) is None and snapshots.version(spark, root) == 0
+    snapshots.commit_snapshot(spark, one, root, "a")
+    put = snapshots.Folder.put
+    monkeypatch.setattr(snapshots.Folder, "put", lambda *a, **k: 1 / 0)  # the process dies between files and pointer
+    with pytest.raises(ZeroDivisionError):
+        snapshots.commit_snapshot(spark, two, root, "b")
+    monkeypatch.setattr(snapshots.Folder, "put", put)
+    assert snapshots.current_snapshot(spark, root).count() == 1
+    at = snapshots.version(spark, root)
+    snapshots.commit_snapshot(spark, two, root, "c", at)
+    with pytest.raises(snapshots.Conflict):
+        snapshots.commit_snapshot(spark, one, root, "d", at)
+    with pytest.raises(snapshots.Conflict):  # both saw the old version; the pointer decides
+        snapshots.Folder(spark, root).put(f"{snapshots.POINTERS}/{at + 1:012d}", "d")
+    assert snapshots.current_snapshot(spark, root).count() == 2
+    assert snapshots.rollback(spark, root) == "a" and snapshots.current_snapshot(spark, root).count() == 1
+    assert set(snapshots.retain(spark, root, 1)) == {"b", "c", "d"} and snapshots.current_snapshot(spark, root).count() == 1
+    with pytest.raises(ValueError):
+        snapshots.rollback(spark, root, 1)
+    assert snapshots.fingerprint(spark, f"{root}/a").first().files > 0
+
+
+def test_a_build_that_breaks_off_is_not_complete(spark, tmp_path):
+    root, rows = str(tmp_path / "kb"), spark.createDataFrame([(1, "a"), (2, "b")], "id long, document string")
+    manifest = rows.select("id", *store.content_hashes(F.col("document"), {"id": F.col("id").cast("string")}))
+    assert snapshots.check(spark, root) == {"published": False, "complete": False, "counts_agree": False, "identity_agrees": False}
+    snapshots.build(spark, rows, manifest, root, "a", {"model": "m"}, "h")
+    assert all(snapshots.check(spark, root, {"model": "m"}).values()) and not snapshots.check(spark, root, {"model": "n"})["identity_agrees"]
+    assert snapshots.unchanged(spark, root, {"model": "m"}, "h") and not snapshots.unchanged(spark, root, {"model": "m"}, "other")
+    with pytest.raises(ValueError, match="manifest lists 1"):
+        snapshots.build(spark, rows, manifest.limit(1), root, "b", {"model": "m"}, "h")
+    assert snapshots.completed(spark, root, "b") is None and not snapshots.check(spark, root)["complete"]
+
+
+def test_repair_and_pending(spark):
+    df = lambda rows: spark.createDataFrame(rows, "id long, x string")
+    plan = spark.createDataFrame([(1, "delete"), (2, "upsert"), (3, "add"), (4, "unchanged")], "id long, action string")
+    assert {tuple(r) for r in store.repair(df([(1, "a"), (2, "b"), (4, "d")]), plan, df([(2, "B"), (3, "C"), (4, "D")])).collect()} == {(2, "B"), (3, "C"), (4, "d")}
+    index, left = store.retry_pending(df([(1, "a"), (9, "gone")]), spark.createDataFrame([(1,), (9,)], "id long"), df([(1, "A")]))
+    assert {tuple(r) for r in index.collect()} == {(1, "A")} and left.count() == 0
+    assert [r.ok for r in store.health(spark, "/nonexistent/kb").collect()] == [False]
+    old = spark.createDataFrame([("a", "2026-01-01 00:00:00"), ("b", "2026-01-01 01:30:00")], "name string, s string").withColumn("started", F.to_timestamp("s"))
+    assert [r.name for r in store.stale(old, F.to_timestamp(F.lit("2026-01-01 02:00:00"))).collect()] == ["a"]
+
+
+def test_names_pass_those_that_are_taken(spark):
+    rows = [(1, "x"), (2, "x-2"), (3, "x"), (4, "x"), (5, "y"), (6, "y"), (7, "x-2"), (8, "x-3")]
+    got = {r.n: r["name"] for r in parse.dedupe_names(spark.createDataFrame(rows, "n long, s string"), "s", "n").collect()}
+    used, want = set(), {}
+    for n, s in rows:
+        name, k = s, 2
+        while name in used:
+            name, k = f"{s}-{k}", k + 1
+        used.add(name)
+        want[n] = name
+    assert got == want
+
+
+def test_items_are_found_where_they_stand(spark):
+    docs = spark.createDataFrame([(1, "a long word here and more"), (2, "prefixlong word here an"), (3, None), (4, "long  word"), (5, "word")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "long word here an"), (2, "word"), (3, "long  word"), (4, ""), (5, None), (6, "no such thing there")], "qid long, q string")
+    want = {(q, d) for q, t in [(1, "long word here an"), (2, "word"), (3, "long  word"), (4, "")] for d, x in [(1, "a long word here and more"), (2, "prefixlong word here an"), (4, "long  word"), (5, "word")] if t in x}
+    assert {tuple(r) for r in evaluate.containing(docs, items).collect()} == want
+
+
+def test_sweep_by_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    queries = [(q, rng.choice(["answerable", "answerable", "near_miss", "unanswerable"])) for q in range(30)]
+    hits = [(q, rank, round(rng.random(), 3)) for q, k in queries if k == "answerable" for rank in rng.sample(range(1, 14), rng.randint(0, 5))]
+    top = [(q, round(rng.random(), 3)) for q, _ in queries if rng.random() < 0.8]
+    thetas = [round(i * 0.05, 4) for i in range(20)] + [s for _, s in top[:5]]
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    got = {r.theta: (r.r10, r.mrr, r.far) for r in evaluate.sweep(frame(queries, "qid long, kind string"), frame(top, "qid long, score double"), frame(hits, "qid long, rank int, score double"), frame([(t,) for t in set(thetas)], "theta double")).collect()}
+    yes, no = [q for q, k in queries if k == "answerable"], [q for q, k in queries if k != "answerable"]
+    for t in set(thetas):
+        first = {q: min((r for p, r, s in hits if p == q and s >= t), default=None) for q in yes}
+        want = (sum(f is not None and f <= 10 for f in first.values()) / len(yes), sum(1 / f for f in first.values() if f) / len(yes), sum(s >= t for q, s in top if q in no) / len(no))
+        assert got[t] == pytest.approx(want, abs=6e-5), t
+
+
+def test_ties_are_bounded(spark):
+    rows = [(i, [1.0, 0.0]) for i in range(3000, 0, -1)] + [(0, [0.9, 0.1])]
+    v, q = spark.createDataFrame(rows, "id long, vector array<double>"), spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1])], "qid long, vector array<double>")
+    got = {(r.qid, r.rank): r.id for r in dense.vector_topk(q, v, k=3).collect()}
+    assert got == {(1, 1): 1, (1, 2): 2, (1, 3): 3, (2, 1): 0, (2, 2): 1, (2, 3): 2}
+
+
+def test_stored_index(spark, docs, tmp_path):
+    stored = index.of_docs(docs).write(str(tmp_path / "index"))
+    q = spark.createDataFrame([(1, "mushuk it"), (2, "sut")], "qid long, text string")
+    plain = sorted(map(tuple, lexical.keyword_topk(q, docs).collect()))
+    assert sorted(map(tuple, lexical.keyword_topk(q, index.read(spark, str(tmp_path / "index"))).collect())) == plain
+    assert {r.term: (r.df, r.parents) for r in stored.terms.collect()}["mushuk"] == (2, 2) and stored.stats.first().n_parents == 4
+
+
 def test_audit_finds_each_category(spark):
     archive = spark.createDataFrame([("A", True, 1), ("B", False, 1), ("C", True, 1)], "shortcode string, usable boolean, n_items int")
     rows = [("1", "A", 2, "s", 10), ("2", "B", 0, "s", 10), ("3", "Z", 0, "s", 10), ("4", None, 0, "f", 10), ("5", None, 0, "f", 300)]
@@ -129,10 +250,3 @@ def test_stream_merges_and_repeats_nothing(spark, tmp_path):
         spark.createDataFrame(rows, "id long, x string").selectExpr("id", "current_timestamp() ts", "x").write.mode("append").parquet(src)
         ingest.ingest(spark, src, schema, root, str(tmp_path / "cp")).awaitTermination()
     assert {(r.id, r.x) for r in store.current_snapshot(spark, root).collect()} == {(1, "a"), (2, "c"), (3, "d")}
-
-
-def test_sessions_log(spark, tmp_path):
-    p = tmp_path / "s.jsonl"
-    p.write_text('{"type":"user","message":{"content":"hi"}}\nbroken\n{"type":"assistant","message":{"content":[{"type":"text","text":"yo"},{"type":"tool_use","name":"T"}]}}\n')
-    got = [(r.type, r.text, r.tools) for r in parse.read_sessions(spark, str(p)).collect()]
-    assert got == [("user", "hi", None), ("assistant", "yo", ["T"])]
