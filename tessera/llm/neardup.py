@@ -320,21 +320,20 @@ def links_in_blocks(dealt: DataFrame, percent: int) -> DataFrame:
     return dealt.groupBy("family", "kind", "i", "j").applyInPandas(verify, "a long, b long")
 
 
-def links_of_small(docs: DataFrame, wanted: DataFrame, size: int, percent: int) -> DataFrame:
+def links_of_small(full: DataFrame, percent: int) -> DataFrame:
     """All links of families (root) that fit a task; many such families share one."""
-    n_shards = max(1, -(-wanted.count() // SHARD_NODES))
-    full = full_sets(docs, wanted.select("node", "root", "rep_id"), size)
+    n_shards = max(1, -(-full.count() // SHARD_NODES))
     shard = F.pmod(F.xxhash64("root"), F.lit(n_shards)).cast("int").alias("i")
     return links_in_blocks(full.select(F.lit(0).cast("long").alias("family"), F.lit("s").alias("kind"), shard, F.lit(0).alias("j"), "node", "root", F.lit(0).alias("side"), "shingles"), percent)
 
 
-def links_of_large(docs: DataFrame, wanted: DataFrame, candidates: DataFrame, size: int, percent: int) -> DataFrame:
+def links_of_large(full: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
     """Links that hold the components of large families together: those with leaders, and those of strays.
 
-    A node is verified against the ``LEADERS`` leaders with which it shares most bands. That decides only how many strays
-    are left, not what is found: all pairs of different components are verified after it.
+    A node is verified against the ``LEADERS`` leaders with which it shares most bands. What its least verified leader and
+    that one's least verified leader lead is a part; parts decide only how many strays are left, not what is found, since
+    all pairs of the largest part with other nodes, and of these, are verified after it.
     """
-    full = staged(full_sets(docs, wanted.select("node", "root", "rep_id"), size), "sets")
     sets = lambda end: full.select(F.col("node").alias(end), F.col("shingles").alias(f"set_{end}")).dropDuplicates([end])
 
     def check(cols: dict) -> dict:
@@ -345,8 +344,11 @@ def links_of_large(docs: DataFrame, wanted: DataFrame, candidates: DataFrame, si
     nearest = candidates.withColumn("k", F.row_number().over(order)).where(F.col("k") <= LEADERS).select("a", "b")
     pairs = nearest.join(sets("a").hint("merge"), "a").join(sets("b").hint("merge"), "b")
     led = staged(arrow_map(pairs.select("a", "b", "set_a", "set_b"), check, "a long, b long"), "led")
-    parts = wanted.select("node", "root").join(components(led).withColumnRenamed("root", "part"), "node", "left").select("node", "root", F.coalesce("part", "node").alias("part"))
-    parts = staged(parts, "parts")
+    up = led.groupBy("a").agg(F.min("b").alias("b"))
+    above = up.select(F.col("a").alias("b"), F.col("b").alias("c"))
+    nodes = full.select("node", "root").distinct()
+    parts = nodes.join(up.join(above, "b", "left").select(F.col("a").alias("node"), F.coalesce("c", "b").alias("part")), "node", "left")
+    parts = staged(parts.select("node", "root", F.coalesce("part", "node").alias("part")), "parts")
     sizes = parts.groupBy("root", "part").agg(F.count("*").alias("n"))
     core = sizes.groupBy("root").agg(F.max(F.struct("n", "part")).alias("most"), F.sum("n").alias("n")).where("n > most.n")
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
@@ -374,11 +376,12 @@ def verified_links(docs: DataFrame, sig: DataFrame, families: DataFrame, candida
     counted = member.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
     reps = sig.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep_id"))
     wanted = staged(member.join(counted, "root").join(reps, "node").select("node", "root", "rep_id", "n"), "wanted")
-    found = links_of_small(docs, wanted.where(F.col("n") <= BLOCK), size, percent)
-    large = wanted.where(F.col("n") > BLOCK)
+    full = staged(full_sets(docs, wanted, size), "sets")
+    found = links_of_small(full.where(F.col("n") <= BLOCK), percent)
+    large = full.where(F.col("n") > BLOCK)
     if large.limit(1).count():
-        of_large = candidates.join(large.select(F.col("node").alias("a")), "a", "left_semi")
-        found = found.unionByName(links_of_large(docs, large, of_large, size, percent))
+        of_large = candidates.join(wanted.where(F.col("n") > BLOCK).select(F.col("node").alias("a")), "a", "left_semi")
+        found = found.unionByName(links_of_large(large, of_large, percent))
     return found
 
 
