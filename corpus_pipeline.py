@@ -1,4 +1,9 @@
-"""From raw documents to token ids: five stages, each written as Parquet and read again by the next."""
+"""From raw documents to token ids: five stages, each written as Parquet and read again by the next.
+
+A null text counts as empty: the quality rules reject it, like any text of fewer than 50 words, and a stage that is given
+one by itself keeps it (no shingles, no benchmark words, nothing to mask, the end id alone). Repeated rows are judged each,
+until near-duplicates leave one; an empty table stays empty; other columns pass up to the last stage.
+"""
 
 from __future__ import annotations
 

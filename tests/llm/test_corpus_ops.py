@@ -84,6 +84,18 @@ def test_one_of_each_stays(docs):
     assert {k for k in kept if not sets_of(k[1], 5)} == {r for r, s in zip(rows, sets) if not s}
 
 
+def test_long_texts_are_hashed_in_parts(monkeypatch):
+    """Texts over a chunk are cut at white space; sets stay the same, with and without a long word across a seam."""
+    texts = ["ab cd\tef  gh\nij " * 40, "x" * 500 + " y z " + "w" * 90 + " " + "q r s t u v " * 30, None, "", " ", "one two"]
+    whole = [s.tolist() for s in neardup.shingle_sets(texts, 4)]
+    for chunk in (7, 16, 64, 100):
+        monkeypatch.setattr(neardup, "CHUNK", chunk)
+        assert [s.tolist() for s in neardup.shingle_sets(texts, 4)] == whole
+    monkeypatch.setattr(neardup, "CHUNK", 1 << 19)
+    long = " ".join(f"w{i % 5000}" for i in range(200_000))
+    assert len(long) > 1 << 20 and len(neardup.shingle_sets([long], 4)[0]) == 5000
+
+
 def test_superminhash_estimates_similarity():
     rng = np.random.default_rng(2)
     a = rng.integers(0, 1 << 63, 400).astype(np.uint64)
@@ -308,6 +320,33 @@ def test_chats(spark):
     assert chat.collapse_and_render(df.where("false")).count() == 0
 
 
+def test_long_conversations(spark):
+    """One log of thousands of turns, its prefixes, and many copies of a short one."""
+    turns = [(i, "ab"[i % 2], f"t{i}" * 30) for i in range(3000)]
+    logs = {1: turns, 2: turns[:2999], 3: turns[:1], 4: [*turns[:100], (100, "a", "other")], **{k: [(1, "a", "same")] for k in range(10, 400)}}
+    df = spark.createDataFrame([(c, t, r, x) for c, ts in logs.items() for t, r, x in ts], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: (r.n_turns, r.n_copies, r.rendered) for r in chat.collapse_and_render(df).collect()}
+    assert {c: v[:2] for c, v in got.items()} == {1: (3000, 1), 4: (101, 1), 10: (1, 390)}
+    assert got[1][2] == "".join(f"<|{r}|>\n{x}\n<|end|>\n" for _, r, x in turns)
+
+
+def test_pipeline_takes_odd_and_empty_tables(spark, docs, empty, tmp_path):
+    """Every stage on nulls, empty and long texts, repeated rows and more columns, and on no rows at all."""
+    import corpus_pipeline
+
+    bench = spark.createDataFrame([(1, "a b c"), (None, None), (2, "")], "item_id long, text string")
+    for name, table in (("odd", docs), ("none", empty)):
+        d = str(tmp_path / name)
+        table.write.parquet(f"{d}/documents.parquet")
+        bench.write.parquet(f"{d}/benchmark.parquet")
+        rows = spark.read.parquet(f"{d}/documents.parquet")
+        for stage, fn in corpus_pipeline.STAGES:
+            out = staged(fn(spark, rows, d), stage)  # each stage by itself, on the whole table
+            assert stage == "encoding" or out.columns == table.columns
+            assert out.count() <= rows.count()
+        assert (corpus_pipeline.run(spark, d).count() == 0) == (name == "none")
+
+
 def test_pipeline(spark, docs, tmp_path):
     """The stages, one by one, against plain Python."""
     import corpus_pipeline
