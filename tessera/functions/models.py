@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import threading
 import time
+import urllib.error
+import urllib.request
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -64,6 +67,83 @@ def hashed_embedder(dimension: int = 256):
     return encode
 
 
+def _posted(url: str, body: dict, headers: dict[str, str], seconds: float) -> dict:
+    """The JSON that a service answers; its own words are in the error of a refusal."""
+    request = urllib.request.Request(url, json.dumps(body).encode(), {"Content-Type": "application/json", **headers})
+    try:
+        with urllib.request.urlopen(request, timeout=seconds) as answer:
+            return json.loads(answer.read())
+    except urllib.error.HTTPError as e:
+        said = e.read().decode(errors="replace")
+        raise RuntimeError(f"HTTP {e.code}: {said[:500]}") from e
+
+
+@embedder("prompt-service")
+def prompt_service(url: str, model: str, seconds: float = 60.0):
+    """A service that embeds one prompt a request (``{model, prompt}`` -> ``{embedding}``); long prompts are cut and sent again."""
+
+    def one(text: str) -> list[float]:
+        found = _posted(url, {"model": model, "prompt": text}, {}, seconds).get("embedding")
+        if not found:
+            raise RuntimeError(f"an empty embedding from {model}")
+        return found
+
+    encode = with_shrinking(one)
+    return lambda texts: np.asarray(encode(texts), np.float32)
+
+
+@embedder("batch-service")
+def batch_service(url: str, model: str, key: str = "", seconds: float = 60.0):
+    """A service that embeds many texts a request (``{model, input}`` -> ``{data: [{index, embedding}]}``)."""
+
+    def encode(texts: list[str]) -> np.ndarray:
+        data = _posted(url, {"model": model, "input": texts}, {"Authorization": f"Bearer {key}"} if key else {}, seconds)["data"]
+        if len(data) != len(texts):
+            raise RuntimeError(f"{len(data)} embeddings of {len(texts)} texts")
+        return np.asarray([d["embedding"] for d in sorted(data, key=lambda d: d["index"])], np.float32)
+
+    return encode
+
+
+def _onnx(path: str, tokenizer_path: str, max_tokens: int):
+    """A session and a function from texts, or pairs of texts, to its inputs; both packages are needed only here."""
+    import onnxruntime
+    from tokenizers import Tokenizer
+
+    session, tokenizer = onnxruntime.InferenceSession(path, providers=["CPUExecutionProvider"]), Tokenizer.from_file(tokenizer_path)
+    tokenizer.enable_truncation(max_tokens)
+    tokenizer.enable_padding()
+    wanted = {i.name for i in session.get_inputs()}
+
+    def inputs(texts: list) -> dict[str, np.ndarray]:
+        got = tokenizer.encode_batch(texts)
+        made = {"input_ids": [e.ids for e in got], "attention_mask": [e.attention_mask for e in got], "token_type_ids": [e.type_ids for e in got]}
+        return {k: np.array(v, np.int64) for k, v in made.items() if k in wanted}
+
+    return session, inputs
+
+
+@embedder("onnx")
+def onnx_embedder(path: str, tokenizer_path: str, max_tokens: int = 256):
+    """A local model: the mean of its last states over a text's tokens, at unit length."""
+    session, inputs = _onnx(path, tokenizer_path, max_tokens)
+
+    def encode(texts: list[str]) -> np.ndarray:
+        given = inputs(texts)
+        states, mask = session.run(None, given)[0], given["attention_mask"][:, :, None]
+        mean = (states * mask).sum(1) / np.maximum(mask.sum(1), 1)
+        return (mean / np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+
+    return encode
+
+
+@reranker("onnx")
+def onnx_reranker(path: str, tokenizer_path: str, max_tokens: int = 512):
+    """A local cross-encoder: the sigmoid of its logit for (question, text)."""
+    session, inputs = _onnx(path, tokenizer_path, max_tokens)
+    return lambda pairs: 1 / (1 + np.exp(-session.run(None, inputs(pairs))[0].reshape(len(pairs), -1)[:, 0]))
+
+
 @reranker("overlap")
 def overlap_reranker():
     """The share of the question's words that the text has."""

@@ -177,40 +177,42 @@ def _sliced(part: str, budget: int, count) -> list[tuple[str, int]]:
     return out
 
 
+def _ending(chunk: str, overlap: int, count) -> str:
+    """The longest run of whole words that ends ``chunk`` and has ``overlap`` tokens at most."""
+    words = re.split(r"(\s+)", chunk)
+    at, left = len(words), overlap
+    while at and (n := count(words[at - 1])) <= left:
+        at, left = at - 1, left - n
+    return "".join(words[at:]).lstrip()
+
+
 def budget_chunks(text: str, budget: int = BUDGET, overlap: int = CHUNK_OVERLAP, count=lambda s: len(_COUNT.findall(s))) -> list[tuple[str, int]]:
     """(chunk, tokens): parts packed up to a budget, each chunk opening with the words that end the one before.
 
-    Counts add up part by part, so a text is read once. A part over the budget is cut by characters.
+    A part over the budget is cut by characters; what comes before it is a chunk of its own, and the next part joins its
+    last piece. Opening words may take a chunk over the budget by their number. Counts add up part by part, so a text is
+    read once.
     """
     text = text.strip()
     if not text:
         return []
     if (n := count(text)) <= budget:
         return [(text, n)]
-    parts: list[tuple[str, int]] = []
-    for p in _SPLIT.split(text):
-        n = count(p)
-        if n <= budget:
-            parts.append((p, n))
+    out: list[str] = []
+    held, used = "", 0
+    for part in filter(None, _SPLIT.split(text)):
+        n = count(part)
+        if n > budget:
+            *whole, (held_next, used_next) = _sliced(part, budget, count)
+            out += [held, *(p for p, _ in whole)]
+            held, used = held_next, used_next
+        elif used + n > budget and held.strip():
+            out.append(held)
+            opening = _ending(held, overlap, count)
+            held, used = opening + part, count(opening) + n
         else:
-            parts += _sliced(p, budget, count)
-    out: list[tuple[str, int]] = []
-    held: list[tuple[str, int]] = []
-    used = 0
-    for part in parts:
-        if used + part[1] > budget and held:
-            out.append(("".join(p for p, _ in held).strip(), used))
-            tail, n = [], 0
-            for p in reversed(held):
-                if n + p[1] > overlap or n + p[1] + part[1] > budget:
-                    break
-                tail.append(p)
-                n += p[1]
-            held, used = tail[::-1], n
-        held.append(part)
-        used += part[1]
-    last = "".join(p for p, _ in held).strip()
-    return [c for c in (*out, (last, used)) if c[0]]
+            held, used = held + part, used + n
+    return [(c, count(c)) for c in (x.strip() for x in (*out, held)) if c]
 
 
 def chunk_by_budget(docs: DataFrame, budget: int = BUDGET, overlap: int = CHUNK_OVERLAP) -> DataFrame:

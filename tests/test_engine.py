@@ -152,3 +152,41 @@ def test_long_texts_are_cut_and_tried_again(stated):
         models.with_shrinking(lambda t: encode("a" * 2000))(["x" * 100])
     with pytest.raises(OSError):
         models.with_shrinking(lambda t: (_ for _ in ()).throw(OSError("down")))(["x"])
+
+
+def test_services(spark):
+    """A small service of both kinds on this machine."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    asked = []
+
+    class Service(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            asked.append((body, self.headers.get("Authorization")))
+            code, out = 200, {"data": [{"index": i, "embedding": [float(len(t)), 1.0]} for i, t in reversed(list(enumerate(body.get("input", []))))]}
+            if "prompt" in body:
+                long = len(body["prompt"]) > 20
+                code, out = (500, {"error": "input (16000 tokens) is too large to process"}) if long else (200, {"embedding": [float(len(body["prompt"]))]})
+            answer = json.dumps(out).encode()
+            self.send_response(code)
+            self.send_header("Content-Length", str(len(answer)))
+            self.end_headers()
+            self.wfile.write(answer)
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/x"
+    try:
+        assert models.EMBEDDERS["batch-service"](url=url, model="m", key="k")(["a", "bcd"]).tolist() == [[1.0, 1.0], [3.0, 1.0]] and asked[-1][1] == "Bearer k"
+        assert models.EMBEDDERS["prompt-service"](url=url, model="m")(["abc", "x" * 40]).tolist() == [[3.0], [18.0]]
+        df = spark.createDataFrame([("a", "four")], "id string, document string")
+        assert models.embed(df, "prompt-service", url=url, model="m").first().embedding == [4.0]
+    finally:
+        server.shutdown()
+    with pytest.raises(OSError):
+        models.EMBEDDERS["batch-service"](url=url, model="m", seconds=1)(["a"])

@@ -2,10 +2,11 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
-from tessera.sources import exports, parse
+from tessera.sources import exports, parse, sqlite
 
 
 def test_documents_are_read_by_name(spark, tmp_path):
@@ -75,3 +76,23 @@ def test_reports_and_their_figures(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "r/report.json")).count() == 2
     one = spark.range(1).select(tx.html_escape(F.lit("<a href=\"x\">'&'</a>")), tx.thousands(F.lit(1234567)), tx.percent(F.lit(1), F.lit(8)), tx.percent(F.lit(1), F.lit(0))).first()
     assert tuple(one) == ("&lt;a href=&quot;x&quot;&gt;&#x27;&amp;&#x27;&lt;/a&gt;", "1,234,567", "12.5%", "0.0%")
+
+
+def test_vector_store_file(spark, tmp_path):
+    import sqlite3
+
+    path = str(tmp_path / "store file.sqlite3")
+    con = sqlite3.connect(path)
+    con.executescript("""
+      CREATE TABLE collections (id TEXT, name TEXT); CREATE TABLE segments (id TEXT, collection TEXT); CREATE TABLE embeddings (id INTEGER, segment_id TEXT, embedding_id TEXT);
+      CREATE TABLE embedding_metadata (id INTEGER, key TEXT, string_value TEXT, int_value INTEGER, float_value REAL, bool_value INTEGER);
+      INSERT INTO collections VALUES ('c1', 'kb'), ('c2', 'other'); INSERT INTO segments VALUES ('s1', 'c1'), ('s2', 'c2');
+      INSERT INTO embeddings VALUES (1, 's1', 'a'), (2, 's1', 'b'), (3, 's2', 'c');
+      INSERT INTO embedding_metadata VALUES (1, 'chroma:document', 'text', NULL, NULL, NULL), (1, 'n', NULL, 7, NULL, NULL), (1, 'ok', NULL, NULL, NULL, 1), (3, 'n', NULL, 9, NULL, NULL);
+    """)
+    con.commit()
+    con.close()
+    got = {r.id: (r.document, r.n, r.ok) for r in sqlite.read_collection(spark, path, "kb", ["n", "ok"]).collect()}
+    assert got == {"a": ("text", "7", "true"), "b": (None, None, None)}
+    with pytest.raises(Exception, match="unable to open"):
+        sqlite.read_sqlite(spark, str(tmp_path / "absent"), "SELECT 1", "x long").collect()

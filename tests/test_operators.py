@@ -241,6 +241,10 @@ def test_budget_chunks():
     assert all(n <= parse.BUDGET for _, n in chunks) and chunks[-1][0].endswith("w999")
     assert all(set(a.split()) & set(b.split()) for (a, _), (b, _) in zip(chunks, chunks[1:]))
     assert all(n <= parse.BUDGET for _, n in parse.budget_chunks("." * 5000))
+    of = lambda text: [c for c, _ in parse.budget_chunks(text, budget=4, overlap=2)]
+    assert of("a b c d e f g") == ["a b c d", "c d e f", "e f g"]
+    assert of("a b c d. e f") == ["a b c d", "c d. e", "e f"]
+    assert of("a\n\nb ....... c") == ["a\n\nb", "....", "... c"]
 
 
 def test_stream_merges_and_repeats_nothing(spark, tmp_path):
