@@ -7,7 +7,10 @@ import pytest
 import __spark_entry__ as entry
 
 DIR = "/root/testdata/sf0.001"
-FAST = "postings bm25 rrf_fusion vector_topk similarity_graph shortcode source_key sync_diff audit_summary run_length_chain chunk_windows ir_metrics where_dsl_nin hybrid_search".split()
+FAST = (
+    "import_chats import_sessions import_projects read_questions content_hashes corpus_hash index_build rollback repair upsert_merge replace_source result_lines search_knowledge rerank_blend "
+    "search_degraded threshold_sweep dedupe_names ordered_dedupe fetch_json stream_ingest session_windows light_stem eval_queries config_verdict postings bm25 rrf_fusion vector_topk similarity_graph shortcode source_key sync_diff audit_summary run_length_chain chunk_windows ir_metrics where_dsl_nin hybrid_search"
+).split()
 
 
 def test_every_sql_has_its_query():
