@@ -148,7 +148,7 @@ class SearchEngine:
 
         near, degraded, _ = retrieval.vector_leg(by_vectors, words)
         legs = near.select("qid", "id", "source_key", F.lit(0).alias("leg"), (-F.col("similarity")).alias("pos")).unionByName(words.select("qid", "id", "source_key", F.lit(1).alias("leg"), F.col("score").alias("pos")))
-        looked = keyed.select("id", retrieval.evidence_text(F.col("document"), F.col("title"), F.col("date")).alias("evidence"))
+        looked = retrieval.evidence_words(keyed, words_of)
         gate = retrieval.evidence_gate(asked, looked.join(legs.select("qid", "id").distinct(), "id"), words_of).select("qid", "id", "passes")
         chosen = staged(retrieval.representatives(legs.join(gate, ["qid", "id"])).join(retrieval.rrf(near, words), ["qid", "source_key"]), "chosen")
         chosen, rerank, reason = self._reranked(chosen, asked, keyed, reranker, rerank_budget)

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import light_stem
 from . import lexical
 
 TABLES = ("docs", "postings", "terms", "stats")
@@ -21,7 +22,7 @@ SALTS = 16
 @dataclass
 class Index:
     """docs (id, project, kind, parent_id, token_count, tokens), postings (term, id, tf, token_count, parent_id), terms (term,
-    df, parents) and stats (n_docs, avgdl, n_parents)."""
+    df, parents, stem) and stats (n_docs, avgdl, n_parents)."""
 
     docs: DataFrame
     postings: DataFrame
@@ -42,9 +43,10 @@ class Index:
 
 
 def of_postings(posts: DataFrame) -> DataFrame:
-    """(term, df, parents) of postings: documents and distinct parents of each term; counting combines before it shuffles."""
+    """(term, df, parents, stem) of postings: documents and distinct parents of each term; counting combines before it shuffles."""
     per_parent = posts.groupBy("term", "parent_id").agg(F.count("*").alias("n"))
-    return per_parent.groupBy("term").agg(F.sum("n").alias("df"), F.count("*").alias("parents"))
+    counted = per_parent.groupBy("term").agg(F.sum("n").alias("df"), F.count("*").alias("parents"))
+    return counted.withColumn("stem", light_stem(F.col("term")))
 
 
 def of_docs(docs: DataFrame) -> Index:

@@ -14,6 +14,12 @@ from ..staging import staged
 from .lexical import top
 
 
+#: Terms of a question batch that are sent to every task; more are joined by a shuffle.
+SENT_TERMS = 500_000
+#: A date that counts as evidence.
+ISO_DATE = r"^\d{4}-\d{2}-\d{2}(T.*)?$"
+
+
 def best_per_source(hits: DataFrame, by: list[Column]) -> DataFrame:
     """The best hit of each (qid, source_key)."""
     w = Window.partitionBy("qid", "source_key").orderBy(*by, "id")
@@ -51,40 +57,64 @@ def stems(terms: DataFrame) -> DataFrame:
     return terms.select("term").distinct().select("term", tx.light_stem(F.col("term")).alias("stem"))
 
 
-def coverage(weights: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``pairs`` (qid, id, tokens, ...) with coverage, the share of the question's weight that the text has by stem, and matched, its terms."""
+def coverage(weights: DataFrame, pairs: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
+    """(qid, id, coverage, matched) of ``pairs`` (qid, id, tokens): the share of the question's weight that the text has by stem,
+    and how many of its terms.
+
+    ``vocabulary`` (term, stem) knows the texts' words; without one it is made of them. Only words whose stem some question
+    asks for are looked at, so a text's words aren't shuffled.
+    """
     words = pairs.select("qid", "id", F.explode(F.array_distinct("tokens")).alias("term"))
-    vocabulary = stems(words.select("term").unionByName(weights.select("term")))
-    have = words.join(vocabulary, "term").select("qid", "id", "stem").distinct()
-    asked = weights.join(vocabulary, "term")
-    hit = asked.join(have, ["qid", "stem"]).groupBy("qid", "id").agg(F.sum("weight").alias("w"), F.count("*").alias("matched"))
+    asked = weights.join(stems(weights), "term")
+    known = stems(words) if vocabulary is None else vocabulary
+    wanted = staged(known.join(asked.select("stem").distinct(), "stem", "left_semi").select("term", "stem").distinct(), "wanted")
+    have = words.join(F.broadcast(wanted) if wanted.count() <= SENT_TERMS else wanted, "term").select("qid", "id", "stem").distinct()
+    hit = have.join(asked, ["qid", "stem"]).groupBy("qid", "id").agg(F.sum("weight").alias("w"), F.count("*").alias("matched"))
     total = weights.groupBy("qid").agg(F.sum("weight").alias("total"))
-    rows = pairs.join(total, "qid", "left").join(hit, ["qid", "id"], "left")
-    return rows.select(*pairs.columns, F.coalesce(F.round(F.col("w") / F.col("total"), 6), F.lit(0.0)).alias("coverage"), F.coalesce("matched", F.lit(0)).alias("matched"))
+    rows = pairs.select("qid", "id").distinct().join(total, "qid", "left").join(hit, ["qid", "id"], "left")
+    return rows.select("qid", "id", F.coalesce(F.round(F.col("w") / F.col("total"), 6), F.lit(0.0)).alias("coverage"), F.coalesce("matched", F.lit(0)).alias("matched"))
+
+
+def evidence_words(chunks: DataFrame, docs) -> DataFrame:
+    """(id, evidence, tokens, extra) of chunks (id, document, title, date) of an index: the words come from the index, those of
+    the date are ``extra``."""
+    dated = F.when(F.col("date").rlike(ISO_DATE), F.col("date")).otherwise(F.lit(""))
+    looked = chunks.select("id", evidence_text(F.col("document"), F.col("title"), F.col("date")).alias("evidence"), tx.tokenize(dated).alias("extra"))
+    return looked.join(docs.docs.select("id", "tokens"), "id").select("id", "evidence", F.array_union("tokens", "extra").alias("tokens"), "extra")
 
 
 def evidence_text(document: Column, title: Column, date: Column) -> Column:
     """What is looked at as evidence: the text, the title, and a date that is one."""
     named = F.concat(F.coalesce(document, F.lit("")), F.when(F.coalesce(title, F.lit("")) != "", F.concat(F.lit(" "), title)).otherwise(F.lit("")))
-    return F.concat(named, F.when(date.rlike(r"^\d{4}-\d{2}-\d{2}(T.*)?$"), F.concat(F.lit(" "), date)).otherwise(F.lit("")))
+    return F.concat(named, F.when(date.rlike(ISO_DATE), F.concat(F.lit(" "), date)).otherwise(F.lit("")))
 
 
 def evidence_gate(queries: DataFrame, pairs: DataFrame, docs) -> DataFrame:
-    """(qid, id, coverage, matched, passes) of each pair (qid, id, evidence: string).
+    """(qid, id, coverage, matched, passes) of each pair (qid, id, evidence; tokens and extra as of :func:`evidence_words` if
+    there are any).
 
     One raw token: it must stand in the text as it is. Else every year and quoted string must, and the text must cover
     enough of the question's weight with enough of its terms.
     """
-    tokens = pairs.withColumn("tokens", tx.tokenize(F.col("evidence")))
-    covered = coverage(term_weights(queries, docs), tokens)
+    from .index import Index, of_docs
+
+    index = docs if isinstance(docs, Index) else of_docs(docs)
+    vocabulary = None
+    if {"tokens", "extra"} <= set(pairs.columns):
+        vocabulary = index.terms.select("term", "stem").unionByName(stems(pairs.select(F.explode("extra").alias("term"))))
+    else:
+        pairs = pairs.select("qid", "id", "evidence", tx.tokenize(F.col("evidence")).alias("tokens"))
+    pairs = staged(pairs.select("qid", "id", "evidence", "tokens"), "pairs")
+    covered = coverage(term_weights(queries, index), pairs, vocabulary)
     asked = queries.select(
         "qid", tx.tokenize(F.col("text")).alias("raw"), tx.strict_constraints(F.col("text")).alias("constraints"),
     ).withColumn("n_meaningful", F.size(F.array_distinct(F.filter("raw", lambda t: ~t.isin(*tx.stop_list())))))
     low = F.lower(F.col("evidence"))
-    strict = F.forall("constraints", lambda c: F.contains(low, c))
-    need = F.when(F.col("n_meaningful") == 1, 1).otherwise(2)
-    rule = F.when(F.size("raw") == 1, F.array_contains("tokens", F.col("raw")[0])).otherwise(strict & (F.col("coverage") >= MIN_COVERAGE) & (F.col("matched") >= need))
-    return covered.join(asked, "qid").select("qid", "id", "coverage", "matched", rule.alias("passes"))
+    strict = F.when(F.size("constraints") == 0, True).otherwise(F.forall("constraints", lambda c: F.contains(low, c)))
+    single = F.when(F.size("raw") == 1, F.array_contains("tokens", F.col("raw")[0]))
+    looked = pairs.join(asked, "qid").select("qid", "id", single.alias("single"), strict.alias("strict"), F.when(F.col("n_meaningful") == 1, 1).otherwise(2).alias("need"))
+    rule = F.when(F.col("single").isNotNull(), F.col("single")).otherwise(F.col("strict") & (F.col("coverage") >= MIN_COVERAGE) & (F.col("matched") >= F.col("need")))
+    return looked.join(covered, ["qid", "id"]).select("qid", "id", "coverage", "matched", rule.alias("passes"))
 
 
 def representatives(candidates: DataFrame) -> DataFrame:

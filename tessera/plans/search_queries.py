@@ -191,14 +191,14 @@ def _pairs(d: Data, legs: tuple[DataFrame, DataFrame] | None = None) -> DataFram
     """All hits of both legs, with what is looked at as evidence."""
     dn, lx = legs or _legs(d)
     both = dn.select("qid", "id").unionByName(lx.select("qid", "id")).distinct()
-    chunks = d.chunks.select("id", "parent_id", retrieval.evidence_text(F.col("document"), F.col("title"), F.col("date")).alias("evidence"))
-    return chunks.join(both, "id").select("qid", "id", "parent_id", "evidence")
+    return retrieval.evidence_words(d.chunks, d.index).join(both, "id").select("qid", "id", "evidence", "tokens", "extra")
 
 
 @query("coverage", sql("SELECT qid, id, coverage, matched FROM covered"))
 def _(d: Data) -> DataFrame:
-    pairs = _pairs(d).withColumn("tokens", tx.tokenize(F.col("evidence")))
-    return retrieval.coverage(retrieval.term_weights(d.queries, d.index), pairs).select("qid", "id", "coverage", "matched")
+    """By a vocabulary made of the texts alone."""
+    pairs = staged(_pairs(d).select("qid", "id", "tokens"), "pairs")
+    return retrieval.coverage(retrieval.term_weights(d.queries, d.index), pairs)
 
 
 @query("evidence_gate", sql("SELECT qid, id, coverage, matched, passes FROM gated"))
