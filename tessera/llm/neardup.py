@@ -225,7 +225,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Union-find within partitions, then alternating large and small stars over what is left, each round written to the
     shared folder (and removed once the next one is), until a round changes nothing. No task holds more than its partition
-    of links.
+    of links, and those of a hub are split.
     """
 
     def stars(edges: DataFrame) -> DataFrame:
@@ -239,12 +239,13 @@ def components(links: DataFrame) -> DataFrame:
     cur, state = seal(stars(links.select("a", "b")))
     while True:
         both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m"))
-        large = both.join(least.select("a", F.least("a", "m").alias("m")), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = staged(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")), "least")  # so that the join can split a hub's links
+        large = both.where("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         small_least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(small_least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         nxt, new_state = seal(small.unionByName(small_least.select("a", F.col("m").alias("b"))).distinct())
         discard(cur)
+        discard(least)
         if new_state == state:
             return nxt.toDF("node", "root")
         cur, state = nxt, new_state
