@@ -345,11 +345,11 @@ _SIBLINGS = """SELECT qid, source_key, string_agg('  - ' || id || ': ' || left(d
  SELECT l.qid, l.source_key, l.id, c.document, row_number() OVER (PARTITION BY l.qid, l.source_key ORDER BY score, l.id) AS pos FROM lexical l JOIN chunks c USING (id)) WHERE pos > 1 GROUP BY ALL"""
 
 
-@query("result_lines", sql(f"""SELECT qid, source_key, '[' || kind || '] ' || title || ' | project: ' || project || ' | similarity: ' || format('{{:.2f}}', round(-score / (10 - score), 6)) || ' | id: ' || id || coalesce(chr(10) || more, '') AS line FROM (
+@query("result_lines", sql(f"""SELECT qid, source_key, '[' || kind || '] ' || title || ' | project: ' || project || ' | similarity: ' || format('{{:.2f}}', -score / (10 - score)) || ' | id: ' || id || coalesce(chr(10) || more, '') AS line FROM (
  SELECT l.*, row_number() OVER (PARTITION BY qid, source_key ORDER BY score, id) AS n FROM lexical l) JOIN chunks USING (id) LEFT JOIN ({_SIBLINGS}) USING (qid, source_key) WHERE n = 1""").replace("pos <= 4", "pos <= 4"))
 def _(d: Data) -> DataFrame:
     hits = _legs(d)[1].join(d.chunks.select("id", "kind", "title", "project", "document"), "id")
-    return retrieval.lines_with_siblings(hits, [F.col("score")], F.round(-F.col("score") / (10 - F.col("score")), 6)).select("qid", "source_key", "line")
+    return retrieval.lines_with_siblings(hits, [F.col("score")], -F.col("score") / (10 - F.col("score"))).select("qid", "source_key", "line")
 
 
 @query("query_variants")
