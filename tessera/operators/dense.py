@@ -42,19 +42,23 @@ def _blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
             yield [r.qid for r in rows], np.array([r.vector for r in rows], np.float64).reshape(len(rows), -1)
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = VECTOR_CANDIDATES, floor: float | None = MIN_SIMILARITY, skip_self: bool = False, qid_type: str = "long", id_type: str = "long") -> DataFrame:
-    """(qid, id, similarity, rank): the ``k`` rows of highest cosine for each query (qid, vector) among ``vectors`` (id, vector).
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = VECTOR_CANDIDATES, floor: float | None = MIN_SIMILARITY, skip_self: bool = False, qid_type: str = "long", id_type: str = "long", space: str = "cosine") -> DataFrame:
+    """(qid, id, similarity, rank): the ``k`` rows of highest similarity for each query (qid, vector) among ``vectors`` (id, vector).
 
-    Each task keeps the best ``k`` of its own rows, so no more than queries x k x tasks rows are shuffled.
+    In the spaces ``cosine`` and ``l2`` that is the cosine (which for unit vectors is what an l2 distance says), in ``ip`` the
+    inner product of the vectors as they are; a zero vector is similar to nothing. Each task keeps the best ``k`` of its own rows, so no more than queries x k x tasks rows are shuffled.
     """
-    return _topk(queries, vectors, k, floor, skip_self, qid_type, id_type)
+    if space not in ("cosine", "l2", "ip"):
+        raise ValueError(f"unknown space {space!r}")
+    return _topk(queries, vectors, k, floor, skip_self, qid_type, id_type, unit=space != "ip")
 
 
-def _topk(queries: DataFrame, vectors: DataFrame, k: int, floor: float | None, skip_self: bool, qid_type: str, id_type: str, meets=None) -> DataFrame:
+def _topk(queries: DataFrame, vectors: DataFrame, k: int, floor: float | None, skip_self: bool, qid_type: str, id_type: str, meets=None, unit: bool = True) -> DataFrame:
     """:func:`vector_topk` of the pairs for which ``meets(question vectors)(vectors)`` is true; the others aren't compared."""
     parts = []
     for qids, q in _blocks(queries):
-        q = q / np.where((n := np.linalg.norm(q, axis=1, keepdims=True)) == 0, 1, n)
+        if unit:
+            q = q / np.where((n := np.linalg.norm(q, axis=1, keepdims=True)) == 0, 1, n)
         met_by = meets and meets(q)
 
         def run(batches: Iterator[pa.RecordBatch], qids=qids, q=q, met_by=met_by) -> Iterator[pa.RecordBatch]:
@@ -63,7 +67,8 @@ def _topk(queries: DataFrame, vectors: DataFrame, k: int, floor: float | None, s
             for batch in (whole.slice(at, STRIDE) for whole in batches for at in range(0, whole.num_rows, STRIDE)):
                 ids = np.array(batch.column(0).to_pylist(), object)
                 x = np.array(batch.column(1).to_pylist(), np.float64).reshape(len(ids), -1)
-                x = x / np.where((m := np.linalg.norm(x, axis=1, keepdims=True)) == 0, 1, m)
+                if unit:
+                    x = x / np.where((m := np.linalg.norm(x, axis=1, keepdims=True)) == 0, 1, m)
                 if met_by is None:
                     s = np.round(q @ x.T, 6)
                 else:
