@@ -212,9 +212,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, chunk: int = CHUNK) -> Da
     strings = staged(met.groupBy("anchor", "piece").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "start", "size", "place")).alias("at")), "strings")
     whole = met.join(strings.where("n > 1").select("anchor", "piece"), ["anchor", "piece"]).select("text_key", "start", "size")
     crowd = staged(strings.groupBy("anchor").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 AND least = 1").select("anchor", (F.col("k") > MOST_PIECES).alias("hot")), "crowd")
-    want = staged(strings.join(crowd, "anchor").select("anchor", "piece", "n", "hot", "at.*"), "want")
-    n_hot, n_bytes = want.agg(F.count_if("hot"), F.coalesce(F.sum(F.when(~F.col("hot"), F.col("size"))), F.lit(0))).first()
-
+    want = strings.join(crowd, "anchor").select("anchor", "piece", "n", "hot", "at.*")
     fetch = want.groupBy(F.col("doc_id").alias("want_id"), F.col("text_key").alias("want_key")).agg(F.collect_list(F.struct("anchor", "piece", "n", "hot", "start", "size", "place")).alias("parts"))
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select("doc_id", text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("text_key"))
@@ -233,6 +231,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, chunk: int = CHUNK) -> Da
         return out
 
     held = staged(arrow_map(found, cut, "anchor long, piece binary, n long, hot boolean, start int, place int, text_key binary, content binary"), "contents")
+    n_hot, n_bytes = held.agg(F.count_if("hot"), F.coalesce(F.sum(F.when(~F.col("hot"), F.octet_length("content"))), F.lit(0))).first()
     n_shards = max(1, -(-int(n_bytes) // SHARD))
 
     def sort_shard(group: pd.DataFrame) -> pd.DataFrame:
