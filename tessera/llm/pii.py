@@ -13,6 +13,7 @@ import json
 import math
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
 from importlib import resources
@@ -98,8 +99,9 @@ TOKEN = re.compile(r"[A-Za-z0-9_]+(?:={1,2}(?![A-Za-z0-9_+/=-]))?|[^\sA-Za-z0-9_
 #: What is looked at of a place beside base spans.
 PART = re.compile(r"[A-Za-z0-9_+(\[{](?:.*[A-Za-z0-9_=)\]}])?", re.S)
 CUE = re.compile(r"([A-Za-z_]+)[\s:=\"'(#]*$")
-#: Longest segment, in tokens, besides a whole place.
-LONGEST = 14
+#: Longest segment, in tokens, besides a whole place; digits of a number; signs of an opaque run.
+LONGEST, LEAST_DIGITS, MOST_DIGITS, OPAQUE = 14, 6, 20, 20
+RUN = re.compile("[A-Za-z0-9_+/=-]+")
 #: Words before a span that tell its kind.
 CUES = {
     "email": "mail email e-mail contact write".split(), "ip": "ip host server address addr".split(), "card": "card visa mastercard amex credit".split(),
@@ -182,16 +184,34 @@ def tokens_of(text: str, start: int, end: int) -> list[Span]:
     return [m.span() for m in TOKEN.finditer(text, start, end)]
 
 
-def segments(text: str, start: int, end: int, tokens: list[Span]) -> Iterator[tuple[int, int, list[str]]]:
-    """Candidate segments of a place (first token, end token, features), by end and first: up to ``LONGEST`` tokens, or all of it."""
+def segments(text: str, start: int, end: int, tokens: list[Span]) -> Iterator[tuple[int, int, list[str] | None]]:
+    """Candidate segments of a place (first token, end token, features), by end and first: up to ``LONGEST`` tokens, or all of it.
+
+    An entity is the whole place, an opaque run, holds an "at" sign in words, or has as many digits as a number may have
+    between fitting ends. Other segments can't be one: a single token has no features then, a longer one is left out.
+    """
     lead, n = cue_of(text[max(0, start - 24) : start]), len(tokens)
+    digits = list(accumulate((len(digits_in(text[a:b])) for a, b in tokens), initial=0))
+    ats = [m.span() for m in AT.finditer(text, start, end)]
+    opens = [text[a].isalnum() or text[a] in "(+" for a, _ in tokens]
+    closes = [text[b - 1].isalnum() or text[b - 1] in ")]}=" for _, b in tokens]
     for j in range(1, n + 1):
+        b = tokens[j - 1][1]
         for i in ([0] if j == n > LONGEST else []) + list(range(max(0, j - LONGEST), j)):
-            a, b = tokens[i][0], tokens[j - 1][1]
-            yield i, j, segment_features(text[a:b], text[max(0, a - 24) : a], (a, b) == (start, end), lead)
-
-
-def lattice(text: str, start: int, end: int) -> tuple[list[Span], list[tuple[int, int, list[str]]]]:
+            a = tokens[i][0]
+            fits = (
+                (opens[i] and closes[j - 1] and LEAST_DIGITS <= digits[j] - digits[i] <= MOST_DIGITS)
+                or (a, b) == (start, end)
+                or (b - a >= OPAQUE and RUN.fullmatch(text, a, b))
+                or ((k := bisect_left(ats, (a, 0))) < len(ats) and ats[k][1] <= b)
+            )
+            if fits:
+                yield i, j, segment_features(text[a:b], text[max(0, a - 24) : a], (a, b) == (start, end), lead)
+            elif j == i + 1:
+                yield i, j, None
+
+
+def lattice(text: str, start: int, end: int) -> tuple[list[Span], list[tuple[int, int, list[str] | None]]]:
     """Tokens of a place, and its candidate segments."""
     tokens = tokens_of(text, start, end)
     return tokens, list(segments(text, start, end, tokens))
@@ -202,7 +222,7 @@ def _scored(segs, weights: dict[str, float]) -> Iterator[tuple[int, int, int, fl
     for i, j, feats in segs:
         if j == i + 1:
             yield i, j, -1, 0.0
-        for k, kind in enumerate(KINDS):
+        for k, kind in enumerate(KINDS if feats is not None else ()):
             yield i, j, k, weights.get(f"{kind}|bias", 0.0) + sum(weights.get(f"{kind}|{f}", 0.0) for f in feats)
 
 

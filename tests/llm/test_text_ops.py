@@ -391,7 +391,7 @@ def spans_by_brute_force(text):
         for j in range(1, len(toks) + 1):
             ways = [(best[j - 1][0], best[j - 1][1])]
             for i, e, feats in segs:
-                if e == j:
+                if e == j and feats is not None:
                     ways += [(best[i][0] + sum(weights.get(f"{k}|{f}", 0.0) for f in ["bias", *feats]), best[i][1] + [(k, toks[i][0], toks[j - 1][1])]) for k in pii.KINDS]
             best[j] = max(ways, key=lambda w: w[0])
         more += best[len(toks)][1]
