@@ -231,30 +231,36 @@ def test_broken_pages_take_linear_time():
 # ---- 6
 
 
-def contaminated(t, items):
-    norm = lambda s: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s or ""))
-    w = norm(t)
-    hit, found = set(), set()
+FOLD = {c: c + 32 for c in range(65, 91)}
+WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def hits(t, items):
+    """Places of the words, those that are hit, and the items found: every place of the text against every window."""
+    at = [m.span() for m in WORDS.finditer((t or "").translate(FOLD))]
+    w = [(t or "").translate(FOLD)[a:b] for a, b in at]
+    windows = collections.defaultdict(set)
     for item, text in items:
-        b = norm(text)
-        for win in {tuple(b[i : i + 13]) for i in range(max(1, len(b) - 12))} if b else ():
-            for i in range(len(w) - len(win) + 1):
-                if tuple(w[i : i + len(win)]) == win:
-                    hit |= set(range(i, i + len(win)))
-                    found.add(item)
-    return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(str(x) for x in found if x is not None)).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(w)
+        b = WORDS.findall((text or "").translate(FOLD))
+        for i in range(max(1, len(b) - 12)) if b else ():
+            windows[tuple(b[i : i + 13])].add(item)
+    hit, found = set(), set()
+    for size in {len(x) for x in windows}:
+        for i in range(len(w) - size + 1):
+            if owners := windows.get(tuple(w[i : i + size])):
+                hit |= set(range(i, i + size))
+                found |= owners
+    return at, hit, found
+
+
+def contaminated(t, items):
+    at, hit, found = hits(t, items)
+    return len(at), len(hit), len(found), hashlib.sha256(",".join(sorted(str(x) for x in found if x is not None)).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(at)
 
 
 def hit_spans(t, items):
-    """Runs of hit words in code points, by the words' places."""
-    fold = lambda s: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s or "")
-    at = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", fold(t))]
-    w = [fold(t)[a:b] for a, b in at]
-    hit = set()
-    for _, text in items:
-        b = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", fold(text))
-        for win in {tuple(b[i : i + 13]) for i in range(max(1, len(b) - 12))} if b else ():
-            hit |= {j for i in range(len(w) - len(win) + 1) if tuple(w[i : i + len(win)]) == win for j in range(i, i + len(win))}
+    """Runs of hit words in code points."""
+    at, hit, _ = hits(t, items)
     runs = []
     for i in sorted(hit):
         if runs and runs[-1][1] == i - 1:
@@ -274,8 +280,8 @@ def test_contamination(spark, docs, empty, texts, monkeypatch):
     kept = decontaminate.drop_contaminated(docs, bench)
     assert kept.columns == docs.columns
     kept = sorted(map(str, kept.collect()))
-    monkeypatch.setattr(decontaminate.benchmark_blocks, "__defaults__", (300,))
-    assert len(decontaminate.benchmark_blocks(bench)) > 3
+    monkeypatch.setattr(decontaminate.benchmark_blocks, "__defaults__", (1200,))
+    assert len(decontaminate.benchmark_blocks(bench)) > 2
     assert pairs(decontaminate.find_contamination(docs, bench, with_spans=True), "spans") == spans
     assert sorted(map(str, decontaminate.drop_contaminated(docs, bench).collect())) == kept
     assert pairs(decontaminate.find_contamination(docs, bench), "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == got
