@@ -237,8 +237,8 @@ WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 def hits(t, items):
     """Places of the words, those that are hit, and the items found: every place of the text against every window."""
-    at = [m.span() for m in WORDS.finditer((t or "").translate(FOLD))]
-    w = [(t or "").translate(FOLD)[a:b] for a, b in at]
+    found_words = list(WORDS.finditer((t or "").translate(FOLD)))
+    at, w = [m.span() for m in found_words], [m[0] for m in found_words]
     windows = collections.defaultdict(set)
     for item, text in items:
         b = WORDS.findall((text or "").translate(FOLD))
