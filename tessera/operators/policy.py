@@ -131,43 +131,54 @@ TRANSLATIONS = {
     "xavfsizlik": "security", "fayl": "file", "oy": "month", "hafta": "week", "sof": "net", "foyda": "profit", "tushum": "revenue",
     "daromad": "income",
 }
-FRAMING = re.compile(
-    r'"[^"]+"|\b(?:bilimlar\s+bazasidagi\s+manbalarga\s+asoslanib|bilimlar\s+bazasidagi\s+manbaga\s+tayanib|bazadagi\s+manbalarga\s+asoslanib|bazadagi\s+manbaga\s+tayanib)\b', re.I
-)
-CODEBASE = re.compile(r'"[^"]+"|\bkod\s+baza\w*', re.I)
-PART = re.compile(r'"[^"]+"|\$?\d+(?:[.,]\d+)*(?:[kKmM])?\+?|[\w]+(?:[\x27-][\w]+)*')
+# Phrases that only say where to look, the two words for a code base, and the limits of a rewriting.
+FRAMING = (
+    "bilimlar bazasidagi manbalarga asoslanib", "bilimlar bazasidagi manbaga tayanib", "bazadagi manbalarga asoslanib", "bazadagi manbaga tayanib",
+)
+CODE, BASE, CODEBASE = "kod", "baza", "codebase"
 MOST_WORDS, MOST_CHARS, PREFIX_ROOT = 40, 1400, 6
-
-
-def _unquoted(pattern: re.Pattern, new: str, text: str) -> str:
-    return pattern.sub(lambda m: m[0] if m[0].startswith('"') else new, text)
+#: What a question consists of: quoted strings, framing, numbers with their units, words.
+SAID = re.compile(
+    r'(?P<quoted>"[^"]+")|(?P<framing>\b(?:' + "|".join(x.replace(" ", r"\s+") for x in FRAMING) + r")\b)"
+    r"|(?P<number>\$?\d+(?:[.,]\d+)*(?:[km])?\+?)|(?P<word>\w+(?:[\x27-]\w+)*)", re.I,
+)
 
 
 def _anchored(word: str) -> bool:
+    """Whether a word must survive as it is: a quoted string, or one with a digit."""
     return word.startswith('"') or any(c.isdigit() for c in word)
 
 
-def _in_english(word: str) -> str:
+def _topic(word: str) -> str:
+    """A topic word in English, by itself or by its root; others as they are."""
     got = _tokenized(re.sub(f"[{APOSTROPHES}]", "'", word.lower()))
     plain = got[0] if len(got) == 1 else word.casefold()
-    if plain in TRANSLATIONS:
-        return TRANSLATIONS[plain]
-    return next((new for root, new in TRANSLATIONS.items() if len(root) >= PREFIX_ROOT and plain.startswith(root)), word)
+    by_root = (new for root, new in TRANSLATIONS.items() if len(root) >= PREFIX_ROOT and plain.startswith(root))
+    return TRANSLATIONS.get(plain) or next(by_root, word)
+
+
+def _in_english(words: list[str]) -> list[str]:
+    """Each word's rule: anchored ones stay, the two words for a code base become one, the rest are looked up."""
+    out: list[str] = []
+    for k, word in enumerate(words):
+        after_code = k and words[k - 1].casefold() == CODE and word.casefold().startswith(BASE)
+        if after_code:
+            out[-1] = re.sub(rf"(?i)^{BASE}\w*", CODEBASE, word)
+        else:
+            out.append(word if _anchored(word) else _topic(word))
+    return out
 
 
 def query_variants(question: str) -> list[str]:
-    """At most two rewritings of a question: without framing and filler, and with topic words in English.
+    """At most two rewritings of a question: without framing and filler, and that with topic words in English.
 
-    Quoted strings and numbers always survive. Nothing left, or too much, gives none. Questions are few, so this runs
-    on the driver.
+    Quoted strings and numbers always survive; of a long question the first and last words do. Nothing left, or too much,
+    gives none. Questions are few, so this runs on the driver.
     """
-    text = _unquoted(FRAMING, "", re.sub(f"[{APOSTROPHES}]", "'", str(question)))
-    words = [w for w in PART.findall(text) if w.casefold() not in FILLER]
-    if len(words) > MOST_WORDS:
-        half = MOST_WORDS // 2
-        words = [*words[:half], *filter(_anchored, words[half:-half]), *words[-half:]]
-    cleaned = " ".join(words)
-    if not 0 < len(cleaned) <= MOST_CHARS:
-        return []
-    english = " ".join(w if _anchored(w) else _in_english(w) for w in re.findall(r'"[^"]+"|\S+', _unquoted(CODEBASE, "codebase", cleaned)))
-    return list(dict.fromkeys([cleaned, english]))
+    found = SAID.finditer(re.sub(f"[{APOSTROPHES}]", "'", str(question)))
+    words = [m[0] for m in found if m.lastgroup == "quoted" or (m.lastgroup != "framing" and m[0].casefold() not in FILLER)]
+    half, n = MOST_WORDS // 2, len(words)
+    if n > MOST_WORDS:
+        words = [w for k, w in enumerate(words) if k < half or k >= n - half or _anchored(w)]
+    plain = " ".join(words)
+    return list(dict.fromkeys([plain, " ".join(_in_english(words))])) if 0 < len(plain) <= MOST_CHARS else []
