@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# Weights, limits and sizes that results follow from.
 DENSE_WEIGHT, LEXICAL_WEIGHT, RRF_K = 1.0, 0.2, 60
 RERANK_ALPHA, RERANK_TOP = 0.5, 20
 MIN_COVERAGE, MIN_SIMILARITY, IDF_FLOOR = 0.65, 0.10, 0.01
