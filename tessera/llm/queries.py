@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, html_text, neardup, oracles, pieces, pii, quality, sharding, substrings, tokens
+from . import chat, classifier, clusters, decontaminate, html_text, neardup, oracles, pieces, pii, quality, resample, sharding, substrings, tokens
 from .common import table
 
 
@@ -53,6 +53,18 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.sort_means(table(spark, sf_dir, "embeddings"), k=40, rounds=5, seed=2)
+
+
+def op12_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), seed=2024, percent=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_sharding": op2_sharding,
@@ -64,6 +76,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pieces": op8_pieces,
     "op9_chat": op9_chat,
     "op10_personal_data": op10_personal_data,
+    "op11_clusters": op11_clusters,
+    "op12_classifier": op12_classifier,
+    "op13_resampling": op13_resampling,
 }
 
 ORACLES: dict[str, str] = {
@@ -73,4 +88,6 @@ ORACLES: dict[str, str] = {
     "op6_decontamination": decontaminate.ORACLE,
     "op7_near_duplicates": oracles.NEAR_DUPLICATES,
     "op9_chat": chat.ORACLE,
+    "op11_clusters": clusters.oracle(),
+    "op13_resampling": resample.ORACLE,
 }
