@@ -33,12 +33,21 @@ BLOCK = frozenset(
     summary table tbody td tfoot th thead tr ul""".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: In class or id: a notice, advert, sidebar, menu or comment section.
-CHROME_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|popup|modal|newsletter|subscribe|sidebar|side|widget|nav\w*|menu|breadcrumbs?|"
-    r"header|masthead|footer|comments?|comment-\w+|respond|disqus\w*|replies|related|share|sharing|social|login|search|pagination|pager|tags?|toolbar)(?:$|[\s_-])",
-    re.I,
+#: Words that name boilerplate in a class or id: a notice, advert, sidebar, menu or comment section.
+CHROME_WORDS = frozenset(
+    """ad ads advert adverts advertisement advertising advertorial banner sponsor sponsored sponsors promo promos promotion cookie
+    cookies consent gdpr notice popup modal newsletter subscribe subscription sidebar side widget widgets nav navbar navigation menu breadcrumb
+    breadcrumbs header masthead footer comment comments respond disqus replies related share sharing social login search pagination
+    pager tag tags toolbar""".split()
 )
+#: Of a name with several parts these count where they come first, too, as in ``cookie-bar``; others only as the last part.
+CHROME_FIRST = CHROME_WORDS - frozenset("side widget header tag tags search menu banner".split())
+#: A name that begins so says something about a page or post, not that it is boilerplate: ``no-sidebar``, ``has-comments``, ``tag-python``.
+ABOUT = frozenset("no not non has with without is hide show tag tags category cat type status format layout single page body".split())
+#: The head of a post is its own: ``entry-header``.
+OWN_HEADER = frozenset("post entry article story content".split())
+#: A section of comments is no wrapper of the article unless it holds the page's first heading.
+COMMENT_WORDS = frozenset("comment comments respond disqus replies".split())
 #: What may end a tag, or begin a quoted value in which it can't end; the name of a tag.
 TAG_STOP = re.compile(r"=\s*([\"'])|>")
 TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
@@ -50,6 +59,22 @@ WORD = re.compile(r"[^\W\d_]+")
 ENDS_ALSO = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset("tr td th".split()), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"])}
 #: Blocks that may stand inside a paragraph.
 IN_PARAGRAPH = frozenset("br button caption legend meta link tbody td tfoot th thead tr".split())
+_PARTS = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
+
+
+def chrome_name(names: str) -> str:
+    """"" for classes, ids and roles that name no boilerplate, else "comment" or "other". Names are read as wholes: each part of
+    a name, split at hyphens, underscores and capitals, is a word or isn't."""
+    found = ""
+    for name in names.split():
+        parts = [x.lower() for x in _PARTS.split(name) if x]
+        if not parts or len(parts) > 1 and parts[0] in ABOUT or parts[-1] == "header" and OWN_HEADER & set(parts):
+            continue
+        if parts[-1] in CHROME_WORDS or parts[0] in CHROME_FIRST:
+            found = "comment" if found == "comment" or COMMENT_WORDS & {parts[0], parts[-1]} else "other"
+    return found
+
+
 RIGHTS = re.compile(r"©|\bcopyright\b|\ball rights reserved\b", re.I)
 
 
@@ -69,13 +94,16 @@ class Rules:
     #: Of a block that is link text only; others in proportion. Three or more such blocks in a row are a menu.
     linked: float = -3.0
     menu: float = -2.0
-    rights: float = -3.0
-    #: Priors of containers: boilerplate (a form, too, where there is an article), short blocks of another form, article,
-    #: and what stands outside the article.
-    chrome: float = -4.0
-    form: float = -1.5
-    article: float = 2.0
-    outside: float = -4.0
+    rights: float = -2.4
+    #: Priors of containers, all smaller than ``sure``, so that none decides by itself: boilerplate (a form, too, where there is
+    #: an article), short blocks of another form, article, and what stands outside the article.
+    chrome: float = -1.0
+    form: float = -1.25
+    article: float = 1.0
+    outside: float = -1.0
+    #: A container that is only named boilerplate is a wrapper, without a prior, if it holds this share of what is evidently
+    #: text in the page, and a heading.
+    wrapper: float = 0.5
     #: Under this density of stop words the page is in a language without a list, so that a long block counts as ``unknown``.
     known: float = 0.04
     unknown: float = 1.5
@@ -85,10 +113,14 @@ class Rules:
 class Block:
     text: str
     linked: int
-    #: "chrome", "form", "main" or "", by the containers around it, and a number for the container.
+    #: "fixed" (boilerplate by its element), "chrome" (by a name), "form", "main" or "", by the containers around it, and a number
+    #: for the container.
     place: str
     region: int
     heading: bool
+    #: 1, 2, ... of a heading, else 0; the innermost container that is named boilerplate (-1: none).
+    level: int = 0
+    named: int = -1
 
 
 class Outline:
@@ -100,10 +132,13 @@ class Outline:
         self.fixed = self.region = 0  # open containers that hold boilerplate whatever stands in them; containers seen
         self.named: list[str] = []  # places of the other open containers; the innermost counts
         self.linked_at = -1  # depth at which a link was opened
+        self.holders: list[int] = []  # open containers that are named boilerplate, by number
+        self.parents: list[int] = []  # of each such container the one around it, or -1
+        self.of_comments: list[bool] = []
 
     @property
     def place(self) -> str:
-        return "chrome" if self.fixed else self.named[-1] if self.named else ""
+        return "fixed" if self.fixed else self.named[-1] if self.named else ""
 
     def push(self, tag: str, place: str) -> None:
         self.stack.append((tag, place))
@@ -128,6 +163,8 @@ class Outline:
             self.named.append(place)
         else:
             self.named.pop()
+            if place == "chrome":
+                self.holders.pop()
 
     def start(self, tag: str, attrs: str) -> None:
         if tag not in IN_PARAGRAPH and self.stack and self.stack[-1][0] == "p":
@@ -141,8 +178,11 @@ class Outline:
             place = "form" if tag == "form" else "fixed"
         elif tag in ("article", "main") or names == "main":
             place = "main"
-        elif names and tag not in ("html", "body") and CHROME_NAME.search(names):
+        elif names and tag not in ("html", "body") and (kind := chrome_name(names)):
             place = "chrome"
+            self.parents.append(self.holders[-1] if self.holders else -1)
+            self.of_comments.append(kind == "comment")
+            self.holders.append(len(self.parents) - 1)
         self.push(tag, place)
 
     def end(self, tag: str) -> None:
@@ -151,7 +191,7 @@ class Outline:
                 pass
 
 
-def blocks_of(page: str) -> list[Block]:
+def blocks_of(page: str) -> tuple[list[Block], Outline]:
     """Blocks in page order, references decoded and white space folded; blocks without text are left out.
 
     Each character is read a fixed number of times, however a page is broken: a tag that never ends takes the rest of
@@ -160,7 +200,7 @@ def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     outline = Outline()
     parts: list[str] = []
-    linked, heading, pos, size = 0, False, 0, len(page)
+    linked, level, pos, size = 0, 0, 0, len(page)
     unclosed: set[str] = set()
     last_quote = {q: page.rfind(q) for q in "\"'"}
     raw_end: dict[str, re.Pattern] = {}
@@ -170,7 +210,7 @@ def blocks_of(page: str) -> list[Block]:
         if parts:
             text = " ".join(htmllib.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, linked, outline.place, outline.region, heading))
+                out.append(Block(text, linked, outline.place, outline.region, level > 0, level, outline.holders[-1] if outline.holders else -1))
             parts.clear()
         linked = 0
 
@@ -230,9 +270,9 @@ def blocks_of(page: str) -> list[Block]:
                 outline.end(tag)
             else:
                 outline.start(tag, attrs)
-            heading = not ends and len(tag) == 2 and tag[0] == "h"
+            level = int(tag[1]) if not ends and len(tag) == 2 and tag[0] == "h" and tag != "hr" else 0
     flush()
-    return out
+    return out, outline
 
 
 def link_share(b: Block) -> float:
@@ -266,23 +306,47 @@ def evidence(blocks: list[Block], rules: Rules) -> list[float]:
     return out
 
 
-def decide(blocks: list[Block], rules: Rules = Rules()) -> list[bool]:
+def unwrapped(blocks: list[Block], outline: Outline, found: list[float], rules: Rules) -> list[str]:
+    """The blocks' places, after containers that are boilerplate by name only, but hold the page's text, have lost that name."""
+    n = len(outline.parents)
+    if not n:
+        return [b.place for b in blocks]
+    mass, best = [0] * n, [9] * n  # evident text, and the highest heading, in each container
+    total, top_level = 0, min((b.level for b in blocks if b.level and b.place != "fixed"), default=9)
+    for b, s in zip(blocks, found):
+        if s > 0 and b.place != "fixed":
+            total += len(b.text)
+        if b.named >= 0:
+            mass[b.named] += len(b.text) if s > 0 else 0
+            best[b.named] = min(best[b.named], b.level or 9)
+    for c in range(n - 1, -1, -1):
+        if (up := outline.parents[c]) >= 0:
+            mass[up] += mass[c]
+            best[up] = min(best[up], best[c])
+    holds = [m > 0 and m >= rules.wrapper * total and h < 9 and (h == top_level if comments else True) for m, h, comments in zip(mass, best, outline.of_comments)]
+    chrome = [False] * n
+    for c, up in enumerate(outline.parents):
+        chrome[c] = not holds[c] or up >= 0 and chrome[up]
+    return ["" if b.place == "chrome" and b.named >= 0 and not chrome[b.named] else b.place for b in blocks]
+
+
+def decide(blocks: list[Block], outline: Outline, rules: Rules = Rules()) -> list[bool]:
     """Whether each block is main text.
 
-    Pass one adds to a block's evidence the prior of its container. An article element is believed where it holds most
-    of the text that the evidence is for; then what stands outside has a prior, too. Pass two gives a block that is not
-    decided the label of its nearest decided neighbour, a heading that of the next one; inside an article, neighbours are
-    those of the same container, and without any the prior holds.
+    Pass one adds to a block's evidence the prior of its container; no prior is enough by itself. An article element is
+    believed where it holds most of the text that the evidence is for; then what stands outside has a prior, too. Pass two
+    gives a block that is not decided the label of its nearest decided neighbour, a heading that of the next one; inside an
+    article or boilerplate, neighbours are those of the same container, and without any the prior holds.
     """
     found = evidence(blocks, rules)
+    places = unwrapped(blocks, outline, found, rules)
     mass = Counter()
-    for b, s in zip(blocks, found):
-        if s > 0 and b.place in ("main", ""):
-            mass[b.place] += len(b.text)
-    mains = any(b.place == "main" for b in blocks)
-    believed = mains and mass["main"] >= mass[""] / 2
-    priors = {"chrome": rules.chrome, "form": rules.chrome if believed else 0.0, "main": rules.article if believed else 0.0, "": rules.outside if believed else 0.0}
-    prior = [priors[b.place] or (rules.form if b.place == "form" and len(b.text) < rules.short else 0.0) for b in blocks]
+    for b, place, s in zip(blocks, places, found):
+        if s > 0 and place in ("main", ""):
+            mass[place] += len(b.text)
+    believed = "main" in places and mass["main"] >= mass[""] / 2
+    priors = {"fixed": rules.chrome, "chrome": rules.chrome, "form": rules.chrome if believed else 0.0, "main": rules.article if believed else 0.0, "": rules.outside if believed else 0.0}
+    prior = [priors[p] or (rules.form if p == "form" and len(b.text) < rules.short else 0.0) for b, p in zip(blocks, places)]
     scores = [s + x for s, x in zip(found, prior)]
     labels: list[bool | None] = [s > 0 if abs(s) >= rules.sure else None for s in scores]
 
@@ -304,7 +368,7 @@ def decide(blocks: list[Block], rules: Rules = Rules()) -> list[bool]:
     out = []
     for i, (b, label) in enumerate(zip(blocks, labels)):
         if label is None:
-            before, after = (x[i] for x in near[believed and b.place == "main"])
+            before, after = (x[i] for x in near[prior[i] != 0])
             known = [n for n in ((after,) if b.heading and after else (before, after)) if n]
             label = min(known, key=lambda n: (n[0], not n[1]))[1] if known else prior[i] > 0
         out.append(label)
@@ -313,8 +377,8 @@ def decide(blocks: list[Block], rules: Rules = Rules()) -> list[bool]:
 
 def main_text(page: str | None, rules: Rules = Rules()) -> str:
     """The page's main text: its blocks joined by a space; "" for a page without any, and for null."""
-    blocks = blocks_of(page or "")
-    return " ".join(b.text for b, good in zip(blocks, decide(blocks, rules)) if good)
+    blocks, outline = blocks_of(page or "")
+    return " ".join(b.text for b, good in zip(blocks, decide(blocks, outline, rules)) if good)
 
 
 def extract_pages(pages: DataFrame, rules: Rules = Rules()) -> DataFrame:

@@ -206,6 +206,37 @@ def test_containers_are_priors_only():
     assert html_text.main_text(f"<ul><li><a>bir</a><li><a>ikki</a><li><a>uch</a></ul><div>{other}</div><div>{other}</div>") == f"{other} {other}"
 
 
+@pytest.mark.parametrize("name", ["post tag-python", "content no-sidebar", "container has-comments", "layout sidebar-right", "site-wrapper menu", "post comment-open comments"])
+def test_named_wrappers_keep_their_article(name):
+    """A class that only sounds like boilerplate, or is outvoted by the dense text and heading in it."""
+    text = PROSE.strip()
+    menu = "<ul class=menu><li><a href=/a>One</a><li><a href=/b>Two</a><li><a href=/c>Three</a></ul>"
+    page = f'<body class="home has-sidebar">{menu}<div class="{name}"><h1>Head</h1><p>{PROSE * 2}</p><div class="share-bar">Share this on</div><p>{PROSE}</p></div><div class="cookie-bar">We use it</div><div class="site-footer">Some words</div></body>'
+    assert html_text.main_text(page) == f"Head {text} {text} {text}"
+    assert html_text.chrome_name("entry-header post_content no-sidebar tag-x") == "" and html_text.chrome_name("mainNav") == html_text.chrome_name("widget-area x ad") == "other"
+
+
+def test_comments_are_no_wrapper():
+    text = PROSE.strip()
+    page = f'<div><h1>Head</h1><p>{PROSE * 2}</p></div><div id="comments"><h3>Replies</h3><p>{PROSE * 3}</p><p>{PROSE * 2}</p></div>'
+    assert html_text.main_text(page) == f"Head {text} {text}"
+
+
+def test_no_prior_decides_by_itself():
+    """On the given pages a quarter of all verdicts comes from neighbours, and words alone decide most of the rest."""
+    rules = html_text.Rules()
+    assert all(abs(x) < rules.sure for x in (rules.chrome, rules.form, rules.article, rules.outside))
+    import pyarrow.parquet as pq
+
+    decided = undecided = alone = 0
+    for r in pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist():
+        blocks, outline = html_text.blocks_of(r["html"] or "")
+        for b, s in zip(blocks, html_text.evidence(blocks, rules)):
+            sure = abs(s + (rules.article if b.place == "main" else rules.chrome)) >= rules.sure
+            decided, undecided, alone = decided + sure, undecided + (not sure), alone + (abs(s) >= rules.sure)
+    assert undecided > 0.2 * (decided + undecided) and alone > 0.5 * (decided + undecided)
+
+
 def test_end_tags_may_be_missing():
     text = PROSE.strip()
     assert html_text.main_text(f'<article><p class="share">Share<p>{PROSE}<p>{PROSE}</article>') == f"{text} {text}"
