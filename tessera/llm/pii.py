@@ -15,7 +15,7 @@ import random
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 from importlib import resources
 from itertools import accumulate
 
@@ -88,8 +88,8 @@ def base_spans(text: str) -> dict[str, list[Span]]:
 _RUN = r"[A-Za-z0-9_+/-]{20,}+(?:={1,2}(?![A-Za-z0-9_+/=-]))?"
 PLACE = re.compile(
     r"(?<![A-Za-z0-9_+/.-])/*+eyJ[A-Za-z0-9_-]{8,}+(?:\.[A-Za-z0-9_-]{4,}+){1,4}"
-    r"|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} (?:at|AT) [A-Za-z0-9-]{1,63}(?: (?:dot|DOT) [A-Za-z0-9-]{1,63}){1,5}"
-    r"|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\((?:at|AT)\)|\[(?:at|AT)\]|\{(?:at|AT)\}) ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|\((?:dot|DOT)\)|\[(?:dot|DOT)\]|\{(?:dot|DOT)\}) ?[A-Za-z0-9-]{1,63}){1,5}"
+    r"|(?<![A-Za-z0-9._%+-])(?<! dot )(?<! DOT )[A-Za-z0-9._%+-]++(?: (?:dot|DOT) [A-Za-z0-9._%+-]++)*+ (?:at|AT) [A-Za-z0-9-]++(?: (?:dot|DOT) [A-Za-z0-9-]++)++"
+    r"|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\((?:at|AT)\)|\[(?:at|AT)\]|\{(?:at|AT)\}) ?[A-Za-z0-9-]++(?: ?(?:\.|\((?:dot|DOT)\)|\[(?:dot|DOT)\]|\{(?:dot|DOT)\}) ?[A-Za-z0-9-]++)++"
     rf"|(?<![A-Za-z0-9_+/-])(?=[0-9_+/-]*+[A-Za-z]){_RUN}"
     r"|(?<![A-Za-z0-9])\(?[0-9]{2,}+\)?(?:[ .()/-]{1,2}[0-9]++)+(?![A-Za-z0-9])"
     rf"|(?<![A-Za-z0-9_+/-])(?=[_+/-]*+[0-9]){_RUN}"
@@ -155,11 +155,16 @@ def cue_of(before: str) -> str:
     return _CUE_OF.get(word) or next((_CUE_OF[p] for p in reversed(word.split("_")) if p in _CUE_OF), "")
 
 
-def segment_features(seg: str, before: str, whole: bool, lead: str) -> list[str]:
-    """Features of a whole segment; ``whole`` says that it fills its place, ``lead`` is the cue before the place."""
+def segment_features(seg: str, before: str, whole: bool, lead: str) -> tuple[str, ...]:
+    """Features of a whole segment; ``whole`` says that it fills its place, ``lead`` is the cue before the place. Those of short
+    segments are remembered, as places that go on for long repeat themselves."""
+    return (_features if len(seg) <= 200 else _features.__wrapped__)(seg, cue_of(before), whole, lead)
+
+
+@lru_cache(1 << 16)
+def _features(seg: str, cue: str, whole: bool, lead: str) -> tuple[str, ...]:
     d = digits_in(seg)
     shape = re.sub(r"[0-9]+", "9", re.sub(r"[A-Za-z]+", "a", seg))
-    cue = cue_of(before)
     out = [f"len{min(len(seg) // 6, 8)}", f"dig{min(len(d), 20)}", "whole" if whole else "part", f"cue-{cue}", f"lead-{lead}", f"at{bool(AT.search(seg))}", f"dot{bool(DOT.search(seg))}"]
     if len(shape) <= 12:
         out.append(f"shape-{shape}")
@@ -177,7 +182,7 @@ def segment_features(seg: str, before: str, whole: bool, lead: str) -> list[str]
             out += [f"digitlesscue-{cue}", f"turns{min(4, 10 * len(TURN.findall(seg)) // len(seg))}"]
     if seg[0] in "(" and ")" in seg:
         out.append("paren")
-    return out
+    return tuple(out)
 
 
 def tokens_of(text: str, start: int, end: int) -> list[Span]:
@@ -217,13 +222,22 @@ def lattice(text: str, start: int, end: int) -> tuple[list[Span], list[tuple[int
     return tokens, list(segments(text, start, end, tokens))
 
 
-def _scored(segs, weights: dict[str, float]) -> Iterator[tuple[int, int, int, float]]:
-    """(first, end, kind, score): kind -1 is no entity, one token long."""
+def _scored(segs, weights: dict[str, float], memo: dict | None = None) -> Iterator[tuple[int, int, int, float]]:
+    """(first, end, kind, score): kind -1 is no entity, one token long. ``memo`` keeps the scores of features, under one set of weights."""
     for i, j, feats in segs:
         if j == i + 1:
             yield i, j, -1, 0.0
-        for k, kind in enumerate(KINDS if feats is not None else ()):
-            yield i, j, k, weights.get(f"{kind}|bias", 0.0) + sum(weights.get(f"{kind}|{f}", 0.0) for f in feats)
+        if feats is None:
+            continue
+        scores = None if memo is None else memo.get(feats)
+        if scores is None:
+            scores = [weights.get(f"{kind}|bias", 0.0) + sum(weights.get(f"{kind}|{f}", 0.0) for f in feats) for kind in KINDS]
+            if memo is not None:
+                if len(memo) >= 1 << 16:
+                    memo.clear()
+                memo[feats] = scores
+        for k, score in enumerate(scores):
+            yield i, j, k, score
 
 
 def _scores(segs, weights: dict[str, float]) -> list[tuple[int, int, int, float]]:
@@ -430,13 +444,17 @@ def weights() -> dict[str, float]:
     return json.loads(resources.files(__package__).joinpath("pii_weights.json").read_text())
 
 
+#: Scores of features under :func:`weights`.
+_MEMO: dict[tuple[str, ...], list[float]] = {}
+
+
 def added_spans(text: str, base: dict[str, list[Span]], model: dict[str, float] | None = None) -> list[tuple[str, int, int]]:
     """Entities of the field that meet no base span."""
-    model = weights() if model is None else model
+    model, memo = (weights(), _MEMO) if model is None else (model, {})
     out = []
     for start, end in places_of(text, base):
         tokens = tokens_of(text, start, end)
-        out += [(KINDS[k], tokens[i][0], tokens[j - 1][1]) for i, j, k in _best(len(tokens), _scored(segments(text, start, end, tokens), model))]
+        out += [(KINDS[k], tokens[i][0], tokens[j - 1][1]) for i, j, k in _best(len(tokens), _scored(segments(text, start, end, tokens), model, memo))]
     return out
 
 

@@ -358,6 +358,20 @@ def test_long_texts_take_linear_time():
     assert time.time() - t < 60
 
 
+def test_long_places_repeat_themselves_cheaply():
+    import time
+
+    for t in ("ab-1" * 25_000, "12-" * 33_000, "+1" * 50_000, "a dot " * 20_000, "a at b dot " * 9_000, "x" * 100_000 + "(at)y"):
+        began = time.time()
+        pii.find(t)
+        assert time.time() - began < 15, t[:9]
+
+
+def test_spelled_out_mail_of_any_length():
+    for t, span in (("mail jane dot doe at example dot com now", (5, 36)), ("joe at a dot b dot c dot d dot e dot f dot g dot com", (0, 52)), ("x(at)y.z.w.v.u.t.s.com", (0, 22)), ("a" * 80 + " at example dot org", (0, 99))):
+        assert pii.find(t)[1] == [("email", *span)], t
+
+
 def test_field_is_accurate_on_held_out():
     tp = fp = fn = 0
     for text, gold in pii.examples(300, seed=77):
