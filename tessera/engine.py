@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Sequence
+from dataclasses import replace
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,7 +15,8 @@ from pyspark.sql import types as T
 from . import identity as ids
 from .constants import CHUNK, CONTEXT_CANDIDATES, CONTEXT_CHARS, KINDS, OPEN_NAMESPACES, RERANK_TOP, RESERVED_SCOPES, VECTOR_CANDIDATES
 from .functions import models
-from .operators import dense, index, lexical, policy, retrieval, snapshots, store
+from .functions.text import estimated_tokens
+from .operators import dense, lexical, policy, retrieval, segments, snapshots, store
 from .session import prepare
 from .staging import staged
 
@@ -23,8 +25,15 @@ STORED = T.StructType([*CHUNK.fields, T.StructField("tokens", T.ArrayType(T.Stri
 IDENTITY = "_identity.json"
 
 
+def _words(rows: DataFrame) -> DataFrame:
+    """What the index has of stored rows."""
+    parent = F.coalesce(*(F.nullif(F.col(c), F.lit("")) for c in ("parent_id", "shortcode", "source")), F.lit(""))
+    return rows.select("id", "project", "kind", parent.alias("parent_id"), F.size("tokens").cast("long").alias("token_count"), "tokens")
+
+
 class SearchEngine:
-    """Chunks below ``root`` as published snapshots. Of two writers at once one gets a ``Conflict``; readers never wait.
+    """Chunks below ``root`` and the index of their words, in segments: a write adds what it brings and no more. Of two writers
+    at once one gets a ``Conflict``; readers never wait.
 
     The first write states whose vectors the store holds (``identity``); an engine with another model can neither write nor
     search by vectors.
@@ -34,6 +43,7 @@ class SearchEngine:
         self.spark, self.root, self.project = prepare(spark), root, current_project
         self.embedder, self.options = embedder, options
         self.folder = snapshots.Folder(spark, root)
+        self.store = segments.Store(spark, root, STORED, words=_words)
 
     # ---- the store
 
@@ -48,48 +58,59 @@ class SearchEngine:
             ids.agree(ids.parse(json.loads(self.folder.read(IDENTITY))), self.identity)
 
     def chunks(self) -> DataFrame:
-        found = snapshots.current_snapshot(self.spark, self.root)
-        return found if found is not None else self.spark.createDataFrame([], STORED)
-
-    def _publish(self, rows: DataFrame, based_on: int) -> None:
-        snapshots.commit_snapshot(self.spark, rows.select(*STORED.names), self.root, f"snapshot-{uuid.uuid4().hex}", based_on)
+        return self.store.rows()
 
     def _completed(self, rows: DataFrame) -> DataFrame:
-        """``rows`` with all columns of the store; words and vectors are made for these rows alone."""
+        """``rows`` with all columns of the store; words and vectors are made for these rows alone. A row without id is an error."""
         missing = {f.name: F.lit(None).cast(f.dataType) for f in CHUNK.fields if f.name not in rows.columns}
         whole = rows.withColumns(missing).select(*(F.col(f.name).cast(f.dataType) for f in CHUNK.fields))
-        whole = staged(store.last_of_each(whole, "id"), "new")
+        named = F.when(F.col("id").isNull(), F.raise_error("a chunk without id")).otherwise(F.col("id"))
+        whole = staged(store.last_of_each(whole.withColumn("id", named), "id"), "new")
         words = lexical.kw_docs(whole).select("id", "tokens")
         vectors = models.embed(whole, self.embedder, **self.options).select("id", F.col("embedding").alias("vector"))
         return whole.join(words, "id").join(vectors, "id").select(*STORED.names)
 
-    def upsert(self, rows: DataFrame) -> None:
+    def _write(self, rows: DataFrame | None, bury: DataFrame | None = None, based_on: int | None = None) -> segments.Segment:
+        """One segment more; where there are too many by now, the last ones become one, and lists but the last few go."""
+        made = self.store.write(rows, bury, based_on=based_on)
+        if self.store.compact() is not None:
+            self.store.retain()
+        return made
+
+    def upsert(self, rows: DataFrame) -> segments.Segment:
         """Rows of the chunk schema (missing columns are null) in place of those of equal id."""
-        based_on = snapshots.version(self.spark, self.root)
         self.check_identity()
         if not self.folder.exists(IDENTITY):
             self.folder.put(IDENTITY, json.dumps(self.identity.as_dict(), sort_keys=True))
-        self._publish(store.upsert(self.chunks(), self._completed(rows)), based_on)
+        return self._write(self._completed(rows))
 
     def replace_sources(self, rows: DataFrame, sources: Sequence[str]) -> None:
         """``rows`` are all that ``sources`` hold now: what they held before and lack now goes, even where nothing is left."""
-        based_on = snapshots.version(self.spark, self.root)
         self.check_identity()
-        read = self.spark.createDataFrame([(x,) for x in sources], "source string")
-        self._publish(store.replace_source(self.chunks(), self._completed(rows), sources=read), based_on)
-
-    def rollback(self) -> str:
-        """Publish the snapshot before the current one again."""
-        return snapshots.rollback(self.spark, self.root)
+        based_on = self.store.version
+        made = staged(self._completed(rows), "replaced")
+        read = self.spark.createDataFrame([(x,) for x in sources], "source string").unionByName(made.select("source")).distinct()
+        self._write(made, self.chunks().select("id", "source").join(read, "source", "left_semi").select("id"), based_on)
+
+    def rollback(self) -> int:
+        """Publish what was current before the last write again; its version."""
+        return self.store.rollback()
+
+    def save_memories(self, notes: DataFrame) -> segments.Segment:
+        """Store notes (content, title, kind, tags, author, private; id if they have one) as one segment: an unknown kind is a note, a
+        private note stays in the current project."""
+        new = F.concat(F.lit("mem_"), F.left(F.replace(F.uuid(), F.lit("-"), F.lit("")), F.lit(12)))
+        return self.upsert(notes.select(
+            (F.col("id") if "id" in notes.columns else new).alias("id"), F.col("content").alias("document"), "title", F.when(F.col("kind").isin(*KINDS), F.col("kind")).otherwise("note").alias("kind"), "tags", "author",
+            F.lit("save_memory").alias("source"), F.when(F.col("private"), self.project).otherwise("shared").alias("project"), F.lit(datetime.now(timezone.utc).strftime("%Y-%m-%d")).alias("date"),
+            estimated_tokens(F.coalesce("content", F.lit(""))).alias("est_tokens"),
+        ))
 
     def save_memory(self, content: str, title: str, kind: str = "note", tags: str = "", author: str = "", private: bool = False) -> str:
-        """Store one note and return its id; an unknown kind is a note, a private one stays in the current project."""
-        row = {
-            "id": f"mem_{uuid.uuid4().hex[:12]}", "document": content, "title": title, "kind": kind if kind in KINDS else "note", "tags": tags, "author": author,
-            "source": "save_memory", "project": self.project if private else "shared", "date": datetime.now(timezone.utc).strftime("%Y-%m-%d"), "est_tokens": max(1, len(content) // 4),
-        }
-        self.upsert(self.spark.createDataFrame([tuple(row.get(n) for n in CHUNK.names)], CHUNK))
-        return row["id"]
+        """Store one note and return its id, as :func:`save_memories` does with many."""
+        row = (f"mem_{uuid.uuid4().hex[:12]}", content, title, kind, tags, author, private)
+        self.save_memories(self.spark.createDataFrame([row], "id string, content string, title string, kind string, tags string, author string, private boolean"))
+        return row[0]
 
     def list_memories(self, limit: int = 20) -> DataFrame:
         return store.newest(self.chunks().where(F.col("source") == "save_memory"), limit)
@@ -105,15 +126,11 @@ class SearchEngine:
         return self._delete(F.col("shortcode").eqNullSafe(code))
 
     def _delete(self, condition) -> int:
-        based_on = snapshots.version(self.spark, self.root)
-        rows = self.chunks()
-        n = rows.where(condition).count()
-        if n:
-            self._publish(store.delete(rows, condition=condition), based_on)
-        return n
+        based_on = self.store.version
+        return self._write(None, self.chunks().where(condition).select("id"), based_on).dead
 
     def health(self) -> DataFrame:
-        return store.health(self.spark, self.root, tuple(STORED.names))
+        return store.health(self.spark, self.root, tuple(STORED.names), lambda: self.chunks() if self.store.version else None)
 
     # ---- search
 
@@ -136,8 +153,8 @@ class SearchEngine:
         keyed = self._allowed(kind, project, projects)
         variants = [(q * 2 + v, q, v, t) for q, question in enumerate(questions) for v, t in enumerate(policy.query_variants(question))]
         asked = self.spark.createDataFrame([(i, t) for i, _, _, t in variants], "qid long, text string")
-        stored = self.chunks().select("id", "project", "kind", F.coalesce(F.nullif("parent_id", F.lit("")), F.nullif("shortcode", F.lit("")), F.nullif("source", F.lit("")), F.lit("")).alias("parent_id"), "tokens")
-        words_of = index.of_docs(stored.withColumn("token_count", F.size("tokens").cast("long")))
+        found = self.store.index(lexical.query_terms(asked).select("term").distinct())
+        words_of = replace(found, postings=staged(found.postings, "postings"), terms=staged(found.terms, "terms"), stats=staged(found.stats, "stats"))
         words = lexical.keyword_topk(asked, words_of, allowed=keyed.select("id")).join(keyed.select("id", "source_key"), "id").select("qid", "id", "source_key", "score")
         words = staged(words, "words")
 
@@ -148,8 +165,7 @@ class SearchEngine:
 
         near, degraded, _ = retrieval.vector_leg(by_vectors, words)
         legs = near.select("qid", "id", "source_key", F.lit(0).alias("leg"), (-F.col("similarity")).alias("pos")).unionByName(words.select("qid", "id", "source_key", F.lit(1).alias("leg"), F.col("score").alias("pos")))
-        looked = retrieval.evidence_words(keyed, words_of)
-        gate = retrieval.evidence_gate(asked, looked.join(legs.select("qid", "id").distinct(), "id"), words_of).select("qid", "id", "passes")
+        gate = retrieval.gate_hits(asked, legs, keyed, words_of).select("qid", "id", "passes")
         chosen = staged(retrieval.representatives(legs.join(gate, ["qid", "id"])).join(retrieval.rrf(near, words), ["qid", "source_key"]), "chosen")
         chosen, rerank, reason = self._reranked(chosen, asked, keyed, reranker, rerank_budget)
         place = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("passes").desc(), "final_rank"))

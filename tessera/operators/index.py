@@ -1,7 +1,6 @@
 """A stored inverted index: documents, postings, terms and statistics, written once and joined by the terms that are asked.
 
-Postings are sorted by term within files that are dealt out by term, so a scan for some terms reads few row groups. A very
-common term is one of many rows like any other: its postings are never one record, and joins with written tables are split.
+Postings are dealt out by term and document and sorted by term; a batch of questions joins them all with its terms. A very common term is one of many rows like any other: its postings are never one record, and joins with written tables are split.
 """
 
 from __future__ import annotations

@@ -38,8 +38,8 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def bm25(queries: DataFrame, docs, allowed: DataFrame | None = None) -> DataFrame:
     """(qid, id, score): any query term may match, smaller is better; ``allowed`` (id) restricts rows, never statistics.
 
-    ``docs`` is a stored index, or :func:`kw_docs`, of which one is worked out. Only the postings of terms that some query
-    asks for are read. The sum is rounded, so that its order doesn't matter.
+    ``docs`` is a stored index, or :func:`kw_docs`, of which one is worked out. All postings are scanned, and those of terms that
+    some query asks for are joined. The sum is rounded, so that its order doesn't matter.
     """
     from .index import Index, of_docs
 

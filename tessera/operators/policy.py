@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -173,7 +175,7 @@ def query_variants(question: str) -> list[str]:
     """At most two rewritings of a question: without framing and filler, and that with topic words in English.
 
     Quoted strings and numbers always survive; of a long question the first and last words do. Nothing left, or too much,
-    gives none. Questions are few, so this runs on the driver.
+    gives none.
     """
     found = SAID.finditer(re.sub(f"[{APOSTROPHES}]", "'", str(question)))
     words = [m[0] for m in found if m.lastgroup == "quoted" or (m.lastgroup != "framing" and m[0].casefold() not in FILLER)]
@@ -182,3 +184,16 @@ def query_variants(question: str) -> list[str]:
         words = [w for k, w in enumerate(words) if k < half or k >= n - half or _anchored(w)]
     plain = " ".join(words)
     return list(dict.fromkeys([plain, " ".join(_in_english(words))])) if 0 < len(plain) <= MOST_CHARS else []
+
+
+def rewritten(queries: DataFrame) -> DataFrame:
+    """(qid, variant, text): the rewritings (:func:`query_variants`) of every question (qid, text); a null one has none."""
+    kind = dict(queries.dtypes)["qid"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(k, i, v) for k, t in enumerate(b.column(1).to_pylist()) for i, v in enumerate(query_variants(t or ""))]
+            at, n, text = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(n, pa.int32()), pa.array(text, pa.string())], names=["qid", "variant", "text"])
+
+    return queries.select("qid", "text").mapInArrow(run, f"qid {kind}, variant int, text string")

@@ -117,6 +117,40 @@ def evidence_gate(queries: DataFrame, pairs: DataFrame, docs) -> DataFrame:
     return looked.join(covered, ["qid", "id"]).select("qid", "id", "coverage", "matched", rule.alias("passes"))
 
 
+def gate_hits(queries: DataFrame, hits: DataFrame, chunks: DataFrame, index) -> DataFrame:
+    """:func:`evidence_gate` of hits (qid, id) on a stored index and its chunks (id, document, title, date).
+
+    A document's words come from the postings of words that some question asks for by stem, once for each document however
+    many questions hit it. Texts are read only for questions that have constraints, so none is copied for a pair.
+    """
+    pairs = staged(hits.select("qid", "id").distinct(), "pairs")
+    ids = pairs.select("id").distinct()
+    weights = staged(term_weights(queries, index), "weights")
+    asked = weights.join(stems(weights), "term").select("qid", "stem", "weight")
+    dated = chunks.select("id", F.explode(tx.tokenize(F.when(F.col("date").rlike(ISO_DATE), F.col("date")))).alias("term")).join(ids, "id", "left_semi").distinct()
+    extra = staged(dated, "dates")
+    raw = queries.select("qid", tx.tokenize(F.col("text")).alias("raw"), tx.strict_constraints(F.col("text")).alias("constraints"))
+    raw = raw.withColumn("n_meaningful", F.size(F.array_distinct(F.filter("raw", lambda t: ~t.isin(*tx.stop_list())))))
+    # words by stem
+    known = index.terms.select("term", "stem").unionByName(stems(extra))
+    wanted = staged(known.join(asked.select("stem").distinct(), "stem", "left_semi").distinct(), "wanted")
+    sent = F.broadcast(wanted) if wanted.count() <= SENT_TERMS else wanted
+    said = index.postings.select("id", "term").join(sent, "term").join(ids, "id", "left_semi").select("id", "stem").unionByName(extra.join(wanted, "term").select("id", "stem"))
+    have = staged(said.distinct(), "stems")
+    hit = pairs.join(have, "id").join(asked, ["qid", "stem"]).groupBy("qid", "id").agg(F.sum("weight").alias("w"), F.count("*").alias("matched"))
+    total = weights.groupBy("qid").agg(F.sum("weight").alias("total"))
+    # one word must stand as it is; years and quoted strings must stand in the text
+    one = raw.where(F.size("raw") == 1).select("qid", F.col("raw")[0].alias("term"))
+    alone = pairs.join(one, "qid").join(index.postings.select("id", "term").unionByName(extra).distinct(), ["id", "term"], "left_semi").select("qid", "id", F.lit(True).alias("stands"))
+    strict = pairs.join(raw.where((F.size("raw") != 1) & (F.size("constraints") > 0)).select("qid", "constraints"), "qid")
+    text = chunks.select("id", F.lower(evidence_text(F.col("document"), F.col("title"), F.col("date"))).alias("low"))
+    broken = strict.join(text, "id").where(~F.forall("constraints", lambda c: F.contains(F.col("low"), c))).select("qid", "id", F.lit(True).alias("broken"))
+    rows = pairs.join(raw.select("qid", F.size("raw").alias("n_raw"), "n_meaningful"), "qid").join(total, "qid", "left").join(hit, ["qid", "id"], "left").join(alone, ["qid", "id"], "left").join(broken, ["qid", "id"], "left")
+    rows = rows.withColumns({"coverage": F.coalesce(F.round(F.col("w") / F.col("total"), 6), F.lit(0.0)), "matched": F.coalesce("matched", F.lit(0))})
+    enough = F.col("broken").isNull() & (F.col("coverage") >= MIN_COVERAGE) & (F.col("matched") >= F.when(F.col("n_meaningful") == 1, 1).otherwise(2))
+    return rows.select("qid", "id", "coverage", "matched", F.when(F.col("n_raw") == 1, F.col("stands").isNotNull()).otherwise(enough).alias("passes"))
+
+
 def representatives(candidates: DataFrame) -> DataFrame:
     """(qid, source_key, id, passes, n_siblings) of each source among (qid, source_key, id, leg, pos, passes): its best
     hit if that is evidence, else its first hit that is, vector hits first; else its best hit all the same."""

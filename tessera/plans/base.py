@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 from .. import staging
 from ..constants import BM25_B, BM25_K1
 from ..functions import text as tx
-from ..operators import index, lexical
+from ..operators import impacts, index, ivf, lexical, ngrams
 from ..session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-#: (application, directory) -> where its index is.
-_INDEXES: dict[tuple[str, str], str] = {}
+#: (application, directory, kind) -> where its index is.
+_INDEXES: dict[tuple[str, ...], str] = {}
+#: How the vector index is searched, and neighbours are sought.
+IVF_SEARCH = {"probes": 32, "refine": 200}
+DESCENT = {"k": 6, "width": 24}
 
 
 class Data:
@@ -53,11 +56,30 @@ class Data:
     @property
     def index(self) -> index.Index:
         """The stored index of the chunks. It is written at the first use in a session and then read, as an index is."""
-        key = (self.spark.sparkContext.applicationId, self.dir)
+        return index.read(self.spark, self._stored("index", lambda path: index.build(self.chunks, path)))
+
+    @property
+    def impacts(self) -> impacts.Impacts:
+        """The index's postings by impact, stored likewise."""
+        return impacts.read(self.spark, self._stored("impacts", lambda path: impacts.build(self.index, path)))
+
+    @property
+    def vector_index(self) -> ivf.VectorIndex:
+        return ivf.read(self.spark, self._stored("vectors", lambda path: ivf.build(self.vectors, path)))
+
+    @property
+    def grams(self) -> ngrams.Grams:
+        """Titles (t:ID) and documents (d:ID) by their trigrams, stored likewise."""
+        named = lambda mark, c: self.chunks.select(F.concat(F.lit(mark), "id").alias("id"), F.col(c).alias("text"))
+        return ngrams.read(self.spark, self._stored("grams", lambda path: ngrams.build(named("t:", "title").unionByName(named("d:", "document")), path)))
+
+    def _stored(self, kind: str, build: Callable[[str], object]) -> str:
+        key = (self.spark.sparkContext.applicationId, self.dir, kind)
         if key not in _INDEXES:
-            _INDEXES[key] = staging.scratch(self.spark, "index")
-            index.build(self.chunks, _INDEXES[key])
-        return index.read(self.spark, _INDEXES[key])
+            path = staging.scratch(self.spark, kind)
+            build(path)
+            _INDEXES[key] = path
+        return _INDEXES[key]
 
     @property
     def vectors(self) -> DataFrame:
@@ -86,6 +108,31 @@ class Data:
         return self.table("labels").select("doc_id", (F.col("quality") != 0).alias("status"))
 
 
+def wordpiece_vocabulary() -> list[str]:
+    """A WordPiece vocabulary that follows by rule from a public one: each of its strings, without the mark of a word's end, as the
+    first and as a continued piece."""
+    import json
+
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        strings = json.load(f)["model"]["vocab"]
+    # the strings stand for bytes: each printable one by itself, the others by signs from 256 on
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+    out = {"[UNK]"}
+    for s in strings:
+        raw = bytes(byte[c] for c in s.removesuffix("</w>"))
+        try:
+            word = raw.decode()
+        except UnicodeDecodeError:
+            continue
+        if word and not word.isspace():
+            out |= {word, f"##{word}"}
+    return sorted(out)
+
+
 def query(name: str, sql: str | None = None):
     """Register a query; it gets the bound tables and returns a DataFrame."""
 

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import policy, store
-from ..sources import exports, parse
+from ..functions import wordpiece
+from ..operators import ngrams, policy, store
+from ..sources import chunking, exports, parse
 from ..staging import scratch
-from .base import SQL_STEM_STEP, Data, query, sql, sql_meaningful, sql_normalize, sql_strip, sql_tokens  # noqa: F401
+from .base import SQL_STEM_STEP, Data, query, sql, sql_meaningful, sql_normalize, sql_strip, sql_tokens, wordpiece_vocabulary  # noqa: F401
 
 _PATH = "source || CASE doc_id % 5 WHEN 0 THEN '/.venv/' WHEN 1 THEN '/kg_db/' ELSE '/docs/' END || doc_id || CASE doc_id % 4 WHEN 0 THEN '.md' WHEN 1 THEN '.txt' WHEN 2 THEN '.rst' ELSE '.py' END"
 
@@ -110,10 +111,11 @@ def _(d: Data) -> DataFrame:
 _TITLE = "left(trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')), 60)"
 
 
-@query("import_sessions", f"""SELECT 's' || conv_id AS session_id, CASE WHEN conv_id % 3 = 0 THEN 'Custom ' || conv_id WHEN conv_id % 3 = 1 THEN 'Made ' || conv_id ELSE coalesce(arg_min({_TITLE}, turn) FILTER (WHERE role = 'user'), 'chat') END AS title,
- '/work/' || (conv_id % 4) || ', /home' AS cwd, count(*) AS n_messages, count(*) FILTER (WHERE role <> 'user' AND turn % 2 = 0) AS n_tools FROM conversations WHERE trim(coalesce(text, ''), E' \\n\\t\\r') <> '' GROUP BY conv_id""")
-def _(d: Data) -> DataFrame:
-    """The conversations go through session logs, a file each, with titles, folders, tools and a broken line."""
+_LOG_TITLE = f"CASE WHEN conv_id % 3 = 0 THEN 'Custom ' || conv_id WHEN conv_id % 3 = 1 THEN 'Made ' || conv_id ELSE coalesce(arg_min({_TITLE}, turn) FILTER (WHERE role = 'user'), 'chat') END"
+
+
+def _session_logs(d: Data) -> str:
+    """The conversations as session logs, a file each, with titles, folders, tools and a broken line."""
     c, user = F.col("conv_id"), F.col("role") == "user"
     blocks = F.concat(F.array(F.struct(F.lit("text").alias("type"), "text", F.lit(None).cast("string").alias("name"))), F.when(~user & (F.col("turn") % 2 == 0), F.array(F.struct(F.lit("tool_use").alias("type"), F.lit(None).cast("string").alias("text"), F.lit("Bash").alias("name")))).otherwise(F.array()))
     said = F.to_json(F.struct(F.when(user, "user").otherwise("assistant").alias("type"), F.lit("2026-03-04T05:06:07Z").alias("timestamp"), F.concat(F.lit("s"), c).alias("sessionId"), F.when(F.col("turn") > 1, "/home").otherwise(F.concat(F.lit("/work/"), (c % 4).cast("string"))).alias("cwd"), F.struct(blocks.alias("content")).alias("message")))
@@ -126,7 +128,20 @@ def _(d: Data) -> DataFrame:
     path = scratch(d.spark, "sessions")
     lines = turns.unionByName(first).unionByName(made).unionByName(custom)
     lines.repartition("conv_id").sortWithinPartitions("conv_id", "n").select("conv_id", "value").write.partitionBy("conv_id").text(path)
-    return exports.read_sessions(d.spark, f"{path}/*").select("session_id", "title", "cwd", "n_messages", "n_tools")
+    return f"{path}/*"
+
+
+@query("import_sessions", f"""SELECT 's' || conv_id AS session_id, {_LOG_TITLE} AS title,
+ '/work/' || (conv_id % 4) || ', /home' AS cwd, count(*) AS n_messages, count(*) FILTER (WHERE role <> 'user' AND turn % 2 = 0) AS n_tools FROM conversations WHERE trim(coalesce(text, ''), E' \\n\\t\\r') <> '' GROUP BY conv_id""")
+def _(d: Data) -> DataFrame:
+    return exports.read_sessions(d.spark, _session_logs(d)).select("session_id", "title", "cwd", "n_messages", "n_tools")
+
+
+@query("session_pages", f"""SELECT 's' || conv_id AS session_id, regexp_replace('# ' || {_LOG_TITLE} || chr(10) || chr(10) || 'Sana: 2026-03-04  ' || chr(10) || 'Session ID: s' || conv_id || '  ' || chr(10) || 'CWD: /work/' || (conv_id % 4) || ', /home' || chr(10) || chr(10)
+ || string_agg({_SPOKEN} || CASE WHEN role <> 'user' AND turn % 2 = 0 THEN chr(10) || chr(10) || '_[tools: Bash]_' ELSE '' END, chr(10) || chr(10) ORDER BY turn) || chr(10), '\\n{{4,}}', chr(10) || chr(10) || chr(10), 'g') AS markdown FROM conversations WHERE trim(coalesce(text, ''), E' \\n\\t\\r') <> '' GROUP BY conv_id""")
+def _(d: Data) -> DataFrame:
+    """The pages that the logs become."""
+    return exports.read_sessions(d.spark, _session_logs(d)).select("session_id", "markdown")
 
 
 @query("import_projects", sql("""SELECT 'u' || project AS uuid, project AS name, count(*) AS n_docs, '# ' || project || chr(10) || chr(10) || 'UUID: u' || project || '  ' || chr(10) || 'All of ' || project || chr(10) || chr(10) || '## Project instructions' || chr(10) || chr(10) || 'Keep it.' || chr(10) || chr(10)
@@ -304,6 +319,24 @@ def _(d: Data) -> DataFrame:
     return parse.chunk_by_budget(d.table("documents").select(F.col("doc_id").cast("string").alias("parent_id"), "text"))
 
 
+@query("chunk_function")
+def _(d: Data) -> DataFrame:
+    """:func:`chunk_budget` by the table function, from SQL."""
+    chunking.register(d.spark)
+    return d.spark.sql("SELECT CAST(doc_id AS STRING) AS parent_id, c.* FROM {docs}, LATERAL chunk_text(text) c", docs=d.table("documents"))
+
+
+@query("wordpiece_count")
+def _(d: Data) -> DataFrame:
+    return wordpiece.count_tokens(d.table("documents"), wordpiece.WordPiece(wordpiece_vocabulary()))
+
+
+@query("chunk_wordpiece")
+def _(d: Data) -> DataFrame:
+    model = wordpiece.WordPiece(wordpiece_vocabulary())
+    return parse.chunk_by_budget(d.table("documents").select(F.col("doc_id").cast("string").alias("parent_id"), "text"), count=model.count)
+
+
 @query("long_chunks", f"SELECT source, count(*) FILTER (WHERE n > 256) AS n_long, count(*) AS n FROM (SELECT source, len({sql_tokens('text')}) AS n FROM documents) GROUP BY source")
 def _(d: Data) -> DataFrame:
     n = F.size(tx.tokenize(F.col("text")))
@@ -338,6 +371,21 @@ def _(d: Data) -> DataFrame:
     return d.chunks.where(F.lower("title").contains("tion") | F.lower("document").contains("stthing")).select("id")
 
 
+@query("ngram_filter", sql("SELECT id FROM chunks WHERE contains(lower(title), 'tion') OR contains(lower(document), 'stthing')"))
+def _(d: Data) -> DataFrame:
+    """:func:`filter_contains` by the trigram index."""
+    asked = d.spark.createDataFrame([("t:", "tion"), ("d:", "stthing")], "sid string, text string")
+    found = ngrams.containing(asked, d.grams)
+    return found.where(F.col("id").startswith(F.col("sid"))).select(F.substring("id", 3, 1 << 20).alias("id")).distinct()
+
+
+@query("ngram_contains", sql("SELECT item_id AS qid, id FROM benchmark b JOIN chunks c ON contains(lower(c.document), lower(substring(b.text, 5, 14)))"))
+def _(d: Data) -> DataFrame:
+    """A string of each question in all documents, as the constraints of the evidence gate are looked for."""
+    found = ngrams.containing(d.queries.select(F.col("qid").alias("sid"), F.substring("text", 5, 14).alias("text")), d.grams)
+    return found.where(F.col("id").startswith("d:")).select(F.col("sid").alias("qid"), F.substring("id", 3, 1 << 20).alias("id"))
+
+
 @query("where_dsl_and", sql("SELECT id FROM records WHERE shortcode IS NOT DISTINCT FROM 'bad code!' AND source IN ('file0', 'file1', 'save_memory')"))
 def _(d: Data) -> DataFrame:
     return d.records.where(policy.where({"$and": [{"shortcode": "bad code!"}, {"source": {"$in": ["file0", "file1", "save_memory"]}}]})).select("id")

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import models
 from ..functions import text as tx
 from ..functions import vectors as vx
-from ..operators import dense, graph, lexical, policy, retrieval
+from ..operators import dense, descent, graph, impacts, ivf, lexical, policy, retrieval
 from ..staging import staged
-from .base import Data, query, sql, sql_meaningful, sql_tokens
+from .base import DESCENT, IVF_SEARCH, Data, query, sql, sql_meaningful, sql_tokens
 
 
 @query("postings", sql("SELECT id, term, tf FROM posts"))
@@ -64,6 +64,16 @@ def _(d: Data) -> DataFrame:
     return lexical.keyword_topk(d.queries, d.index)
 
 
+@query("keyword_topk_pruned", sql("SELECT qid, id, score, rank FROM kwtop"))
+def _(d: Data) -> DataFrame:
+    return impacts.keyword_topk(d.queries, d.impacts)
+
+
+@query("keyword_topk_pruned_filtered", sql("SELECT qid, id, score, rank FROM (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score, id) AS rank FROM bm25 JOIN chunks USING (id) WHERE kind = 'note') WHERE rank <= 50"))
+def _(d: Data) -> DataFrame:
+    return impacts.keyword_topk(d.queries, d.impacts, allowed=d.chunks.where("kind = 'note'"))
+
+
 @query("vector_topk", sql("SELECT qid, id, similarity, rank FROM vectop"))
 def _(d: Data) -> DataFrame:
     return dense.vector_topk(d.query_vectors, d.vectors)
@@ -89,6 +99,16 @@ def _(d: Data) -> DataFrame:
     return dense.lsh_topk(d.query_vectors, d.vectors)
 
 
+@query("vector_ivf")
+def _(d: Data) -> DataFrame:
+    return ivf.search(d.vector_index, d.query_vectors, **IVF_SEARCH)
+
+
+@query("knn_descent")
+def _(d: Data) -> DataFrame:
+    return descent.descend(d.vector_index, **DESCENT)[0]
+
+
 @query("similarity_graph", sql("SELECT a, b, round(weight, 3) AS weight FROM edges"))
 def _(d: Data) -> DataFrame:
     return graph.knn_graph(d.vectors)
@@ -187,9 +207,9 @@ def _(d: Data) -> DataFrame:
     return d.queries.select("qid", F.array_join(tx.meaningful(tx.tokenize(F.col("text"))), " ").alias("terms"))
 
 
-def _pairs(d: Data, legs: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def _pairs(d: Data) -> DataFrame:
     """All hits of both legs, with what is looked at as evidence."""
-    dn, lx = legs or _legs(d)
+    dn, lx = _legs(d)
     both = dn.select("qid", "id").unionByName(lx.select("qid", "id")).distinct()
     return retrieval.evidence_words(d.chunks, d.index).join(both, "id").select("qid", "id", "evidence", "tokens", "extra")
 
@@ -201,15 +221,19 @@ def _(d: Data) -> DataFrame:
     return retrieval.coverage(retrieval.term_weights(d.queries, d.index), pairs)
 
 
+def _gate(d: Data, legs: tuple[DataFrame, DataFrame]) -> DataFrame:
+    return retrieval.gate_hits(d.queries, legs[0].select("qid", "id").unionByName(legs[1].select("qid", "id")), d.chunks, d.index)
+
+
 @query("evidence_gate", sql("SELECT qid, id, coverage, matched, passes FROM gated"))
 def _(d: Data) -> DataFrame:
-    return retrieval.evidence_gate(d.queries, _pairs(d), d.index)
+    return _gate(d, _legs(d))
 
 
 def hybrid(d: Data) -> DataFrame:
     """(qid, source_key, id, passes, n_siblings, rrf): every fused source of both legs' hits, with its representative."""
     legs = _legs(d)
-    gate = retrieval.evidence_gate(d.queries, _pairs(d, legs), d.index).select("qid", "id", "passes")
+    gate = _gate(d, legs).select("qid", "id", "passes")
     dn = lexical.top(legs[0], [F.col("similarity").desc(), F.col("id")], 50).select("qid", "id", "source_key", F.lit(0).alias("leg"), F.col("rank").alias("pos"))
     lx = lexical.top(legs[1], [F.col("score"), F.col("id")], 50).select("qid", "id", "source_key", F.lit(1).alias("leg"), F.col("rank").alias("pos"))
     found = dn.unionByName(lx).join(gate, ["qid", "id"])
@@ -354,8 +378,15 @@ def _(d: Data) -> DataFrame:
 
 @query("query_variants")
 def _(d: Data) -> DataFrame:
-    """Questions are a bounded batch: they are rewritten on the driver."""
-    rows = [(r.qid, i, v) for r in d.queries.toLocalIterator() for i, v in enumerate(policy.query_variants(r.text))]
-    return d.spark.createDataFrame(rows, "qid long, variant int, text string")
+    return policy.rewritten(d.queries)
 
 
+@query("retrieve_rewritten")
+def _(d: Data) -> DataFrame:
+    """Each question's rewritings are searched by words, and a source counts by its best rank in any of them."""
+    asked = staged(policy.rewritten(d.queries).select((F.col("qid") * 2 + F.col("variant")).alias("qid"), "text"), "variants")
+    hits = lexical.keyword_topk(asked, d.index).join(d.chunks.select("id", F.col("parent_id").alias("source_key")), "id")
+    best = hits.groupBy("qid", "source_key").agg(F.min("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy("score", "source_key"))
+    ranked = best.select(F.floor(F.col("qid") / 2).alias("q"), F.pmod("qid", F.lit(2)).cast("int").alias("variant"), "source_key", rank.alias("rank"))
+    return retrieval.merge_variants(ranked.withColumnRenamed("q", "qid"), 30).select("qid", "source_key", "score", "variant", "rank")

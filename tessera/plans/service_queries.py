@@ -15,14 +15,14 @@ from .base import Data, query, sql
 from .search_queries import _OVERLAP
 
 
-@query("save_memory", """SELECT * FROM (VALUES ('first note', 'A', 'decision', 'shared', 'save_memory', 2), ('second, kept private', 'B', 'note', 'alpha', 'save_memory', 5)) AS t(document, title, kind, project, source, est_tokens)
- CROSS JOIN (SELECT strftime(current_date, '%Y-%m-%d') AS date)""")
+@query("save_memory", """SELECT text AS document, 'T' || doc_id AS title, CASE lang WHEN 'en' THEN 'decision' WHEN 'fr' THEN 'summary' ELSE 'note' END AS kind, CASE WHEN doc_id % 3 = 0 THEN 'alpha' ELSE 'shared' END AS project,
+ 'save_memory' AS source, CAST(greatest(1, length(text) // 4) AS INTEGER) AS est_tokens, strftime(current_date, '%Y-%m-%d') AS date FROM documents""")
 def _(d: Data) -> DataFrame:
-    """One note of a known kind for all, one of an unknown kind for the current project."""
+    """Documents as notes: of known and unknown kinds, for all and for the current project."""
     e = SearchEngine(d.spark, scratch(d.spark, "kb"), "alpha", dimension=8)
-    e.save_memory("first note", "A", kind="decision")
-    e.save_memory("second, kept private", "B", kind="odd", private=True)
-    return e.list_memories(10).select("document", "title", "kind", "project", "source", "est_tokens", "date")
+    kind = F.when(F.col("lang") == "en", "decision").when(F.col("lang") == "fr", "summary").when(F.col("lang") == "de", "odd")
+    e.save_memories(d.table("documents").select(F.col("text").alias("content"), F.concat(F.lit("T"), "doc_id").alias("title"), kind.alias("kind"), F.lit("").alias("tags"), F.lit("").alias("author"), (F.col("doc_id") % 3 == 0).alias("private")))
+    return e.chunks().select("document", "title", "kind", "project", "source", "est_tokens", "date")
 
 
 @query("delete_by_id", sql("SELECT id, project FROM chunks WHERE id NOT IN ('doc_1', 'doc_7')"))

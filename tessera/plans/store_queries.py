@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import audit, snapshots, store
+from ..operators import audit, lexical, snapshots, store, tree
 from ..staging import scratch
-from .base import Data, query
+from .base import Data, query, sql
 
 
 def _manifest(d: Data, old: bool) -> DataFrame:
@@ -66,6 +66,25 @@ def _(d: Data) -> DataFrame:
     return store.sync_plan(_manifest(d, True), _manifest(d, False))
 
 
+@query("tree_sync", f"SELECT coalesce(o.id, n.id) AS id, CASE WHEN n.id IS NULL THEN 'delete' ELSE 'upsert' END AS action FROM ({_OLD}) o FULL JOIN ({_NEW}) n ON o.id = n.id WHERE o.h IS DISTINCT FROM n.h")
+def _(d: Data) -> DataFrame:
+    """The changes of :func:`sync_diff` by hash trees."""
+    return tree.changes(*(tree.build(_manifest(d, old), scratch(d.spark, "tree")) for old in (True, False)))
+
+
+@query("tree_verify", sql("SELECT CASE doc_id % 10 WHEN 2 THEN 'delete' ELSE 'upsert' END AS action, count(*) AS n, min(id) AS first FROM chunks WHERE doc_id % 10 IN (2, 3, 4) GROUP BY 1"))
+def _(d: Data) -> DataFrame:
+    """The stored index against a corpus that lacks some rows and has other words or another kind in some: metadata, numbers of words
+    and postings are all in the tree."""
+    n = F.col("doc_id") % 10
+    corpus = d.chunks.where("doc_id % 10 <> 2").withColumns({"document": F.when(n == 3, F.concat(F.coalesce("document", F.lit("")), F.lit(" zzz"))).otherwise(F.col("document")), "kind": F.when(n == 4, "other").otherwise(F.col("kind"))})
+    docs = lexical.kw_docs(corpus)
+    says = ("meta", "token_count", "words")
+    stored = tree.build(tree.index_state(d.index.docs, d.index.postings), scratch(d.spark, "tree"), says=says)
+    anew = tree.build(tree.index_state(docs, lexical.postings(docs)), scratch(d.spark, "tree"), says=says)
+    return tree.changes(stored, anew).groupBy("action").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+
+
 @query("drift", f'SELECT count(*) FILTER (WHERE o.id IS NULL) AS "new", count(*) FILTER (WHERE o.h <> n.h) AS modified, count(*) FILTER (WHERE n.id IS NULL) AS deleted, count(*) AS total FROM ({_OLD}) o FULL JOIN ({_NEW}) n ON o.id = n.id')
 def _(d: Data) -> DataFrame:
     return store.drift(_manifest(d, True), _manifest(d, False))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import store
 from ..staging import scratch
 from ..streaming import ingest
 from .base import Data, query
@@ -17,9 +16,10 @@ def _(d: Data) -> DataFrame:
     root = scratch(spark, "ingest")
     rows = d.table("events").select(F.col("event_id").alias("id"), "ts", "user_id", "event_type")
     rows.write.parquet(f"{root}/in")
-    q = ingest.ingest(spark, f"{root}/in", "id long, ts timestamp, user_id long, event_type string", f"{root}/store", f"{root}/checkpoint")
+    schema = "id long, ts timestamp, user_id long, event_type string"
+    q = ingest.ingest(spark, f"{root}/in", schema, f"{root}/store", f"{root}/checkpoint")
     q.awaitTermination()
-    return store.current_snapshot(spark, f"{root}/store").select(F.col("id").alias("event_id"), "user_id", "event_type")
+    return ingest.current(spark, f"{root}/store", schema).select(F.col("id").alias("event_id"), "user_id", "event_type")
 
 
 @query("tumbling_counts", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..constants import CHUNK_OVERLAP, CHUNK_TOKENS, PREFIX_TOKENS, SPECIAL_TOKENS
+from ..constants import CHUNK_OVERLAP
 from ..functions import text as tx
+from .chunking import BUDGET, budget_chunks, chunk_by_budget  # noqa: F401
 
 TEXT_FILES = r"\.(md|txt|rst)$"
 SKIPPED = r"(^|/)(\.venv|kg_db)/"
@@ -147,8 +144,6 @@ def post_items(posts: DataFrame) -> DataFrame:
 
 # ---- chunking
 
-BUDGET = CHUNK_TOKENS - PREFIX_TOKENS - SPECIAL_TOKENS
-
 
 def chunk_windows(docs: DataFrame, budget: int = BUDGET, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """doc_id, chunk_index, text, token_count: windows of ``budget`` tokens that overlap by ``overlap``, all in the JVM."""
@@ -158,74 +153,3 @@ def chunk_windows(docs: DataFrame, budget: int = BUDGET, overlap: int = CHUNK_OV
     rows = words.select("doc_id", "w", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("chunk_index"))
     part = F.slice("w", (F.col("chunk_index") * stride + 1).cast("int"), budget)
     return rows.select("doc_id", "chunk_index", F.array_join(part, " ").alias("text"), F.size(part).cast("long").alias("token_count"))
-
-
-_SPLIT = re.compile(r"(\n\n|\n|\. |\s+)")
-_COUNT = re.compile(r"\w+|[^\w\s]")
-
-
-def _sliced(part: str, budget: int, count) -> list[tuple[str, int]]:
-    """A part over the budget as the longest pieces within it."""
-    out, at = [], 0
-    while at < len(part):
-        low, high = 1, len(part) - at
-        while low < high:
-            mid = (low + high + 1) // 2
-            low, high = (mid, high) if count(part[at : at + mid]) <= budget else (low, mid - 1)
-        out.append((part[at : at + low], count(part[at : at + low])))
-        at += low
-    return out
-
-
-def _ending(chunk: str, overlap: int, count) -> str:
-    """The longest run of whole words that ends ``chunk`` and has ``overlap`` tokens at most."""
-    words = re.split(r"(\s+)", chunk)
-    at, left = len(words), overlap
-    while at and (n := count(words[at - 1])) <= left:
-        at, left = at - 1, left - n
-    return "".join(words[at:]).lstrip()
-
-
-def budget_chunks(text: str, budget: int = BUDGET, overlap: int = CHUNK_OVERLAP, count=lambda s: len(_COUNT.findall(s))) -> list[tuple[str, int]]:
-    """(chunk, tokens): parts packed up to a budget, each chunk opening with the words that end the one before.
-
-    A part over the budget is cut by characters; what comes before it is a chunk of its own, and the next part joins its
-    last piece. Opening words may take a chunk over the budget by their number. Counts add up part by part, so a text is
-    read once.
-    """
-    text = text.strip()
-    if not text:
-        return []
-    if (n := count(text)) <= budget:
-        return [(text, n)]
-    out: list[str] = []
-    held, used = "", 0
-    for part in filter(None, _SPLIT.split(text)):
-        n = count(part)
-        if n > budget:
-            *whole, (held_next, used_next) = _sliced(part, budget, count)
-            out += [held, *(p for p, _ in whole)]
-            held, used = held_next, used_next
-        elif used + n > budget and held.strip():
-            out.append(held)
-            opening = _ending(held, overlap, count)
-            held, used = opening + part, count(opening) + n
-        else:
-            held, used = held + part, used + n
-    return [(c, count(c)) for c in (x.strip() for x in (*out, held)) if c]
-
-
-def chunk_by_budget(docs: DataFrame, budget: int = BUDGET, overlap: int = CHUNK_OVERLAP) -> DataFrame:
-    """parent_id, chunk_index, chunk_total, text, token_count; packing depends on what came before, so this runs in Python batches."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for parent, text in zip(*(c.to_pylist() for c in batch.columns)):
-                chunks = budget_chunks(text or "", budget, overlap)
-                rows += [(parent, i, len(chunks), t, n) for i, (t, n) in enumerate(chunks)]
-            cols = list(zip(*rows)) if rows else [()] * 5
-            types = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["parent_id", "chunk_index", "chunk_total", "text", "token_count"])
-
-    return docs.select("parent_id", "text").mapInArrow(run, "parent_id string, chunk_index int, chunk_total int, text string, token_count long")

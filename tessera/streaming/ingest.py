@@ -1,4 +1,4 @@
-"""Incremental ingest: new files are merged into the published snapshot, batch by batch."""
+"""Incremental ingest: new files become segments of a published store, batch by batch."""
 
 from __future__ import annotations
 
@@ -6,29 +6,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import snapshots, store
+from ..operators import segments, store
 
 
 def merge_batch(root: str, key: str = "id", keep: int = 3):
-    """A ``foreachBatch`` function: the last row of each key (by ``ts`` if there is one) wins, a batch that comes again
-    changes nothing, and snapshots that none of the last ``keep`` versions names are removed."""
+    """A ``foreachBatch`` function: each batch is one segment more (:mod:`segments`), so a batch writes its own rows and no others,
+    and now and then the last segments are merged. The last row of each key (by ``ts`` if there is one) wins, a batch that comes
+    again changes nothing, and segments that none of the last ``keep`` lists names are removed."""
 
     def run(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
+        held = segments.Store(batch.sparkSession, root, batch.schema, key)
         name = f"batch-{epoch:09d}"
-        if snapshots.current_name(spark, root) == name:
+        if held.tag() == name:
             return
-        snapshots.Folder(spark, root).remove(name)  # of a try that broke off
-        at = snapshots.version(spark, root)
-        order = "ts" if "ts" in batch.columns else None
-        current = snapshots.current_snapshot(spark, root)
-        merged = store.last_of_each(batch, key, order) if current is None else store.upsert(current, batch, key, order)
-        snapshots.commit_snapshot(spark, merged, root, name, at)
-        snapshots.retain(spark, root, keep)
+        held.write(store.last_of_each(batch, key, "ts" if "ts" in batch.columns else None), tag=name)
+        held.compact()
+        held.retain(keep)
 
     return run
 
 
+def current(spark: SparkSession, root: str, schema, key: str = "id") -> DataFrame:
+    """What has been ingested below ``root``: rows of ``schema`` (as of :func:`ingest`)."""
+    made = spark.createDataFrame([], schema).schema
+    return segments.Store(spark, root, made, key).rows()
+
+
 def ingest(spark: SparkSession, source: str, schema: str, root: str, checkpoint: str, key: str = "id", per_batch: int = 1000) -> StreamingQuery:
     """Start ingesting Parquet files that appear in ``source``; it ends when what is there now has been merged."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(source)

@@ -253,4 +253,4 @@ def test_stream_merges_and_repeats_nothing(spark, tmp_path):
     for rows in ([(1, "a"), (2, "b")], [(2, "c"), (3, "d")]):
         spark.createDataFrame(rows, "id long, x string").selectExpr("id", "current_timestamp() ts", "x").write.mode("append").parquet(src)
         ingest.ingest(spark, src, schema, root, str(tmp_path / "cp")).awaitTermination()
-    assert {(r.id, r.x) for r in store.current_snapshot(spark, root).collect()} == {(1, "a"), (2, "c"), (3, "d")}
+    assert {(r.id, r.x) for r in ingest.current(spark, root, schema).collect()} == {(1, "a"), (2, "c"), (3, "d")}
