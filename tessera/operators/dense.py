@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import MIN_SIMILARITY, VECTOR_CANDIDATES
+from ..functions import vectors as vx
 from .lexical import top
 
 #: Query vectors that one block sends to every task, and rows that are compared with them at once.
@@ -45,16 +46,22 @@ def _blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = VECTOR_CANDIDATES, floor: float | None = MIN_SIMILARITY, skip_self: bool = False, qid_type: str = "long", id_type: str = "long", space: str = "cosine") -> DataFrame:
     """(qid, id, similarity, rank): the ``k`` rows of highest similarity for each query (qid, vector) among ``vectors`` (id, vector).
 
-    In the spaces ``cosine`` and ``l2`` that is the cosine (which for unit vectors is what an l2 distance says), in ``ip`` the
-    inner product of the vectors as they are; a zero vector is similar to nothing. Each task keeps the best ``k`` of its own rows, so no more than queries x k x tasks rows are shuffled.
+    In the space ``cosine`` that is the cosine, in ``ip`` the inner product of the vectors as they are; in ``l2`` the rows are the ``k`` of
+    least distance, whatever the vectors' lengths, and of those the cosine is given, which orders them. A zero vector is similar to nothing. Each task keeps the best ``k`` of its own rows, so no more than queries x k x tasks rows are shuffled.
     """
     if space not in ("cosine", "l2", "ip"):
         raise ValueError(f"unknown space {space!r}")
-    return _topk(queries, vectors, k, floor, skip_self, qid_type, id_type, unit=space != "ip")
+    if space != "l2":
+        return _topk(queries, vectors, k, floor, skip_self, qid_type, id_type, unit=space != "ip")
+    near = _topk(queries, vectors, k, None, skip_self, qid_type, id_type, unit=False, by_distance=True).select("qid", "id")
+    pairs = near.join(queries.select("qid", F.col("vector").alias("q")), "qid").join(vectors.select("id", "vector"), "id")
+    scored = pairs.select("qid", "id", F.round(vx.cosine(F.col("q"), F.col("vector")), 6).alias("similarity"))
+    return top(scored if floor is None else scored.where(F.col("similarity") >= floor), [F.col("similarity").desc(), F.col("id")], k)
 
 
-def _topk(queries: DataFrame, vectors: DataFrame, k: int, floor: float | None, skip_self: bool, qid_type: str, id_type: str, meets=None, unit: bool = True) -> DataFrame:
-    """:func:`vector_topk` of the pairs for which ``meets(question vectors)(vectors)`` is true; the others aren't compared."""
+def _topk(queries: DataFrame, vectors: DataFrame, k: int, floor: float | None, skip_self: bool, qid_type: str, id_type: str, meets=None, unit: bool = True, by_distance: bool = False) -> DataFrame:
+    """:func:`vector_topk` of the pairs for which ``meets(question vectors)(vectors)`` is true; the others aren't compared. ``by_distance``:
+    the squared distance, negative, in place of the similarity."""
     parts = []
     for qids, q in _blocks(queries):
         if unit:
@@ -69,7 +76,9 @@ def _topk(queries: DataFrame, vectors: DataFrame, k: int, floor: float | None, s
                 x = np.array(batch.column(1).to_pylist(), np.float64).reshape(len(ids), -1)
                 if unit:
                     x = x / np.where((m := np.linalg.norm(x, axis=1, keepdims=True)) == 0, 1, m)
-                if met_by is None:
+                if by_distance:
+                    s = -np.round((q**2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2 * (q @ x.T), 6)
+                elif met_by is None:
                     s = np.round(q @ x.T, 6)
                 else:
                     s = np.full((len(qids), len(ids)), -np.inf)
