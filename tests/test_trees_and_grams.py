@@ -68,3 +68,33 @@ def test_substrings_equal_a_scan(spark, texts):
     assert n < 0.2 * len(texts) * few.count() and n >= hits
     empty = ngrams.build(spark.createDataFrame([], "id string, text string"), scratch(spark, "grams"))
     assert ngrams.containing(asked, empty).count() == 0
+
+
+def test_rewritten_questions_are_merged_by_best_rank(spark):
+    import os
+
+    from tessera.operators import policy
+    from tessera.plans import base, catalog  # noqa: F401
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no tables")
+    d = base.Data(spark, sf)
+    asked = {r.qid: policy.query_variants(r.text) for r in d.queries.collect()}
+    rows = [(q * 2 + v, t) for q, ts in asked.items() for v, t in enumerate(ts)]
+    parent = {r.id: r.parent_id for r in d.chunks.select("id", "parent_id").collect()}
+    ranks = {}
+    for r in lexical.keyword_topk(spark.createDataFrame(rows, "qid long, text string"), d.index).collect():
+        at = ranks.setdefault(r.qid, {})
+        at[parent[r.id]] = min(at.get(parent[r.id], 0.0), r.score)
+    best = {}
+    for q, found in ranks.items():
+        for n, (source, _) in enumerate(sorted(found.items(), key=lambda x: (x[1], x[0])), 1):
+            key = (q // 2, source)
+            best[key] = min(best.get(key, (n, q % 2)), (n, q % 2))
+    want = set()
+    for q in {k[0] for k in best}:
+        mine = sorted((n, v, s) for (p, s), (n, v) in best.items() if p == q)[:30]
+        want |= {(q, s, round(1 / (60 + n), 6), v, k) for k, (n, v, s) in enumerate(mine, 1)}
+    got = {tuple(r) for r in base.QUERIES["retrieve_rewritten"](spark, sf).select("qid", "source_key", "score", "variant", "rank").collect()}
+    assert got == want and got
