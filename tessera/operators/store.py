@@ -175,5 +175,6 @@ def health(spark, root: str, needed: tuple[str, ...] = ("id", "document"), open_
 
 
 def stale(processes: DataFrame, now: Column, seconds: int = 3600) -> DataFrame:
-    """Rows of ``processes`` (started: timestamp) that are older than ``seconds`` at ``now``."""
-    return processes.where(F.unix_timestamp(now) - F.unix_timestamp("started") > seconds)
+    """Rows of ``processes`` (started: timestamp) that are older than ``seconds`` at ``now``, parts of a second included."""
+    at = lambda c: c.cast("timestamp").cast("double")
+    return processes.where(at(now) - at(F.col("started")) > seconds)

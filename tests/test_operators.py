@@ -254,3 +254,11 @@ def test_stream_merges_and_repeats_nothing(spark, tmp_path):
         spark.createDataFrame(rows, "id long, x string").selectExpr("id", "current_timestamp() ts", "x").write.mode("append").parquet(src)
         ingest.ingest(spark, src, schema, root, str(tmp_path / "cp")).awaitTermination()
     assert {(r.id, r.x) for r in ingest.current(spark, root, schema).collect()} == {(1, "a"), (2, "c"), (3, "d")}
+
+
+def test_stale_counts_parts_of_a_second(spark):
+    rows = [(1, "2026-01-01 10:00:00.10"), (2, "2026-01-01 10:00:00.90"), (3, "2026-01-01 09:59:59.95"), (4, "2026-01-01 10:00:00.50"), (5, None)]
+    for kind in ("timestamp", "timestamp_ntz"):
+        started = spark.createDataFrame(rows, "id long, s string").select("id", F.col("s").cast(kind).alias("started"))
+        old = store.stale(started, F.lit("2026-01-01 11:00:00.50").cast(kind))
+        assert {r.id for r in old.collect()} == {1, 3}
