@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import exports
-from ..staging import scratch
+from ..staging import scratch, staged
 from ..streaming import ingest, sessions
 from .base import ORACLES, Data, query
 from .corpus_queries import _session_logs
@@ -37,16 +37,14 @@ def _(d: Data) -> DataFrame:
 
 @query("session_stream", ORACLES["session_pages"])
 def _(d: Data) -> DataFrame:
-    """The session logs' lines as a stream of several batches, some of them twice; a last line far in the future closes all sessions."""
+    """The session logs' lines as a stream, half of them first, then the others and some twice; a last line far in the future closes all sessions."""
     spark, root = d.spark, scratch(d.spark, "session-stream")
     at = F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod(F.xxhash64("path", "place"), F.lit(300)))
-    lines = exports.read_session_lines(spark, _session_logs(d)).select("path", "place.block", "place.n", at.alias("at"), *sessions._FIELDS)
-    lines.write.parquet(f"{root}/in")
-    for k in (3, 7):
-        lines.where(F.pmod("n", F.lit(k)) == 0).write.mode("append").parquet(f"{root}/in")
+    lines = staged(exports.read_session_lines(spark, _session_logs(d)).select("path", "place.block", "place.n", at.alias("at"), *sessions._FIELDS), "lines")
+    odd = F.pmod(F.xxhash64("path", "n"), F.lit(2)) == 1
+    repeated = lines.where((F.pmod("n", F.lit(3)) == 0) | (F.pmod("n", F.lit(7)) == 0))
     last = spark.range(1).select(F.lit("end").alias("path"), F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("n"), F.timestamp_seconds(F.lit(1_800_000_000)).alias("at"), *(F.lit(None).cast("array<string>" if f == "tools" else "string").alias(f) for f in sessions._FIELDS))
-    run = lambda: sessions.pages(spark.readStream.schema(sessions.LINE).option("maxFilesPerTrigger", 3).parquet(f"{root}/in")).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    run()
-    last.write.mode("append").parquet(f"{root}/in")
-    run()  # from where it was
+    for rows in (lines.where(~odd), lines.where(odd).unionByName(repeated), last):
+        rows.write.mode("append").parquet(f"{root}/in")
+        sessions.replay(spark, f"{root}/in", f"{root}/out", f"{root}/checkpoint")  # from where it was
     return spark.read.schema(sessions.PAGE).parquet(f"{root}/out").select("session_id", "markdown")

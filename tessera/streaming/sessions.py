@@ -11,7 +11,7 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -20,6 +20,8 @@ from ..sources.exports import ASSISTANT, HUMAN, LABELS
 #: What a line says, as of :func:`exports.read_session_lines`, with its place in two numbers and its time.
 LINE = "path string, block long, n long, at timestamp, type string, ts string, cwd string, session_id string, custom_title string, ai_title string, text string, tools array<string>"
 PAGE = "path string, session_id string, title string, n_messages long, n_tools long, markdown string"
+#: Bytes of files that a batch takes: each batch opens and commits the state of every partition, so many small files are few batches.
+AT_ONCE = 256 << 20
 _FIELDS = ["type", "ts", "cwd", "session_id", "custom_title", "ai_title", "text", "tools"]
 
 
@@ -86,3 +88,9 @@ def pages(lines: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -
         state.setTimeoutTimestamp(max(held["last"] + quiet, state.getCurrentWatermarkMs() + 1))
 
     return lines.withWatermark("at", late).groupBy("path").applyInPandasWithState(step, PAGE, "held string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def replay(spark: SparkSession, lines: str, out: str, checkpoint: str, at_once: int = AT_ONCE) -> None:
+    """Stream the files of ``LINE`` rows in ``lines`` that are new since the last call; pages of sessions that close go to ``out``."""
+    read = spark.readStream.schema(LINE).option("maxBytesPerTrigger", str(at_once)).parquet(lines)
+    pages(read).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -53,3 +53,21 @@ def test_stream_equals_batch_after_restarts(spark, tmp_path):
     assert len(got) == len(want) and {g[0]: g for g in got} == want
     spark.createDataFrame(rows[:3], sessions.LINE).coalesce(1).write.mode("append").parquet(f"{root}/in")
     assert sorted(run()) == sorted(got)  # too late
+
+
+def test_many_small_files_are_few_batches(spark, tmp_path):
+    import os
+
+    root = str(tmp_path)
+    fields = {"session_id": F.concat(F.lit("s"), "path"), "text": F.concat(F.lit("said "), F.col("n").cast("string")), "type": F.lit("user")}
+    rows = spark.range(120).select((F.col("id") % 12).cast("string").alias("path"), F.lit(0).cast("long").alias("block"), F.col("id").alias("n"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id")).alias("at"))
+    rows = rows.select("*", *(fields.get(f, F.lit(None).cast("array<string>" if f == "tools" else "string")).alias(f) for f in sessions._FIELDS))
+    rows.repartition(40, "n").write.parquet(f"{root}/in")
+    assert sum(f.endswith(".parquet") for f in os.listdir(f"{root}/in")) > 25
+    sessions.replay(spark, f"{root}/in", f"{root}/out", f"{root}/checkpoint")
+    last = rows.where("n = 0").withColumns({"path": F.lit("end"), "at": F.timestamp_seconds(F.lit(1_800_000_000))})
+    last.write.mode("append").parquet(f"{root}/in")
+    sessions.replay(spark, f"{root}/in", f"{root}/out", f"{root}/checkpoint")
+    assert sum(not f.startswith(".") for f in os.listdir(f"{root}/checkpoint/commits")) <= 5
+    pages = {r.path: r.n_messages for r in spark.read.schema(sessions.PAGE).parquet(f"{root}/out").collect()}
+    assert pages == {str(k): 10 for k in range(12)}
