@@ -11,28 +11,12 @@ from pyspark.sql import functions as F
 
 from ..constants import MIN_SIMILARITY, VECTOR_CANDIDATES
 from ..functions import vectors as vx
-from .lexical import top
+from .lexical import best, top
 
 #: Query vectors that one block sends to every task, and rows that are compared with them at once.
 BLOCK, STRIDE = 4096, 1024
 
 
-def best(s: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``k`` best columns of each row by score, then id: never more, however many rows are tied."""
-    if s.shape[1] <= k:
-        return s, ids
-    edge = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
-    order = np.argsort(-s, axis=1, kind="stable")[:, :k]
-    out_s, out_i = np.take_along_axis(s, order, 1), np.take_along_axis(ids, order, 1)
-    for a in np.flatnonzero((s >= edge).sum(1) > k):
-        if not np.isfinite(edge[a, 0]):
-            continue
-        above, tied = np.flatnonzero(s[a] > edge[a]), np.flatnonzero(s[a] == edge[a])
-        chosen = np.concatenate([above, sorted(tied.tolist(), key=lambda c: ids[a, c])[: k - len(above)]]).astype(int)
-        out_s[a], out_i[a] = s[a, chosen], ids[a, chosen]
-    return out_s, out_i
-
-
 def _blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
     n = queries.count()
     blocks = max(1, -(-n // BLOCK))

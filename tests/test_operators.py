@@ -262,3 +262,21 @@ def test_stale_counts_parts_of_a_second(spark):
         started = spark.createDataFrame(rows, "id long, s string").select("id", F.col("s").cast(kind).alias("started"))
         old = store.stale(started, F.lit("2026-01-01 11:00:00.50").cast(kind))
         assert {r.id for r in old.collect()} == {1, 3}
+
+
+def test_a_stored_index_is_built_and_searched_without_moving_postings(spark, tmp_path):
+    """Counting words shuffles nothing, nor does scoring but the best of each task; ties of copies go by id, nulls and empty texts match nothing."""
+    rows = [(f"d{i:03}", "x", "note", f"p{i // 4}", "", None if i == 7 else "" if i == 8 else f"olma{i % 5} nok olma{i % 5} anor " + "uzum " * (i % 9)) for i in range(300)]
+    docs = lexical.kw_docs(spark.createDataFrame(rows, "id string, project string, kind string, parent_id string, title string, document string").repartition(3))
+    made = index.of_docs(docs)
+    plan = made.postings._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == docs._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    stored = made.write(str(tmp_path / "index"))
+    assert sorted(map(tuple, stored.postings.select("id", "term", "tf").collect())) == sorted(map(tuple, lexical.postings(docs).collect()))
+    q = spark.createDataFrame([(1, "olma1 uzum"), (2, "anor"), (3, "yo'q"), (4, ""), (5, "olma2 olma3 nok")], "qid long, text string")
+    want = sorted(map(tuple, lexical.top(lexical.bm25(q, stored), [F.col("score"), F.col("id")], 12).collect()))
+    found = lexical.keyword_topk(q, stored, 12)
+    assert sorted(map(tuple, found.select("qid", "id", "score", "rank").collect())) == want and len(want) == 36
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    empty = index.of_docs(docs.limit(0)).write(str(tmp_path / "empty"))
+    assert lexical.keyword_topk(q, empty).count() == 0 and lexical.keyword_topk(q.limit(0), stored).count() == 0
