@@ -134,15 +134,17 @@ def gate_hits(queries: DataFrame, hits: DataFrame, chunks: DataFrame, index) ->
     # words by stem
     known = index.terms.select("term", "stem").unionByName(stems(extra))
     wanted = staged(known.join(asked.select("stem").distinct(), "stem", "left_semi").distinct(), "wanted")
-    sent = F.broadcast(wanted) if wanted.count() <= SENT_TERMS else wanted
+    few = wanted.count() <= SENT_TERMS
+    sent = F.broadcast(wanted) if few else wanted
     said = index.postings.select("id", "term").join(sent, "term").join(ids, "id", "left_semi").select("id", "stem").unionByName(extra.join(wanted, "term").select("id", "stem"))
     have = staged(said.distinct(), "stems")
     hit = pairs.join(have, "id").join(asked, ["qid", "stem"]).groupBy("qid", "id").agg(F.sum("weight").alias("w"), F.count("*").alias("matched"))
     total = weights.groupBy("qid").agg(F.sum("weight").alias("total"))
     # one word must stand as it is; years and quoted strings must stand in the text
     one = raw.where(F.size("raw") == 1).select("qid", F.col("raw")[0].alias("term"))
-    alone = pairs.join(one, "qid").join(index.postings.select("id", "term").unionByName(extra).distinct(), ["id", "term"], "left_semi").select("qid", "id", F.lit(True).alias("stands"))
-    strict = pairs.join(raw.where((F.size("raw") != 1) & (F.size("constraints") > 0)).select("qid", "constraints"), "qid")
+    alone = index.postings.select("id", "term").unionByName(extra).join(F.broadcast(one) if few else one, "term").join(pairs, ["qid", "id"]).select("qid", "id").distinct().withColumn("stands", F.lit(True))
+    # written, so that its size is known before the texts are read: few such pairs are sent to them
+    strict = staged(pairs.join(raw.where((F.size("raw") != 1) & (F.size("constraints") > 0)).select("qid", "constraints"), "qid"), "strict")
     text = chunks.select("id", F.lower(evidence_text(F.col("document"), F.col("title"), F.col("date"))).alias("low"))
     broken = strict.join(text, "id").where(~F.forall("constraints", lambda c: F.contains(F.col("low"), c))).select("qid", "id", F.lit(True).alias("broken"))
     rows = pairs.join(raw.select("qid", F.size("raw").alias("n_raw"), "n_meaningful"), "qid").join(total, "qid", "left").join(hit, ["qid", "id"], "left").join(alone, ["qid", "id"], "left").join(broken, ["qid", "id"], "left")
