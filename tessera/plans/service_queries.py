@@ -73,7 +73,7 @@ def _(d: Data) -> DataFrame:
 
 @query("score_pairs", sql(f"SELECT q.qid, c.id, round({_OVERLAP}, 6) AS rerank_score FROM kwtop k JOIN queries q USING (qid) JOIN chunks c USING (id) WHERE k.rank <= 10"))
 def _(d: Data) -> DataFrame:
-    hits = lexical.keyword_topk(d.queries, d.index, 10).select("qid", "id")
+    hits = lexical.keyword_topk(d.queries, d.words, 10).select("qid", "id")
     pairs = hits.join(d.queries.select("qid", F.col("text").alias("question")), "qid").join(d.chunks.select("id", F.col("document").alias("text")), "id")
     return models.score_pairs(pairs).select("qid", "id", F.round("rerank_score", 6).alias("rerank_score"))
 
@@ -91,7 +91,7 @@ def _(d: Data) -> DataFrame:
 def _(d: Data) -> DataFrame:
     """An empty question finds nothing, and so does any question of an empty index."""
     blank = d.queries.select("qid", F.lit("  ?! ").alias("text"))
-    one = lexical.keyword_topk(blank, d.index).agg(F.count("*").alias("n_empty_question"))
+    one = lexical.keyword_topk(blank, d.words).agg(F.count("*").alias("n_empty_question"))
     two = lexical.keyword_topk(d.queries, d.kw_docs.where("false")).agg(F.count("*").alias("n_empty_index"))
     return one.crossJoin(two).crossJoin(lexical.query_terms(d.queries).agg(F.count_distinct("term").alias("n_terms")))
 
