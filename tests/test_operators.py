@@ -297,3 +297,31 @@ def test_best_documents_need_no_postings(spark, tmp_path):
     want = lexical.top(lexical.bm25(d.queries, d.index), [F.col("score"), F.col("id")], 50).select("qid", "id", "score", "rank").collect()
     assert len(want) == 100 and sorted((r.qid, r.id, r["score"]) for r in hits) == sorted((r.qid, r.id, r.score) for r in want)
     assert made() == {"words", "index"} and sorted(map(tuple, lexical.keyword_topk(d.queries, d.index).select("qid", "id", "score", "rank").collect())) == sorted(map(tuple, want))
+
+
+def test_stored_words_are_one_string_and_counted_as_lists_are(spark, tmp_path):
+    """Slices, empty texts and nulls of stored words give the words and rows of their lists; tasks read no list of words from storage."""
+    import pyarrow as pa
+
+    lists = pa.array([["a", "b", "a"], [], ["d"], None, ["o'z", "e"]] * 5)
+    joined = pa.array([x if x is None else " ".join(x) for x in lists.to_pylist()])
+    for at, n in ((0, 25), (1, 7), (8, 2), (3, 1), (1, 1)):
+        got, want = (lexical.flat_words(a.slice(at, n)) for a in (joined, lists))
+        assert got[0].to_pylist() == want[0].to_pylist() and got[1].tolist() == want[1].tolist()
+    rows = [(f"d{i:04}", "x", "note", f"p{i // 4}", None, None if i % 7 == 0 else "" if i % 7 == 1 else f"o'z{i} don\u2019t `` KITOBLARNI " + "uzum " * (i % 9)) for i in range(1300)]
+    docs = lexical.kw_docs(spark.createDataFrame(rows, "id string, project string, kind string, parent_id string, title string, document string").repartition(1))
+    stored = index.of_docs(docs).write_words(str(tmp_path / "index"))
+    assert dict(spark.read.parquet(str(tmp_path / "index" / "docs")).dtypes)["words"] == "string"
+    same = ["id", "project", "kind", "parent_id", "token_count", "tokens"]
+    assert sorted(map(repr, stored.docs.select(same).collect())) == sorted(map(repr, docs.select(same).collect()))
+    assert sorted(map(tuple, stored.postings.select("id", "term", "tf").collect())) == sorted(map(tuple, lexical.postings(docs).collect()))
+    q = spark.createDataFrame([(1, "o'z5 uzum"), (2, "don't kitob")], "qid long, text string")
+    want = lexical.top(lexical.bm25(q, docs), [F.col("score"), F.col("id")], 40).select("qid", "id", "score", "rank")
+    assert sorted(map(tuple, lexical.keyword_topk(q, stored, 40).select("qid", "id", "score", "rank").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_title_is_that_of_the_whole_text(spark, tmp_path):
+    texts = [None, "", "  a\t\n b ", "x" * 50, " \n" * 60 + "y", ("ab" + " " * 9) * 30, "\U0001f600 " * 45, "a\u00a0b\u2028c " * 20]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    whole = F.left(F.regexp_replace("text", "[ \t\n\r]+", " "), F.lit(40))
+    assert [r.t for r in df.select(base.titled(F.col("text")).alias("t")).collect()] == [r.t for r in df.select(whole.alias("t")).collect()]
