@@ -39,6 +39,27 @@ def test_projects(spark, tmp_path):
     assert exports.read_projects(spark, str(tmp_path / "p.json"), include_empty=True).count() == 3
 
 
+def test_no_task_of_the_jvm_gathers_a_project(spark, tmp_path):
+    """Pages are those of whole projects in order, though neither their files nor their pages are gathered by an aggregate."""
+    from tessera.plans import catalog
+
+    texts = [(10, "b", "  second\u00a0\n"), (9, "b", "first, \"quoted\"\nline"), (3, "a/ b", None), (4, "a/ b", " \n"), (7, "a/ b", "x"), (1, "none", " ")]
+    rows = [(i, t, "en", s) for i, s, t in texts]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    df = catalog.QUERIES["import_projects"](spark, str(tmp_path))
+    head = lambda p: f"# {p}\n\nUUID: u{p}  \nAll of {p}\n\n## Project instructions\n\nKeep it."
+    assert sorted(map(tuple, df.collect())) == [
+        ("ua/ b", "a/ b", 1, head("a/ b") + "\n\n## Hujjat: doc_7\n\nx\n"), ("ub", "b", 2, head("b") + '\n\n## Hujjat: doc_9\n\nfirst, "quoted"\nline\n\n## Hujjat: doc_10\n\nsecond\n'), ("unone", "none", 0, head("none") + "\n"),
+    ]
+    assert "Aggregate" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pages_of_projects_without_documents(spark, tmp_path):
+    projects = [{"name": "W", "description": "ends \u2003\t", "docs": None}, {"uuid": "k", "docs": [{"filename": "f", "name": "n", "content": "c"}, None]}]
+    (tmp_path / "p.json").write_text(json.dumps(projects))
+    assert sorted(tuple(r) for r in exports.read_projects(spark, str(tmp_path / "p.json"), include_empty=True).select("name", "n_docs", "markdown").collect()) == [("W", 0, "# W\n\nends\n"), ("project", 1, "# Project\n\nUUID: k\n\n## Hujjat: f\n\nc\n")]
+
+
 def test_design_chats(spark, tmp_path):
     for k, chat in enumerate(({"uuid": "d", "title": "chat", "project": {"name": "Pr"}, "messages": [{"role": "user", "content": {"content": " q "}}, {"role": "a", "content": "r"}, {"role": "a", "content": ""}]}, {"uuid": "e", "title": "", "project": "Own"})):
         (tmp_path / f"{k}.json").write_text(json.dumps(chat))
