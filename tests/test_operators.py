@@ -2,6 +2,7 @@
 
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +68,32 @@ def test_vector_ties_and_graph(spark):
     assert dense.vector_topk(q.where("false"), v).count() == 0
 
 
+@pytest.mark.parametrize("kind,near", [("long", 64), ("string", 0)])
+def test_all_pairs_are_compared_by_tasks_alone(spark, monkeypatch, kind, near):
+    """All against all equals the whole product with its ties, and no vector goes through the driver."""
+    for name, value in (("BLOCK", 50), ("PACK", 32), ("SIDE", 3), ("TASKS", 5), ("STRIP", 20), ("NEAR", near)):
+        monkeypatch.setattr(dense, name, value)
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((300, 8)).astype(np.float32)
+    x[40:140] = x[40]  # a hundred of one vector, some near it, and two without length
+    x[140:160] = x[40] + 1e-6 * rng.standard_normal((20, 8)).astype(np.float32)
+    x[[7, 250]] = 0
+    ids = rng.permutation(300)
+    ids = [int(i) if kind == "long" else f"v{i}" for i in ids]
+    v = spark.createDataFrame([(i, e.tolist()) for i, e in zip(ids, x)] + [(None, [1.0] * 8)], f"id {kind}, vector array<float>")
+    u = x.astype(float) / np.where((m := np.linalg.norm(x.astype(float), axis=1, keepdims=True)) == 0, 1, m)
+    s = np.round(u @ u.T, 6)
+    for k, floor, skip in ((6, None, True), (10, None, False), (6, 0.5, True)):
+        want = set()
+        for a, i in enumerate(ids):
+            rest = sorted((-s[a, b], j) for b, j in enumerate(ids) if not (skip and i == j) and (floor is None or s[a, b] >= floor))
+            want |= {(i, j, -t + 0.0, r + 1) for r, (t, j) in enumerate(rest[:k])}
+        with monkeypatch.context() as only:
+            only.setattr(type(v), "collect", lambda self: pytest.fail("collected"))
+            found = dense.all_topk(v, k, floor, skip)
+        assert {(r.qid, r.id, r.similarity + 0.0, r["rank"]) for r in found.collect()} == want
+
+
 def test_lsh_recall(spark):
     import numpy as np
 
