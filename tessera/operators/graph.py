@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import GRAPH_MIN_WEIGHT, GRAPH_NEIGHBOURS
-from .dense import vector_topk
+from .dense import all_topk
 
 
 def knn_graph(vectors: DataFrame, k: int = GRAPH_NEIGHBOURS, least: float = GRAPH_MIN_WEIGHT) -> DataFrame:
     """Undirected edges (a < b, weight): each vector with its ``k`` nearest of at least this similarity, the larger weight kept."""
-    near = vector_topk(vectors.withColumnRenamed("id", "qid"), vectors, k=k, floor=least, skip_self=True)
+    near = all_topk(vectors, k, least, skip_self=True)
     return near.groupBy(F.least("qid", "id").alias("a"), F.greatest("qid", "id").alias("b")).agg(F.round(F.max("similarity"), 3).alias("weight"))
 
 
