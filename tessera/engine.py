@@ -62,13 +62,12 @@ class SearchEngine:
 
     def _completed(self, rows: DataFrame) -> DataFrame:
         """``rows`` with all columns of the store; words and vectors are made for these rows alone. A row without id is an error."""
-        missing = {f.name: F.lit(None).cast(f.dataType) for f in CHUNK.fields if f.name not in rows.columns}
-        whole = rows.withColumns(missing).select(*(F.col(f.name).cast(f.dataType) for f in CHUNK.fields))
+        have = [f for f in CHUNK.fields if f.name in rows.columns]
+        missing = {f.name: F.lit(None).cast(f.dataType) for f in CHUNK.fields if f not in have}
+        whole = rows.select(*(F.col(f.name).cast(f.dataType) for f in have))
         named = F.when(F.col("id").isNull(), F.raise_error("a chunk without id")).otherwise(F.col("id"))
-        whole = staged(store.last_of_each(whole.withColumn("id", named), "id"), "new")
-        words = lexical.kw_docs(whole).select("id", "tokens")
-        vectors = models.embed(whole, self.embedder, **self.options).select("id", F.col("embedding").alias("vector"))
-        return whole.join(words, "id").join(vectors, "id").select(*STORED.names)
+        whole = store.last_of_each(whole.withColumn("id", named), "id").withColumns(missing)
+        return models.embedded(whole.withColumn("tokens", lexical.tokens_of(whole)), "vector", self.embedder, **self.options).select(*STORED.names)
 
     def _write(self, rows: DataFrame | None, bury: DataFrame | None = None, based_on: int | None = None) -> segments.Segment:
         """One segment more; where there are too many by now, the last ones become one, and lists but the last few go."""

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import InheritableThread
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from .. import identity as ids
 from ..staging import staged
@@ -284,15 +285,22 @@ def checked(name: str, expected: int, **options) -> None:
 
 def embed(df: DataFrame, name: str = "hashed", text_col: str = "document", id_col: str = "id", **options) -> DataFrame:
     """(id, embedding) of every row; a null text is embedded as empty. The model is made once for each task."""
+    return embedded(df.selectExpr(f"CAST(`{id_col}` AS STRING) AS id", f"`{text_col}` AS text"), "embedding", name, "text", **options).drop("text")
+
+
+def embedded(df: DataFrame, column: str, name: str = "hashed", text_col: str = "document", **options) -> DataFrame:
+    """``df`` with the vectors of its texts as one more ``column``: rows stay where they are."""
+    at = df.columns.index(text_col)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))  # a row may hold a long text and its words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = with_retry(EMBEDDERS[name](**options))
         for batch in batches:
             if batch.num_rows:
-                vectors = np.asarray(encode([t or "" for t in batch.column(1).to_pylist()]), np.float32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), pa.array(vectors.tolist(), pa.list_(pa.float32()))], names=["id", "embedding"])
+                vectors = np.asarray(encode([t or "" for t in batch.column(at).to_pylist()]), np.float32)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(vectors.tolist(), pa.list_(pa.float32()))], names=[*batch.schema.names, column])
 
-    return df.selectExpr(f"CAST(`{id_col}` AS STRING) AS id", f"`{text_col}` AS text").mapInArrow(run, "id string, embedding array<float>")
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(column, T.ArrayType(T.FloatType()))]))
 
 
 def score_pairs(pairs: DataFrame, name: str = "overlap", budget: float | None = None, **options) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import light_stem
-from .index import Index
+from .index import Index, of_docs
 from .snapshots import POINTERS, Conflict, Folder
 
 #: More segments than this are compacted; a segment of fewer rows keeps its postings in one part, others in so many.
@@ -167,9 +167,9 @@ class Store:
 
     def _write_words(self, docs: DataFrame, n: int, at, place) -> int:
         part = F.lit(-1) if n < SMALL else _part("term")
-        posts = docs.select("id", "token_count", "parent_id", F.explode("tokens").alias("term")).groupBy("term", "id", "token_count", "parent_id").agg(F.count("*").alias("tf"))
-        posts = posts.select("term", "id", "tf", "token_count", "parent_id", at, part.cast("int").alias("part"))
-        dealt = posts.coalesce(1) if n < 100 else posts.repartition("part", F.pmod(F.xxhash64("id"), F.lit(8)))
+        posts = of_docs(docs).postings.select("term", "id", "tf", "token_count", "parent_id", at, part.cast("int").alias("part"))
+        # words are counted, and written to their parts, where their rows are; few enough tasks write, so that files aren't many
+        dealt = posts.coalesce(1 if n < 100 else max(PARTS, n // SMALL))
         dealt.sortWithinPartitions("part", "term", "id").write.partitionBy("part").parquet(place("postings"))
         made = self.spark.read.parquet(place("postings")).select("term").distinct().select("term", light_stem(F.col("term")).alias("stem"), at)
         (made.coalesce(1) if n < 100 else made).write.parquet(place("words"))

@@ -51,8 +51,10 @@ def last_of_each(rows: DataFrame, key: str = "id", order: str | None = None) ->
         return rows
     sortable = [F.to_json(F.col(c)) if "map<" in t or "variant" in t else F.col(c) for c, t in rows.dtypes]
     by = F.struct(*([F.col(order).alias("__order")] if order else []), *(x.alias(f"__{i}") for i, x in enumerate(sortable)))
-    row = F.max_by(F.struct(*rows.columns), by)
-    return rows.groupBy(F.col(key).alias("__key")).agg(row.alias("__row")).select("__row.*")
+    keyed = rows.groupBy(F.col(key).alias("__key"))
+    if not any("map<" in t or "variant" in t for _, t in rows.dtypes):  # then what orders a row is the row, and it goes once
+        return keyed.agg(F.max(by).alias("__row")).select(*(F.col(f"__row.__{i}").alias(c) for i, c in enumerate(rows.columns)))
+    return keyed.agg(F.max_by(F.struct(*rows.columns), by).alias("__row")).select("__row.*")
 
 
 def upsert(target: DataFrame, new: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:

@@ -122,6 +122,24 @@ def test_rivals_conflict(spark, tmp_path, monkeypatch):
     assert segments.Store(spark, str(tmp_path / "new"), schema).rows().count() == 0
 
 
+def test_a_write_moves_its_rows_once_and_no_words(spark, front, monkeypatch):
+    """Rows of one id meet by a shuffle; their words and vectors are made, and postings written, where the rows are."""
+    monkeypatch.setattr(segments, "SMALL", 10)
+    rows = chunk_rows(spark, [(f"c{i % 150}", t, "T", "alpha", "f") for i, t in enumerate(texts(random.Random(4), 200, WORDS))])
+    made = front._completed(rows)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "max_by" not in plan
+    written, write = [], type(spark.range(1).write).parquet
+    monkeypatch.setattr(type(spark.range(1).write), "parquet", lambda self, path, *a, **b: (written.append((path, self._df._jdf.queryExecution().executedPlan().toString())), write(self, path, *a, **b))[-1])
+    front.upsert(rows)
+    assert [("Exchange" in p or "Join" in p) for path, p in written if "/postings/" in path] == [False]
+    assert not [path for path, _ in written if front.root not in path]  # nothing is staged
+    whole = front.chunks()
+    assert whole.count() == 150
+    want = whole.select("id", F.explode("tokens").alias("term")).groupBy("term", "id").count()
+    assert sorted(map(tuple, front.store.postings().select("term", "id", "tf").collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_large_segments_are_opened_by_part(spark, front, monkeypatch):
     monkeypatch.setattr(segments, "SMALL", 10)
     rng = random.Random(2)
